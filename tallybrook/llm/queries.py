@@ -8,13 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybrook.llm import pii, token_counts
+from tallybrook.llm import language_id, piece_sampling, pii, token_counts
+from tallybrook.llm.text import fold
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled pieces of every text, decoded again: counts, digests and whether the round trip lost nothing."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return piece_sampling.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"), seed=17)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_email to n_phone and base_sha256 are of the base spans; spans holds the CRF's too; n_added counts those."""
     docs = _documents(spark, sf_dir).select("doc_id", "text")
@@ -27,13 +34,20 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *kinds, F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"), F.size(F.filter(F.split("added", ","), lambda x: x != "")).cast("long").alias("n_added"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
+    profiles = language_id.learn(docs.filter(~fold("doc_id", 5, 0)))
+    found = language_id.identify(docs, profiles)
+    return found.select("doc_id", fold("doc_id", 5, 0).alias("held_out"), "lang_pred", "score", "margin")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_pii, op7_token_counts)}
+    return {f.__name__: f for f in (op2_piece_sampling, op3_pii, op4_language_id, op7_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

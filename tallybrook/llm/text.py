@@ -96,15 +96,25 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span's bytes; equal bytes give equal hashes wherever they stand."""
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Running polynomial sums of the bytes, from which ``hash_between`` gets the hash of any span."""
     n = len(data)
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", _RADIX, n), out=total[1:])
-    value = (total[ends] - total[starts]) * _power("down", _RADIX_INVERSE, n + 1)[starts]
+    return total
+
+
+def hash_between(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span's bytes; equal bytes give equal hashes wherever they stand."""
+    value = (total[ends] - total[starts]) * _power("down", _RADIX_INVERSE, len(total))[starts]
     return mix(value + (ends - starts).astype(np.uint64) * _GOLD)
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``hash_between`` over the data."""
+    return hash_between(prefix_sums(data), starts, ends)
+
+
 def spans_as_strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     """The spans as one Arrow string array (bytes between spans are dropped)."""
     lengths = ends - starts
