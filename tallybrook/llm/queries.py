@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybrook.llm import language_id, piece_sampling, pii, token_counts
+from tallybrook.llm import jaccard_join, language_id, piece_sampling, pii, token_counts
 from tallybrook.llm.text import fold
 
 
@@ -41,13 +41,17 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fold("doc_id", 5, 0).alias("held_out"), "lang_pred", "score", "margin")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar(_documents(spark, sf_dir).select("doc_id", "text"), percent=90, width=3)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_piece_sampling, op3_pii, op4_language_id, op7_token_counts)}
+    return {f.__name__: f for f in (op2_piece_sampling, op3_pii, op4_language_id, op5_jaccard_join, op7_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
