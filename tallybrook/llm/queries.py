@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybrook.llm import jaccard_join, language_id, piece_sampling, pii, token_counts
+from tallybrook.llm import jaccard_join, language_id, piece_sampling, pii, suffix_tree, token_counts
 from tallybrook.llm.text import fold
 
 
@@ -45,13 +45,20 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar(_documents(spark, sf_dir).select("doc_id", "text"), percent=90, width=3)
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    tree, counts = suffix_tree.grow(docs.filter(~fold("doc_id", 7, 2)))
+    found = suffix_tree.score(docs, tree, counts)
+    return found.withColumn("held_out", fold("doc_id", 7, 2)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_piece_sampling, op3_pii, op4_language_id, op5_jaccard_join, op7_token_counts)}
+    return {f.__name__: f for f in (op2_piece_sampling, op3_pii, op4_language_id, op5_jaccard_join, op6_lm_scores, op7_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
