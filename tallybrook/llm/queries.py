@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybrook.llm import jaccard_join, language_id, piece_sampling, pii, suffix_tree, token_counts
+from tallybrook.llm import bit_sliced, jaccard_join, language_id, mixing, multi_index, piece_sampling, pii, suffix_tree, token_counts
 from tallybrook.llm.text import fold
 
 
@@ -16,6 +16,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
 def op2_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled pieces of every text, decoded again: counts, digests and whether the round trip lost nothing."""
     docs = _documents(spark, sf_dir).select("doc_id", "text")
@@ -57,8 +61,35 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.neighbours(_embeddings(spark, sf_dir), k=20, every=20)
+
+
+def domain(source: Column) -> Column:
+    """Sources fall into four domains by their number; one without a number is a domain of its own."""
+    number = F.try_to_number(F.regexp_extract(source, "[0-9]+$", 0), F.lit("999999999999"))
+    return F.when(number.isNotNull(), F.concat(F.lit("d"), (number % 4).cast("int").cast("string")))
+
+
+#: Target weights of the mixture by level; what isn't named has weight 1.
+MIX_WEIGHTS = {"domain": {"d0": 2.0, "d1": 4.0, "d2": 3.0, "d3": 1.0}, "lang": {"en": 3.0, "de": 2.0, "fr": 2.0, "es": 3.0}}
+
+
+def mixed(docs: DataFrame, **more) -> DataFrame:
+    levels = {"domain": domain(docs["source"]), "lang": docs["lang"], "source": docs["source"]}
+    return mixing.mix(docs, levels, weights=MIX_WEIGHTS, budget_share=0.6, seed=29, **more)
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(_documents(spark, sf_dir), max_epochs=4)
+
+
+def op10_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_sliced.top_k(_embeddings(spark, sf_dir), k=5, every=50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_piece_sampling, op3_pii, op4_language_id, op5_jaccard_join, op6_lm_scores, op7_token_counts)}
+    return {f.__name__: f for f in (op2_piece_sampling, op3_pii, op4_language_id, op5_jaccard_join, op6_lm_scores, op7_token_counts, op8_nearest, op9_mixing, op10_bit_sliced)}
 
 
 def oracle_sql() -> dict[str, str]:
