@@ -316,30 +316,31 @@ def _joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
 
 
-def find_pii(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text", mask: bool = False) -> DataFrame:
+def find_pii(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text", mask: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Per row: id, base (kind:start:end by kind, then start), added (spans of the CRF), and with ``mask``
     also masked: the text with each span replaced by its kind in brackets.
 
     A null text is treated as empty (masked stays null).  Rows are kept as they are, repeated ones too;
-    other columns are not read.  Spans count code points, end exclusive.
+    of other columns those in ``keep`` are carried.  Spans count code points, end exclusive.
     """
+    carried = [c for c in (keep or []) if c != id_col]
     send = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: _DIM weights a kind
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = send.value
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "__text"):
             base, added, masked = [], [], []
-            for text in block.column("text").to_pylist():
+            for text in block.column("__text").to_pylist():
                 b, e = find(text, crf) if text else ([], [])
                 base.append(_joined(b))
                 added.append(_joined(e))
                 if mask:
                     masked.append(masked_text(text, b + e))
-            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(base, pa.string()), pa.array(added, pa.string()), *([pa.array(masked, pa.string())] if mask else [])], names=[id_col, "base", "added", *(["masked"] if mask else [])])
+            yield pa.RecordBatch.from_arrays([block.column(0), *(block.column(c) for c in carried), pa.array(base, pa.string()), pa.array(added, pa.string()), *([pa.array(masked, pa.string())] if mask else [])], names=[id_col, *carried, "base", "added", *(["masked"] if mask else [])])
 
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(task, f"`{id_col}` {kind}, base string, added string" + ", masked string" * mask)
+    rows = docs.select(docs[id_col], *(docs[c] for c in carried), docs[text_col].alias("__text"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(task, ", ".join(f"`{c}` {kinds[c]}" for c in [id_col, *carried]) + ", base string, added string" + ", masked string" * mask)
 
 
 def masked_text(text: str | None, spans: list[Span]) -> str | None:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybrook.llm import bit_sliced, jaccard_join, language_id, mixing, multi_index, piece_sampling, pii, suffix_tree, token_counts
+from tallybrook.llm import bit_sliced, jaccard_join, language_id, licences, mixing, multi_index, piece_sampling, pii, suffix_tree, token_counts
 from tallybrook.llm.text import fold
 
 
@@ -20,6 +20,10 @@ def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
 
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_documents(spark, sf_dir).select("doc_id", "text"), licences.known_digests(spark))
+
+
 def op2_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled pieces of every text, decoded again: counts, digests and whether the round trip lost nothing."""
     docs = _documents(spark, sf_dir).select("doc_id", "text")
@@ -72,11 +76,12 @@ def domain(source: Column) -> Column:
 
 
 #: Target weights of the mixture by level; what isn't named has weight 1.
-MIX_WEIGHTS = {"domain": {"d0": 2.0, "d1": 4.0, "d2": 3.0, "d3": 1.0}, "lang": {"en": 3.0, "de": 2.0, "fr": 2.0, "es": 3.0}}
+MIX_WEIGHTS = {"domain": {"d0": 2.0, "d1": 4.0, "d2": 3.0, "d3": 1.0}, "language": {"en": 3.0, "de": 2.0, "fr": 2.0, "es": 3.0}}
 
 
 def mixed(docs: DataFrame, **more) -> DataFrame:
-    levels = {"domain": domain(docs["source"]), "lang": docs["lang"], "source": docs["source"]}
+    """The mixture's decisions by row, with the tree's values as domain, language and origin."""
+    levels = {"domain": domain(docs["source"]), "language": docs["lang"], "origin": docs["source"]}
     return mixing.mix(docs, levels, weights=MIX_WEIGHTS, budget_share=0.6, seed=29, **more)
 
 
@@ -89,8 +94,8 @@ def op10_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_piece_sampling, op3_pii, op4_language_id, op5_jaccard_join, op6_lm_scores, op7_token_counts, op8_nearest, op9_mixing, op10_bit_sliced)}
+    return {f.__name__: f for f in (op1_licences, op2_piece_sampling, op3_pii, op4_language_id, op5_jaccard_join, op6_lm_scores, op7_token_counts, op8_nearest, op9_mixing, op10_bit_sliced)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_licences": licences.scan_sql()}
