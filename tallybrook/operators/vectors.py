@@ -23,6 +23,11 @@ def vector_present(column: str = "embedding"):
     return F.col(column).isNotNull()
 
 
+def _norm(column: str):
+    """Squared norm, null for a null vector."""
+    return F.aggregate(column, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+
+
 def _unit(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Vectors and their norms as doubles."""
     x = np.array(column.to_pylist(), dtype=np.float64)
@@ -35,7 +40,7 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *, block_rows: int =
     Exact: both sides are dealt into blocks by a hash of the id, each pair of blocks is one bounded group that keeps k
     rows a query, and only those are ranked. Null, empty and zero vectors take no part; ties go to the smaller item.
     """
-    norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    norm = _norm("vector")
     q, c = queries.filter(norm > 0).select("query_id", "vector"), corpus.filter(norm > 0).select("item_id", "vector")
     parts, rounds = max(1, -(-c.count() // block_rows)), max(1, -(-q.count() // block_queries))
     left = c.select(F.pmod(F.xxhash64("item_id"), F.lit(parts)).cast("int").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("qb"), "item_id", "vector")
@@ -85,6 +90,7 @@ def knn_with_fallback(queries: DataFrame, corpus: DataFrame, threshold: float =
 def ann_join(queries: DataFrame, corpus: DataFrame, k: int, *, lists: int = MESSAGE_LISTS, probes: int = 10, sample_rows: int = 20_000, seed: int = 7) -> DataFrame:
     """Approximate ``knn_join`` by inverted lists: k-means centres learnt on a bounded sample of the corpus, every row
     put into the list of its nearest centre, a query looking into its ``probes`` nearest lists (an equi-join)."""
+    corpus, queries = corpus.filter(_norm("vector") > 0), queries.filter(_norm("vector") > 0)
     sample = corpus.orderBy(F.xxhash64("item_id"), "item_id").limit(sample_rows).select(array_to_vector(F.transform("vector", lambda x: x.cast("double"))).alias("features"))
     centres = np.array(KMeans(k=lists, seed=seed, maxIter=15, distanceMeasure="cosine").fit(sample).clusterCenters())
     centres = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-30)
@@ -98,8 +104,8 @@ def ann_join(queries: DataFrame, corpus: DataFrame, k: int, *, lists: int = MESS
 
         return lists_of(F.col(column))
 
-    rows = corpus.filter("vector is not null").select("item_id", "vector", F.explode(nearest("vector", 1)).alias("list"))
-    asked = queries.filter("vector is not null").select("query_id", F.col("vector").alias("asked"), F.explode(nearest("vector", min(probes, len(centres)))).alias("list"))
+    rows = corpus.select("item_id", "vector", F.explode(nearest("vector", 1)).alias("list"))
+    asked = queries.select("query_id", F.col("vector").alias("asked"), F.explode(nearest("vector", min(probes, len(centres)))).alias("list"))
     found = rows.join(asked, "list").select("query_id", "item_id", cosine_similarity(F.col("asked"), F.col("vector")).alias("similarity")).filter("similarity is not null")
     return rank_neighbours(found, k)
 
