@@ -107,3 +107,34 @@ def mix(docs: DataFrame, levels: dict[str, Column], *, id_col: str = "doc_id", t
     # without a cut the whole rest fits, which only a leaf without tokens has
     copies = F.when(F.col("n_tokens") > 0, F.col("epochs") + part).otherwise(0).cast("long")
     return rows.select(id_col, *(F.col(f).alias(n) for f, n in zip(flat, names, strict=True)), *(F.col(f"__keep_{c}").alias(c) for c in keep or [] if c != id_col), "n_tokens", copies.alias("n_copies"))
+
+
+def mix_sql(levels: dict[str, str], *, weights: dict[str, dict[str, float]], budget_share: float, max_epochs: int, seed: int) -> str:
+    """DuckDB SQL of ``mix`` over ``documents``; ``levels`` gives each level's expression in SQL."""
+    names = list(levels)
+    parts = [
+        f"t AS (SELECT doc_id, {', '.join(f'coalesce(CAST({e} AS VARCHAR), {chr(39)}{_NONE}{chr(39)}) AS {n}' for n, e in levels.items())}, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS n_tokens FROM documents)",
+        f"leaves AS (SELECT {', '.join(names)}, sum(n_tokens) AS tokens FROM t GROUP BY ALL)",
+    ]
+    for depth, name in enumerate(names):
+        path, over = ", ".join(names[: depth + 1]), ", ".join(names[:depth]) or "1"
+        stated = weights.get(name) or {}
+        weight = f"coalesce(CASE {name} {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {float(v)}' for k, v in stated.items())} END, 1.0)" if stated else "1.0"
+        given = f"sum(cap) OVER () / {max_epochs} * {min(budget_share, max_epochs)}" if depth == 0 else "share"
+        source = f"c{depth}" if depth == 0 else f"c{depth} JOIN (SELECT {', '.join(names[:depth])}, share FROM s{depth - 1}) USING ({', '.join(names[:depth])})"
+        rest, held = f"sum(CASE WHEN whole THEN 0 ELSE weight END) OVER (PARTITION BY {over})", f"sum(CASE WHEN whole THEN can ELSE 0 END) OVER (PARTITION BY {over})"
+        order = f"PARTITION BY {over} ORDER BY ratio, {name}"
+        parts += [
+            f"c{depth} AS (SELECT {path}, CAST(sum(tokens) * {max_epochs} AS DOUBLE) AS cap, CAST({weight} AS DOUBLE) AS weight FROM leaves GROUP BY {path})",
+            f"g{depth} AS (SELECT {path}, cap, weight, {given} AS given, CASE WHEN weight > 0 THEN cap / weight ELSE CAST('infinity' AS DOUBLE) END AS ratio, CASE WHEN weight > 0 THEN cap ELSE 0.0 END AS can FROM {source})",
+            f"f{depth} AS (SELECT *, weight > 0 AND ratio * sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) + coalesce(sum(can) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= given AS whole FROM g{depth})",
+            f"s{depth} AS (SELECT {path}, CASE WHEN whole THEN can WHEN {rest} > 0 THEN least(can, greatest(0.0, given - {held}) * weight / {rest}) ELSE 0.0 END AS share FROM f{depth})",
+        ]
+    path = ", ".join(names)
+    parts += [
+        f"b AS (SELECT {path}, tokens, CAST(floor(share + 1e-6) AS BIGINT) AS share FROM leaves JOIN s{len(names) - 1} USING ({path}))",
+        f"e AS (SELECT {path}, CASE WHEN tokens > 0 THEN share // tokens ELSE 0 END AS epochs, CASE WHEN tokens > 0 THEN share % tokens ELSE share END AS rest FROM b)",
+        f"k AS (SELECT t.*, epochs, rest, md5(concat_ws(':', '{seed}', CAST(epochs AS VARCHAR), CAST(doc_id AS VARCHAR))) AS key FROM t JOIN e USING ({path}))",
+    ]
+    taken = f"sum(n_tokens) OVER (PARTITION BY {path} ORDER BY key) <= rest"
+    return f"WITH {', '.join(parts)} SELECT doc_id, {path}, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(CASE WHEN n_tokens > 0 THEN epochs + CASE WHEN {taken} THEN 1 ELSE 0 END ELSE 0 END AS BIGINT) AS n_copies FROM k"

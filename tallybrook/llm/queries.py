@@ -98,4 +98,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licences": licences.scan_sql()}
+    number = "TRY_CAST(nullif(regexp_extract(source, '[0-9]+$'), '') AS BIGINT)"
+    levels = {"domain": f"'d' || ({number} % 4)", "language": "lang", "origin": "source"}
+    return {"op1_licences": licences.scan_sql(), "op9_mixing": mixing.mix_sql(levels, weights=MIX_WEIGHTS, budget_share=0.6, max_epochs=4, seed=29)}
