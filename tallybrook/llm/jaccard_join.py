@@ -17,9 +17,10 @@ A document with H + 1 segments of its own can link to none and is dropped right
 Equal sets are one class from the start.  In a bucket of equal signatures a
 representative is compared first, so a large group of near copies becomes a component
 with as many comparisons as members.  What is left of a bucket (members of different
-components) is compared pairwise, but only where the tokens that no other candidate
-holds leave room for a link: this bound is exact and removes the quadratic part of
-groups whose members drifted apart.  Every reported link is checked on the words.
+components) is compared pairwise, but only where a link is still possible by two exact
+bounds: the tokens that no other candidate holds, and the segments that differ, each of
+which is a difference.  They remove the quadratic part of groups whose members drifted
+apart.  Every reported link is checked on the words.
 """
 
 from __future__ import annotations
@@ -206,7 +207,7 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     many = sum(c.startswith("sigs") for c in sketch.columns)
     every = None
     for x in range(many):
-        part = sketch.filter(f"id is not null and size(sigs{x}) > 0").select("id", F.lit(x).alias("w"), (F.col(f"need{x}") - F.size(f"sigs{x}")).alias("spare"), F.explode(f"sigs{x}").alias("sig"))
+        part = sketch.filter(f"id is not null and size(sigs{x}) > 0").select("id", F.lit(x).alias("w"), F.size(f"sigs{x}").alias("all"), (F.col(f"need{x}") - F.size(f"sigs{x}")).alias("spare"), F.explode(f"sigs{x}").alias("sig"))
         every = part if every is None else every.union(part)
     shared = every.groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1")
     own = Window.partitionBy("id", "w")
@@ -214,11 +215,12 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         every.join(shared, "sig")
         .withColumn("rank", F.row_number().over(own.orderBy("c", "sig")))
         .withColumn("met", F.count("*").over(own))
-        .filter("rank <= spare + met")
+        .filter("spare + met > 0")
         .join(classes.select(F.col("rep").alias("id"), F.col("n").alias("n")), "id")
-        .select("id", "n", "sig")
+        .select("id", "w", "n", "all", "spare", "sig", (F.col("rank") <= F.col("spare") + F.col("met")).alias("chosen"))
     )
-    probes = stored(chosen, "probes")
+    met = stored(chosen, "met")
+    probes = met.filter("chosen").select("id", "w", "n", "sig")
     busy = probes.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo != hi").select("sig")
     probes = stored(probes.join(busy, "sig", "left_semi"), "probes")
     wanted = probes.select("id").distinct()
@@ -249,10 +251,14 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     open_ = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("sig")
     left = stored(now.join(open_, "sig", "left_semi"), "probes")
     alone = _own_tokens(texts.join(left.select("id").distinct(), "id", "left_semi"), width)
-    left = left.join(alone, "id", "left").withColumn("held", F.col("n") - F.coalesce("own", F.lit(0))).filter(f"100 * held >= {percent} * n").select("id", "n", "sig", "comp", "held")
-    left = stored(left, "probes")
-    other = left.select("sig", F.col("id").alias("other"), F.col("n").alias("m"), F.col("comp").alias("with"), F.col("held").alias("rest"))
+    left = left.join(alone, "id", "left").withColumn("held", F.col("n") - F.coalesce("own", F.lit(0))).filter(f"100 * held >= {percent} * n")
+    # segments that two sets don't share each cost a difference: of all segments too many may differ, and a pair
+    # is taken in the least of the buckets that both have chosen
+    segments = met.join(left.select("id").distinct(), "id", "left_semi").groupBy("id", "w", "all", "spare").agg(F.collect_list("sig").alias("sigs"), F.collect_list(F.when(F.col("chosen"), F.col("sig"))).alias("picks"))
+    left = stored(left.join(segments, ["id", "w"]).select("id", "n", "sig", "comp", "held", "all", "spare", "sigs", "picks"), "probes")
+    other = left.select("sig", F.col("id").alias("other"), F.col("n").alias("m"), F.col("comp").alias("with"), F.col("held").alias("rest"), F.col("sigs").alias("theirs"), F.col("picks").alias("chosen"))
     room = f"{100 + percent} * least(held, rest) >= {percent} * (n + m)"
-    add(left.join(other, "sig").filter("id < other and comp != with").filter(fits).filter(room).select(F.col("id").alias("a"), F.col("other").alias("b")))
+    close = f"spare = 0 or {100 + percent} * (all - size(array_intersect(sigs, theirs))) <= {100 - percent} * (n + m)"
+    add(left.join(other, "sig").filter("id < other and comp != with").filter(fits).filter(room).filter(close).filter("sig = array_min(array_intersect(picks, chosen))").select(F.col("id").alias("a"), F.col("other").alias("b")))
     final = component.select(F.col("id").alias("rep"), F.col("component"))
     return named.join(final, "rep", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
