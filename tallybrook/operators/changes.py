@@ -40,6 +40,11 @@ def anti_insert(target: DataFrame, new: DataFrame, keys: list[str], order: list[
     return keyed.select(*new.columns).union(new.filter(~whole))
 
 
+def lookup_message(rows: DataFrame, messages: DataFrame, *, key: str = "message_id", known_only: bool = False) -> DataFrame:
+    """Rows with the message of their key; a miss has nulls, or is left out if ``known_only``. Messages are unique by id."""
+    return rows.join(messages.withColumnRenamed("message_id", key) if key != "message_id" else messages, key, "inner" if known_only else "left")
+
+
 def append_messages(log: DataFrame, new: DataFrame, order: str = "seq") -> DataFrame:
     """Messages of a batch that the log doesn't hold yet."""
     return anti_insert(log, new, ["message_id"], [order])

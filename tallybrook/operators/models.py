@@ -14,6 +14,7 @@ from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallybrook.sources import schemas
 
@@ -104,9 +105,10 @@ def classify_queries(queries: DataFrame, model: Scorer | None = None) -> DataFra
         group = F.when(low.rlike("статус|status"), "status").when(low.rlike("владел|owner"), "owner").when(low.rlike("команд|team"), "team")
         rows = queries.withColumn("kind", kind).withColumn("status", status).withColumn("days", number("дн|день|day")).withColumn("hours", number("час|hour")).withColumn("group_by", group)
     fine = F.coalesce(F.col("kind").isin(*schemas.INTENTS), F.lit(False)) & F.coalesce(F.col("days").between(1, 365), F.lit(True)) & F.coalesce(F.col("hours").between(1, 720), F.lit(True))
+    rows = rows.withColumn("__fine", fine)
     for c in ("status", "days", "hours", "group_by"):
-        rows = rows.withColumn(c, F.when(fine, F.col(c)))
-    return rows.withColumn("kind", F.when(fine, F.col("kind")).otherwise("search"))
+        rows = rows.withColumn(c, F.when(F.col("__fine"), F.col(c)))
+    return rows.withColumn("kind", F.when(F.col("__fine"), F.col("kind")).otherwise("search")).drop("__fine")
 
 
 def thread_summary(messages: DataFrame, changed: DataFrame, cached: DataFrame, *, lines: int = 5) -> DataFrame:
@@ -114,8 +116,6 @@ def thread_summary(messages: DataFrame, changed: DataFrame, cached: DataFrame, *
     summary is the first sentence of each of the last messages."""
     live = messages.filter(~F.col("is_deleted") & F.col("thread_id").isNotNull()).join(changed.select("thread_id").distinct(), "thread_id", "left_semi")
     first = F.trim(F.regexp_extract("text", r"^([^.!?\n]*[.!?]?)", 1))
-    from pyspark.sql.window import Window
-
     rank = F.row_number().over(Window.partitionBy("thread_id").orderBy(F.desc("created_at"), F.desc("message_id")))
     rows = live.withColumn("rank", rank)
     new = rows.groupBy("thread_id").agg(F.count("*").alias("n_messages"), F.array_sort(F.collect_list(F.when(F.col("rank") <= lines, F.struct((-F.col("rank")).alias("o"), first.alias("line"))))).alias("p"))

@@ -52,7 +52,7 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *, block_rows: int =
             items = items.sort_by("item_id")
             x, nx = _unit(items.column("vector"))
             y, ny = _unit(asked.column("vector"))
-            sims = (y @ x.T) / (ny[:, None] * nx[None, :])
+            sims = np.round((y @ x.T) / (ny[:, None] * nx[None, :]), 12)  # equal vectors are ties, whatever the order of sums
             for i in range(len(y)):
                 best = np.argsort(-sims[i], kind="stable")[:k]
                 got[0].append(np.full(len(best), i))

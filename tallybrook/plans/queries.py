@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tallybrook.functions import values as fv
 from tallybrook.operators import analytics as an
@@ -405,8 +406,6 @@ _MV = """, MV AS (SELECT message_id, embedding::DOUBLE[] AS v, is_deleted FROM (
 def _message_vectors(s, d) -> DataFrame:
     """Message vectors: message number modulo the number of vectors; numbers by thread and turn without a global sort."""
     m = fr.messages(s, d)
-    from pyspark.sql.window import Window
-
     sizes = m.groupBy("thread_id").agg(F.count("*").alias("n"))
     starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("thread_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("thread_id", "start")
     i = F.col("start") + F.row_number().over(Window.partitionBy("thread_id").orderBy("turn")) - 1
@@ -476,9 +475,160 @@ def cosine_similarity(s, d):
     return v.join(other, F.floor(F.col("vec_id") / 2) == F.col("half")).select("vec_id", F.round(fv.cosine_similarity(F.col("embedding"), F.col("other")), 6).alias("similarity"))
 
 
+# More of resolution and retrieval
+
+
+@_query(with_("R", "S") + " SELECT action, count(*) AS n, count(message_id) AS n_found, count(*) FILTER (S.is_deleted) AS n_deleted FROM R LEFT JOIN (SELECT * FROM S WHERE message_id % 3 <> 0) AS S ON message_id = source_message_id GROUP BY 1")
+def lookup_message(s, d):
+    known = fr.sources(s, d).filter("message_id % 3 != 0").withColumn("found", F.lit(1))
+    rows = ch.lookup_message(fr.revisions(s, d), known, key="source_message_id")
+    return rows.groupBy("action").agg(F.count("*").alias("n"), F.count("found").alias("n_found"), F.count_if("is_deleted").alias("n_deleted"))
+
+
+@_query(with_("E") + f" SELECT coalesce(owner_name, '{fv.NOT_STATED}') AS label, count(*) AS n FROM E WHERE {_LIVE_SQL} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+def top_groups(s, d):
+    return an.top_groups(an.group_count(fr.entities(s, d), "owner"))
+
+
+@_query("SELECT DISTINCT 'u' || conv_id AS user_id, 's' || (conv_id % 10) AS space_id, CASE WHEN conv_id % 2 = 0 THEN 'told ' || conv_id ELSE '' END AS running_summary, CAST(CASE WHEN conv_id % 2 = 0 THEN conv_id ELSE 0 END AS INTEGER) AS turns_count FROM conversations")
+def get_or_create_dialog(s, d):
+    asked = fr.read(s, d, "conversations").select(F.concat(F.lit("u"), F.col("conv_id").cast("string")).alias("user_id"), F.concat(F.lit("s"), (F.col("conv_id") % 10).cast("string")).alias("space_id"), "conv_id")
+    known = asked.filter("conv_id % 2 = 0").distinct().select("user_id", "space_id", F.concat(F.lit("told "), F.col("conv_id").cast("string")).alias("running_summary"), F.array().cast(schemas.TURNS_DDL).alias("recent_turns"), F.col("conv_id").cast("int").alias("turns_count"))
+    return dl.get_or_create_dialog(known, asked).drop("recent_turns")
+
+
+@_query("SELECT event_id, coalesce(nullif(CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN 'ref ' || user_id END, ''), CASE WHEN event_id % 4 <> 0 THEN props END) AS ref FROM events WHERE event_type <> 'view' AND coalesce(nullif(CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN 'ref ' || user_id END, ''), CASE WHEN event_id % 4 <> 0 THEN props END) IS NOT NULL")
+def reference_key(s, d):
+    e = fr.read(s, d, "events")
+    ref = F.when(F.col("event_id") % 3 == 0, "").when(F.col("event_id") % 3 == 1, F.concat(F.lit("ref "), F.col("user_id").cast("string")))
+    fields = F.when(F.col("event_id") % 4 != 0, F.create_map(F.lit("title"), F.col("props"))).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    records = e.select("event_id", F.when(F.col("event_type") == "view", "none").otherwise("update").alias("action"), ref.alias("entity_ref"), fields.alias("fields"))
+    return rs.reference_key(records).select("event_id", "ref")
+
+
+_OPEN = with_("V", "E", "EV") + """, P AS (SELECT q.vec_id AS query_id, entity_id AS item_id, range_max, list_cosine_similarity(q.v, embedding) AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.v, embedding), 12) DESC, entity_id) AS rank,
+    max(list_cosine_similarity(q.v, embedding)) OVER (PARTITION BY q.vec_id) AS best, CASE q.vec_id % 3 WHEN 0 THEN 'create' WHEN 1 THEN 'update' ELSE 'close' END AS action FROM V AS q JOIN EV ON q.vec_id BETWEEN 20 AND 39 AND NOT is_deleted AND status <> 'closed' AND entity_id % 500 > 40)"""
+
+
+def _open_entities(s, d) -> DataFrame:
+    return fr.entities(s, d, vectors=True).filter("entity_id % 500 > 40")
+
+
+def _records(s, d) -> DataFrame:
+    v = fr.read(s, d, "embeddings").filter("vec_id between 20 and 39")
+    return v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")).withColumn("action", _action())
+
+
+@_query(_OPEN + _KNN_OUT + "rank <= 3")
+def open_context(s, d):
+    return _near(rs.open_context(_records(s, d), _open_entities(s, d)))
+
+
+@_query(_OPEN + _KNN_OUT + "rank <= 5 AND (sim > 0.33 OR (best <= 0.33 AND action <> 'create'))")
+def find_candidates(s, d):
+    return _near(rs.find_candidates(_records(s, d), _open_entities(s, d), threshold=0.33))
+
+
+@_query(_OPEN + ", F AS (SELECT query_id, item_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, item_id) AS rank FROM P WHERE rank <= 30 AND (range_max IS NULL OR range_max >= 50000)) SELECT query_id, item_id, round(sim, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM F WHERE rank <= 3")
+def profile_match(s, d):
+    return _near(rt.profile_match(_records(s, d).withColumn("wanted", F.lit(50000.0)), _open_entities(s, d)))
+
+
+@_query(_KNN + " SELECT query_id, item_id, round(sim * 0.7 + CASE WHEN query_id % 5 = item_id % 5 THEN 0.15 ELSE 0 END + CASE WHEN query_id % 2 = item_id % 2 THEN 0.1 ELSE 0 END + 0.05 * exp(-abs(item_id - query_id) / 24.0), 6) AS score FROM P WHERE rank <= 5")
+def match_score(s, d):
+    near = vc.knn_join(*_vectors(s, d), 5)
+    score = rs.match_score(F.col("similarity"), F.col("query_id") % 5 == F.col("item_id") % 5, F.col("query_id") % 2 == F.col("item_id") % 2, F.col("item_id") - F.col("query_id"))
+    return near.select("query_id", "item_id", F.round(score, 6).alias("score"))
+
+
+def _decided(s, d) -> DataFrame:
+    """Decisions over synthetic matches: one record an event."""
+    e = fr.read(s, d, "events")
+    action = F.when(F.col("event_type").isin("signup", "view"), "create").when(F.col("event_type") == "error", "close").otherwise("update")
+    match = F.when(F.col("event_id") % 4 != 0, F.col("event_id") % 1000)
+    rows = e.withColumn("x", rs.decide_action(action, F.lit(1), match, F.col("value") / 20))
+    return rows.select(F.col("event_id").alias("source_message_id"), "x.effective", "x.target_id", F.create_map(F.lit("amount"), F.col("value").cast("string")).alias("fields"), (F.col("value") / 20).alias("confidence"))
+
+
+_DEC = """WITH D AS (SELECT event_id, value / 20 AS c, CASE WHEN event_type IN ('signup', 'view') THEN 'create' WHEN event_type = 'error' THEN 'close' ELSE 'update' END AS action, CASE WHEN event_id % 4 <> 0 THEN event_id % 1000 END AS m, value FROM events),
+    X AS (SELECT *, CASE WHEN m IS NOT NULL AND c >= 0.6 THEN CASE WHEN action = 'create' THEN 'update' ELSE action END WHEN m IS NOT NULL THEN 'pending' WHEN action = 'create' THEN 'insert' ELSE 'unmatched' END AS effective FROM D)"""
+
+
+@_query(_DEC + " SELECT CASE WHEN m >= 900 THEN 'unmatched' ELSE effective END AS part, CASE WHEN m >= 900 THEN 'unknown entity' WHEN effective = 'unmatched' THEN 'no match' END AS reason, count(*) AS n FROM X GROUP BY 1, 2")
+def split_decisions(s, d):
+    known = s.range(900).withColumnRenamed("id", "entity_id")
+    out = None
+    for part in rs.split_decisions(_decided(s, d), known).values():
+        part = part.select(F.col("effective").alias("part"), "reason")
+        out = part if out is None else out.union(part)
+    return out.groupBy("part", "reason").agg(F.count("*").alias("n"))
+
+
+@_query(_DEC + """ SELECT m AS entity_id, event_id AS source_message_id, '{"amount":"' || value || '"}' AS new_value FROM X WHERE effective = 'pending'""")
+def pending_review(s, d):
+    return rs.pending_review(_decided(s, d)).select("entity_id", "source_message_id", "new_value")
+
+
+@_query(_DEC + " SELECT event_id AS source_message_id, 'no match' AS reason FROM X WHERE effective = 'unmatched'")
+def unmatched_log(s, d):
+    return rs.unmatched_log(_decided(s, d)).select("source_message_id", "reason")
+
+
+@_query(with_("M") + " SELECT count(*) AS n, count(*) FILTER (turn % 3 = 0) AS waiting, quantile_disc(turn * 7, 0.5) FILTER (turn % 3 <> 0) AS p50, quantile_disc(turn * 7, 0.95) FILTER (turn % 3 <> 0) AS p95 FROM M")
+def stage_lag(s, d):
+    m = fr.messages(s, d).withColumn("received_at", F.col("created_at"))
+    v = m.filter("turn % 3 != 0").select("message_id", (F.col("received_at") + F.make_interval(secs=F.col("turn") * 7)).alias("embedded_at"))
+    return md.stage_lag(m, v)
+
+
+_FIRST = "trim(regexp_extract(text, '^([^.!?\\n]*[.!?]?)', 1))"
+
+
+@_query(with_("M") + f""", T AS (SELECT *, count(*) OVER (PARTITION BY thread_id) AS n, row_number() OVER (PARTITION BY thread_id ORDER BY turn) AS i FROM M), L AS (SELECT thread_id, {_FIRST} AS line, min(turn) AS t FROM T WHERE n >= 4 AND i <= n - 2 GROUP BY 1, 2 HAVING line <> '')
+    SELECT thread_id, CAST(CASE WHEN n >= 4 THEN 2 ELSE n END AS INTEGER) AS kept, coalesce(s, '') AS summary FROM (SELECT thread_id, count(*) AS n FROM M GROUP BY 1) LEFT JOIN (SELECT thread_id, string_agg(line, chr(10) ORDER BY t) AS s FROM L GROUP BY 1) USING (thread_id)""")
+def summarise_turns(s, d):
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.col("author_name").alias("role"), "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"), F.lit(None).cast("string").alias("ts")))
+    dialogs = fr.messages(s, d).groupBy("thread_id").agg(turns.alias("recent_turns")).withColumn("running_summary", F.lit(""))
+    return dl.compact(dialogs, max_turns=4, keep=2).select("thread_id", F.size("recent_turns").alias("kept"), F.col("running_summary").alias("summary"))
+
+
+@_query("""SELECT conv_id, turn, CASE WHEN fine THEN CASE conv_id % 4 WHEN 0 THEN 'count' WHEN 1 THEN 'list_recent' WHEN 2 THEN 'chart' ELSE 'search' END ELSE 'search' END AS kind, CASE WHEN fine THEN CASE WHEN conv_id % 4 = 3 THEN 'any' ELSE 'open' END END AS status,
+    CAST(CASE WHEN fine AND conv_id % 4 <> 3 THEN turn * 100 END AS INTEGER) AS days, CASE WHEN fine AND conv_id % 4 = 2 THEN 'team' END AS group_by FROM (SELECT *, conv_id % 4 = 3 OR turn * 100 BETWEEN 1 AND 365 AS fine FROM conversations)""")
+def classify_queries(s, d):
+    days = F.concat((F.col("turn") * 100).cast("string"), F.lit(" days"))
+    k = F.col("conv_id") % 4
+    text = F.when(k == 0, F.concat(F.lit("How many open entities in "), days)).when(k == 1, F.concat(F.lit("List open ones of "), days)).when(k == 2, F.concat(F.lit("Chart per team, open, "), days)).otherwise("hello")
+    return md.classify_queries(fr.read(s, d, "conversations").select("conv_id", "turn", text.alias("text"))).select("conv_id", "turn", "kind", "status", "days", "group_by")
+
+
+@_query(with_("U") + """ SELECT key AS entity_id, CAST(arg_max_null(amount, seq) FILTER (has) AS INTEGER) AS range_max, CASE WHEN count(*) FILTER (action = 'close') > 0 THEN 'closed' ELSE 'open' END AS status, 'RUB' AS currency, CAST(max(seq) AS VARCHAR) AS last_message_id
+    FROM (SELECT key, seq, action, has, CASE WHEN amount IS NOT NULL THEN CAST(floor(CAST(amount AS DOUBLE)) AS BIGINT) END AS amount FROM U) GROUP BY 1""")
+def write_entities(s, d):
+    u = fr.updates(s, d)
+    amount = F.floor(F.col("fields")["amount"].cast("double")).cast("string")
+    fields = F.when(F.map_contains_key("fields", "amount"), F.create_map(F.lit("salary_max"), amount)).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    rows = u.select(F.col("key").alias("entity_id"), "seq", "action", fields.alias("fields"), F.array(F.lit(1.0).cast("float")).alias("embedding"), F.col("seq").cast("string").alias("last_message_id"), F.lit(0.9).alias("confidence"), F.timestamp_seconds("seq").alias("at"))
+    return rv.write_entities(s.createDataFrame([], schemas.ENTITIES_DDL), rows).select("entity_id", "range_max", "status", "currency", "last_message_id")
+
+
 # Models: rows only, no SQL
 
 
+@_query()
+def replace_vectors(s, d):
+    m = fr.messages(s, d)
+    empty = s.createDataFrame([], "message_id string, embedding array<float>, model string")
+    edited = m.filter("turn = 1").select("message_id", F.upper("text").alias("text"))
+    return ch.replace_vectors(ch.write_vectors(empty, m, md.embed_text, "hashed-64"), edited, md.embed_text, "hashed-64").select("message_id", F.size("embedding").alias("size"), "model")
+
+
+@_query()
+def embed_incremental(s, d):
+    seen = fr.messages(s, d).filter("turn = 0").select(F.sha2("text", 256).alias("digest"), F.lit("hashed-64").alias("model"))
+    return ch.embed_incremental(seen, fr.messages(s, d), md.embed_text, "hashed-64").select("digest", F.size("embedding").alias("size"), "model")
+
+
+
 @_query()
 def ann_join(s, d):
     q, c = _vectors(s, d)
