@@ -338,30 +338,32 @@ def context_choice(s, d):
     return rows.select("message_id", F.array_join("prefilter_context", ",").alias("prefilter"), F.array_join("extract_context", ",").alias("extract"))
 
 
-@_query(with_("M") + """, K AS (SELECT a.message_id, b.message_id AS o, row_number() OVER (PARTITION BY a.message_id ORDER BY b.created_at DESC, b.message_id DESC) AS r FROM M AS a JOIN M AS b ON a.space_id = b.space_id AND a.message_id <> b.message_id WHERE a.turn = 1)
+@_query(with_("M") + """, K AS (SELECT a.message_id, b.message_id AS o, row_number() OVER (PARTITION BY a.message_id ORDER BY b.created_at DESC, b.message_id DESC) AS r FROM M AS a JOIN M AS b ON a.space_id = b.space_id AND a.message_id <> b.message_id)
     SELECT message_id, string_agg(o, ',' ORDER BY r DESC) AS context FROM K WHERE r <= 7 GROUP BY 1""")
 def context_as_of(s, d):
     m = fr.messages(s, d)
-    rows = cx.context_as_of(m.filter("turn = 1"), m, "space_id")
+    rows = cx.context_as_of(m, m, "space_id")
     return rows.filter("context is not null").select("message_id", F.array_join(F.transform("context", lambda x: x["id"]), ",").alias("context"))
 
 
-@_query(with_("M") + " SELECT message_id FROM M WHERE thread_id IN (SELECT thread_id FROM M WHERE turn = 6)")
+@_query(with_("M") + " SELECT message_id FROM M WHERE thread_id IN (SELECT thread_id FROM M WHERE is_deleted)")
 def thread_expand(s, d):
     m = fr.messages(s, d)
-    return cx.thread_expand(m.filter("turn = 6"), m).select("message_id")
+    return cx.thread_expand(m.filter("is_deleted"), m).select("message_id")
 
 
 # Vectors
 
 
-def _vectors(s, d) -> tuple[DataFrame, DataFrame]:
+def _vectors(s, d, *, all_rows: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The stated query set, ids divisible by 50, and the rows that aren't queries, or all rows."""
     v = fr.read(s, d, "embeddings")
-    return v.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), v.filter("vec_id >= 20").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    items = v if all_rows else v.filter("vec_id % 50 != 0")
+    return v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), items.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
 
 
-_KNN = with_("V") + """, P AS (SELECT q.vec_id AS query_id, c.vec_id AS item_id, list_cosine_similarity(q.v, c.v) AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.v, c.v) DESC, c.vec_id) AS rank,
-    max(list_cosine_similarity(q.v, c.v)) OVER (PARTITION BY q.vec_id) AS best, CASE q.vec_id % 3 WHEN 0 THEN 'create' WHEN 1 THEN 'update' ELSE 'close' END AS action FROM V AS q JOIN V AS c ON q.vec_id < 20 AND c.vec_id >= 20)"""
+_KNN = with_("V") + """, P AS (SELECT q.vec_id AS query_id, c.vec_id AS item_id, list_cosine_similarity(q.v, c.v) AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.v, c.v), 12) DESC, c.vec_id) AS rank,
+    max(list_cosine_similarity(q.v, c.v)) OVER (PARTITION BY q.vec_id) AS best, CASE q.vec_id % 3 WHEN 0 THEN 'create' WHEN 1 THEN 'update' ELSE 'close' END AS action FROM V AS q JOIN V AS c ON q.vec_id % 50 = 0 AND c.vec_id % 50 <> 0)"""
 _KNN_OUT = " SELECT query_id, item_id, round(sim, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM P WHERE "
 
 
@@ -369,9 +371,9 @@ def _near(frame: DataFrame) -> DataFrame:
     return frame.select("query_id", "item_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
-@_query(_KNN + _KNN_OUT + "rank <= 8")
+@_query(_KNN.replace(" AND c.vec_id % 50 <> 0", "") + _KNN_OUT + "rank <= 8")
 def knn_join(s, d):
-    return _near(vc.knn_join(*_vectors(s, d), 8))
+    return _near(vc.knn_join(*_vectors(s, d, all_rows=True), 8))
 
 
 @_query(_KNN + _KNN_OUT + "rank <= 5 AND sim > 0.3")
@@ -391,7 +393,7 @@ def knn_with_fallback(s, d):
 
 @_query(_KNN + """, B AS (SELECT query_id, action, count(*) AS n, arg_max(item_id, sim) AS match_id, max(sim) AS c FROM P WHERE rank <= 5 AND (sim > 0.35 OR (best <= 0.35 AND action <> 'create')) GROUP BY ALL)
     SELECT V.vec_id AS query_id, CASE WHEN match_id IS NOT NULL AND c >= 0.38 THEN CASE WHEN a = 'create' THEN 'update' ELSE a END WHEN match_id IS NOT NULL THEN 'pending' WHEN a = 'create' THEN 'insert' ELSE 'unmatched' END AS effective, match_id AS target_id
-    FROM (SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN 'create' WHEN 1 THEN 'update' ELSE 'close' END AS a FROM V WHERE vec_id < 20) AS V LEFT JOIN B ON B.query_id = V.vec_id""")
+    FROM (SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN 'create' WHEN 1 THEN 'update' ELSE 'close' END AS a FROM V WHERE vec_id % 50 = 0) AS V LEFT JOIN B ON B.query_id = V.vec_id""")
 def decide_action(s, d):
     q, c = _vectors(s, d)
     q = q.withColumn("action", _action())
@@ -414,18 +416,18 @@ def _message_vectors(s, d) -> DataFrame:
     return m.join(starts, "thread_id").withColumn("i", i).join(many).withColumn("vec_id", F.col("i") % F.col("many")).join(v, "vec_id").select("message_id", "embedding")
 
 
-@_query(with_("V", "M") + _MV + ", P AS (SELECT q.vec_id AS query_id, message_id AS item_id, list_cosine_similarity(q.v, MV.v) AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.v, MV.v) DESC, message_id) AS rank FROM V AS q JOIN MV ON q.vec_id < 20 AND NOT is_deleted)" + _KNN_OUT + "rank <= 8")
+@_query(with_("V", "M") + _MV + ", P AS (SELECT q.vec_id AS query_id, message_id AS item_id, list_cosine_similarity(q.v, MV.v) AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.v, MV.v), 12) DESC, message_id) AS rank FROM V AS q JOIN MV ON q.vec_id % 50 = 0 AND NOT is_deleted)" + _KNN_OUT + "rank <= 8")
 def retrieve_messages(s, d):
     return _near(rt.retrieve_messages(_vectors(s, d)[0], _message_vectors(s, d), fr.messages(s, d)))
 
 
-@_query(with_("V", "E", "EV") + ", P AS (SELECT q.vec_id AS query_id, entity_id AS item_id, list_cosine_similarity(q.v, embedding) AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.v, embedding) DESC, entity_id) AS rank FROM V AS q JOIN EV ON q.vec_id < 20 AND NOT is_deleted)" + _KNN_OUT + "rank <= 3")
+@_query(with_("V", "E", "EV") + ", P AS (SELECT q.vec_id AS query_id, entity_id AS item_id, list_cosine_similarity(q.v, embedding) AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.v, embedding), 12) DESC, entity_id) AS rank FROM V AS q JOIN EV ON q.vec_id % 50 = 0 AND NOT is_deleted)" + _KNN_OUT + "rank <= 3")
 def retrieve_entities(s, d):
     return _near(rt.retrieve_entities(_vectors(s, d)[0], fr.entities(s, d, vectors=True)))
 
 
 _CONTEXT = with_("E", "M", "Q") + _ASK.format(period=_ALWAYS) + f""", L AS (SELECT query_id, string_agg('- ' || title || ' [' || status || ']', chr(10) ORDER BY rank) AS text FROM ({_RANGES_SQL.replace("entity_id FROM A", "entity_id, title, status FROM A").replace("rank <= 15", "rank <= 3")}) GROUP BY 1),
-    T AS (SELECT conv_id AS query_id, string_agg('[' || author_name || ' (' || strftime(created_at, '%Y-%m-%d %H:%M') || ')]: ' || text, chr(10) ORDER BY turn) AS text FROM (SELECT thread_id AS conv_id, * FROM M) WHERE NOT is_deleted AND turn < 3 GROUP BY 1)
+    T AS (SELECT conv_id AS query_id, string_agg('[' || author_name || ' (' || strftime(created_at, '%Y-%m-%d %H:%M') || ')]: ' || text, chr(10) ORDER BY turn) AS text FROM (SELECT thread_id AS conv_id, * FROM M) WHERE NOT is_deleted GROUP BY 1)
     SELECT query_id, concat_ws(chr(10) || chr(10), '{rt.MEMORY}' || chr(10) || '{rt.NO_MEMORY}', '{rt.ENTITIES}' || chr(10) || coalesce(L.text, '{rt.NO_ENTITIES}'), '{rt.MESSAGES}' || chr(10) || coalesce(T.text, '{rt.NO_MESSAGES}')) AS context FROM Q LEFT JOIN L USING (query_id) LEFT JOIN T USING (query_id)"""
 
 
@@ -434,7 +436,7 @@ def build_context(s, d):
     q, e = fr.questions(s), fr.entities(s, d)
     top = an.answer_ranges(q, e, as_of(), 3).join(e.select("entity_id", "title", "status", "range_min", "range_max", "currency", "team", "created_at"), "entity_id")
     line = fv.format_entity_line(*(F.col(c) for c in ("title", "status", "range_min", "range_max", "currency", "team", "created_at")), variant="prompt")
-    m = fr.messages(s, d).filter(~F.col("is_deleted") & (F.col("turn") < 3)).withColumn("query_id", F.col("thread_id").cast("int"))
+    m = fr.messages(s, d).filter(~F.col("is_deleted")).withColumn("query_id", F.col("thread_id").cast("int"))
     said = rt.assemble_lists(m, "query_id", ["turn"], fv.format_message_line(F.col("author_name"), F.col("created_at"), F.col("text")))
     return rt.build_context(q, said.limit(0), rt.assemble_lists(top, "query_id", ["rank"], line), said)
 
@@ -507,31 +509,27 @@ def reference_key(s, d):
 
 
 _OPEN = with_("V", "E", "EV") + """, P AS (SELECT q.vec_id AS query_id, entity_id AS item_id, range_max, list_cosine_similarity(q.v, embedding) AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.v, embedding), 12) DESC, entity_id) AS rank,
-    max(list_cosine_similarity(q.v, embedding)) OVER (PARTITION BY q.vec_id) AS best, CASE q.vec_id % 3 WHEN 0 THEN 'create' WHEN 1 THEN 'update' ELSE 'close' END AS action FROM V AS q JOIN EV ON q.vec_id BETWEEN 20 AND 39 AND NOT is_deleted AND status <> 'closed' AND entity_id % 500 > 40)"""
-
-
-def _open_entities(s, d) -> DataFrame:
-    return fr.entities(s, d, vectors=True).filter("entity_id % 500 > 40")
+    max(list_cosine_similarity(q.v, embedding)) OVER (PARTITION BY q.vec_id) AS best, CASE q.vec_id % 3 WHEN 0 THEN 'create' WHEN 1 THEN 'update' ELSE 'close' END AS action FROM V AS q JOIN EV ON q.vec_id % 50 = 0 AND NOT is_deleted AND status <> 'closed')"""
 
 
 def _records(s, d) -> DataFrame:
-    v = fr.read(s, d, "embeddings").filter("vec_id between 20 and 39")
+    v = fr.read(s, d, "embeddings").filter("vec_id % 50 = 0")
     return v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")).withColumn("action", _action())
 
 
 @_query(_OPEN + _KNN_OUT + "rank <= 3")
 def open_context(s, d):
-    return _near(rs.open_context(_records(s, d), _open_entities(s, d)))
+    return _near(rs.open_context(_records(s, d), fr.entities(s, d, vectors=True)))
 
 
 @_query(_OPEN + _KNN_OUT + "rank <= 5 AND (sim > 0.33 OR (best <= 0.33 AND action <> 'create'))")
 def find_candidates(s, d):
-    return _near(rs.find_candidates(_records(s, d), _open_entities(s, d), threshold=0.33))
+    return _near(rs.find_candidates(_records(s, d), fr.entities(s, d, vectors=True), threshold=0.33))
 
 
 @_query(_OPEN + ", F AS (SELECT query_id, item_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, item_id) AS rank FROM P WHERE rank <= 30 AND (range_max IS NULL OR range_max >= 50000)) SELECT query_id, item_id, round(sim, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM F WHERE rank <= 3")
 def profile_match(s, d):
-    return _near(rt.profile_match(_records(s, d).withColumn("wanted", F.lit(50000.0)), _open_entities(s, d)))
+    return _near(rt.profile_match(_records(s, d).withColumn("wanted", F.lit(50000.0)), fr.entities(s, d, vectors=True)))
 
 
 @_query(_KNN + " SELECT query_id, item_id, round(sim * 0.7 + CASE WHEN query_id % 5 = item_id % 5 THEN 0.15 ELSE 0 END + CASE WHEN query_id % 2 = item_id % 2 THEN 0.1 ELSE 0 END + 0.05 * exp(-abs(item_id - query_id) / 24.0), 6) AS score FROM P WHERE rank <= 5")
@@ -618,13 +616,13 @@ def write_entities(s, d):
 def replace_vectors(s, d):
     m = fr.messages(s, d)
     empty = s.createDataFrame([], "message_id string, embedding array<float>, model string")
-    edited = m.filter("turn = 1").select("message_id", F.upper("text").alias("text"))
+    edited = m.filter("author_name = 'user'").select("message_id", F.upper("text").alias("text"))
     return ch.replace_vectors(ch.write_vectors(empty, m, md.embed_text, "hashed-64"), edited, md.embed_text, "hashed-64").select("message_id", F.size("embedding").alias("size"), "model")
 
 
 @_query()
 def embed_incremental(s, d):
-    seen = fr.messages(s, d).filter("turn = 0").select(F.sha2("text", 256).alias("digest"), F.lit("hashed-64").alias("model"))
+    seen = fr.messages(s, d).filter("author_name = 'system'").select(F.sha2("text", 256).alias("digest"), F.lit("hashed-64").alias("model"))
     return ch.embed_incremental(seen, fr.messages(s, d), md.embed_text, "hashed-64").select("digest", F.size("embedding").alias("size"), "model")
 
 
