@@ -19,7 +19,7 @@ representative is compared first, so a large group of near copies becomes a comp
 with as many comparisons as members.  What is left of a bucket (members of different
 components) is compared pairwise, but only where a link is still possible by two exact
 bounds: the tokens that no other candidate holds, and the segments that differ, each of
-which is a difference.  They remove the quadratic part of groups whose members drifted
+which is a difference, first those at hand and then four times as many.  They remove the quadratic part of groups whose members drifted
 apart.  Every reported link is checked on the words.
 """
 
@@ -191,6 +191,25 @@ def _own_tokens(texts: DataFrame, width: int) -> DataFrame:
     return alone.groupBy("id").agg(F.count("*").alias("own"))
 
 
+def _fine_segments(texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """(id, w, fine): 32-bit signatures of four times as many segments as a band needs, in order."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(percent)
+        for block in blocks(batches, "text"):
+            ids, ws, fine = [], [], []
+            for key, tokens in zip(block.column("id").to_pylist(), token_sets(block.column("text"), width), strict=True):
+                for w, band in enumerate(bands.of(len(tokens)) if len(tokens) else []):
+                    many = 4 * (bands.most_apart(bands.low[band + 1] - 1) + 1)
+                    ids.append(key)
+                    ws.append(w)
+                    fine.append(signatures(tokens, band + 512, many, False).astype(np.uint32).view(np.int32))
+            at = np.concatenate([[0], np.cumsum([len(f) for f in fine])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ws, pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int32), *fine])))], names=["id", "w", "fine"])
+
+    return texts.select("id", "text").mapInArrow(task, "id long, w int, fine array<int>")
+
+
 def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 90, width: int = 3, star_rounds: int = 2) -> DataFrame:
     """Per row: id, n_shingles (set size), component_id (smallest id reachable by links, itself included).
 
@@ -202,6 +221,7 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     sketch = stored(_sketches(rows, "long", percent, width), "sketches")
     classes = sketch.filter("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
+    classes = stored(classes, "classes")  # read twice; and joined rows of one large class can then be split
     named = sketch.select("id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
 
     many = sum(c.startswith("sigs") for c in sketch.columns)
@@ -240,8 +260,9 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         pairs = stored(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         good = stored(_verified(pairs, texts, percent, width), "links")
         done = pairs if done is None else done.union(pairs)
-        links = good if links is None else links.union(good)
-        component = connected(links)
+        if component is None or not good.isEmpty():
+            links = good if links is None else links.union(good)
+            component = connected(links)
 
     for turn in range(star_rounds):
         now = labelled()
@@ -253,12 +274,14 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     alone = _own_tokens(texts.join(left.select("id").distinct(), "id", "left_semi"), width)
     left = left.join(alone, "id", "left").withColumn("held", F.col("n") - F.coalesce("own", F.lit(0))).filter(f"100 * held >= {percent} * n")
     # segments that two sets don't share each cost a difference: of all segments too many may differ, and a pair
-    # is taken in the least of the buckets that both have chosen
+    # is taken in the least of the buckets that both have chosen; finer segments sharpen the same bound
     segments = met.join(left.select("id").distinct(), "id", "left_semi").groupBy("id", "w", "all", "spare").agg(F.collect_list("sig").alias("sigs"), F.collect_list(F.when(F.col("chosen"), F.col("sig"))).alias("picks"))
-    left = stored(left.join(segments, ["id", "w"]).select("id", "n", "sig", "comp", "held", "all", "spare", "sigs", "picks"), "probes")
-    other = left.select("sig", F.col("id").alias("other"), F.col("n").alias("m"), F.col("comp").alias("with"), F.col("held").alias("rest"), F.col("sigs").alias("theirs"), F.col("picks").alias("chosen"))
+    fine = _fine_segments(texts.join(left.select("id").distinct(), "id", "left_semi"), percent, width)
+    left = stored(left.join(segments, ["id", "w"]).join(fine, ["id", "w"]).select("id", "n", "sig", "comp", "held", "all", "spare", "sigs", "picks", "fine"), "probes")
+    other = left.select("sig", F.col("id").alias("other"), F.col("n").alias("m"), F.col("comp").alias("with"), F.col("held").alias("rest"), F.col("sigs").alias("theirs"), F.col("picks").alias("chosen"), F.col("fine").alias("finer"))
     room = f"{100 + percent} * least(held, rest) >= {percent} * (n + m)"
     close = f"spare = 0 or {100 + percent} * (all - size(array_intersect(sigs, theirs))) <= {100 - percent} * (n + m)"
-    add(left.join(other, "sig").filter("id < other and comp != with").filter(fits).filter(room).filter(close).filter("sig = array_min(array_intersect(picks, chosen))").select(F.col("id").alias("a"), F.col("other").alias("b")))
+    closer = f"{100 + percent} * size(filter(zip_with(fine, finer, (x, y) -> x != y), b -> b)) <= {100 - percent} * (n + m)"
+    add(left.join(other, "sig").filter("id < other and comp != with").filter(fits).filter(room).filter(close).filter("sig = array_min(array_intersect(picks, chosen))").filter(closer).select(F.col("id").alias("a"), F.col("other").alias("b")))
     final = component.select(F.col("id").alias("rep"), F.col("component"))
     return named.join(final, "rep", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
