@@ -19,7 +19,7 @@ representative is compared first, so a large group of near copies becomes a comp
 with as many comparisons as members.  What is left of a bucket (members of different
 components) is compared pairwise, but only where a link is still possible by two exact
 bounds: the tokens that no other candidate holds, and the segments that differ, each of
-which is a difference, first those at hand and then four times as many.  They remove the quadratic part of groups whose members drifted
+which is a difference, of twice as many as a band needs.  They remove the quadratic part of groups whose members drifted
 apart.  Every reported link is checked on the words.
 """
 
@@ -192,7 +192,7 @@ def _own_tokens(texts: DataFrame, width: int) -> DataFrame:
 
 
 def _fine_segments(texts: DataFrame, percent: int, width: int) -> DataFrame:
-    """(id, w, fine): 32-bit signatures of four times as many segments as a band needs, in order."""
+    """(id, w, fine): 32-bit signatures of twice as many segments as a band needs, in order."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
@@ -200,7 +200,7 @@ def _fine_segments(texts: DataFrame, percent: int, width: int) -> DataFrame:
             ids, ws, fine = [], [], []
             for key, tokens in zip(block.column("id").to_pylist(), token_sets(block.column("text"), width), strict=True):
                 for w, band in enumerate(bands.of(len(tokens)) if len(tokens) else []):
-                    many = 4 * (bands.most_apart(bands.low[band + 1] - 1) + 1)
+                    many = 2 * (bands.most_apart(bands.low[band + 1] - 1) + 1)
                     ids.append(key)
                     ws.append(w)
                     fine.append(signatures(tokens, band + 512, many, False).astype(np.uint32).view(np.int32))
@@ -227,7 +227,7 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     many = sum(c.startswith("sigs") for c in sketch.columns)
     every = None
     for x in range(many):
-        part = sketch.filter(f"id is not null and size(sigs{x}) > 0").select("id", F.lit(x).alias("w"), F.size(f"sigs{x}").alias("all"), (F.col(f"need{x}") - F.size(f"sigs{x}")).alias("spare"), F.explode(f"sigs{x}").alias("sig"))
+        part = sketch.filter(f"id is not null and size(sigs{x}) > 0").select("id", F.lit(x).alias("w"), (F.col(f"need{x}") - F.size(f"sigs{x}")).alias("spare"), F.explode(f"sigs{x}").alias("sig"))
         every = part if every is None else every.union(part)
     shared = every.groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1")
     own = Window.partitionBy("id", "w")
@@ -237,7 +237,7 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         .withColumn("met", F.count("*").over(own))
         .filter("spare + met > 0")
         .join(classes.select(F.col("rep").alias("id"), F.col("n").alias("n")), "id")
-        .select("id", "w", "n", "all", "spare", "sig", (F.col("rank") <= F.col("spare") + F.col("met")).alias("chosen"))
+        .select("id", "w", "n", "sig", (F.col("rank") <= F.col("spare") + F.col("met")).alias("chosen"))
     )
     met = stored(chosen, "met")
     probes = met.filter("chosen").select("id", "w", "n", "sig")
@@ -273,15 +273,14 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     left = stored(now.join(open_, "sig", "left_semi"), "probes")
     alone = _own_tokens(texts.join(left.select("id").distinct(), "id", "left_semi"), width)
     left = left.join(alone, "id", "left").withColumn("held", F.col("n") - F.coalesce("own", F.lit(0))).filter(f"100 * held >= {percent} * n")
-    # segments that two sets don't share each cost a difference: of all segments too many may differ, and a pair
-    # is taken in the least of the buckets that both have chosen; finer segments sharpen the same bound
-    segments = met.join(left.select("id").distinct(), "id", "left_semi").groupBy("id", "w", "all", "spare").agg(F.collect_list("sig").alias("sigs"), F.collect_list(F.when(F.col("chosen"), F.col("sig"))).alias("picks"))
+    # segments that two sets don't share each cost a difference, and of fine ones too many may differ; a pair is
+    # taken in the least of the buckets that both have chosen
+    picks = met.filter("chosen").join(left.select("id").distinct(), "id", "left_semi").groupBy("id", "w").agg(F.collect_list("sig").alias("picks"))
     fine = _fine_segments(texts.join(left.select("id").distinct(), "id", "left_semi"), percent, width)
-    left = stored(left.join(segments, ["id", "w"]).join(fine, ["id", "w"]).select("id", "n", "sig", "comp", "held", "all", "spare", "sigs", "picks", "fine"), "probes")
-    other = left.select("sig", F.col("id").alias("other"), F.col("n").alias("m"), F.col("comp").alias("with"), F.col("held").alias("rest"), F.col("sigs").alias("theirs"), F.col("picks").alias("chosen"), F.col("fine").alias("finer"))
+    left = stored(left.join(picks, ["id", "w"]).join(fine, ["id", "w"]).select("id", "n", "sig", "comp", "held", "picks", "fine"), "probes")
+    other = left.select("sig", F.col("id").alias("other"), F.col("n").alias("m"), F.col("comp").alias("with"), F.col("held").alias("rest"), F.col("picks").alias("chosen"), F.col("fine").alias("finer"))
     room = f"{100 + percent} * least(held, rest) >= {percent} * (n + m)"
-    close = f"spare = 0 or {100 + percent} * (all - size(array_intersect(sigs, theirs))) <= {100 - percent} * (n + m)"
     closer = f"{100 + percent} * size(filter(zip_with(fine, finer, (x, y) -> x != y), b -> b)) <= {100 - percent} * (n + m)"
-    add(left.join(other, "sig").filter("id < other and comp != with").filter(fits).filter(room).filter(close).filter("sig = array_min(array_intersect(picks, chosen))").filter(closer).select(F.col("id").alias("a"), F.col("other").alias("b")))
+    add(left.join(other, "sig").filter("id < other and comp != with").filter(fits).filter(room).filter("sig = array_min(array_intersect(picks, chosen))").filter(closer).select(F.col("id").alias("a"), F.col("other").alias("b")))
     final = component.select(F.col("id").alias("rep"), F.col("component"))
     return named.join(final, "rep", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
