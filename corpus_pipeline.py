@@ -26,6 +26,8 @@ from tallybrook.llm.text import fold, stored
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents nearer to no profile than this share of the largest distance are rejected.
 LEAST_SCORE = 0.2
+#: Near copies are linked by word shingles of this width with at least this Jaccard similarity, in per cent.
+NEAR_PERCENT, NEAR_WIDTH = 80, 5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group; repeated rows of one id are one document, null ids stay."""
-    found = stored(jaccard_join.similar(docs, percent=90, width=3), "groups")
+    found = stored(jaccard_join.similar(docs, percent=NEAR_PERCENT, width=NEAR_WIDTH), "groups")
     gone = found.filter("doc_id != component_id").select("doc_id").distinct()
     kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
     if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():

@@ -44,3 +44,21 @@ def test_run_and_names(spark, tmp_path, docs):
     assert out.columns[0] == "doc_id" and out.count() > 0 and out.filter("not lossless").count() == 0
     assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 11))
     assert jaccard_join.word_set("", 3) == set()
+
+
+def test_near_copies_by_five_words(spark, tmp_path):
+    words = [f"w{i}" for i in range(50)]
+    changed = lambda *at: " ".join("x" + w if i in at else w for i, w in enumerate(words))
+    texts = [changed(), changed(25), changed(10, 25, 40), changed(3, 25), "one two three four", "one two three four", "one two three five"]
+    rows = [(i, t, "en", "src0", len(t)) for i, t in enumerate(texts)]
+    sets = [jaccard_join.word_set(t, 5) for t in texts]
+    label = list(range(len(texts)))
+    for _ in texts:
+        for a in label[:]:
+            for b in range(len(texts)):
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    got = cp.drop_near_copies(spark, spark.createDataFrame(rows, ", ".join(f"{c} {k}" for c, k in zip(cp.COLUMNS, ("long", "string", "string", "string", "long"), strict=True))), str(tmp_path))
+    assert label[1] == 0 and sorted(r.doc_id for r in got.collect()) == sorted(set(label))
+    a, b = (jaccard_join.word_set(t, 3) for t in texts[:2])
+    assert 100 * len(a & b) < 90 * len(a | b)
