@@ -1,6 +1,7 @@
 """Licence scan by canonical digest: normalise the whole text, hash it, hash-join to known licence digests.
 
-Canonical form: lower case; copyright lines dropped; equivalent spellings made one (licence and
+Canonical form: lower case; copyright lines, licence title lines at the top and "all rights
+reserved" dropped; equivalent spellings made one (licence and
 license, copyright signs, quotes, dashes, http and https); every run of other characters than
 letters and digits one space; ends trimmed.  Two texts are the same licence if their canonical
 SHA-256 digests are equal.  All of it is built-in column functions.
@@ -8,11 +9,20 @@ SHA-256 digests are equal.  All of it is built-in column functions.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_TITLE = (
+    r"(the )?(mit|mit/x11|x11|isc|zlib|expat|0bsd|apache|unlicense|bsd|(bsd )?(zero|[0-9])[ -]clause( bsd)?|(new|modified|simplified|original) bsd|gnu (lesser |library |affero )?general public|gnu free documentation|mozilla public)"
+    r" licen[cs]e,?( v(ersion)? ?[0-9.]+)?( \([^\n)]*\))?|version [0-9.]+, [^\n]{0,20}[0-9]{4}"
+)
+
 # Spellings taken as one (pattern on lower-case text, its single form), in order.
 SPELLINGS = (
+    (rf"^([^\p{{L}}\p{{N}}]*({_TITLE})[^\p{{L}}\p{{N}}\n]*\n)+", "\n"),
+    (r"all rights reserved\b", ""),
     ("©|\\(c\\)", "copyright"),
     ("https?://", ""),
     ("licence", "license"),
@@ -69,8 +79,16 @@ KNOWN = {
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
 }
 
-#: A copyright line names a year or a holder; a sentence that only mentions the notice stays.
-_COPYRIGHT = r"(^|\n)[ \t]*(copyright([ \t]+(\(c\)|©))?|\(c\)|©)[ \t]+[0-9]{4}[^\n]*"
+#: The texts of longer licences as published, each in a file named by its SPDX id.
+KNOWN |= {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
+KNOWN["Apache-2.0 without appendix"] = KNOWN["Apache-2.0"].split("APPENDIX:")[0]
+
+#: A copyright line, behind a comment leader or not, has a copyright sign, a year or a placeholder; a sentence that
+#: only mentions the notice or its holders stays, and so does a holder without any of the three.
+_COPYRIGHT = (
+    r"(^|\n)[^\p{L}\p{N}\n(©]*(portions[ \t]+)?"
+    r"(copyright[ \t]*(\(c\)|©)|copyright[ \t:,]+([0-9]{4}|[\[<{])|\(c\)[ \t]*(copyright|[0-9]{4}|[\[<{])|©)[^\n]*"
+)
 
 
 def canonical(text: Column) -> Column:

@@ -63,6 +63,18 @@ def test_licence_spellings(spark):
     assert [got[i][0] for i in range(1, 6)] == ["MIT", "MIT", None, None, "Apache-2.0 notice"] and got[4][1] == 0
 
 
+def test_licence_files(spark):
+    mit, bsd = licences.KNOWN["MIT"], licences.KNOWN["BSD-3-Clause"]
+    heads = ["MIT License\n\nCopyright (c) Jane Doe\n\n", "The MIT License (MIT)\n\nCopyright (c) [year] [fullname]\n\n", "# Copyright 2020 X\n", " * Copyright 2020 X\n * All rights reserved.\n", "Copyright © Jane Doe. All Rights Reserved.\n\n", "(c) 2020 X\nAll rights reserved\n", "Copyright 2019 A\nCopyright <year> <owner>\n\nMIT License\n\n"]
+    commented = "/*\n * Copyright 2020 X\n *\n" + "".join(f" * {line}\n" for line in mit.split("\n")) + " */\n"
+    rows = [(f"MIT/{i}", h + mit) for i, h in enumerate(heads)] + [("MIT/c", commented), ("BSD-3-Clause/0", "BSD 3-Clause License\n\nCopyright (c) 2020, X\nAll rights reserved.\n\n" + bsd)]
+    rows += [(f"{k}/own", t) for k, t in licences.KNOWN.items()]
+    rows += [("None/0", mit + "\ncopyright notice and this permission notice"), ("None/1", bsd.replace("3. Neither", "3. Either")), ("None/2", "MIT License\n\nCopyright (c) Jane Doe\n")]
+    got = {r.doc_id: r.license_id for r in licences.scan(spark.createDataFrame(rows, "doc_id string, text string"), licences.known_digests(spark)).collect()}
+    assert {k: str(v) for k, v in got.items()} == {k: k.split("/")[0] for k, _ in rows}
+    assert {"BSD-2-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"} <= set(licences.KNOWN)
+
+
 # 2
 
 
