@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallybrook.functions.values import falsy_coalesce
-from tallybrook.operators.vectors import CANDIDATE_K, CANDIDATE_THRESHOLD, OPEN_K, knn_join, knn_with_fallback
+from tallybrook.operators.vectors import CANDIDATE_K, CANDIDATE_THRESHOLD, OPEN_K, knn_join, knn_with_fallback, linked, vectors_present
 
 # Fixed value: the least confidence of a match that is acted on.
 LEAST_CONFIDENCE = 0.6
@@ -89,17 +89,19 @@ def unmatched_log(decided: DataFrame) -> DataFrame:
     return decided.filter("effective = 'unmatched'").withColumn("reason", F.lit("no match"))
 
 
-def canonicalise_creates(creates: DataFrame, *, threshold: float = CANDIDATE_THRESHOLD, k: int = 10, max_rounds: int = 20) -> DataFrame:
+def canonicalise_creates(creates: DataFrame, *, threshold: float = CANDIDATE_THRESHOLD) -> DataFrame:
     """(query_id, canonical_id) of a batch's creates (query_id, seq, vector): creates of the same thing are one entity,
     its id that of the earliest.
 
-    Links are each create's k nearest above the threshold; labels then pass along links, the smallest seq winning,
-    until nothing changes. Each round is checkpointed if the session has a checkpoint folder.
+    Links are all pairs above the threshold, equal vectors being one and each of their creates linked to the earliest;
+    labels then pass along links, the smallest seq winning, until nothing changes. Each round is checkpointed if the
+    session has a checkpoint folder.
     """
-    near = knn_join(creates.select("query_id", "vector"), creates.select(F.col("query_id").alias("item_id"), "vector"), k + 1).filter((F.col("similarity") > threshold) & (F.col("query_id") != F.col("item_id"))).select("query_id", "item_id")
+    first = _kept(vectors_present(creates).groupBy("vector").agg(F.min(F.struct("seq", F.col("query_id").alias("id"))).alias("first")).select("vector", F.col("first.id").alias("item_id")))
+    near = linked(first, threshold).union(vectors_present(creates).join(first, "vector").filter("query_id != item_id").select("query_id", "item_id"))
     links = _kept(near.union(near.select("item_id", "query_id")).distinct())
     labels = _kept(creates.select("query_id", F.struct("seq", F.col("query_id").alias("id")).alias("label")))
-    for _ in range(max_rounds):
+    while True:
         passed = links.join(labels.withColumnRenamed("query_id", "item_id"), "item_id").select("query_id", "label")
         new = _kept(labels.union(passed).groupBy("query_id").agg(F.min("label").alias("label")))
         changed = new.join(labels.withColumnRenamed("label", "old"), "query_id").filter("label != old").limit(1).count()

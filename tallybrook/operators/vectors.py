@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -28,6 +29,11 @@ def _norm(column: str):
     return F.aggregate(column, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
 
 
+def vectors_present(rows: DataFrame) -> DataFrame:
+    """Rows whose vector isn't null, empty or zero."""
+    return rows.filter(_norm("vector") > 0)
+
+
 def _unit(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Vectors and their norms as doubles."""
     x = np.array(column.to_pylist(), dtype=np.float64)
@@ -67,6 +73,45 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *, block_rows: int =
     return rank_neighbours(found, k)
 
 
+def linked(items: DataFrame, threshold: float, *, block_rows: int = 2_048) -> DataFrame:
+    """Links (query_id, item_id) whose connected components are those of all pairs of items (item_id, vector) that are
+    more similar than the threshold, strictly.
+
+    Exact: every pair of blocks is one bounded group, which compares all its pairs and gives one star for each
+    component among them, so a large group of near copies makes no more links than members in a group.
+    """
+    rows = vectors_present(items).select("item_id", "vector")
+    parts = max(1, -(-rows.count() // block_rows))
+    block = F.pmod(F.xxhash64("item_id"), F.lit(parts)).cast("int")
+    left = rows.select(block.alias("lb"), F.explode(F.sequence(block, F.lit(parts - 1))).alias("rb"), "item_id", "vector")
+    right = rows.select(F.explode(F.sequence(F.lit(0), block)).alias("lb"), block.alias("rb"), "item_id", "vector")
+
+    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
+        roots, rows_met, cols_met = [], [], []
+        if a.num_rows and b.num_rows:
+            x, nx = _unit(a.column("vector"))
+            y, ny = _unit(b.column("vector"))
+            near = np.round((x @ y.T) / (nx[:, None] * ny[None, :]), 12) > threshold
+            rows_left, cols_left = near.any(axis=1), near.any(axis=0)
+            for root in np.flatnonzero(rows_left):
+                frontier = np.array([root] if rows_left[root] else [], dtype=np.int64)
+                rows_left[root] = False
+                while len(frontier):
+                    cols = np.flatnonzero(near[frontier].any(axis=0) & cols_left)
+                    cols_left[cols] = False
+                    frontier = np.flatnonzero(near[:, cols].any(axis=1) & rows_left)
+                    rows_left[frontier] = False
+                    roots += [root] * (len(cols) + len(frontier))
+                    cols_met += [*cols, *[None] * len(frontier)]
+                    rows_met += [*[None] * len(cols), *frontier]
+        known = lambda t, at: t.column("item_id").take(pa.array(at, pa.int64()))
+        return pa.table([known(a, roots), pc.coalesce(known(b, cols_met), known(a, rows_met))], names=["query_id", "item_id"])
+
+    kind = rows.schema["item_id"].dataType.simpleString()
+    found = left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")).applyInArrow(cell, f"query_id {kind}, item_id {kind}")
+    return found.filter("query_id != item_id")
+
+
 def rank_neighbours(found: DataFrame, k: int) -> DataFrame:
     """The k most similar of each query, strictly k; ties to the smaller item."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id"))

@@ -119,6 +119,22 @@ def test_canonical_create_is_the_earliest(spark):
     assert {r.query_id: r.canonical_id for r in got.collect()} == {"a": "b", "b": "b", "c": "c"}
 
 
+def test_canonical_creates_of_long_chains_and_large_groups(spark):
+    chain = [(f"c{i:02}", i, [1.0 if j in (i, i + 1) else 0.0 for j in range(61)] + [0.0] * 3) for i in range(60)]
+    bent = lambda *x: [0.0] * 61 + list(x)
+    groups = [(f"g{i:02}", 100 + i, bent(1.0, i % 25 / 1e4, 0.0) if i < 25 else bent(i % 25 / 1e4, 1.0, 0.0)) for i in range(50)]
+    rows = [*chain, *groups, ("h", 200, bent(0.6, 0.5, 0.62)), ("i", 201, bent(1.0, 0.0, 0.0)), ("j", 90, bent(1.0, 0.0, 0.0)), ("k", 1, None), ("l", 2, bent(0.0, 0.0, 0.0))]
+    d = spark.createDataFrame(rows, "query_id string, seq long, vector array<double>")
+    got = {r.query_id: r.canonical_id for r in rs.canonicalise_creates(d, threshold=0.4).collect()}
+    assert got == {q: {"c": "c00", "k": "k", "l": "l"}.get(q[0], "j") for q, *_ in rows}
+    links = vc.linked(d.withColumnRenamed("query_id", "item_id"), 0.4, block_rows=20).collect()
+    label = {q: q for q, *_ in rows}
+    for _ in rows:
+        for r in links:
+            label[r.query_id] = label[r.item_id] = min(label[r.query_id], label[r.item_id])
+    assert label == {q: {"c": "c00", "k": "k", "l": "l"}.get(q[0], "g00") for q, *_ in rows}
+
+
 def test_query_intent_ranges(spark):
     q = spark.createDataFrame([(1, "Сколько открытых вакансий за 30 дней?"), (2, "Покажи закрытые за 400 дней"), (3, None), (4, "График по командам")], "query_id int, text string")
     got = {r.query_id: r for r in md.classify_queries(q).collect()}
