@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybrook.operators.vectors import ENTITY_K, MESSAGE_K, knn_join, rank_neighbours
+from tallybrook.operators.vectors import ENTITY_K, MESSAGE_K, knn_join
 
 # Headings and placeholders of the context text.
 MEMORY, ENTITIES, MESSAGES = "Память диалога:", "Вакансии:", "Сообщения:"
@@ -44,8 +44,7 @@ def build_context(queries: DataFrame, memory: DataFrame, entity_lines: DataFrame
 
 
 def profile_match(profiles: DataFrame, entities: DataFrame, k: int = ENTITY_K) -> DataFrame:
-    """The k nearest open entities of each profile (query_id, vector, wanted) whose upper bound, if any, reaches what
-    is wanted; candidates are ranked before the bound is looked at, among 10 k."""
-    near = knn_join(profiles, entities.filter(~F.col("is_deleted") & (F.col("status") != "closed")).select(F.col("entity_id").alias("item_id"), F.col("embedding").alias("vector")), 10 * k)
-    fits = near.join(profiles.select("query_id", "wanted"), "query_id").join(entities.select(F.col("entity_id").alias("item_id"), "range_max"), "item_id").filter("range_max is null or wanted is null or range_max >= wanted")
-    return rank_neighbours(fits.select("query_id", "item_id", "similarity"), k)
+    """The k nearest open entities of each profile (query_id, vector, wanted) among those whose upper bound, if any,
+    reaches what is wanted."""
+    open_ = entities.filter(~F.col("is_deleted") & (F.col("status") != "closed")).select(F.col("entity_id").alias("item_id"), F.col("embedding").alias("vector"), "range_max")
+    return knn_join(profiles, open_, k, least="wanted", bound="range_max")

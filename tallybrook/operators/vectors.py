@@ -40,17 +40,20 @@ def _unit(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return x, np.sqrt((x * x).sum(axis=1))
 
 
-def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *, block_rows: int = _BLOCK_ROWS, block_queries: int = _BLOCK_QUERIES) -> DataFrame:
+def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *, least: str | None = None, bound: str | None = None, block_rows: int = _BLOCK_ROWS, block_queries: int = _BLOCK_QUERIES) -> DataFrame:
     """Queries (query_id, vector) x corpus (item_id, vector) -> (query_id, item_id, similarity, rank), k nearest each.
 
     Exact: both sides are dealt into blocks by a hash of the id, each pair of blocks is one bounded group that keeps k
     rows a query, and only those are ranked. Null, empty and zero vectors take no part; ties go to the smaller item.
+    With ``least`` (a column of queries) and ``bound`` (of corpus), items whose bound is less take no part for that query;
+    null on either side is no limit.
     """
     norm = _norm("vector")
-    q, c = queries.filter(norm > 0).select("query_id", "vector"), corpus.filter(norm > 0).select("item_id", "vector")
+    limit = lambda name: F.lit(None).cast("double") if name is None else F.col(name).cast("double")
+    q, c = queries.filter(norm > 0).select("query_id", "vector", limit(least).alias("least")), corpus.filter(norm > 0).select("item_id", "vector", limit(bound).alias("bound"))
     parts, rounds = max(1, -(-c.count() // block_rows)), max(1, -(-q.count() // block_queries))
-    left = c.select(F.pmod(F.xxhash64("item_id"), F.lit(parts)).cast("int").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("qb"), "item_id", "vector")
-    right = q.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("cb"), F.pmod(F.xxhash64("query_id"), F.lit(rounds)).cast("int").alias("qb"), "query_id", "vector")
+    left = c.select(F.pmod(F.xxhash64("item_id"), F.lit(parts)).cast("int").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("qb"), "item_id", "vector", "bound")
+    right = q.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("cb"), F.pmod(F.xxhash64("query_id"), F.lit(rounds)).cast("int").alias("qb"), "query_id", "vector", "least")
 
     def cell(items: pa.Table, asked: pa.Table) -> pa.Table:
         got: tuple[list, list, list] = ([], [], [])
@@ -59,8 +62,11 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *, block_rows: int =
             x, nx = _unit(items.column("vector"))
             y, ny = _unit(asked.column("vector"))
             sims = np.round((y @ x.T) / (ny[:, None] * nx[None, :]), 12)  # equal vectors are ties, whatever the order of sums
+            low, high = (np.array(v.to_pylist(), dtype=np.float64) for v in (asked.column("least"), items.column("bound")))  # null is NaN
+            sims[high[None, :] < low[:, None]] = -np.inf
             for i in range(len(y)):
                 best = np.argsort(-sims[i], kind="stable")[:k]
+                best = best[sims[i][best] > -np.inf]
                 got[0].append(np.full(len(best), i))
                 got[1].append(best)
                 got[2].append(sims[i][best])

@@ -6,6 +6,7 @@ from tallybrook.operators import context as cx
 from tallybrook.operators import dialogs as dl
 from tallybrook.operators import models as md
 from tallybrook.operators import resolve as rs
+from tallybrook.operators import retrieve as rt
 from tallybrook.operators import revisions as rv
 from tallybrook.operators import vectors as vc
 from tallybrook.sources import schemas
@@ -113,6 +114,14 @@ def test_knn_blocks_equal_one_block(spark):
     assert vc.recall(vc.ann_join(q, c, 3, lists=4, probes=4), vc.knn_join(q, c, 3)).first().recall == 1.0
 
 
+def test_profile_match_looks_past_near_entities_that_do_not_fit(spark):
+    rows = [(i, False, "open", [1.0, i / 1000], 10.0 if i < 40 else None if i == 43 else 100.0) for i in range(50)] + [(50, False, "closed", [1.0, 0.0], 100.0)]
+    e = spark.createDataFrame(rows, "entity_id long, is_deleted boolean, status string, embedding array<double>, range_max double")
+    p = spark.createDataFrame([(1, [1.0, 0.0], 50.0), (2, [1.0, 0.0], None), (3, [1.0, 0.0], 1000.0)], "query_id long, vector array<double>, wanted double")
+    got = sorted((r.query_id, r["rank"], r.item_id) for r in rt.profile_match(p, e).collect())
+    assert got == [(1, 1, 40), (1, 2, 41), (1, 3, 42), (2, 1, 0), (2, 2, 1), (2, 3, 2), (3, 1, 43)]
+
+
 def test_canonical_create_is_the_earliest(spark):
     rows = [("a", 3, [1.0, 0.0]), ("b", 1, [0.99, 0.01]), ("c", 2, [0.0, 1.0])]
     got = rs.canonicalise_creates(spark.createDataFrame(rows, "query_id string, seq long, vector array<double>"))
