@@ -635,8 +635,8 @@ def ann_join(s, d):
 
 @_query()
 def classify_messages(s, d):
-    docs = fr.read(s, d, "documents").join(fr.read(s, d, "labels"), "doc_id").select("doc_id", "text", F.col("quality").alias("label"))
-    model = md.train_classifier(docs.filter("doc_id % 5 != 0"))
+    docs = fr.read(s, d, "documents").join(fr.read(s, d, "labels"), "doc_id", "left").select("doc_id", "text", F.col("quality").alias("label"))
+    model = md.train_classifier(docs.filter("label is not null and doc_id % 5 != 0"))
     rows = md.classify_messages(docs.withColumn("prefilter_context", F.array(F.struct(F.lit("").alias("text"))).cast("array<struct<text:string>>")), md.model_scorer(model))
     return rows.select("doc_id", "label", "relevant", "by")
 
