@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybrook.llm.text import stored
+from tallybrook.llm.text import discard, stored
 
 
 def connected(links: DataFrame, *, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,7 +16,8 @@ def connected(links: DataFrame, *, a: str = "a", b: str = "b") -> DataFrame:
     executor costs one step.  Minima are combined before the shuffle; self links and repeated links are harmless,
     links with a null end are left out.
     """
-    e = stored(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v and u is not null and v is not null").distinct(), "links")
+    spark, made = links.sparkSession, []
+    e = stored(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v and u is not null and v is not null").distinct(), "links", made)
     last = None
     while True:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -24,7 +25,9 @@ def connected(links: DataFrame, *, a: str = "a", b: str = "b") -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        e = stored(small.distinct(), "links")
+        old, made = made, []
+        e = stored(small.distinct(), "links", made)
+        discard(spark, old)
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == last:
             break

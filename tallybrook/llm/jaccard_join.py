@@ -14,13 +14,13 @@ the whole table.  The order (count, signature) is the same for all documents, so
 similar ones, sharing at least m - H of m segments, still meet in one both have chosen.
 A document with H + 1 segments of its own can link to none and is dropped right there.
 
-Equal sets are one class from the start.  In a bucket of equal signatures a
+Texts of equal words in order, by a 128-bit digest of them, are one class from the start.  In a bucket of equal signatures a
 representative is compared first, so a large group of near copies becomes a component
 with as many comparisons as members.  What is left of a bucket (members of different
 components) is compared pairwise, but only where a link is still possible by two exact
 bounds: the tokens that no other candidate holds, and the segments that differ, each of
 which is a difference, of twice as many as a band needs.  They remove the quadratic part of groups whose members drifted
-apart.  Every reported link is checked on the words.
+apart.  Every link between classes is checked on the words.
 """
 
 from __future__ import annotations
@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallybrook.llm.components import connected
-from tallybrook.llm.text import blocks, buffer_of, hash_between, lower_ascii, mix, prefix_sums, stored, word_spans
+from tallybrook.llm.text import WHITE, blocks, buffer_of, discard, hash_between, lower_ascii, mix, prefix_sums, release, small_batches, stored, word_spans
 
 _RATIO = 1.5
-_SLACK = 1.25
+_SLACK = 1.1
 _DELETION_H = 2
 _K1 = np.uint64(0x9E6C63D0676A9A99)
 _K2 = np.uint64(0xC13FA9A902A6328F)
@@ -68,6 +68,8 @@ class Bands:
     def shape(self, band: int) -> tuple[int, bool]:
         """Number of segments, and whether they are matched with one deletion."""
         h = self.most_apart(self.low[band + 1] - 1)
+        if not h:
+            return 1, False
         return ((h + 2) // 2, True) if h <= _DELETION_H else (int(np.ceil(_SLACK * (h + 1))), False)
 
 
@@ -105,40 +107,64 @@ def signatures(tokens: np.ndarray, band: int, segments: int, deletion: bool) ->
     return np.unique(np.concatenate([whole, mix(sums[seg] - y + place[seg])])) if deletion else whole
 
 
-def _sketches(rows: DataFrame, kind: str, percent: int, width: int) -> DataFrame:
-    """Per row: id, n (set size), h1 and h2 (digest of the set), and for up to as many bands as a size can have:
-    signatures and how many of them must be used."""
-    many = max(len(Bands(percent).of(n)) for n in [*range(1, 400), 1000, 5000, 20000])
+def _normal_rows(data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
+    """Each row's words, one space apart, of lower-case data."""
+    white = WHITE[data]
+    keep = ~white
+    keep[1:] |= ~white[:-1]
+    at = np.concatenate([[0], np.cumsum(keep)])[offsets]
+    packed = np.where(white[keep], 0x20, data[keep]).astype(np.uint8).tobytes()
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        yield packed[a:b].strip(b" ")
+
+
+def _sketches(rows: DataFrame, kind: str, width: int) -> DataFrame:
+    """Per row: id, n (set size), h1 and h2 (digest of the words in order, by which exact copies are one class)."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text"):
+            data, offsets = buffer_of(block.column("text"))
+            digests = b"".join(hashlib.blake2b(t, digest_size=16).digest() for t in _normal_rows(lower_ascii(data), offsets))
+            h = np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
+            sizes = [len(tokens) for tokens in token_sets(block.column("text"), width)]
+            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(sizes, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["id", "n", "h1", "h2"])
+
+    return rows.mapInArrow(task, f"id {kind}, n long, h1 long, h2 long")
+
+
+def _signed(rows: DataFrame, percent: int, width: int) -> DataFrame:
+    """(id, sig): every signature of every document; the lowest four bits of one tell its band, modulo 16."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for block in blocks(batches, "text"):
-            sizes, h1, h2 = [], [], []
-            sigs: list[list] = [[] for _ in range(many)]
-            need: list[list[int]] = [[] for _ in range(many)]
-            for tokens in token_sets(block.column("text"), width):
-                n = len(tokens)
-                sizes.append(n)
-                d = np.frombuffer(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), dtype=np.int64)
-                h1.append(d[0])
-                h2.append(d[1])
-                used = bands.of(n) if n and bands.most_apart(n) else []
-                for x in range(many):
-                    if x < len(used):
-                        segments, deletion = bands.shape(used[x])
-                        s = signatures(tokens, used[x], segments, deletion)
-                        sigs[x].append(s.view(np.int64))
-                        need[x].append(len(s) if deletion else bands.most_apart(n) + 1)
-                    else:
-                        sigs[x].append(np.zeros(0, np.int64))
-                        need[x].append(0)
-            arrays = [block.column("id"), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())]
-            for x in range(many):
-                at = np.concatenate([[0], np.cumsum([len(s) for s in sigs[x]])]).astype(np.int32)
-                arrays += [pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sigs[x]))), pa.array(need[x], pa.int32())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "h1", "h2", *(f"{c}{x}" for x in range(many) for c in ("sigs", "need"))])
-
-    return rows.mapInArrow(task, f"id {kind}, n long, h1 long, h2 long" + "".join(f", sigs{x} array<long>, need{x} int" for x in range(many)))
+            ids, sigs = [], []
+            for key, tokens in zip(block.column("id").to_pylist(), token_sets(block.column("text"), width), strict=True):
+                for band in bands.of(len(tokens)) if len(tokens) else ():
+                    s = signatures(tokens, band, *bands.shape(band)) & ~np.uint64(15) | np.uint64(band & 15)
+                    ids.append(np.full(len(s), key))
+                    sigs.append(s.view(np.int64))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(sigs))], names=["id", "sig"])
+
+    return rows.filter("id is not null").select("id", "text").mapInArrow(task, "id long, sig long")
+
+
+def _allotted(classes: DataFrame, percent: int) -> DataFrame:
+    """(id, n, band, spare) of each class and band of its size: how many more signatures than its segments it must use."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(percent)
+        for batch in batches:
+            out: list[tuple[int, int, int, int]] = []
+            for key, n in zip(batch.column("rep").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                for band in bands.of(n):
+                    segments, deletion = bands.shape(band)
+                    out.append((key, n, band & 15, 0 if deletion else bands.most_apart(n) + 1 - segments))
+            a = np.array(out, dtype=np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1]), pa.array(a[:, 2].astype(np.int32)), pa.array(a[:, 3].astype(np.int32))], names=["id", "n", "band", "spare"])
+
+    return classes.select("rep", "n").mapInArrow(task, "id long, n long, band int, spare int")
 
 
 def word_set(text: str, width: int) -> set:
@@ -147,30 +173,33 @@ def word_set(text: str, width: int) -> set:
     return set(zip(*(words[k:] for k in range(width)), strict=False)) if len(words) >= width else {tuple(words)} if words else set()
 
 
+def shared_sizes(a: str, b: str, width: int) -> tuple[int, int, int]:
+    """Sizes of two texts' sets and of what they share, on the words themselves: words are numbered, then pairs of
+    numbers, until each number stands for a whole n-gram."""
+    x, y = a.encode().lower().split(), b.encode().lower().split()
+    if min(len(x), len(y)) < width:
+        p, q = word_set(a, width), word_set(b, width)
+        return len(p), len(q), len(p & q)
+    numbers: dict[bytes, int] = {}
+    every = np.array([numbers.setdefault(w, len(numbers)) for w in (*x, *y)])
+    grams = every
+    for k in range(1, width):
+        grams = np.unique(grams[:-1] * len(numbers) + every[k:], return_inverse=True)[1]
+    # n-grams across the seam of the two texts are left out
+    p, q = np.unique(grams[: len(x) - width + 1]), np.unique(grams[len(x) :])
+    return len(p), len(q), len(np.intersect1d(p, q, assume_unique=True))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
     """The pairs whose sets, made of the words themselves, link."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known: dict[int, set] = {}
-            out_a, out_b = [], []
-            a, b, ta, tb = (batch.column(c) for c in ("a", "b", "ta", "tb"))
-            for i in range(batch.num_rows):
-                x, y = a[i].as_py(), b[i].as_py()
-                for key, column in ((x, ta), (y, tb)):
-                    if key not in known:
-                        if len(known) > 2000:
-                            known.clear()
-                        known[key] = word_set(column[i].as_py() or "", width)
-                if x not in known:
-                    known[x] = word_set(ta[i].as_py() or "", width)
-                p, q = known[x], known[y]
-                both = len(p & q)
-                if both and 100 * both >= percent * (len(p) + len(q) - both):
-                    out_a.append(x)
-                    out_b.append(y)
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+            good = []
+            for ta, tb in zip(batch.column("ta"), batch.column("tb"), strict=True):
+                p, q, both = shared_sizes(ta.as_py() or "", tb.as_py() or "", width)
+                good.append(both > 0 and 100 * both >= percent * (p + q - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
@@ -199,10 +228,10 @@ def _fine_segments(texts: DataFrame, percent: int, width: int) -> DataFrame:
         for block in blocks(batches, "text"):
             ids, ws, fine = [], [], []
             for key, tokens in zip(block.column("id").to_pylist(), token_sets(block.column("text"), width), strict=True):
-                for w, band in enumerate(bands.of(len(tokens)) if len(tokens) else []):
+                for band in bands.of(len(tokens)) if len(tokens) else ():
                     many = 2 * (bands.most_apart(bands.low[band + 1] - 1) + 1)
                     ids.append(key)
-                    ws.append(w)
+                    ws.append(band & 15)
                     fine.append(signatures(tokens, band + 512, many, False).astype(np.uint32).view(np.int32))
             at = np.concatenate([[0], np.cumsum([len(f) for f in fine])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ws, pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int32), *fine])))], names=["id", "w", "fine"])
@@ -213,38 +242,44 @@ def _fine_segments(texts: DataFrame, percent: int, width: int) -> DataFrame:
 def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 90, width: int = 3, star_rounds: int = 2) -> DataFrame:
     """Per row: id, n_shingles (set size), component_id (smallest id reachable by links, itself included).
 
-    ``id_col`` is a long and names the document: exact repeated rows link like one document and each keeps its row;
-    of different texts under one id, comparisons take the smallest.  A text that is null or has no word has an empty
+    ``id_col`` is a long and names the document: rows that share an id are one document and each keeps its
+    row; of different texts under one id, all take the smallest.  A text that is null or has no word has an empty
     set and links with nothing; a null id gets a null component and links with nothing.  Columns other than the two
     are not read.  An empty table gives no rows.
     """
+    spark, made = docs.sparkSession, []
+    small_batches(spark)
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    sketch = stored(_sketches(rows, "long", percent, width), "sketches")
+    sketch = stored(_sketches(rows, "long", width), "sketches")
+    texts_of = sketch.filter("id is not null").groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi"))
+    if not texts_of.filter("lo != hi").isEmpty():
+        one = rows.filter("id is not null").groupBy("id").agg(F.min("text").alias("text"))
+        rows = stored(rows.filter("id is not null").select("id").join(one, "id").union(rows.filter("id is null")), "rows")
+        sketch = stored(_sketches(rows, "long", width), "sketches")
     classes = sketch.filter("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
     classes = stored(classes, "classes")  # read twice; and joined rows of one large class can then be split
     named = sketch.select("id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
 
-    many = sum(c.startswith("sigs") for c in sketch.columns)
-    every = None
-    for x in range(many):
-        part = sketch.filter(f"id is not null and size(sigs{x}) > 0").select("id", F.lit(x).alias("w"), (F.col(f"need{x}") - F.size(f"sigs{x}")).alias("spare"), F.explode(f"sigs{x}").alias("sig"))
-        every = part if every is None else every.union(part)
-    shared = every.groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1")
-    own = Window.partitionBy("id", "w")
+    signed = _signed(rows, percent, width)  # made twice: cheaper than to write and read it
+    shared = stored(signed.groupBy("sig").agg(F.count("*").cast("int").alias("c")).filter("c > 1"), "shared", made)
+    release(spark)
+    own = Window.partitionBy("id", "band")
     chosen = (
-        every.join(shared, "sig")
+        signed.join(shared, "sig")
+        .withColumn("band", F.col("sig").bitwiseAND(15).cast("int"))
+        .join(_allotted(classes, percent), ["id", "band"])
         .withColumn("rank", F.row_number().over(own.orderBy("c", "sig")))
         .withColumn("met", F.count("*").over(own))
         .filter("spare + met > 0")
-        .join(classes.select(F.col("rep").alias("id"), F.col("n").alias("n")), "id")
-        .select("id", "w", "n", "sig", (F.col("rank") <= F.col("spare") + F.col("met")).alias("chosen"))
+        .select("id", F.col("band").alias("w"), "n", "sig", (F.col("rank") <= F.col("spare") + F.col("met")).alias("chosen"))
     )
-    met = stored(chosen, "met")
+    met = stored(chosen, "met", made)
+    release(spark)
     probes = met.filter("chosen").select("id", "w", "n", "sig")
     busy = probes.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo != hi").select("sig")
-    probes = stored(probes.join(busy, "sig", "left_semi"), "probes")
+    probes = stored(probes.join(busy, "sig", "left_semi"), "probes", made)
     wanted = probes.select("id").distinct()
-    texts = stored(rows.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
+    texts = stored(rows.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts", made)
 
     fits = "100 * least(n, m) >= {p} * greatest(n, m)".format(p=percent)
     done, links, component = None, None, None
@@ -257,12 +292,13 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     def add(pairs: DataFrame) -> None:
         nonlocal done, links, component
         pairs = pairs.distinct()
-        pairs = stored(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        good = stored(_verified(pairs, texts, percent, width), "links")
+        pairs = stored(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs", made)
+        good = stored(_verified(pairs, texts, percent, width), "links", made)
         done = pairs if done is None else done.union(pairs)
         if component is None or not good.isEmpty():
             links = good if links is None else links.union(good)
             component = connected(links)
+        release(spark)
 
     for turn in range(star_rounds):
         now = labelled()
@@ -270,17 +306,19 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         add(now.join(middle, "sig").filter("comp != with").filter(fits).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")))
     now = labelled()
     open_ = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("sig")
-    left = stored(now.join(open_, "sig", "left_semi"), "probes")
+    left = stored(now.join(open_, "sig", "left_semi"), "probes", made)
     alone = _own_tokens(texts.join(left.select("id").distinct(), "id", "left_semi"), width)
     left = left.join(alone, "id", "left").withColumn("held", F.col("n") - F.coalesce("own", F.lit(0))).filter(f"100 * held >= {percent} * n")
     # segments that two sets don't share each cost a difference, and of fine ones too many may differ; a pair is
     # taken in the least of the buckets that both have chosen
     picks = met.filter("chosen").join(left.select("id").distinct(), "id", "left_semi").groupBy("id", "w").agg(F.collect_list("sig").alias("picks"))
     fine = _fine_segments(texts.join(left.select("id").distinct(), "id", "left_semi"), percent, width)
-    left = stored(left.join(picks, ["id", "w"]).join(fine, ["id", "w"]).select("id", "n", "sig", "comp", "held", "picks", "fine"), "probes")
+    left = stored(left.join(picks, ["id", "w"]).join(fine, ["id", "w"]).select("id", "n", "sig", "comp", "held", "picks", "fine"), "probes", made)
     other = left.select("sig", F.col("id").alias("other"), F.col("n").alias("m"), F.col("comp").alias("with"), F.col("held").alias("rest"), F.col("picks").alias("chosen"), F.col("fine").alias("finer"))
     room = f"{100 + percent} * least(held, rest) >= {percent} * (n + m)"
     closer = f"{100 + percent} * size(filter(zip_with(fine, finer, (x, y) -> x != y), b -> b)) <= {100 - percent} * (n + m)"
     add(left.join(other, "sig").filter("id < other and comp != with").filter(fits).filter(room).filter("sig = array_min(array_intersect(picks, chosen))").filter(closer).select(F.col("id").alias("a"), F.col("other").alias("b")))
+    discard(spark, made)
+    release(spark)
     final = component.select(F.col("id").alias("rep"), F.col("component"))
     return named.join(final, "rep", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))

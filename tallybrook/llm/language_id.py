@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybrook.llm.text import blocks, buffer_of, ranges, spans_as_strings, word_spans
+from tallybrook.llm.text import blocks, buffer_of, ranges, small_batches, spans_as_strings, word_spans
 
 UNKNOWN = "und"
-_BLOCK = 4 << 20
+_BLOCK = 2 << 20
 _FLUSH = 1 << 20
 
 Profiles = dict[str, np.ndarray]
@@ -86,6 +86,7 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", si
                 size_held = 0
         yield from flush()
 
+    small_batches(docs.sparkSession)
     rows = docs.filter(docs[lang_col].isNotNull()).select(docs[lang_col].alias("lang"), letters(docs[text_col]).alias("text")).filter("text != ''")
     total = rows.mapInArrow(task, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = total.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("rank") <= size)
@@ -141,6 +142,7 @@ def identify(docs: DataFrame, profiles: Profiles, *, id_col: str = "doc_id", tex
             labels = [names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
             yield pa.RecordBatch.from_arrays([block.column(0), *(block.column(c) for c in carried), pa.array(labels, pa.string()), pa.array(score), pa.array(margin)], names=[id_col, *carried, "lang_pred", "score", "margin"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col], *(docs[c] for c in carried), letters(docs[text_col]).alias("__letters"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     return rows.mapInArrow(task, ", ".join([*(f"`{c}` {kinds[c]}" for c in [id_col, *carried]), "lang_pred string, score double, margin double"]))

@@ -7,7 +7,7 @@ a space after another character, so the lattice falls apart at every space that
 follows a non-space, and the segments between are sampled independently: that is
 the same distribution as over the whole text.
 
-Forward filtering runs once per distinct segment of a block, all segments at a time
+Forward filtering runs once per distinct segment of a block, a slice of segments at a time
 by position; backward sampling runs for all occurrences at once, each draw from a
 counter hash of (seed, row key, segment number, step).  So a row's pieces depend on
 its key and text alone, not on partitions or neighbours.
@@ -30,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybrook.llm.text import blocks, buffer_of, hash_between, mix, prefix_sums, ranges, span_hashes
+from tallybrook.llm.text import blocks, buffer_of, hash_between, mix, prefix_sums, ranges, small_batches, span_hashes
 
 _SPACE_MARK = "▁"
 _FIRST_BYTE = 3
-_BLOCK = 4 << 20
+_BLOCK = 2 << 20
+#: Distinct segments are filtered in slices of so many bytes: their edges are what takes memory.
+_SLICE = 128 << 10
 _lattices: dict[tuple[str, float], "Vocabulary"] = {}
 
 _K1 = np.uint64(0xD6E8FEB86659FD93)
@@ -181,29 +183,34 @@ def encode_block(vocab: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys:
         return np.zeros(0, np.uint16), np.zeros(rows + 1, np.int64)
     bounds = np.append(starts, len(data)).astype(np.int32)
     kinds = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
-    table, table_offsets = buffer_of(kinds.dictionary)
-    first, end = table_offsets[:-1], table_offsets[1:]
-    came, ids, search = _filtered(vocab, table, first, end)
+    table, bound = buffer_of(kinds.dictionary)
     kind = kinds.indices.to_numpy().astype(np.int64)
     edges = np.searchsorted(starts, offsets)
     row = np.repeat(np.arange(rows), np.diff(edges))
     number = np.arange(len(starts)) - edges[row]
-    live, step = np.argsort(kind), 0  # equal segments side by side: the searches then walk the table in order
-    at = end[kind][live]
-    key, stop = keys[row], first[kind]
-    drawn: list[tuple[np.ndarray, np.ndarray]] = []
+    key = keys[row]
+    order = np.argsort(kind)  # equal segments side by side: the searches then walk a slice's edges in order
+    drawn: list[tuple[int, np.ndarray, np.ndarray]] = []
     taken = np.zeros(len(starts), dtype=np.int64)
-    while len(live):
-        u = _draws(seed, key[live], number[live], step)
-        edge = np.searchsorted(search, at + u - 1.0, side="left")
-        drawn.append((live, ids[edge]))
-        taken[live] += 1
-        at = came[edge]
-        more = at > stop[live]
-        live, at, step = live[more], at[more], step + 1
+    low = 0
+    while low < len(bound) - 1:
+        high = max(low + 1, int(np.searchsorted(bound, bound[low] + _SLICE, side="right")) - 1)
+        first, end = bound[low:high] - bound[low], bound[low + 1 : high + 1] - bound[low]
+        came, ids, search = _filtered(vocab, table[bound[low] : bound[high]], first, end)
+        live, step = order[np.searchsorted(kind, low, sorter=order) : np.searchsorted(kind, high, sorter=order)], 0
+        at, stop = end[kind[live] - low], first[kind[live] - low]
+        while len(live):
+            u = _draws(seed, key[live], number[live], step)
+            edge = np.searchsorted(search, at + u - 1.0, side="left")
+            drawn.append((step, live, ids[edge].astype(np.uint16)))
+            taken[live] += 1
+            at = came[edge]
+            more = at > stop
+            live, at, stop, step = live[more], at[more], stop[more], step + 1
+        low = high
     after = np.cumsum(taken)
     out = np.empty(int(after[-1]), dtype=np.uint16)
-    for back, (who, what) in enumerate(drawn):
+    for back, who, what in drawn:
         out[after[who] - 1 - back] = what
     return out, np.concatenate([[0], after])[edges]
 
@@ -232,6 +239,7 @@ def encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str
             pieces = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)), mask=mask if mask.true_count else None)
             yield pa.RecordBatch.from_arrays([block.column("id"), pieces], names=[id_col, "pieces"])
 
+    small_batches(docs.sparkSession)
     rows = _with_prefix(docs, id_col, text_col)
     return rows.mapInArrow(task, f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, pieces array<int>")
 
@@ -249,6 +257,7 @@ def decode(encoded: DataFrame, model: str, *, id_col: str = "doc_id") -> DataFra
             texts = [None if p is None else decode_block(vocab, np.array(p, dtype=np.int64)).tobytes()[1:].decode() for p in batch.column("pieces").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(texts, pa.string())], names=[id_col, "text"])
 
+    small_batches(encoded.sparkSession)
     rows = encoded.select(id_col, "pieces")
     return rows.mapInArrow(task, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, text string")
 
@@ -280,5 +289,6 @@ def round_trip(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col:
                 same.append(bool(np.array_equal(whole, data[offsets[r] : offsets[r + 1]])))
             yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string()), pa.array(same, pa.bool_())], names=[id_col, "n_pieces", "pieces_sha256", "text_sha256", "lossless"])
 
+    small_batches(docs.sparkSession)
     rows = _with_prefix(docs, id_col, text_col)
     return rows.mapInArrow(task, f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, n_pieces long, pieces_sha256 string, text_sha256 string, lossless boolean")

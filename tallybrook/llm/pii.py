@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybrook.llm.text import blocks
+from tallybrook.llm.text import blocks, small_batches
 
 # The kinds and their base patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -286,6 +286,7 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sa
     and at most ``sample_windows`` windows of at most 400 characters; both are documented bounds.
     An empty sample gives zero weights, which add nothing.
     """
+    small_batches(docs.sparkSession)
     key = F.xxhash64(docs[id_col].cast("string"))
     last = docs.filter(docs[id_col].isNotNull()).select(key.alias("h")).orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
     if last is None:
@@ -324,6 +325,7 @@ def find_pii(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", te
     of other columns those in ``keep`` are carried.  Spans count code points, end exclusive.
     """
     carried = [c for c in (keep or []) if c != id_col]
+    small_batches(docs.sparkSession)
     send = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: _DIM weights a kind
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

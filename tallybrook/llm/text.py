@@ -7,6 +7,9 @@ Everything here works on one block of rows inside a task; a block holds at most
 
 from __future__ import annotations
 
+import functools
+import gc
+import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -16,7 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
+#: Arrow batches sent to Python workers hold about so many bytes; Spark's own default is 64 MB, which several workers can't afford.
+BATCH_BYTES = 4 << 20
 
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
@@ -24,8 +29,8 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _RADIX = 0x5851F42D4C957F2D
 _RADIX_INVERSE = pow(_RADIX, -1, 1 << 64)
 
-_WHITE = np.zeros(256, dtype=bool)
-_WHITE[[0x20, *range(0x09, 0x0E)]] = True
+WHITE = np.zeros(256, dtype=bool)
+WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -66,7 +71,7 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word [^\\x20\\x09-\\x0D]+, and the index of the first word of each row (rows + 1 values)."""
-    solid = ~_WHITE[data]
+    solid = ~WHITE[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
     before = np.zeros(len(data), dtype=bool)
@@ -142,18 +147,49 @@ def in_fold(value: int, parts: int, part: int) -> bool:
     return zlib.crc32(str(value).encode()) % parts == part
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session's tasks, unless a smaller bound is set already."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh path in the folder that driver and executors share: spark.checkpoint.dir; where that is unset, a temporary
+    folder if all of Spark runs on this machine, else a folder of the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        held = spark.sparkContext.getCheckpointDir()
-        base = held or "/tmp/checkpoints"
+        alone = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+        base = _own_folder() if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(frame: DataFrame, name: str) -> DataFrame:
-    """The frame written as Parquet to the shared folder and read back: cuts lineage and survives lost executors."""
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def stored(frame: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
+    """The frame written as Parquet to the shared folder and read back: cuts lineage and survives lost executors.
+    ``made`` collects the paths, for ``discard``."""
     spark = frame.sparkSession
     path = scratch(spark, name)
     frame.write.parquet(path)
+    if made is not None:
+        made.append(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Remove scratch tables that nothing reads any more, through Spark's file system."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    paths.clear()
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver collect its garbage: Spark removes the shuffle files of finished queries only then."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -22,12 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallybrook.llm.text import blocks, buffer_of
+from tallybrook.llm.text import blocks, buffer_of, small_batches
 
 #: Characters of the left chunk that must follow a splice; longer than any special token.
 _EDGE = 32
 _MEMO_ROWS = 700_000
-_BLOCK = 8 << 20
+_BLOCK = 4 << 20
 _encoders: dict[str, "Encoder"] = {}
 
 _SPACE_ASCII = np.zeros(256, dtype=bool)
@@ -171,6 +171,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
             sizes, tokens = _count_block(encoder, block.column("text"), huge_chars, overlap_chars)
             yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(sizes), pa.array(tokens), pa.array(tokens > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(task, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
