@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tallybrook.llm import jaccard_join, language_id, piece_sampling, pii
 from tallybrook.llm.queries import mixed
-from tallybrook.llm.text import fold, stored
+from tallybrook.llm.text import fold, release, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents nearer to no profile than this share of the largest distance are rejected.
@@ -40,6 +40,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group; repeated rows of one id are one document, null ids stay."""
     found = stored(jaccard_join.similar(docs, percent=NEAR_PERCENT, width=NEAR_WIDTH), "groups")
+    release(spark)
     gone = found.filter("doc_id != component_id").select("doc_id").distinct()
     kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
     if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
