@@ -17,10 +17,10 @@ A document with H + 1 segments of its own can link to none and is dropped right
 Texts of equal words in order, by a 128-bit digest of them, are one class from the start.  In a bucket of equal signatures a
 representative is compared first, so a large group of near copies becomes a component
 with as many comparisons as members.  What is left of a bucket (members of different
-components) is compared pairwise, but only where a link is still possible by two exact
-bounds: the tokens that no other candidate holds, and the segments that differ, each of
-which is a difference, of twice as many as a band needs.  They remove the quadratic part of groups whose members drifted
-apart.  Every link between classes is checked on the words.
+components) is compared pairwise.  Before texts are fetched, every pair must pass an exact
+bound: tokens are dealt to eight times as many bits as differences are allowed, a bit being
+the parity of its tokens, and each bit that differs is a difference.  It removes nearly all
+pairs of groups whose members drifted apart.  Every link between classes is checked on the words.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -206,37 +206,27 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> D
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(task, "a long, b long")
 
 
-def _own_tokens(texts: DataFrame, width: int) -> DataFrame:
-    """(id, own): how many tokens of each document no other document of the table holds."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
-            sets = list(token_sets(block.column("text"), width))
-            ids = np.repeat(block.column("id").to_numpy(), [len(s) for s in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "token"])
-
-    tokens = texts.select("id", "text").mapInArrow(task, "id long, token long")
-    alone = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1")
-    return alone.groupBy("id").agg(F.count("*").alias("own"))
-
-
-def _fine_segments(texts: DataFrame, percent: int, width: int) -> DataFrame:
-    """(id, w, fine): 32-bit signatures of twice as many segments as a band needs, in order."""
+def _marks(texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """(id, w, n, mark): for each band, bit i of the mark is the parity of the number of tokens dealt to i; there are
+    eight bits for each difference that the band allows."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for block in blocks(batches, "text"):
-            ids, ws, fine = [], [], []
+            ids, ws, ns, marks = [], [], [], []
             for key, tokens in zip(block.column("id").to_pylist(), token_sets(block.column("text"), width), strict=True):
                 for band in bands.of(len(tokens)) if len(tokens) else ():
-                    many = 2 * (bands.most_apart(bands.low[band + 1] - 1) + 1)
+                    bits = 64 * -(-8 * (bands.most_apart(bands.low[band + 1] - 1) + 1) // 64)
+                    at = (mix(tokens + _K1) >> np.uint64(32)) * np.uint64(bits) >> np.uint64(32)
                     ids.append(key)
                     ws.append(band & 15)
-                    fine.append(signatures(tokens, band + 512, many, False).astype(np.uint32).view(np.int32))
-            at = np.concatenate([[0], np.cumsum([len(f) for f in fine])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ws, pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int32), *fine])))], names=["id", "w", "fine"])
+                    ns.append(len(tokens))
+                    marks.append(np.packbits(np.bincount(at.astype(np.int64), minlength=bits) & 1 == 1).view(np.int64))
+            at = np.concatenate([[0], np.cumsum([len(m) for m in marks])]).astype(np.int32)
+            mark = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int64), *marks])))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ws, pa.int32()), pa.array(ns, pa.int64()), mark], names=["id", "w", "n", "mark"])
 
-    return texts.select("id", "text").mapInArrow(task, "id long, w int, fine array<int>")
+    return texts.select("id", "text").mapInArrow(task, "id long, w int, n long, mark array<long>")
 
 
 def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 90, width: int = 3, star_rounds: int = 2) -> DataFrame:
@@ -281,7 +271,12 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     wanted = probes.select("id").distinct()
     texts = stored(rows.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts", made)
 
+    marks = stored(_marks(texts, percent, width), "marks", made)
+    other = marks.select("w", F.col("id").alias("other"), F.col("n").alias("m"), F.col("mark").alias("marked"))
+
     fits = "100 * least(n, m) >= {p} * greatest(n, m)".format(p=percent)
+    # a bit that differs is a difference at least
+    closer = f"{100 + percent} * aggregate(zip_with(mark, marked, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= {100 - percent} * (n + m)"
     done, links, component = None, None, None
 
     def labelled() -> DataFrame:
@@ -291,7 +286,6 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     def add(pairs: DataFrame) -> None:
         nonlocal done, links, component
-        pairs = pairs.distinct()
         pairs = stored(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs", made)
         good = stored(_verified(pairs, texts, percent, width), "links", made)
         done = pairs if done is None else done.union(pairs)
@@ -300,24 +294,20 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             component = connected(links)
         release(spark)
 
+    def pair() -> list[Column]:
+        return [F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")]
+
     for turn in range(star_rounds):
         now = labelled()
         middle = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("other"), F.col("n").alias("m"), F.col("comp").alias("with"))).alias("r")).filter("lo != hi").select("sig", "r.*")
-        add(now.join(middle, "sig").filter("comp != with").filter(fits).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")))
+        near = now.join(middle, "sig").filter("comp != with").filter(fits).select("id", "other", "w").distinct()
+        add(near.join(marks, ["id", "w"]).join(other, ["other", "w"]).filter(closer).select(*pair()).distinct())
     now = labelled()
     open_ = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("sig")
-    left = stored(now.join(open_, "sig", "left_semi"), "probes", made)
-    alone = _own_tokens(texts.join(left.select("id").distinct(), "id", "left_semi"), width)
-    left = left.join(alone, "id", "left").withColumn("held", F.col("n") - F.coalesce("own", F.lit(0))).filter(f"100 * held >= {percent} * n")
-    # segments that two sets don't share each cost a difference, and of fine ones too many may differ; a pair is
-    # taken in the least of the buckets that both have chosen
-    picks = met.filter("chosen").join(left.select("id").distinct(), "id", "left_semi").groupBy("id", "w").agg(F.collect_list("sig").alias("picks"))
-    fine = _fine_segments(texts.join(left.select("id").distinct(), "id", "left_semi"), percent, width)
-    left = stored(left.join(picks, ["id", "w"]).join(fine, ["id", "w"]).select("id", "n", "sig", "comp", "held", "picks", "fine"), "probes", made)
-    other = left.select("sig", F.col("id").alias("other"), F.col("n").alias("m"), F.col("comp").alias("with"), F.col("held").alias("rest"), F.col("picks").alias("chosen"), F.col("fine").alias("finer"))
-    room = f"{100 + percent} * least(held, rest) >= {percent} * (n + m)"
-    closer = f"{100 + percent} * size(filter(zip_with(fine, finer, (x, y) -> x != y), b -> b)) <= {100 - percent} * (n + m)"
-    add(left.join(other, "sig").filter("id < other and comp != with").filter(fits).filter(room).filter("sig = array_min(array_intersect(picks, chosen))").filter(closer).select(F.col("id").alias("a"), F.col("other").alias("b")))
+    left = now.drop("n").join(open_, "sig", "left_semi").join(marks, ["id", "w"]).select("sig", "id", "n", "comp", "mark")
+    left = stored(left, "left", made)
+    right = left.select("sig", F.col("id").alias("other"), F.col("n").alias("m"), F.col("comp").alias("with"), F.col("mark").alias("marked"))
+    add(left.join(right, "sig").filter("id < other and comp != with").filter(fits).filter(closer).select(*pair()).distinct())
     discard(spark, made)
     release(spark)
     final = component.select(F.col("id").alias("rep"), F.col("component"))
