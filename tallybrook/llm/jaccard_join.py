@@ -229,7 +229,7 @@ def _marks(texts: DataFrame, percent: int, width: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(task, "id long, w int, n long, mark array<long>")
 
 
-def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 90, width: int = 3, star_rounds: int = 2) -> DataFrame:
+def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 90, width: int = 3, star_rounds: int = 5) -> DataFrame:
     """Per row: id, n_shingles (set size), component_id (smallest id reachable by links, itself included).
 
     ``id_col`` is a long and names the document: rows that share an id are one document and each keeps its
@@ -284,7 +284,7 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             return probes.withColumn("comp", F.col("id"))
         return probes.join(component, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
 
-    def add(pairs: DataFrame) -> None:
+    def add(pairs: DataFrame) -> bool:
         nonlocal done, links, component
         pairs = stored(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs", made)
         good = stored(_verified(pairs, texts, percent, width), "links", made)
@@ -293,6 +293,7 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             links = good if links is None else links.union(good)
             component = connected(links)
         release(spark)
+        return not good.isEmpty()
 
     def pair() -> list[Column]:
         return [F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")]
@@ -301,13 +302,16 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         now = labelled()
         middle = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("other"), F.col("n").alias("m"), F.col("comp").alias("with"))).alias("r")).filter("lo != hi").select("sig", "r.*")
         near = now.join(middle, "sig").filter("comp != with").filter(fits).select("id", "other", "w").distinct()
-        add(near.join(marks, ["id", "w"]).join(other, ["other", "w"]).filter(closer).select(*pair()).distinct())
+        if not add(near.join(marks, ["id", "w"]).join(other, ["other", "w"]).filter(closer).select(*pair()).distinct()):
+            break
     now = labelled()
     open_ = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("sig")
-    left = now.drop("n").join(open_, "sig", "left_semi").join(marks, ["id", "w"]).select("sig", "id", "n", "comp", "mark")
+    # a pair is taken in the least bucket that both are in: the one before which they share none
+    before = F.collect_list("sig").over(Window.partitionBy("id", "w").orderBy("sig").rowsBetween(Window.unboundedPreceding, -1))
+    left = now.drop("n").join(open_, "sig", "left_semi").join(marks, ["id", "w"]).select("sig", "id", "n", "comp", "mark", before.alias("before"))
     left = stored(left, "left", made)
-    right = left.select("sig", F.col("id").alias("other"), F.col("n").alias("m"), F.col("comp").alias("with"), F.col("mark").alias("marked"))
-    add(left.join(right, "sig").filter("id < other and comp != with").filter(fits).filter(closer).select(*pair()).distinct())
+    right = left.select("sig", F.col("id").alias("other"), F.col("n").alias("m"), F.col("comp").alias("with"), F.col("mark").alias("marked"), F.col("before").alias("earlier"))
+    add(left.join(right, "sig").filter("id < other and comp != with").filter(fits).filter(closer).filter("not arrays_overlap(before, earlier)").select(*pair()).distinct())
     discard(spark, made)
     release(spark)
     final = component.select(F.col("id").alias("rep"), F.col("component"))

@@ -190,6 +190,8 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver collect its garbage: Spark removes the shuffle files of finished queries only then."""
+    """Let the driver collect its garbage: Spark removes the shuffle files of finished queries only then. A plan hangs on
+    references of two kinds, so one collection isn't enough."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
