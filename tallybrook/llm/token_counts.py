@@ -93,15 +93,15 @@ class Encoder:
         words, offsets = e.word_ids, e.offsets
         return {offsets[i][0]: i for i in range(len(words)) if not i or words[i] != words[i - 1]}, len(words)
 
-    def count_huge(self, text: str, chunk: int, overlap: int) -> int:
-        """Tokens of one text by overlapping chunks of ``chunk + overlap`` characters."""
+    def count_huge(self, text: str, chunk: int, overlap: int) -> tuple[int, int]:
+        """Tokens of one text by overlapping chunks of ``chunk + overlap`` characters, and how many chunks were spliced."""
         while chunk + overlap < len(text):
-            total, begin, at, before = 0, 0, 0, self.starts(text[: chunk + overlap])
+            total, begin, at, before, many = 0, 0, 0, self.starts(text[: chunk + overlap]), 1
             while True:
                 heads, size = before
                 first = heads[at - begin]
                 if begin + chunk + overlap >= len(text):
-                    return total + size - first
+                    return total + size - first, many
                 nxt = begin + chunk
                 after = self.starts(text[nxt : nxt + chunk + overlap])
                 last = begin + chunk + overlap - _EDGE
@@ -110,10 +110,10 @@ class Encoder:
                     break
                 at = nxt + common
                 total += heads[at - begin] - first
-                begin, before = nxt, after
+                begin, before, many = nxt, after, many + 1
             overlap *= 4
             chunk = max(chunk, 2 * overlap)
-        return len(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+        return len(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids), 1
 
 
 def _cut_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -129,15 +129,16 @@ def _cut_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def _count_block(encoder: Encoder, column: pa.Array, huge: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+def _count_block(encoder: Encoder, column: pa.Array, huge: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, offsets = buffer_of(column)
     sizes = np.diff(offsets)
+    chunks = np.ones(len(sizes), dtype=np.int64)
     tokens = np.zeros(len(sizes), dtype=np.int64)
     long = sizes > huge
     if long.any():  # bytes first: characters are no more
         for row in np.flatnonzero(long):
             text = column[int(row)].as_py()
-            tokens[row] = encoder.count_huge(text, huge, overlap) if len(text) > huge else -1
+            tokens[row], chunks[row] = encoder.count_huge(text, huge, overlap) if len(text) > huge + overlap else (-1, 1)
         long &= tokens >= 0
         short = np.flatnonzero(~long)
         column = column.take(pa.array(short))
@@ -152,11 +153,12 @@ def _count_block(encoder: Encoder, column: pa.Array, huge: int, overlap: int) ->
         total = np.concatenate([[0], np.cumsum(counts)])
         edges = np.searchsorted(starts, offsets)
         tokens[short] = total[edges[1:]] - total[edges[:-1]]
-    return sizes, tokens
+    return sizes, tokens, chunks
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, huge_chars: int = 65_536, overlap_chars: int = 512) -> DataFrame:
-    """Per row: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > ``limit``).
+def count_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, huge_chars: int = 4_096, overlap_chars: int = 128) -> DataFrame:
+    """Per row: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > ``limit``), n_chunks (overlapping chunks that were
+    spliced; 1 for a text of at most ``huge_chars`` + ``overlap_chars`` characters).
 
     ``tokenizer`` is the path of a byte-level BPE file of the ``tokenizers`` library,
     readable on every executor.  No begin, end or added special tokens; special
@@ -168,10 +170,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.at(tokenizer)
         for block in blocks(batches, "text", _BLOCK):
-            sizes, tokens = _count_block(encoder, block.column("text"), huge_chars, overlap_chars)
-            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(sizes), pa.array(tokens), pa.array(tokens > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
+            sizes, tokens, chunks = _count_block(encoder, block.column("text"), huge_chars, overlap_chars)
+            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(sizes), pa.array(tokens), pa.array(tokens > limit), pa.array(chunks)], names=[id_col, "n_bytes", "n_tokens", "over_limit", "n_chunks"])
 
     small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(task, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(task, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean, n_chunks long")
