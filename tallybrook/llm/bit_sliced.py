@@ -96,7 +96,7 @@ class SlicedIndex:
         return np.concatenate([rows(sure), rows(maybe)[:need]])
 
 
-def top_k(frame: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, every: int = 50, scale: int = 256, block_rows: int = 32_768, block_queries: int = 256) -> DataFrame:
+def top_k(frame: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, every: int = 50, scale: int = 256, block_rows: int = 32_768, block_queries: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score (long) of the ``k`` largest integer inner products of each query with all other ids.
 
     Queries are the rows whose id is divisible by ``every``; ties go to the smaller id; fewer candidates give fewer

@@ -4,10 +4,10 @@ Largest inner product becomes smallest angle by one more component that brings e
 row to the largest norm (0 for queries).  Codes are signs after rotations learned by
 iterative quantisation (alternating signs and the orthogonal Procrustes solution) on a
 bounded sample; several rotations fill the code when vectors are short.  A code is cut
-into 16-bit substrings and each block of rows keeps, for each substring, its occupied
-values with their rows.  Two codes within radius r agree up to floor(r / m) bits in some
-substring of m (pigeonhole, with the remainder shared out), so probing the occupied
-values within that distance retrieves every code within the radius; those that are
+into 16-bit substrings and each block of rows keeps, for each substring, a table from its
+values to their rows.  Two codes within radius r agree up to floor(r / m) bits in some
+substring of m (pigeonhole, with the remainder shared out), so looking up
+the values within that distance retrieves every code within the radius; those that are
 really within it are ranked by the exact inner product of the original vectors.
 
 The radius is calibrated on the sample so that a stated share of true neighbours is
@@ -24,9 +24,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallybrook.llm.text import ranges, small_batches
 from tallybrook.llm.vectors import dimension, matrix, top_by_blocks, usable
 
 _POPCOUNT = np.bitwise_count(np.arange(1 << 16, dtype=np.uint16))
+#: All 16-bit masks by number of bits, and how many have at most so many.
+_MASKS = np.argsort(_POPCOUNT, kind="stable").astype(np.uint16)
+_UP_TO = np.cumsum(np.bincount(_POPCOUNT))
+
+#: A matrix product differs from the sum of a row's products by less than this, for vectors of norm 1.
+_ROUNDING = 1e-12
 
 
 @dataclass
@@ -77,37 +84,42 @@ def fit(sample: np.ndarray, norm: float, *, bits: int, k: int, target: float, se
 
 
 class MultiIndex:
-    """For each substring: occupied values, and the rows of each value."""
+    """For each substring: rows in order of its value, and where each value's rows begin."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
         self.wide = np.ascontiguousarray(codes).view(np.uint64)
-        self.tables = []
-        for j in range(codes.shape[1]):
-            order = np.argsort(codes[:, j], kind="stable")
-            values, first = np.unique(codes[order, j], return_index=True)
-            self.tables.append((values, first, np.diff(np.append(first, len(order))), order))
+        self.orders = [np.argsort(codes[:, j], kind="stable") for j in range(codes.shape[1])]
+        self.starts = [np.concatenate([[0], np.cumsum(np.bincount(codes[:, j], minlength=1 << 16))]) for j in range(codes.shape[1])]
+        self.values = [np.flatnonzero(np.diff(s)).astype(np.uint16) for s in self.starts]
+        self.probed = 0
+
+    def probes(self, j: int, value: np.uint16, reach: int) -> np.ndarray:
+        """Values of substring j within ``reach`` bits: each is looked up, unless fewer values than that occur at all."""
+        if reach < 0:
+            return self.values[j][:0]
+        if _UP_TO[min(reach, 16)] <= len(self.values[j]):
+            return value ^ _MASKS[: _UP_TO[min(reach, 16)]]
+        return self.values[j][_POPCOUNT[self.values[j] ^ value] <= reach]
 
     def distance(self, rows: np.ndarray | slice, code: np.ndarray) -> np.ndarray:
         return np.bitwise_count(self.wide[rows] ^ code.view(np.uint64)).sum(axis=1, dtype=np.int64)
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Rows whose code is within the radius: probe each substring, then check whole codes."""
-        m = len(self.tables)
+        m = len(self.orders)
         near, share = divmod(radius, m)
         hit = np.zeros(len(self.codes), dtype=bool)
-        for j, (values, first, sizes, order) in enumerate(self.tables):
-            reach = near if j <= share else near - 1
-            probed = np.flatnonzero(_POPCOUNT[values ^ code[j]] <= reach)
-            if len(probed):
-                starts, lengths = first[probed], sizes[probed]
-                before = np.cumsum(lengths) - lengths
-                hit[order[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]] = True
+        for j in range(m):
+            probed = self.probes(j, code[j], near if j <= share else near - 1).astype(np.int64)
+            first, lengths = self.starts[j][probed], self.starts[j][probed + 1] - self.starts[j][probed]
+            hit[self.orders[j][ranges(first, lengths)]] = True
         rows = np.flatnonzero(hit)
+        self.probed += len(rows)
         return rows[self.distance(rows, code) <= radius]
 
 
-def neighbours(frame: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, bits: int = 256, target: float = 0.98, sample_rows: int = 8192, block_rows: int = 16_384, block_queries: int = 1024) -> DataFrame:
+def neighbours(frame: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, bits: int = 256, target: float = 0.98, sample_rows: int = 8192, block_rows: int = 16_384, block_queries: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score (double) of the ``k`` largest inner products found for each query among all other ids.
 
     Queries are the rows whose id is divisible by ``every``; ties go to the smaller id; fewer candidates give fewer
@@ -118,6 +130,7 @@ def neighbours(frame: DataFrame, *, id_col: str = "vec_id", vector_col: str = "e
     """
     if bits % 64:
         raise ValueError("bits must be a multiple of 64")
+    small_batches(frame.sparkSession)
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     rows = usable(frame, id_col, vector_col).withColumn("norm", norm).filter("norm > 0")
     d = dimension(rows)
@@ -138,10 +151,10 @@ def neighbours(frame: DataFrame, *, id_col: str = "vec_id", vector_col: str = "e
                 far[ids == query] = np.iinfo(np.int64).max
                 others = len(ids) - int((ids == query).any())
                 near = np.flatnonzero(far <= np.partition(far, min(k, others) - 1)[min(k, others) - 1]) if others else near[:0]
-            scores = x[near] @ vector
             if len(near) > 4 * k:
-                top = np.partition(scores, len(scores) - k)[len(scores) - k]
-                near, scores = near[scores >= top], scores[scores >= top]
+                rough = x[near] @ vector
+                near = near[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - _ROUNDING * coder.norm**2]
+            scores = (x[near] * vector).sum(axis=1)  # row by row, so equal rows have equal scores in every block
             best = np.lexsort((ids[near], -scores))[:k]
             out[0].extend([query] * len(best))
             out[1].extend(ids[near[best]].tolist())

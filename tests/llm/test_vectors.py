@@ -1,10 +1,15 @@
+import os
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tallybrook.llm import bit_sliced, mixing, multi_index
 from tallybrook.llm.components import connected
+from tallybrook.llm.queries import queries
+
+FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
 KIND = "vec_id long, embedding array<float>"
 
@@ -65,6 +70,44 @@ def test_neighbours_recall_and_scores(spark):
     assert np.mean(hits) >= 0.9 and set(got) == set(range(0, 1500, 20))
 
 
+def test_equal_vectors_tie_in_every_block(spark):
+    x = np.random.default_rng(8).standard_normal((600, 33))
+    x[100:400] = x[100]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for block_rows in (47, 90, 1000):
+        got = grouped(multi_index.neighbours(frame, k=20, every=20, block_rows=block_rows, block_queries=11))
+        for q in range(100, 400, 20):
+            assert [i for i, _ in got[q]] == [i for i in range(100, 400) if i != q][:20] and len({s for _, s in got[q]}) == 1
+
+
+def test_lookups_on_structured_codes():
+    r = np.random.default_rng(1)
+    centres = r.integers(0, 1 << 16, (200, 16)).astype(np.uint16)
+    codes = np.repeat(centres, 50, axis=0)
+    for _ in range(6):
+        codes[np.arange(len(codes)), r.integers(0, 16, len(codes))] ^= (1 << r.integers(0, 16, len(codes))).astype(np.uint16)
+    index = multi_index.MultiIndex(codes)
+    for q in range(0, 10_000, 500):
+        far = np.bitwise_count(codes ^ codes[q]).sum(axis=1)
+        assert index.within(codes[q], 16).tolist() == np.flatnonzero(far <= 16).tolist()
+    assert index.probed < 20 * len(codes) / 20
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_registered_search_against_brute_force(spark):
+    rows = spark.read.parquet(f"{FOLDER}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=np.float64)
+    got = grouped(queries()["op8_nearest"](spark, FOLDER))
+    assert set(got) == {int(i) for i in ids if i % 20 == 0}
+    hits = []
+    for q, found in got.items():
+        scores = (x * x[ids == q][0]).sum(axis=1)
+        order = [i for i in np.lexsort((ids, -scores)) if ids[i] != q][:20]
+        hits.append(len({int(ids[i]) for i in order} & {i for i, _ in found}) / 20)
+        assert found == sorted(found, key=lambda p: (-p[1], p[0])) and all(s == scores[ids == i][0] for i, s in found)
+    assert np.mean(hits) >= 0.9
+
+
 def test_neighbours_small_tables(spark):
     assert multi_index.neighbours(spark.createDataFrame([], KIND)).count() == 0
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.0, 0.0])], KIND)
