@@ -156,7 +156,7 @@ def _count_block(encoder: Encoder, column: pa.Array, huge: int, overlap: int) ->
     return sizes, tokens, chunks
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, huge_chars: int = 4_096, overlap_chars: int = 128) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, huge_chars: int = 8_192, overlap_chars: int = 256) -> DataFrame:
     """Per row: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > ``limit``), n_chunks (overlapping chunks that were
     spliced; 1 for a text of at most ``huge_chars`` + ``overlap_chars`` characters).
 
