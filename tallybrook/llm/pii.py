@@ -4,13 +4,15 @@ The base finds e-mail addresses, IPs, cards and phones by fixed patterns.  The C
 scores *segments* (runs of tokens) by features of the whole segment and of its
 neighbours, and a forward dynamic program over segments of bounded length picks
 boundaries and kinds jointly.  It is trained here by conditional likelihood on
-windows of a bounded sample of documents, labelled by the base patterns; windows
-are cut around digits runs and at-signs, and text outside them is label O.
-Spans of the CRF that overlap no base span are added; base spans always stay.
+windows of a bounded sample of documents, labelled by the base patterns, and on the same
+windows with their spans written another way (spelt-out marks, other separators), so that it
+finds what the base can't.  Windows are cut around digits and at-marks; text outside them is
+label O.  An entity has at most 24 tokens and 24 digits.  Spans of the CRF that overlap no base span are added; base spans always stay.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import zlib
@@ -27,17 +29,24 @@ from tallybrook.llm.text import blocks, small_batches
 # The kinds and their base patterns.
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A leftmost match never begins inside a run of digits, so only heads of runs are tried.
+_IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 #: Every ip, card and phone match lies inside one of these.
 _ZONE = re.compile(r"[0-9+][+ ().0-9-]{6,}")
-_TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|\s|[^\sA-Za-z0-9]")
+#: What the CRF looks at: digits with other separators too, and at-marks, spelt out or not.
+_WIDE = re.compile(r"[0-9+][+ ()./_\[\]0-9-]{6,}")
+_AT = re.compile(r"@|[(\[{] ?at ?[)\]}]")
+_DOT = re.compile(r"[(\[{] ?dot ?[)\]}]|\[\.\]")
+_TOKEN = re.compile(r"@|[(\[{] ?(?:at|dot) ?[)\]}]|\[\.\]|[0-9]+|[A-Za-z]+|\s|[^\sA-Za-z0-9]")
 _DIM = 1 << 12
-_MAX_TOKENS = 24
-_WINDOW = 48
+#: Bounds of an entity, by which the dynamic program is a bounded one: tokens and digits.
+_MAX_TOKENS, _MAX_DIGITS = 24, 24
+_WINDOW = 24
+_JOINS = frozenset("0123456789./_-")
 
 Span = tuple[str, int, int]
 
@@ -85,12 +94,8 @@ def base_spans(text: str) -> list[Span]:
 
 def windows(text: str) -> list[tuple[int, int]]:
     """Stretches that may hold personal data, disjoint and in order; the rest of the text is label O."""
-    spots = [(m.start(), m.end()) for m in _ZONE.finditer(text) if sum("0" <= c <= "9" for c in m.group()) >= 6]
-    for mark in ("@", "(at)", "[at]"):
-        at = text.find(mark)
-        while at >= 0:
-            spots.append((at, at + len(mark)))
-            at = text.find(mark, at + len(mark))
+    spots = [(m.start(), m.end()) for m in _WIDE.finditer(text) if sum("0" <= c <= "9" for c in m.group()) >= 4]
+    spots += [(m.start(), m.end()) for m in _AT.finditer(text)]
     out: list[list[int]] = []
     for a, b in sorted(spots):
         a, b = max(0, a - _WINDOW), min(len(text), b + _WINDOW)
@@ -114,42 +119,63 @@ def _features(text: str, a: int, b: int) -> np.ndarray:
     s = text[a:b]
     d = _digits(s)
     groups = [len(g) for g in re.findall(r"[0-9]+", s)]
-    at = "@" in s or "(at)" in s or "[at]" in s
+    at, dots = _AT.search(s) is not None, len(_DOT.findall(s)) or s.count(".")
     names = [
-        "bias", f"nd{min(len(d), 20)}", f"len{min(len(s) // 3, 12)}", f"at{at}", f"plus{s[0] == '+'}", f"dots{min(s.count('.'), 5)}", f"alpha{any(c.isalpha() for c in s)}",
+        "bias", f"nd{min(len(d), 20)}", f"len{min(len(s) // 3, 12)}", f"at{at}", f"plus{s[0] == '+'}", f"dots{min(dots, 5)}", f"alpha{any(c.isalpha() for c in s)}",
         f"space{' ' in s}", f"luhn{13 <= len(d) <= 19 and luhn(d)}", f"groups{'-'.join(map(str, groups[:6]))}", f"ng{min(len(groups), 8)}", f"first{_kind_of(s[0])}", f"last{_kind_of(s[-1])}",
         f"left{_kind_of(text[a - 1]) if a else '^'}", f"right{_kind_of(text[b]) if b < len(text) else '$'}", f"octets{len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in re.findall('[0-9]+', s))}",
-        f"tail{at and bool(re.search(r'[.][A-Za-z]{2,10}$', s))}", f"pure{bool(re.fullmatch(r'[0-9.]+', s))}",
+        f"tail{at and bool(re.search(r'([.]|[(\[{] ?dot ?[)\]}])[A-Za-z]{2,10}$', s))}", f"pure{bool(re.fullmatch(r'[0-9.]+', s))}", f"spelt{at and '@' not in s}",
+        f"marks{''.join(sorted({c for c in s if not c.isalnum()}))[:6]}", f"even{len(groups)}{len(set(groups)) == 1}",
     ]
     return np.array([_slot(n) for n in names])
 
 
-def segments(text: str) -> tuple[list[int], list[tuple[int, int, np.ndarray]]]:
-    """Token bounds of a window, and its candidate segments (token from, to, features).
+def candidates(text: str) -> tuple[list[int], Iterator[tuple[int, int, np.ndarray]]]:
+    """Token bounds of a window, and its candidate segments (token from, to, features) in order of their first token.
 
-    A candidate begins and ends at a letter, digit, '+' or '(' and holds a digit run or an at-sign;
-    it has at most _MAX_TOKENS tokens, and at most two spaces in a row never occur in it.
+    A candidate begins and ends at a letter, digit, '+' or '(' and holds an at-mark, or digits: six, or four with three
+    dots. It has at most _MAX_TOKENS tokens and _MAX_DIGITS digits, no two spaces in a row, and isn't part of a longer
+    run of characters joined by dots, slashes and the like.
     """
     tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
-    bounds = [t[0] for t in tokens] + [len(text)]
-    out = []
-    for i, (a, _) in enumerate(tokens):
-        if not (text[a].isalnum() or text[a] in "+("):
-            continue
-        digits, at = 0, False
-        for j in range(i, min(len(tokens), i + _MAX_TOKENS)):
-            x, y = tokens[j]
-            piece = text[x:y]
-            if piece.isspace() and (piece != " " or text[y : y + 1].isspace()):
-                break
-            at = at or piece == "@" or text[a:y].endswith(("(at)", "[at]"))
-            if "0" <= piece[0] <= "9":
-                digits += y - x
-            elif piece.isalpha() and not at and digits and " " in text[a:x]:
-                break
-            if piece.isalnum() and (digits >= 6 and not any(c.isalpha() for c in text[a:y]) or at and " " not in text[a:y].replace(" (at) ", "").replace(" [at] ", "")):
-                out.append((i, j + 1, _features(text, a, y)))
-    return bounds, out
+
+    def found() -> Iterator[tuple[int, int, np.ndarray]]:
+        for i, (a, _) in enumerate(tokens):
+            if not (text[a].isalnum() or text[a] in "+(" and not _AT.match(text, a)) or a and text[a - 1] in _JOINS:
+                continue
+            digits = dots = 0
+            at = alpha = space = False
+            for j in range(i, min(len(tokens), i + _MAX_TOKENS)):
+                x, y = tokens[j]
+                piece = text[x:y]
+                if piece.isspace():
+                    if piece != " " or at or text[y : y + 1].isspace():
+                        break
+                    space = True
+                elif _AT.fullmatch(piece):
+                    if at or space:
+                        break
+                    at = True
+                elif piece == "." or _DOT.fullmatch(piece):
+                    dots += 1
+                elif "0" <= piece[0] <= "9":
+                    digits += y - x
+                    if digits > _MAX_DIGITS and not at:
+                        break
+                elif piece.isalpha():
+                    if space or not at and y < len(text) and text[y].isspace():
+                        break
+                    alpha = True
+                if piece.isalnum() and not (text[y : y + 1] in _JOINS and text[y + 1 : y + 2].isalnum()) and (at if alpha or at else digits >= 6 or digits >= 4 and dots >= 3):
+                    yield i, j + 1, _features(text, a, y)
+
+    return [t[0] for t in tokens] + [len(text)], found()
+
+
+def segments(text: str) -> tuple[list[int], list[tuple[int, int, np.ndarray]]]:
+    """``candidates`` as a list."""
+    bounds, found = candidates(text)
+    return bounds, list(found)
 
 
 @dataclass
@@ -167,47 +193,79 @@ class Model:
         return np.array([self.emit[:, f].sum(axis=1) for _, _, f in segs]) if segs else np.zeros((0, len(KINDS)))
 
 
-def _forward(n: int, segs: list, scores: np.ndarray, move: np.ndarray, best: bool):
-    """Log sums (or maxima) of all labelled segmentations up to each token, by the last label."""
+def _forward(n: int, segs: list, scores: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Log sums of all labelled segmentations up to each token, by the last label."""
     k = len(KINDS) + 1
     table = np.full((n + 1, k), -np.inf)
     table[0, 0] = 0.0
-    back: dict[tuple[int, int], tuple[int, int, int]] = {}
     ending: dict[int, list[int]] = {}
     for x, (_, j, _) in enumerate(segs):
         ending.setdefault(j, []).append(x)
-    merge = np.max if best else (lambda v: np.logaddexp.reduce(v))
     for j in range(1, n + 1):
-        came = table[j - 1] + move[:, 0]
-        table[j, 0] = merge(came)
-        if best:
-            back[j, 0] = (j - 1, int(np.argmax(came)), -1)
+        table[j, 0] = np.logaddexp.reduce(table[j - 1] + move[:, 0])
         for x in ending.get(j, ()):
-            came = table[segs[x][0]][:, None] + move[:, 1:] + scores[x][None, :]
-            value = came.max(axis=0) if best else np.logaddexp.reduce(came, axis=0)
-            for y in range(k - 1):
-                if best:
-                    if value[y] > table[j, y + 1]:
-                        table[j, y + 1] = value[y]
-                        back[j, y + 1] = (segs[x][0], int(np.argmax(came[:, y])), x)
-                else:
-                    table[j, y + 1] = np.logaddexp(table[j, y + 1], value[y])
-    return table, back
-
-
-def decode(model: Model, bounds: list[int], segs: list) -> list[Span]:
-    """The best labelled segmentation's entities."""
-    n = len(bounds) - 1
-    table, back = _forward(n, segs, model.scores(segs), model.move, True)
+            value = np.logaddexp.reduce(table[segs[x][0]][:, None] + move[:, 1:] + scores[x][None, :], axis=0)
+            table[j, 1:] = np.logaddexp(table[j, 1:], value)
+    return table
+
+
+def decode(model: Model, bounds: list[int], segs) -> list[Span]:
+    """The best labelled segmentation's entities. Segments come in order of their first token and are scored as they
+    come, so memory is a few numbers a token, however long the window is."""
+    n, k = len(bounds) - 1, len(KINDS) + 1
+    table = np.full((n + 1, k), -np.inf)
+    table[0, 0] = 0.0
+    came_from, came_by = np.zeros((n + 1, k), dtype=np.int32), np.zeros((n + 1, k), dtype=np.int8)
+    segs, place = iter(segs), 0
+    seg = next(segs, None)
+    while place < n:
+        step = table[place][:, None] + model.move
+        by, top = step.argmax(axis=0), step.max(axis=0)
+        if top[0] > table[place + 1, 0]:
+            table[place + 1, 0], came_from[place + 1, 0], came_by[place + 1, 0] = top[0], place, by[0]
+        while seg is not None and seg[0] == place:
+            value = top[1:] + model.emit[:, seg[2]].sum(axis=1)
+            better = np.flatnonzero(value > table[seg[1], 1:])
+            table[seg[1], better + 1] = value[better]
+            came_from[seg[1], better + 1], came_by[seg[1], better + 1] = place, by[better + 1]
+            seg = next(segs, None)
+        place += 1
     j, y, out = n, int(np.argmax(table[n])), []
     while j > 0:
-        i, before, x = back[j, y]
-        if x >= 0:
-            out.append((KINDS[y - 1], bounds[i], bounds[j]))
-        j, y = i, before
+        if y:
+            out.append((KINDS[y - 1], bounds[came_from[j, y]], bounds[j]))
+        j, y = int(came_from[j, y]), int(came_by[j, y])
     return out[::-1]
 
 
+def spelt(text: str, spans: list[Span], turn: int) -> tuple[str, list[Span]] | None:
+    """The window with its spans written another way, which the base patterns don't match; None without spans."""
+    if not spans:
+        return None
+    out, at, moved = [], 0, []
+    marks = ((" (at) ", "."), ("(at)", "."), ("[at]", "[dot]"), ("[at]", "."), ("(at)", "(dot)"))[turn % 5]
+    for kind, a, b in sorted(spans, key=lambda s: s[1]):
+        if a < at:
+            return None
+        s = text[a:b]
+        if kind == "email":
+            s = s.replace("@", marks[0].strip()).replace(".", marks[1])
+        elif kind == "ip":
+            s = s.replace(".", ("[.]", "(dot)", "[dot]")[turn % 3])
+        elif kind == "card":
+            d = _digits(s)
+            s = ("/", ".", "_")[turn % 3].join(d[i : i + 4] for i in range(0, len(d), 4))
+        else:
+            d = _digits(s)
+            s = (f"00{d[:-7]}/{d[-7:-4]}/{d[-4:]}", f"({d[-10:-7]}) {d[-7:-4]}-{d[-4:]}", f"+{d[:-7]}/{d[-7:-4]}.{d[-4:]}")[turn % 3]
+        out.append(text[at:a])
+        start = sum(map(len, out))
+        out.append(s)
+        moved.append((kind, start, start + len(s)))
+        at = b
+    return "".join([*out, text[at:]]), moved
+
+
 def train(examples: list[tuple[str, list[Span]]], *, epochs: int = 6, rate: float = 0.3, decay: float = 1e-3) -> Model:
     """Conditional likelihood by gradient steps (Adagrad) over labelled windows; order of examples is fixed."""
     model = Model.zero()
@@ -228,7 +286,7 @@ def train(examples: list[tuple[str, list[Span]]], *, epochs: int = 6, rate: floa
     for _ in range(epochs):
         for n, segs, gold in ready:
             scores = model.scores(segs)
-            fwd, _ = _forward(n, segs, scores, model.move, False)
+            fwd = _forward(n, segs, scores, model.move)
             whole = np.logaddexp.reduce(fwd[n])
             bwd = np.full((n + 1, k), -np.inf)
             bwd[n] = 0.0
@@ -273,11 +331,10 @@ def find(text: str, model: Model | None) -> tuple[list[Span], list[Span]]:
         taken = sorted((a, b) for _, a, b in base)
         for a, b in windows(text):
             piece = text[a:b]
-            bounds, segs = segments(piece)
-            if segs:
-                for kind, x, y in decode(model, bounds, segs):
-                    if not any(p < a + y and a + x < q for p, q in taken):
-                        extra.append((kind, a + x, a + y))
+            for kind, x, y in decode(model, *candidates(piece)):
+                near = bisect.bisect_left(taken, (a + x, 0))
+                if not any(p < a + y and a + x < q for p, q in taken[max(0, near - len(KINDS)) : near + len(KINDS)]):
+                    extra.append((kind, a + x, a + y))
     return base, extra
 
 
@@ -310,7 +367,9 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sa
     rest = rows.filter("spans = ''").orderBy("h", "a", "window").limit(sample_windows // 2).collect()
     picked = {(r.h, r.a, r.window): r for r in [*got, *rest]}
     parse = lambda s: [(k, int(a), int(b)) for k, a, b in (p.split(":") for p in s.split(","))] if s else []
-    return train([(r.window, parse(r.spans)) for _, r in sorted(picked.items())])
+    examples = [(r.window, parse(r.spans)) for _, r in sorted(picked.items())]
+    # each window of personal data once more, its spans written as the base doesn't know them
+    return train(examples + [x for turn, (t, spans) in enumerate(examples) if (x := spelt(t, spans, turn))])
 
 
 def _joined(spans: list[Span]) -> str:
