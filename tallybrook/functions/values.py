@@ -22,6 +22,15 @@ def cosine_similarity(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot / norm)
 
 
+# The characters that count as white space at a text's ends.
+WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def strip(text: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(text, rf"\A{WHITE}+|{WHITE}+\z", "")
+
+
 def falsy_coalesce(value: Column, default: Column) -> Column:
     """The value, or the default where it is null or an empty string."""
     return F.coalesce(F.nullif(value, F.lit("")), default)

@@ -30,9 +30,9 @@ def status_filter(status: str) -> Column:
 def period_filter(days: int | None, hours: int | None, as_of: Column | None = None) -> Column:
     """Created within the period before ``as_of`` (now by default); hours win over days; neither is no filter."""
     now = as_of if as_of is not None else F.current_timestamp()
-    if hours:
+    if hours is not None:
         return F.col("created_at") >= now - F.make_interval(hours=F.lit(hours))
-    if days:
+    if days is not None:
         return F.col("created_at") >= now - F.make_interval(days=F.lit(days))
     return F.lit(True)
 

@@ -36,17 +36,17 @@ def vectors_present(rows: DataFrame) -> DataFrame:
 
 def _unit(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Vectors and their norms as doubles."""
-    x = np.array(column.to_pylist(), dtype=np.float64)
+    x = np.asarray(column.combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(column), -1)
     return x, np.sqrt((x * x).sum(axis=1))
 
 
-def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *, least: str | None = None, bound: str | None = None, block_rows: int = _BLOCK_ROWS, block_queries: int = _BLOCK_QUERIES) -> DataFrame:
+def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *, least: str | None = None, bound: str | None = None, others: bool = False, block_rows: int = _BLOCK_ROWS, block_queries: int = _BLOCK_QUERIES) -> DataFrame:
     """Queries (query_id, vector) x corpus (item_id, vector) -> (query_id, item_id, similarity, rank), k nearest each.
 
     Exact: both sides are dealt into blocks by a hash of the id, each pair of blocks is one bounded group that keeps k
     rows a query, and only those are ranked. Null, empty and zero vectors take no part; ties go to the smaller item.
     With ``least`` (a column of queries) and ``bound`` (of corpus), items whose bound is less take no part for that query;
-    null on either side is no limit.
+    null on either side is no limit. With ``others`` an item is no neighbour of the query of the same id.
     """
     norm = _norm("vector")
     limit = lambda name: F.lit(None).cast("double") if name is None else F.col(name).cast("double")
@@ -64,9 +64,12 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *, least: str | None
             sims = np.round((y @ x.T) / (ny[:, None] * nx[None, :]), 12)  # equal vectors are ties, whatever the order of sums
             low, high = (np.array(v.to_pylist(), dtype=np.float64) for v in (asked.column("least"), items.column("bound")))  # null is NaN
             sims[high[None, :] < low[:, None]] = -np.inf
+            if others:
+                sims[asked.column("query_id").to_numpy()[:, None] == items.column("item_id").to_numpy()[None, :]] = -np.inf
             for i in range(len(y)):
-                best = np.argsort(-sims[i], kind="stable")[:k]
-                best = best[sims[i][best] > -np.inf]
+                least_of = np.partition(sims[i], max(len(x) - k, 0))[max(len(x) - k, 0)]
+                best = np.flatnonzero((sims[i] >= least_of) & (sims[i] > -np.inf))
+                best = best[np.argsort(-sims[i][best], kind="stable")[:k]]
                 got[0].append(np.full(len(best), i))
                 got[1].append(best)
                 got[2].append(sims[i][best])
@@ -124,21 +127,21 @@ def rank_neighbours(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def similarity_join(queries: DataFrame, corpus: DataFrame, threshold: float = CANDIDATE_THRESHOLD, k: int = CANDIDATE_K) -> DataFrame:
+def similarity_join(queries: DataFrame, corpus: DataFrame, threshold: float = CANDIDATE_THRESHOLD, k: int = CANDIDATE_K, *, others: bool = False) -> DataFrame:
     """The k nearest that are more similar than the threshold, strictly."""
-    return knn_join(queries, corpus, k).filter(F.col("similarity") > threshold)
+    return knn_join(queries, corpus, k, others=others).filter(F.col("similarity") > threshold)
 
 
-def knn_with_fallback(queries: DataFrame, corpus: DataFrame, threshold: float = CANDIDATE_THRESHOLD, k: int = CANDIDATE_K) -> DataFrame:
+def knn_with_fallback(queries: DataFrame, corpus: DataFrame, threshold: float = CANDIDATE_THRESHOLD, k: int = CANDIDATE_K, *, others: bool = False) -> DataFrame:
     """``similarity_join``; a query of action update or close that has none above the threshold gets its k nearest.
     Queries carry an ``action``. One search serves both."""
-    found = knn_join(queries, corpus, k).join(queries.select("query_id", "action"), "query_id")
+    found = knn_join(queries, corpus, k, others=others).join(queries.select("query_id", "action"), "query_id")
     best = F.max("similarity").over(Window.partitionBy("query_id"))
     keep = (F.col("similarity") > threshold) | ((F.col("best") <= threshold) & F.col("action").isin("update", "close"))
     return found.withColumn("best", best).filter(keep).drop("best", "action")
 
 
-def ann_join(queries: DataFrame, corpus: DataFrame, k: int, *, lists: int = MESSAGE_LISTS, probes: int = 10, sample_rows: int = 20_000, seed: int = 7) -> DataFrame:
+def ann_join(queries: DataFrame, corpus: DataFrame, k: int, *, lists: int = MESSAGE_LISTS, probes: int = 10, others: bool = False, sample_rows: int = 20_000, seed: int = 7) -> DataFrame:
     """Approximate ``knn_join`` by inverted lists: k-means centres learnt on a bounded sample of the corpus, every row
     put into the list of its nearest centre, a query looking into its ``probes`` nearest lists (an equi-join)."""
     corpus, queries = corpus.filter(_norm("vector") > 0), queries.filter(_norm("vector") > 0)
@@ -151,13 +154,16 @@ def ann_join(queries: DataFrame, corpus: DataFrame, k: int, *, lists: int = MESS
         def lists_of(vectors):
             import pandas as pd
 
-            return pd.Series([np.argsort(-(centres @ np.asarray(v, dtype=np.float64)), kind="stable")[:many].astype(np.int32) for v in vectors])
+            near = np.stack(vectors.to_list()).astype(np.float64) @ centres.T if len(vectors) else np.zeros((0, len(centres)))
+            return pd.Series(list(np.argsort(-near, axis=1, kind="stable")[:, :many].astype(np.int32)))
 
         return lists_of(F.col(column))
 
     rows = corpus.select("item_id", "vector", F.explode(nearest("vector", 1)).alias("list"))
     asked = queries.select("query_id", F.col("vector").alias("asked"), F.explode(nearest("vector", min(probes, len(centres)))).alias("list"))
     found = rows.join(asked, "list").select("query_id", "item_id", cosine_similarity(F.col("asked"), F.col("vector")).alias("similarity")).filter("similarity is not null")
+    if others:
+        found = found.filter("query_id != item_id")
     return rank_neighbours(found, k)
 
 

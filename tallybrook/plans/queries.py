@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from tallybrook.functions import values as fv
 from tallybrook.operators import analytics as an
@@ -195,14 +194,14 @@ def _raw_events(s, d) -> DataFrame:
     e = fr.read(s, d, "events")
     kind = F.when(F.col("event_type").isin("signup", "view"), "created").when(F.col("event_type") == "error", "deleted").when(F.col("event_type") == "click", "updated").otherwise("other")
     name = F.when(F.col("event_id") % 13 != 0, F.concat(F.lit("m"), F.col("user_id").cast("string")))
-    text = F.when(F.col("event_id") % 7 != 0, F.col("props")).otherwise("  ")
+    text = F.when(F.col("event_id") % 7 == 0, "\n\t \u00a0").when(F.col("event_id") % 5 == 0, F.concat(F.lit(" \t"), "props", F.lit("\u3000\n"))).otherwise(F.col("props"))
     message = F.struct(name.alias("name"), F.lit("2024-01-01T00:00:00Z").alias("createTime"), text.alias("text"), F.struct(F.col("user_id").cast("string").alias("name"), F.lit("u").alias("displayName")).alias("sender"), F.struct((F.col("user_id") % 10).cast("string").alias("name")).alias("space"))
     body = F.to_json(F.struct(F.concat(F.lit("google.workspace.chat.message.v1."), kind).alias("type"), message.alias("message")))
     data = F.when(F.col("event_id") % 11 == 0, F.lit("not json")).otherwise(body)
     return e.select("event_id", F.to_json(F.struct(F.struct(F.base64(data.cast("binary")).alias("data"), F.col("event_id").cast("string").alias("messageId")).alias("message"))).alias("value"))
 
 
-_EV = f"""WITH X AS (SELECT event_id, {_TYPE} AS change, CASE WHEN event_id % 13 <> 0 THEN 'm' || user_id END AS message_id, CASE WHEN event_id % 7 <> 0 THEN props ELSE '  ' END AS text, event_id % 11 = 0 AS broken, user_id FROM events)"""
+_EV = f"""WITH X AS (SELECT event_id, {_TYPE} AS change, CASE WHEN event_id % 13 <> 0 THEN 'm' || user_id END AS message_id, CASE WHEN event_id % 7 <> 0 THEN props ELSE '' END AS text, event_id % 11 = 0 AS broken, user_id FROM events)"""
 
 
 @_query(_EV + " SELECT event_id, change, message_id, text, CAST(user_id % 10 AS VARCHAR) AS space_id FROM X WHERE NOT broken AND change <> 'other' AND message_id IS NOT NULL AND (trim(text) <> '' OR change = 'deleted')")
@@ -355,15 +354,14 @@ def thread_expand(s, d):
 # Vectors
 
 
-def _vectors(s, d, *, all_rows: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The stated query set, ids divisible by 50, and the rows that aren't queries, or all rows."""
+def _vectors(s, d) -> tuple[DataFrame, DataFrame]:
+    """The stated query set, ids divisible by 50, and all rows; a search leaves out the query's own."""
     v = fr.read(s, d, "embeddings")
-    items = v if all_rows else v.filter("vec_id % 50 != 0")
-    return v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), items.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    return v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), v.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
 
 
 _KNN = with_("V") + """, P AS (SELECT q.vec_id AS query_id, c.vec_id AS item_id, list_cosine_similarity(q.v, c.v) AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.v, c.v), 12) DESC, c.vec_id) AS rank,
-    max(list_cosine_similarity(q.v, c.v)) OVER (PARTITION BY q.vec_id) AS best, CASE q.vec_id % 3 WHEN 0 THEN 'create' WHEN 1 THEN 'update' ELSE 'close' END AS action FROM V AS q JOIN V AS c ON q.vec_id % 50 = 0 AND c.vec_id % 50 <> 0)"""
+    max(list_cosine_similarity(q.v, c.v)) OVER (PARTITION BY q.vec_id) AS best, CASE q.vec_id % 3 WHEN 0 THEN 'create' WHEN 1 THEN 'update' ELSE 'close' END AS action FROM V AS q JOIN V AS c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)"""
 _KNN_OUT = " SELECT query_id, item_id, round(sim, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM P WHERE "
 
 
@@ -371,14 +369,14 @@ def _near(frame: DataFrame) -> DataFrame:
     return frame.select("query_id", "item_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
-@_query(_KNN.replace(" AND c.vec_id % 50 <> 0", "") + _KNN_OUT + "rank <= 8")
+@_query(_KNN + _KNN_OUT + "rank <= 8")
 def knn_join(s, d):
-    return _near(vc.knn_join(*_vectors(s, d, all_rows=True), 8))
+    return _near(vc.knn_join(*_vectors(s, d), 8, others=True))
 
 
 @_query(_KNN + _KNN_OUT + "rank <= 5 AND sim > 0.3")
 def similarity_join(s, d):
-    return _near(vc.similarity_join(*_vectors(s, d), threshold=0.3))
+    return _near(vc.similarity_join(*_vectors(s, d), threshold=0.3, others=True))
 
 
 def _action(c: str = "query_id"):
@@ -388,7 +386,7 @@ def _action(c: str = "query_id"):
 @_query(_KNN + _KNN_OUT + "rank <= 5 AND (sim > 0.37 OR (best <= 0.37 AND action <> 'create'))")
 def knn_with_fallback(s, d):
     q, c = _vectors(s, d)
-    return _near(vc.knn_with_fallback(q.withColumn("action", _action()), c, threshold=0.37))
+    return _near(vc.knn_with_fallback(q.withColumn("action", _action()), c, threshold=0.37, others=True))
 
 
 @_query(_KNN + """, B AS (SELECT query_id, action, count(*) AS n, arg_max(item_id, sim) AS match_id, max(sim) AS c FROM P WHERE rank <= 5 AND (sim > 0.35 OR (best <= 0.35 AND action <> 'create')) GROUP BY ALL)
@@ -397,23 +395,20 @@ def knn_with_fallback(s, d):
 def decide_action(s, d):
     q, c = _vectors(s, d)
     q = q.withColumn("action", _action())
-    match = rs.resolve_match(vc.knn_with_fallback(q, c, threshold=0.35))
+    match = rs.resolve_match(vc.knn_with_fallback(q, c, threshold=0.35, others=True))
     decided = q.join(match, "query_id", "left").withColumn("x", rs.decide_action(F.col("action"), F.col("n_candidates"), F.col("match_id"), F.col("confidence"), 0.38))
     return decided.select("query_id", "x.effective", "x.target_id")
 
 
-_MV = """, MV AS (SELECT message_id, embedding::DOUBLE[] AS v, is_deleted FROM (SELECT *, row_number() OVER (ORDER BY thread_id, turn) - 1 AS i FROM M) JOIN embeddings ON vec_id = i % (SELECT count(*) FROM embeddings))"""
+_MV = """, MV AS (SELECT message_id, embedding::DOUBLE[] AS v, is_deleted FROM M JOIN embeddings ON vec_id = (thread_id * 31 + turn) % (SELECT count(*) FROM embeddings))"""
 
 
 def _message_vectors(s, d) -> DataFrame:
-    """Message vectors: message number modulo the number of vectors; numbers by thread and turn without a global sort."""
-    m = fr.messages(s, d)
-    sizes = m.groupBy("thread_id").agg(F.count("*").alias("n"))
-    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("thread_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("thread_id", "start")
-    i = F.col("start") + F.row_number().over(Window.partitionBy("thread_id").orderBy("turn")) - 1
+    """Message vectors, one of the table's for each message by its thread and turn."""
     v = fr.read(s, d, "embeddings")
     many = v.agg(F.count("*").alias("many"))
-    return m.join(starts, "thread_id").withColumn("i", i).join(many).withColumn("vec_id", F.col("i") % F.col("many")).join(v, "vec_id").select("message_id", "embedding")
+    rows = fr.messages(s, d).join(many).withColumn("vec_id", (F.col("thread_id") * 31 + F.col("turn")) % F.col("many"))
+    return rows.join(v, "vec_id").select("message_id", "embedding")
 
 
 @_query(with_("V", "M") + _MV + ", P AS (SELECT q.vec_id AS query_id, message_id AS item_id, list_cosine_similarity(q.v, MV.v) AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.v, MV.v), 12) DESC, message_id) AS rank FROM V AS q JOIN MV ON q.vec_id % 50 = 0 AND NOT is_deleted)" + _KNN_OUT + "rank <= 8")
@@ -527,14 +522,14 @@ def find_candidates(s, d):
     return _near(rs.find_candidates(_records(s, d), fr.entities(s, d, vectors=True), threshold=0.33))
 
 
-@_query(_OPEN + ", F AS (SELECT query_id, item_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, item_id) AS rank FROM P WHERE rank <= 30 AND (range_max IS NULL OR range_max >= 50000)) SELECT query_id, item_id, round(sim, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM F WHERE rank <= 3")
+@_query(_OPEN + ", F AS (SELECT query_id, item_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, item_id) AS rank FROM P WHERE (range_max IS NULL OR range_max >= 50000)) SELECT query_id, item_id, round(sim, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM F WHERE rank <= 3")
 def profile_match(s, d):
     return _near(rt.profile_match(_records(s, d).withColumn("wanted", F.lit(50000.0)), fr.entities(s, d, vectors=True)))
 
 
 @_query(_KNN + " SELECT query_id, item_id, round(sim * 0.7 + CASE WHEN query_id % 5 = item_id % 5 THEN 0.15 ELSE 0 END + CASE WHEN query_id % 2 = item_id % 2 THEN 0.1 ELSE 0 END + 0.05 * exp(-abs(item_id - query_id) / 24.0), 6) AS score FROM P WHERE rank <= 5")
 def match_score(s, d):
-    near = vc.knn_join(*_vectors(s, d), 5)
+    near = vc.knn_join(*_vectors(s, d), 5, others=True)
     score = rs.match_score(F.col("similarity"), F.col("query_id") % 5 == F.col("item_id") % 5, F.col("query_id") % 2 == F.col("item_id") % 2, F.col("item_id") - F.col("query_id"))
     return near.select("query_id", "item_id", F.round(score, 6).alias("score"))
 
@@ -612,7 +607,10 @@ def write_entities(s, d):
 # Models: rows only, no SQL
 
 
-@_query()
+_EMBEDDED = with_("M") + " SELECT message_id, CAST(64 AS INTEGER) AS size, 'hashed-64' AS model FROM M"
+
+
+@_query(_EMBEDDED)
 def replace_vectors(s, d):
     m = fr.messages(s, d)
     empty = s.createDataFrame([], "message_id string, embedding array<float>, model string")
@@ -620,17 +618,16 @@ def replace_vectors(s, d):
     return ch.replace_vectors(ch.write_vectors(empty, m, md.embed_text, "hashed-64"), edited, md.embed_text, "hashed-64").select("message_id", F.size("embedding").alias("size"), "model")
 
 
-@_query()
+@_query(with_("M") + " SELECT DISTINCT sha256(text) AS digest, CAST(64 AS INTEGER) AS size, 'hashed-64' AS model FROM M WHERE sha256(text) NOT IN (SELECT sha256(text) FROM M WHERE author_name = 'system')")
 def embed_incremental(s, d):
     seen = fr.messages(s, d).filter("author_name = 'system'").select(F.sha2("text", 256).alias("digest"), F.lit("hashed-64").alias("model"))
     return ch.embed_incremental(seen, fr.messages(s, d), md.embed_text, "hashed-64").select("digest", F.size("embedding").alias("size"), "model")
 
 
-
 @_query()
 def ann_join(s, d):
     q, c = _vectors(s, d)
-    return _near(vc.ann_join(q, c, 8, lists=20, probes=12))
+    return _near(vc.ann_join(q, c, 8, lists=20, probes=15, others=True))
 
 
 @_query()
@@ -641,7 +638,11 @@ def classify_messages(s, d):
     return rows.select("doc_id", "label", "relevant", "by")
 
 
-@_query()
+@_query(
+    with_("V").replace("WITH", "WITH RECURSIVE", 1)
+    + """, L AS (SELECT a.vec_id AS a, b.vec_id AS b FROM V AS a JOIN V AS b ON a.vec_id <> b.vec_id WHERE round(list_cosine_similarity(a.v, b.v), 12) > 0.4),
+    C(a, b) AS (SELECT vec_id, vec_id FROM V UNION SELECT C.a, L.b FROM C JOIN L ON C.b = L.a) SELECT a AS query_id, min(b) AS canonical_id FROM C GROUP BY 1"""
+)
 def canonicalise_creates(s, d):
     v = fr.read(s, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("seq"), F.col("embedding").alias("vector"))
     return rs.canonicalise_creates(v, threshold=0.4)
@@ -653,7 +654,7 @@ def extract_fields(s, d):
     return rows.select("message_id", "action", "entity_ref", F.to_json("fields").alias("fields"), "confidence")
 
 
-@_query()
+@_query(_EMBEDDED)
 def embed_messages(s, d):
     m = fr.messages(s, d)
     empty = s.createDataFrame([], "message_id string, embedding array<float>, model string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallybrook.functions.values import strip
 from tallybrook.sources import schemas
 
 
@@ -14,29 +15,36 @@ def decode_envelope(frame: DataFrame, column: str = "value", schema: str = schem
     Works on a batch or a stream. An envelope without data, or whose data is no base64 or no JSON object, goes to the
     quarantine with the text it came with.
     """
-    outer = F.from_json(F.col(column), schemas.ENVELOPE_DDL)
-    body = F.try_to_binary(outer["message"]["data"], F.lit("base64")).cast("string")
-    rows = frame.withColumn("__outer", outer).withColumn("__body", body).withColumn("event", F.from_json("__body", schema)).withColumn("delivery_id", F.col("__outer.message.messageId"))
+    outer = F.col("__outer.message")
+    rows = _once(frame, F.from_json(F.col(column), schemas.ENVELOPE_DDL), "__outer")
+    rows = _once(rows, F.try_to_binary(outer["data"], F.lit("base64")).cast("string"), "__body")
+    rows = _once(rows, F.from_json("__body", schema), "event").withColumn("delivery_id", outer["messageId"])
     fine = F.col("event").isNotNull() & F.coalesce(F.get_json_object("__body", "$").startswith("{"), F.lit(False))
     return rows.filter(fine).drop("__outer", "__body"), rows.filter(~fine).select(*frame.columns, "delivery_id")
 
 
+def _once(frame: DataFrame, value: Column, name: str) -> DataFrame:
+    """Adds a column that is computed once a row: filters and projections can't be merged past a generator, so they
+    don't repeat the expression for each field they use."""
+    return frame.select("*", F.explode(F.array(value)).alias(name))
+
+
 def parse_change_event(frame: DataFrame, event: str = "event", received_at: Column | None = None) -> DataFrame:
     """Nested change events -> flat rows: change, message_id, space_id, thread_id, author_id, author_name, text, created_at.
 
-    ``change`` is null for an unknown type; created_at falls back to ``received_at`` (now by default).
+    Texts are stripped of white space. ``change`` is null for an unknown type; created_at falls back to ``received_at`` (now by default).
     """
     e = F.col(event)
     kinds = F.create_map(*[F.lit(x) for kv in schemas.EVENT_TYPES.items() for x in kv])
     m = e["message"]
     at = F.coalesce(F.try_to_timestamp(m["createTime"]), received_at if received_at is not None else F.current_timestamp())
     rest = [c for c in frame.columns if c != event]
-    return frame.select(*rest, kinds[e["type"]].alias("change"), m["name"].alias("message_id"), m["space"]["name"].alias("space_id"), m["thread"]["name"].alias("thread_id"), m["sender"]["name"].alias("author_id"), m["sender"]["displayName"].alias("author_name"), F.coalesce(m["text"], F.lit("")).alias("text"), at.alias("created_at"))
+    return frame.select(*rest, kinds[e["type"]].alias("change"), m["name"].alias("message_id"), m["space"]["name"].alias("space_id"), m["thread"]["name"].alias("thread_id"), m["sender"]["name"].alias("author_id"), m["sender"]["displayName"].alias("author_name"), strip(F.coalesce(m["text"], F.lit(""))).alias("text"), at.alias("created_at"))
 
 
 def accepted(change: Column, message_id: Column, text: Column) -> Column:
     """Known type, an id, and a text unless the change is a delete."""
-    return F.coalesce(change.isNotNull() & (message_id != "") & ((F.trim(text) != "") | (change == "deleted")), F.lit(False))
+    return F.coalesce(change.isNotNull() & (message_id != "") & ((strip(text) != "") | (change == "deleted")), F.lit(False))
 
 
 def reject_events(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -50,7 +58,7 @@ def parse_question_events(frame: DataFrame, event: str = "event") -> DataFrame:
     """Question events -> (user_id, space_id, text); only messages with a text that isn't blank."""
     e = F.col(event)
     rest = [c for c in frame.columns if c != event]
-    rows = frame.select(*rest, e["type"].alias("__type"), e["user"]["name"].alias("user_id"), e["space"]["name"].alias("space_id"), F.trim(e["message"]["text"]).alias("text"))
+    rows = frame.select(*rest, e["type"].alias("__type"), e["user"]["name"].alias("user_id"), e["space"]["name"].alias("space_id"), strip(e["message"]["text"]).alias("text"))
     return rows.filter((F.col("__type") == "MESSAGE") & (F.col("text") != "")).drop("__type")
 
 
