@@ -90,7 +90,7 @@ def test_lookups_on_structured_codes():
     for q in range(0, 10_000, 500):
         far = np.bitwise_count(codes ^ codes[q]).sum(axis=1)
         assert index.within(codes[q], 16).tolist() == np.flatnonzero(far <= 16).tolist()
-    assert index.probed < 20 * len(codes) / 20
+    assert index.probed < len(codes)  # twenty scans would be 20 times as many
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
