@@ -80,12 +80,12 @@ def test_orphans(spark):
     assert {x.entity_id: x.n_live for x in rv.live_source_count(r, m).collect()} == {"e1": 0, "e2": 1, "e3": 0}
 
 
-def test_seed_story_is_one_entity(spark):
-    texts = ["Открыли вакансию питониста, до 300k на руки, ищем под команду Платформа", "По питонисту подняли вилку до 350", "Привет, как дела", "Закрыли вакансию питониста — нашли кандидата"]
+def test_story_of_one_entity(spark):
+    texts = ["We opened vacancy welder, up to 300k, for team Harbour", "Raised the welder's pay up to 350", "Nice weather today", "Vacancy welder is closed"]
     rows = spark.createDataFrame([(f"m{i}", t) for i, t in enumerate(texts)], "message_id string, text string")
     got = {r.message_id: r for r in md.extract_fields(rows).collect()}
     assert [got[f"m{i}"].action for i in range(4)] == ["create", "update", "none", "close"]
-    assert got["m0"].fields["salary_max"] == "300000" and got["m1"].fields["salary_max"] == "350000" and got["m0"].fields["team"] == "Платформа"
+    assert got["m0"].fields["salary_max"] == "300000" and got["m1"].fields["salary_max"] == "350000" and got["m0"].fields["team"] == "Harbour"
     assert "salary_min" not in got["m0"].fields
     u = rows.join(md.extract_fields(rows).drop("text"), "message_id").filter("action != 'none'")
     updates = u.select(F.lit("e1").alias("entity_id"), F.substring("message_id", 2, 1).cast("long").alias("seq"), "action", "fields", F.array(F.lit(1.0).cast("float")).alias("embedding"), F.col("message_id").alias("last_message_id"), "confidence", F.current_timestamp().alias("at"))
