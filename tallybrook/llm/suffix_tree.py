@@ -1,36 +1,43 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-The tree's states are contexts of up to two words.  It grows level by level from counts
-over all training texts: a context is a candidate if its share of all tokens is at least
-``1 / contexts`` (the tree's least-probability parameter), and it is retained if what its
-next-word distribution gains over that of its suffix, the divergence summed over the
-training tokens, exceeds half a log N for each of its entries.  Distributions are smoothed
-by absolute discounting: what is taken off goes to the suffix state's distribution, and at
-the root to add-one unigrams with one unseen word, so each state's probabilities sum to one.
-A token is scored from the longest retained state that ends its history.
-
-Shares bound what leaves the cluster at every size: at most ``contexts`` entries a level and
-at most ``heads`` frequent words (16 bytes each) are sent to the tasks.  The counts of all
-other words stay in a table; the tokens that need them are joined to it, and none of those
-is frequent enough to skew the join.  Words are identified by a 64-bit hash.
+The tree's states are contexts of up to ``depth`` words.  It grows level by level from counts
+over all training texts: every sequence met at least ``support`` times is an entry of its
+context, whatever the corpus' size, so the tree grows with the corpus.  A context is retained
+as a state if the divergence of its next-word distribution from that of its longest retained
+suffix, times its count, exceeds half a log N for each of its entries; growing ends early
+where no sequence of a level has support.  Distributions are smoothed by absolute discounting:
+what is taken off goes to the suffix state's distribution, and at the root to add-one unigrams with one
+unseen word, so each state's probabilities sum to one.  A token is scored from the longest
+retained state that ends its history.
+
+Counts and states are tables.  Texts are dealt into groups of some 8 MB; each group asks for
+the distinct keys it needs, these are joined to the tables, and the answers meet the group's
+texts again, so a frequent key is asked for once a group and not once a token.  Sent to every
+task are at most ``heads`` frequent words (24 bytes each) and bitmaps of 2^26 bits, which only
+spare requests: an unset bit proves that a sequence is in no table, a set one is looked up.
+Sequences are identified by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybrook.llm.text import blocks, buffer_of, hash_between, lower_ascii, prefix_sums, stored, word_spans
+from tallybrook.llm.text import blocks, buffer_of, discard, hash_between, lower_ascii, mix, prefix_sums, stored, word_spans
 
 _END = np.uint64(0x5BF03635A1D1F1C3)
-_FLUSH = 2_000_000
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+_FLUSH = 1_000_000
 _BLOCK = 4 << 20
+_GROUP = 8 << 20
 _DISCOUNT = 0.75
+_BITS = 26
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -44,6 +51,20 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, edges + np.arange(rows + 1)
 
 
+def joined(x: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Key of the sequence whose first words have key ``x`` and whose last have key ``s``, one word further on."""
+    return mix(x * _GOLD + s)
+
+
+def sequences(hashes: np.ndarray, edges: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For 1 to ``n`` words: the key of the sequence that ends at each place, and whether the text has one there."""
+    place = np.arange(len(hashes)) - np.repeat(edges[:-1], np.diff(edges))
+    keys = hashes
+    for words in range(1, n + 1):
+        yield keys, place >= words - 1
+        keys = np.append(keys[:1], joined(keys[:-1], keys[1:]))
+
+
 def _find(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Index of each value in a sorted table, -1 if absent."""
     if not len(table):
@@ -52,171 +73,163 @@ def _find(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(table[at] == values, at, -1)
 
 
+def _taken(table: np.ndarray, column: np.ndarray, values: np.ndarray, other: float) -> np.ndarray:
+    """The column's entry for each value, ``other`` for absent ones."""
+    at = _find(table, values)
+    return np.where(at >= 0, column[at], other) if len(table) else np.full(len(values), other)
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """2^26 bits, those set that stand for one of the keys (column k)."""
+    at = F.shiftrightunsigned("k", 64 - _BITS)
+    parts = keys.select(F.shiftright(at, 6).alias("w"), at.bitwiseAND(63).cast("int").alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("v"))
+    got = parts.toArrow()  # at most 2^20 rows, whatever the input
+    out = np.zeros(1 << (_BITS - 6), dtype=np.uint64)
+    out[got.column("w").to_numpy()] = got.column("v").to_numpy().view(np.uint64)
+    return out
+
+
+def _maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where the bitmap doesn't prove the key absent."""
+    at = keys >> np.uint64(64 - _BITS)
+    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0
+
+
 @dataclass
-class Tree:
-    """The frequent words with counts; context words; entries of one-word and two-word states."""
+class Heads:
+    """What every task gets: the sizes, the frequent words in order with count and share left, the entries' bitmap."""
 
     total: int
     distinct: int
-    heads: np.ndarray
-    head_counts: np.ndarray
+    depth: int
     words: np.ndarray
-    first_keys: np.ndarray
-    first_gain: np.ndarray
-    first_rest: np.ndarray
-    second_keys: np.ndarray
-    second_gain: np.ndarray
-    second_rest: np.ndarray
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        """Context words by number, the end as the next number, anything else -1."""
-        return np.where(hashes == _END, len(self.words), _find(self.words, hashes))
-
-    def pairs(self, ids: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        """Key of (previous, this) at each place; -1 at a text's start or where either is no context word."""
-        before = np.full(len(ids), -1, dtype=np.int64)
-        before[1:] = ids[:-1]
-        before[edges[:-1]] = -1
-        return np.where((before >= 0) & (ids >= 0), before * (len(self.words) + 1) + ids, -1)
-
-    def triples(self, ids: np.ndarray, edges: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """Key of (state of the two words before, this) at each place, -1 where there is none."""
-        place = _find(self.first_keys, pair)
-        state = np.full(len(ids), -1, dtype=np.int64)
-        state[1:] = place[:-1]
-        state[edges[:-1]] = -1
-        return np.where((state >= 0) & (ids >= 0), state * (len(self.words) + 1) + ids, -1), state
-
-    def score(self, hashes: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """At each place: log10 of the unigram (0 for a word that is no head), of the model's probability
-        (of the share left to the root, for such a word), and whether it is a head."""
-        den = self.total + self.distinct + 1
-        head = _find(self.heads, hashes)
-        known = head >= 0
-        base = np.where(known, (self.head_counts[head] + 1.0 if len(self.heads) else 1.0) / den, 1.0)
-        if not len(self.words):
-            return np.log10(base), np.log10(base), known
-        ids = self.ids(hashes)
-        before = np.full(len(ids), -1, dtype=np.int64)
-        before[1:] = ids[:-1]
-        before[edges[:-1]] = -1
-        pair = self.pairs(ids, edges)
-        prob = base.copy()
-        prob *= np.where(before >= 0, self.first_rest[before], 1.0)
-        at = _find(self.first_keys, pair)
-        prob += np.where(known & (at >= 0), self.first_gain[at] if len(self.first_gain) else 0.0, 0.0)
-        triple, state = self.triples(ids, edges, pair)
-        if len(self.first_keys):
-            prob *= np.where(state >= 0, self.second_rest[state], 1.0)
-            at = _find(self.second_keys, triple)
-            prob += np.where(known & (at >= 0), self.second_gain[at] if len(self.second_gain) else 0.0, 0.0)
-        return np.log10(base), np.log10(prob), known
-
-
-def _counted(rows: DataFrame, make) -> DataFrame:
-    """Sum of counts by key; ``make`` gives the keys of a block. Counts are combined in each task first."""
+    counts: np.ndarray
+    rest: np.ndarray
+    bits: np.ndarray
+
+
+@dataclass
+class Tree:
+    """The model: ``heads``; tables (k, v) of entries with what they gain over the suffix state, and of states with
+    the share they leave to it."""
+
+    heads: Heads
+    gains: DataFrame
+    rests: DataFrame
+
+
+def _counted(rows: DataFrame, make: Callable, names: list[str]) -> DataFrame:
+    """Sum of counts by the named key columns; ``make`` gives a block's identities and key columns. Counts are combined
+    in each task first."""
+    schema = "".join(f"{n} long, " for n in names) + "c long"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        parts: list[list[np.ndarray]] = []
         size = 0
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            return keys, np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.int64)
+        def merged() -> list[np.ndarray]:
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            ident, first, at = np.unique(columns[0], return_index=True, return_inverse=True)
+            return [ident, *(c[first] for c in columns[1:-1]), np.bincount(at, weights=columns[-1], minlength=len(ident)).astype(np.int64)]
+
+        def out(part: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in part[1:-1]), pa.array(part[-1])], names=[*names, "c"])
 
         for block in blocks(batches, "text", _BLOCK):
-            parts.append(np.unique(make(*tokens(block.column("text"))), return_counts=True))
-            size += len(parts[-1][0])
+            ident, *columns = make(*tokens(block.column("text")))
+            ident, first, counts = np.unique(ident, return_index=True, return_counts=True)
+            parts.append([ident, *(c[first] for c in columns), counts])
+            size += len(ident)
             if size > _FLUSH:
                 parts = [merged()]
                 size = len(parts[0][0])
                 if size > _FLUSH // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(parts[0][0]), pa.array(parts[0][1])], names=["k", "c"])
+                    yield out(parts[0])
                     parts, size = [], 0
         if parts:
-            keys, counts = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["k", "c"])
-
-    return rows.mapInArrow(task, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
-
-
-def _arrays(frame: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in order and counts of a frame of proven size."""
-    got = frame.select("k", "c").toArrow()
-    k, c = got.column("k").to_numpy(), got.column("c").to_numpy()
-    order = np.argsort(k)
-    return k[order], c[order]
-
-
-def _level(keys: np.ndarray, counts: np.ndarray, base: int, size_of: np.ndarray, below: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of candidate entries (key = state * base + word): which are kept, their discounted shares, and by state the
-    share left to the suffix (1 for a state that is not retained). ``below``: each entry's probability in the suffix state."""
-    state = keys // base
-    n = size_of[state]
-    gain = (counts - _DISCOUNT) / n
-    taken = np.bincount(state, weights=gain, minlength=len(size_of))
-    rest = 1.0 - taken
-    entries = np.bincount(state, minlength=len(size_of))
-    own = gain + rest[state] * below
-    better = np.bincount(state, weights=counts * np.log(own / below), minlength=len(size_of)).astype(np.float64)
-    left = np.maximum(size_of - np.bincount(state, weights=counts, minlength=len(size_of)), 0)
-    better += np.where(left > 0, left * np.log(np.maximum(rest, 1e-300)), 0.0)
-    kept = (entries > 0) & (better > 0.5 * entries * np.log(max(total, 2)))
-    return kept[state], gain, np.where(kept, rest, 1.0)
-
-
-def grow(docs: DataFrame, *, text_col: str = "text", heads: int = 1 << 22, contexts: int = 1 << 17) -> tuple[Tree, DataFrame]:
+            yield out(merged())
+
+    return rows.mapInArrow(task, schema).groupBy(*names).agg(F.sum("c").alias("c"))
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        k = joined(*(b.column(c).to_numpy().view(np.uint64) for c in "xs"))
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(k.view(np.int64))], names=[*b.schema.names, "k"])
+
+
+def grow(docs: DataFrame, *, text_col: str = "text", heads: int = 1 << 22, depth: int = 2, support: int = 2) -> tuple[Tree, DataFrame]:
     """The tree learnt from all given texts, and the table (k, c) of the counts of all their words."""
+    spark = docs.sparkSession
     rows = docs.select(docs[text_col].alias("text"))
-    counts = stored(_counted(rows, lambda h, _: h.view(np.int64)), "words")
+    counts = stored(_counted(rows, lambda h, _: (h, h), ["k"]), "words")
     stats = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = int(stats.n), int(stats.v)
-    empty = np.zeros(0)
-    none = np.zeros(0, dtype=np.int64)
-    signed, head_counts = _arrays(counts.filter(F.col("c") * heads >= total))
-    order = np.argsort(signed.view(np.uint64))
-    head_words, head_counts = signed.view(np.uint64)[order], head_counts[order]
-    least = max(2, -(-total // contexts))
-    frequent = (head_counts >= least) & (head_words != _END)
-    words, sizes = head_words[frequent], head_counts[frequent].astype(np.float64)
-    tree = Tree(total, distinct, head_words, head_counts, words, none, empty, np.ones(len(words) + 1), none, empty, empty)
-    if not len(words):
-        return tree, counts
-    base, den = len(words) + 1, total + distinct + 1
-    session = docs.sparkSession.sparkContext
-    send = session.broadcast(tree)  # at most 16 bytes for each of ``heads`` words
-
-    def pair_keys(hashes: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        got = send.value.pairs(send.value.ids(hashes), edges)
-        return got[got >= 0]
-
-    keys, c = _arrays(_counted(rows, pair_keys).filter(F.col("c") >= least))
-    end_count = head_counts[head_words == _END]
-    root = (np.append(sizes, end_count[0] if len(end_count) else 0.0) + 1.0) / den
-    kept, gain, rest = _level(keys, c, base, sizes, root[keys % base], total)
-    tree.first_keys, tree.first_gain, first_counts = keys[kept], gain[kept], c[kept].astype(np.float64)
-    tree.first_rest = np.append(rest, 1.0)
-    tree.second_rest = np.ones(len(tree.first_keys))
-    if len(tree.first_keys):
-        grown = session.broadcast(tree)  # and 16 bytes for each of ``contexts`` entries
-        # only states whose last word is itself a retained state may grow
-        inner = (tree.first_keys % base < len(words)) & (tree.first_rest[np.minimum(tree.first_keys % base, len(words))] < 1.0)
-
-        def triple_keys(hashes: np.ndarray, edges: np.ndarray) -> np.ndarray:
-            t = grown.value
-            ids = t.ids(hashes)
-            got, state = t.triples(ids, edges, t.pairs(ids, edges))
-            return got[(got >= 0) & inner[state]]
-
-        keys, c = _arrays(_counted(rows, triple_keys).filter(F.col("c") >= least))
-        if len(keys):
-            last = tree.first_keys[keys // base] % base
-            word = keys % base
-            at = _find(tree.first_keys, last * base + word)
-            below = tree.first_rest[last] * root[word] + np.where(at >= 0, tree.first_gain[at], 0.0)
-            kept, gain, tree.second_rest = _level(keys, c, base, first_counts, below, total)
-            tree.second_keys, tree.second_gain = keys[kept], gain[kept]
-    return tree, counts
+    none = spark.createDataFrame([], "k long, v double")
+    gains, rests, word_rests = none, none, none
+    entries = counts.filter(F.col("c") >= support).withColumn("p", (F.col("c") + 1) / F.lit(float(total + distinct + 1)))
+    made: list[str] = []
+    for words in range(2, depth + 2):
+        seen = spark.sparkContext.broadcast(bitmap(entries))  # 8 MB
+
+        def grams(hashes: np.ndarray, edges: np.ndarray, words: int = words, seen=seen) -> tuple[np.ndarray, ...]:
+            *_, (keys, _), (ident, there) = sequences(hashes, edges, words)
+            # a sequence isn't met more often than its first words or its last
+            asked = there[1:] & _maybe(seen.value, keys[:-1]) & _maybe(seen.value, keys[1:])
+            return ident[1:][asked], keys[:-1][asked], keys[1:][asked]
+
+        found = _counted(rows, grams, ["x", "s"]).filter(F.col("c") >= support).mapInArrow(_keyed, "x long, s long, c long, k long")
+        contexts = entries.select(F.col("k").alias("x"), F.col("c").alias("n"))
+        suffixes = entries.select(F.col("k").alias("s"), F.col("p").alias("below"))
+        level = stored(found.join(suffixes, "s").join(contexts, "x").select("k", "x", "c", "n", "below"), "level", made)
+        if level.isEmpty():
+            break
+        states = stored(_states(level, total), "states")
+        rests = rests.unionByName(states.withColumnRenamed("x", "k"))
+        if words == 2:
+            word_rests = rests
+        gain = (F.col("c") - _DISCOUNT) / F.col("n")
+        last = words == depth + 1
+        kept = level.join(states, "x", "inner" if last else "left")
+        entries = stored(kept.select("k", "c", F.coalesce(gain + F.col("v") * F.col("below"), "below").alias("p"), F.when(F.col("v").isNotNull(), gain).alias("gain")), "entries")
+        gains = gains.unionByName(entries.filter("gain IS NOT NULL").select("k", F.col("gain").alias("v")))
+    frequent = counts.filter(F.col("c") * heads >= total).join(word_rests, "k", "left").select("k", "c", F.coalesce("v", F.lit(1.0)).alias("v")).toArrow()  # at most ``heads`` rows
+    signed = frequent.column("k").to_numpy().view(np.uint64)
+    order = np.argsort(signed)
+    discard(spark, made)
+    bits = bitmap(gains.select("k").union(rests.select("k")))
+    return Tree(Heads(total, distinct, depth, signed[order], frequent.column("c").to_numpy()[order], frequent.column("v").to_numpy()[order], bits), gains, rests), counts
+
+
+def _states(level: DataFrame, total: int) -> DataFrame:
+    """(x, v) of the contexts that are retained: what each leaves to its suffix.  ``level``: entries with context x, its
+    count n, their own count c and their probability in the suffix state."""
+    c, n = F.col("c"), F.col("n")
+    sums = level.groupBy("x").agg(F.max("n").alias("n"), F.count("*").alias("e"), F.sum("c").alias("met"), F.sum("below").alias("below"), F.sum(c * F.log(c / n / F.col("below"))).alias("gained"))
+    left = n - F.col("met")
+    others = F.when(left > 0, left * F.log(left / n / F.greatest(1 - F.col("below"), F.lit(1e-300)))).otherwise(0.0)
+    worth = F.col("gained") + others > 0.5 * F.col("e") * F.log(F.lit(float(max(total, 2))))
+    return sums.filter(worth).select("x", ((left + _DISCOUNT * F.col("e")) / n).alias("v"))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows (id, text) with ``g``: texts that follow each other in a partition share it, some 8 MB a group."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, size = TaskContext.get().partitionId() << 32, 0
+        for block in blocks(batches, "text", _BLOCK):
+            _, offsets = buffer_of(block.column("text"))
+            g = pa.array(part + (size + offsets[:-1]) // _GROUP)
+            size += int(offsets[-1])
+            yield pa.RecordBatch.from_arrays([g, block.column("id"), block.column("text")], names=["g", "id", "text"])
+
+    return rows.mapInArrow(task, f"g long, id {kind}, text string")
+
+
+def _sum(hashes: np.ndarray) -> int:
+    """A check of a group's tokens, in whatever order."""
+    return int(np.bitwise_xor.reduce(hashes).view(np.int64)) if len(hashes) else 0
 
 
 def score(docs: DataFrame, tree: Tree, counts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,28 +237,80 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, *, id_col: str = "doc_
     unigrams) and score (the tree), both log10 of the text's probability.
 
     A null or empty text is one end token. Rows are kept as they are, repeated ones and null ids too; other columns
-    are not read; an empty table gives no rows. Without training texts every token is unseen.
+    are not read; an empty table gives no rows. Without training texts every token is unseen. A text is scored whole,
+    in memory of some twenty times its size. ``docs`` is read twice and must come in the same partitions both times, as a
+    stored table does; a group whose texts differ from those that asked ends the job with an error.
     """
-    send = docs.sparkSession.sparkContext.broadcast(tree)  # bounded by ``heads`` and ``contexts`` of ``grow``
-    den = tree.total + tree.distinct + 1
+    heads = tree.heads
+    send = docs.sparkSession.sparkContext.broadcast(heads)  # bounded by ``heads`` of ``grow`` and 2^26 bits
+    den = heads.total + heads.distinct + 1
+    dealt = _dealt(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = send.value
-        for block in blocks(batches, "text", _BLOCK):
+        group, parts, check = None, [], 0
+
+        def request() -> pa.RecordBatch:
+            keys = np.unique(np.concatenate(parts))
+            g = np.full(len(keys) + 1, group)
+            return pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.append(keys.view(np.int64), check)), pa.array(np.append(np.zeros(len(keys), bool), True))], names=["g", "k", "check"])
+
+        for batch in batches:
+            of = batch.column("g").to_numpy()
+            cuts = [0, *np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)] if len(of) else []
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                if group is not None and of[start] != group:
+                    yield request()
+                    parts, check = [], 0
+                group = int(of[start])
+                for block in blocks([batch.slice(start, end - start)], "text", _BLOCK):
+                    hashes, edges = tokens(block.column("text"))
+                    check ^= _sum(hashes)
+                    parts.append(np.unique(hashes[_find(model.words, hashes) < 0]))
+                    for n, (keys, there) in enumerate(sequences(hashes, edges, model.depth + 1), 1):
+                        if n > 1:
+                            parts.append(np.unique(keys[there & _maybe(model.bits, keys)]))
+        if group is not None:
+            yield request()
+
+    def answer(texts: pa.Table, found: pa.Table) -> pa.Table:
+        model = send.value
+        texts = texts.combine_chunks()
+        kind = found.column("kind").to_numpy()
+        k, v = found.column("k").to_numpy(), found.column("v").to_numpy()
+        tables = []
+        for which in range(3):
+            mine = kind == which
+            signed = k[mine].view(np.uint64)
+            order = np.argsort(signed)
+            tables.append((signed[order], v[mine][order]))
+        (words, met), gains, rests = tables
+        check, out = 0, []
+        rows = pa.RecordBatch.from_arrays([c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in texts.columns], names=texts.column_names)
+        for block in blocks([rows], "text", _BLOCK):
             hashes, edges = tokens(block.column("text"))
-            base, prob, known = model.score(hashes, edges)
-            sums = [np.add.reduceat(v, edges[:-1]) for v in (base, prob)]  # every row has its end
-            tail = np.concatenate([[0], np.cumsum(~known)])[edges].astype(np.int32)
-            arrays = [block.column("key"), block.column("id"), pa.array(np.diff(edges)), pa.array(np.diff(edges) - np.diff(tail)), *map(pa.array, sums)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(tail), pa.array(hashes[~known].view(np.int64)))], names=["key", "id", "n_tokens", "n_heads", "base", "prob", "tail"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("key"), docs[id_col].alias("id"), docs[text_col].alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    heads = stored(rows.mapInArrow(task, f"key long, id {kind}, n_tokens long, n_heads long, base double, prob double, tail array<long>"), "scores")
-    rare = heads.filter("size(tail) > 0").select("key", F.explode("tail").alias("k")).join(counts, "k", "left")
-    share = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(den)))
-    more = rare.groupBy("key").agg(F.sum(share).alias("rest"), F.count("c").alias("met"))
-    zero = F.coalesce("rest", F.lit(0.0))
-    return heads.drop("tail").join(more, "key", "left").select(
-        F.col("id").alias(id_col), "n_tokens", (F.col("n_heads") + F.coalesce("met", F.lit(0))).alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), (F.col("base") + zero).alias("base_score"), (F.col("prob") + zero).alias("score")
-    )
+            check ^= _sum(hashes)
+            head = _find(model.words, hashes)
+            c = np.where(head >= 0, model.counts[head], _taken(words, met, hashes, 0.0)) if len(model.words) else _taken(words, met, hashes, 0.0)
+            base = (c + 1.0) / den
+            prob, rest = base.copy(), np.ones(len(hashes))
+            for n, (keys, there) in enumerate(sequences(hashes, edges, model.depth + 1), 1):
+                if n > 1:
+                    prob[1:] *= np.where(there[1:], rest[:-1], 1.0)
+                    prob += np.where(there, _taken(*gains, keys, 0.0), 0.0)
+                rest = _taken(*rests, keys, 1.0) if n > 1 or not len(model.words) else np.where(head >= 0, model.rest[head], _taken(*rests, keys, 1.0))
+            sums = [np.add.reduceat(x, edges[:-1]) for x in (c > 0, np.log10(base), np.log10(prob))]  # every row has its end
+            out.append(pa.RecordBatch.from_arrays([block.column("id"), pa.array(np.diff(edges)), pa.array(sums[0].astype(np.int64)), *map(pa.array, sums[1:])], names=["id", "n_tokens", "n_known", "base_score", "score"]))
+        if not (kind == 3).any() or check != k[kind == 3][0]:
+            raise RuntimeError("the texts were dealt otherwise when they asked: store the table first")
+        return pa.Table.from_batches(out)
+
+    asked = dealt.mapInArrow(ask, "g long, k long, check boolean")
+    table = counts.select("k", F.lit(0).cast("byte").alias("kind"), F.col("c").cast("double").alias("v"))
+    for kind, part in enumerate((tree.gains, tree.rests), 1):
+        table = table.union(part.select("k", F.lit(kind).cast("byte"), "v"))
+    found = asked.join(table, (asked["k"] == table["k"]) & ~asked["check"], "left").filter(F.col("check") | F.col("v").isNotNull())
+    found = found.select("g", asked["k"], F.when(F.col("check"), 3).otherwise(F.col("kind")).alias("kind"), F.coalesce("v", F.lit(0.0)).alias("v"))
+    kind = dealt.schema["id"].dataType.simpleString()
+    scored = dealt.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(answer, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return scored.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(heads.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -293,36 +293,87 @@ def test_base_scores_and_counts(docs, cases):
     train = [c for c in cases if c[0] is None or zlib.crc32(str(c[0]).encode()) % 7 != 2]
     c = Counter(w for x in train for w in tok(x[1]))
     n, v = sum(c.values()), len(c)
-    tree, counts = suffix_tree.grow(docs.filter(~text.fold("doc_id", 7, 2)), heads=50, contexts=64)
+    tree, counts = suffix_tree.grow(docs.filter(~text.fold("doc_id", 7, 2)), heads=50)
     got = rows_of(suffix_tree.score(docs, tree, counts))
     for i, t, *_ in cases:
         r, words = got[i][0], tok(t)
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words), sum(w in c for w in words), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in words))
-    assert len(tree.heads) <= 50 and len(tree.first_keys) <= 64 and len(tree.second_keys) <= 64
-
-
-def test_states_are_distributions(spark):
-    r = random.Random(2)
-    chain = {"a": "b", "b": "c", "c": "a"}
+    assert len(tree.heads.words) <= 50
+
+
+def tree_score(train, others, depth, support=2):
+    """The same model from dictionaries: log10 of each text's probability, and how many states it has."""
+    c = Counter(w[i:j] for w in train for i in range(len(w)) for j in range(i + 1, min(len(w), i + depth + 1) + 1))
+    n = sum(len(w) for w in train)
+    den = n + sum(len(g) == 1 for g in c) + 1
+    entries, rest = {}, {}
+    for g, m in c.items():
+        if len(g) > 1 and m >= support:
+            entries.setdefault(g[:-1], {})[g[-1]] = m
+
+    def p(context, word):
+        for cut in range(len(context) + 1):
+            state = context[cut:]
+            if state in rest:
+                return rest[state] * p(state[1:], word) + max(entries[state].get(word, 0) - 0.75, 0) / c[state]
+        return (c[(word,)] + 1) / den
+
+    for length in range(1, depth + 1):
+        new = {}
+        for x, after in entries.items():
+            if len(x) == length:
+                below = {w: p(x[1:], w) for w in after}
+                left = c[x] - sum(after.values())
+                gained = sum(m * math.log(m / c[x] / below[w]) for w, m in after.items())
+                gained += left * math.log(left / c[x] / (1 - sum(below.values()))) if left else 0
+                if gained > 0.5 * len(after) * math.log(n):
+                    new[x] = (left + 0.75 * len(after)) / c[x]
+        rest |= new
+    return [sum(math.log10(p(w[max(0, i - depth) : i], w[i])) for i in range(len(w))) for w in others], rest
+
+
+def chained(seed, rows, order):
+    """Texts in which a word mostly follows from the ``order`` words before it."""
+    r = random.Random(seed)
     texts = []
-    for _ in range(200):
-        w = [r.choice("abc")]
-        for _ in range(30):
-            w.append(chain[w[-1]] if r.random() < 0.9 else r.choice("abc"))
+    for _ in range(rows):
+        w = [r.choice("abcd") for _ in range(order)]
+        for _ in range(r.randrange(0, 40)):
+            w.append("abcd"[sum(map(ord, w[-order:])) * 7 % 4] if r.random() < 0.8 else r.choice("abcdefghij"))
         texts.append(" ".join(w))
-    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return texts
+
+
+@pytest.mark.parametrize(("order", "depth"), [(1, 1), (1, 2), (2, 2), (3, 4)])
+def test_tree_equals_dictionaries(spark, order, depth):
+    texts = [*chained(order, 120, order), "", None, "never seen words", "a"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3, "doc_id")
+    tree, counts = suffix_tree.grow(d.filter("doc_id % 4 != 0"), heads=20, depth=depth)
+    words = [(*(t or "").split(), "END") for t in texts]
+    wanted, states = tree_score([w for i, w in enumerate(words) if i % 4], words, depth)
+    assert states and tree.rests.count() == len(states)
+    got = rows_of(suffix_tree.score(d, tree, counts))
+    assert [got[i][0]["score"] for i in range(len(texts))] == pytest.approx(wanted)
+    assert sum(r[0]["score"] for r in got.values()) > 0.9 * sum(r[0]["base_score"] for r in got.values())
+
+
+def test_what_stands_twice_is_learnt_at_any_size(spark):
+    r = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(60)) for _ in range(400)]
+    for rows in (50, 400):
+        d = spark.createDataFrame(list(enumerate([*texts[:rows], texts[0]])), "doc_id long, text string")
+        got = {i: x[0]["score"] - x[0]["base_score"] for i, x in rows_of(suffix_tree.score(d, *suffix_tree.grow(d))).items()}
+        assert got[0] == got[rows] > 2 * max(got[i] for i in range(1, rows))
+
+
+def test_groups_of_texts(spark, monkeypatch):
+    d = spark.createDataFrame(list(enumerate(chained(1, 60, 2))), "doc_id long, text string").repartition(2, "doc_id")
     tree, counts = suffix_tree.grow(d)
-    assert len(tree.first_keys)
-    n = len(tree.words)
-    root = (np.append(tree.head_counts[np.searchsorted(tree.heads, tree.words)], tree.head_counts[tree.heads == suffix_tree._END]) + 1) / (tree.total + tree.distinct + 1)
-    for s in range(n):
-        p = tree.first_rest[s] * root
-        own = tree.first_keys // (n + 1) == s
-        p[tree.first_keys[own] % (n + 1)] += tree.first_gain[own]
-        assert p.sum() == pytest.approx(1 - tree.first_rest[s] / (tree.total + tree.distinct + 1))
-    got = suffix_tree.score(d, tree, counts).agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
-    assert got.s > 0.6 * got.b  # log probabilities are negative
+    whole = {i: x[0]["score"] for i, x in rows_of(suffix_tree.score(d, tree, counts)).items()}
+    monkeypatch.setattr(suffix_tree, "_GROUP", 100)
+    assert {i: x[0]["score"] for i, x in rows_of(suffix_tree.score(d, tree, counts)).items()} == pytest.approx(whole)
 
 
 # 7
