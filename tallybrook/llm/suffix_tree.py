@@ -10,7 +10,7 @@ what is taken off goes to the suffix state's distribution, and at the root to ad
 unseen word, so each state's probabilities sum to one.  A token is scored from the longest
 retained state that ends its history.
 
-Counts and states are tables.  Texts are dealt into groups of some 8 MB; each group asks for
+Counts and states are tables.  Texts are dealt into groups of some 4 MB; each group asks for
 the distinct keys it needs, these are joined to the tables, and the answers meet the group's
 texts again, so a frequent key is asked for once a group and not once a token.  Sent to every
 task are at most ``heads`` frequent words (24 bytes each) and bitmaps of 2^26 bits, which only
@@ -29,13 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybrook.llm.text import blocks, buffer_of, discard, hash_between, lower_ascii, mix, prefix_sums, stored, word_spans
+from tallybrook.llm.text import blocks, buffer_of, discard, hash_between, lower_ascii, mix, prefix_sums, release, small_batches, stored, word_spans
 
 _END = np.uint64(0x5BF03635A1D1F1C3)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _FLUSH = 1_000_000
-_BLOCK = 4 << 20
-_GROUP = 8 << 20
+_BLOCK = 1 << 20
+_GROUP = 4 << 20
 _DISCOUNT = 0.75
 _BITS = 26
 
@@ -122,6 +122,7 @@ def _counted(rows: DataFrame, make: Callable, names: list[str]) -> DataFrame:
     """Sum of counts by the named key columns; ``make`` gives a block's identities and key columns. Counts are combined
     in each task first."""
     schema = "".join(f"{n} long, " for n in names) + "c long"
+    flush = _FLUSH // len(names)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = []
@@ -140,10 +141,10 @@ def _counted(rows: DataFrame, make: Callable, names: list[str]) -> DataFrame:
             ident, first, counts = np.unique(ident, return_index=True, return_counts=True)
             parts.append([ident, *(c[first] for c in columns), counts])
             size += len(ident)
-            if size > _FLUSH:
+            if size > flush:
                 parts = [merged()]
                 size = len(parts[0][0])
-                if size > _FLUSH // 2:
+                if size > flush // 2:
                     yield out(parts[0])
                     parts, size = [], 0
         if parts:
@@ -158,9 +159,10 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(k.view(np.int64))], names=[*b.schema.names, "k"])
 
 
-def grow(docs: DataFrame, *, text_col: str = "text", heads: int = 1 << 22, depth: int = 2, support: int = 2) -> tuple[Tree, DataFrame]:
+def grow(docs: DataFrame, *, text_col: str = "text", heads: int = 1 << 22, depth: int = 2, support: int = 8) -> tuple[Tree, DataFrame]:
     """The tree learnt from all given texts, and the table (k, c) of the counts of all their words."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(docs[text_col].alias("text"))
     counts = stored(_counted(rows, lambda h, _: (h, h), ["k"]), "words")
     stats = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -170,7 +172,7 @@ def grow(docs: DataFrame, *, text_col: str = "text", heads: int = 1 << 22, depth
     entries = counts.filter(F.col("c") >= support).withColumn("p", (F.col("c") + 1) / F.lit(float(total + distinct + 1)))
     made: list[str] = []
     for words in range(2, depth + 2):
-        seen = spark.sparkContext.broadcast(bitmap(entries))  # 8 MB
+        seen = spark.sparkContext.broadcast(bitmap(entries))  # 8 MB, as is the next one
 
         def grams(hashes: np.ndarray, edges: np.ndarray, words: int = words, seen=seen) -> tuple[np.ndarray, ...]:
             *_, (keys, _), (ident, there) = sequences(hashes, edges, words)
@@ -178,10 +180,24 @@ def grow(docs: DataFrame, *, text_col: str = "text", heads: int = 1 << 22, depth
             asked = there[1:] & _maybe(seen.value, keys[:-1]) & _maybe(seen.value, keys[1:])
             return ident[1:][asked], keys[:-1][asked], keys[1:][asked]
 
+        if words == 2:  # nearly as many as there are tokens: count bare keys first, and go on with those of support
+
+            def pairs(hashes: np.ndarray, edges: np.ndarray, grams=grams) -> tuple[np.ndarray, ...]:
+                return (grams(hashes, edges)[0],) * 2
+
+            often = spark.sparkContext.broadcast(bitmap(_counted(rows, pairs, ["k"]).filter(F.col("c") >= support)))
+            release(spark)
+
+            def grams(hashes: np.ndarray, edges: np.ndarray, often=often) -> tuple[np.ndarray, ...]:
+                (keys, _), (ident, there) = sequences(hashes, edges, 2)
+                asked = there[1:] & _maybe(often.value, ident[1:])
+                return ident[1:][asked], keys[:-1][asked], keys[1:][asked]
+
         found = _counted(rows, grams, ["x", "s"]).filter(F.col("c") >= support).mapInArrow(_keyed, "x long, s long, c long, k long")
         contexts = entries.select(F.col("k").alias("x"), F.col("c").alias("n"))
         suffixes = entries.select(F.col("k").alias("s"), F.col("p").alias("below"))
         level = stored(found.join(suffixes, "s").join(contexts, "x").select("k", "x", "c", "n", "below"), "level", made)
+        release(spark)
         if level.isEmpty():
             break
         states = stored(_states(level, total), "states")
@@ -197,6 +213,7 @@ def grow(docs: DataFrame, *, text_col: str = "text", heads: int = 1 << 22, depth
     signed = frequent.column("k").to_numpy().view(np.uint64)
     order = np.argsort(signed)
     discard(spark, made)
+    release(spark)
     bits = bitmap(gains.select("k").union(rests.select("k")))
     return Tree(Heads(total, distinct, depth, signed[order], frequent.column("c").to_numpy()[order], frequent.column("v").to_numpy()[order], bits), gains, rests), counts
 
@@ -213,7 +230,7 @@ def _states(level: DataFrame, total: int) -> DataFrame:
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
-    """Rows (id, text) with ``g``: texts that follow each other in a partition share it, some 8 MB a group."""
+    """Rows (id, text) with ``g``: texts that follow each other in a partition share it, some 4 MB a group."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,6 +259,7 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, *, id_col: str = "doc_
     stored table does; a group whose texts differ from those that asked ends the job with an error.
     """
     heads = tree.heads
+    small_batches(docs.sparkSession)
     send = docs.sparkSession.sparkContext.broadcast(heads)  # bounded by ``heads`` of ``grow`` and 2^26 bits
     den = heads.total + heads.distinct + 1
     dealt = _dealt(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))

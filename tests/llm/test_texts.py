@@ -345,13 +345,13 @@ def chained(seed, rows, order):
     return texts
 
 
-@pytest.mark.parametrize(("order", "depth"), [(1, 1), (1, 2), (2, 2), (3, 4)])
-def test_tree_equals_dictionaries(spark, order, depth):
+@pytest.mark.parametrize(("order", "depth", "support"), [(1, 1, 2), (1, 2, 8), (2, 2, 2), (3, 4, 3)])
+def test_tree_equals_dictionaries(spark, order, depth, support):
     texts = [*chained(order, 120, order), "", None, "never seen words", "a"]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3, "doc_id")
-    tree, counts = suffix_tree.grow(d.filter("doc_id % 4 != 0"), heads=20, depth=depth)
+    tree, counts = suffix_tree.grow(d.filter("doc_id % 4 != 0"), heads=20, depth=depth, support=support)
     words = [(*(t or "").split(), "END") for t in texts]
-    wanted, states = tree_score([w for i, w in enumerate(words) if i % 4], words, depth)
+    wanted, states = tree_score([w for i, w in enumerate(words) if i % 4], words, depth, support)
     assert states and tree.rests.count() == len(states)
     got = rows_of(suffix_tree.score(d, tree, counts))
     assert [got[i][0]["score"] for i in range(len(texts))] == pytest.approx(wanted)
@@ -364,7 +364,7 @@ def test_what_stands_twice_is_learnt_at_any_size(spark):
     texts = [" ".join(r.choice(vocabulary) for _ in range(60)) for _ in range(400)]
     for rows in (50, 400):
         d = spark.createDataFrame(list(enumerate([*texts[:rows], texts[0]])), "doc_id long, text string")
-        got = {i: x[0]["score"] - x[0]["base_score"] for i, x in rows_of(suffix_tree.score(d, *suffix_tree.grow(d))).items()}
+        got = {i: x[0]["score"] - x[0]["base_score"] for i, x in rows_of(suffix_tree.score(d, *suffix_tree.grow(d, support=2))).items()}
         assert got[0] == got[rows] > 2 * max(got[i] for i in range(1, rows))
 
 
