@@ -13,8 +13,9 @@ retained state that ends its history.
 Counts and states are tables.  Texts are dealt into groups of some 4 MB; each group asks for
 the distinct keys it needs, these are joined to the tables, and the answers meet the group's
 texts again, so a frequent key is asked for once a group and not once a token.  Sent to every
-task are at most ``heads`` frequent words (24 bytes each) and bitmaps of 2^26 bits, which only
-spare requests: an unset bit proves that a sequence is in no table, a set one is looked up.
+task are at most ``heads`` frequent words (24 bytes each), 2^20 frequent entries and states a
+level (16 bytes each) and bitmaps of 2^26 bits. These only spare requests: an unset bit proves
+that a sequence is in no table, and whatever is not sent is looked up.
 Sequences are identified by 64-bit hashes.
 """
 
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybrook.llm.text import blocks, buffer_of, discard, hash_between, lower_ascii, mix, prefix_sums, release, small_batches, stored, word_spans
@@ -38,6 +39,7 @@ _BLOCK = 1 << 20
 _GROUP = 4 << 20
 _DISCOUNT = 0.75
 _BITS = 26
+_ENTRIES = 1 << 20
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +99,8 @@ def _maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Heads:
-    """What every task gets: the sizes, the frequent words in order with count and share left, the entries' bitmap."""
+    """What every task gets: the sizes, the frequent words in order with count and share left, the frequent entries and
+    states (keys in order and values), the bitmap of all other entries and states."""
 
     total: int
     distinct: int
@@ -105,13 +108,15 @@ class Heads:
     words: np.ndarray
     counts: np.ndarray
     rest: np.ndarray
+    gains: tuple[np.ndarray, np.ndarray]
+    rests: tuple[np.ndarray, np.ndarray]
     bits: np.ndarray
 
 
 @dataclass
 class Tree:
-    """The model: ``heads``; tables (k, v) of entries with what they gain over the suffix state, and of states with
-    the share they leave to it."""
+    """The model: ``heads``; tables (k, v, c) of entries with what they gain over the suffix state, and of states with
+    the share they leave to it; c is the count."""
 
     heads: Heads
     gains: DataFrame
@@ -167,7 +172,7 @@ def grow(docs: DataFrame, *, text_col: str = "text", heads: int = 1 << 22, depth
     counts = stored(_counted(rows, lambda h, _: (h, h), ["k"]), "words")
     stats = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = int(stats.n), int(stats.v)
-    none = spark.createDataFrame([], "k long, v double")
+    none = spark.createDataFrame([], "k long, v double, c long")
     gains, rests, word_rests = none, none, none
     entries = counts.filter(F.col("c") >= support).withColumn("p", (F.col("c") + 1) / F.lit(float(total + distinct + 1)))
     made: list[str] = []
@@ -201,32 +206,45 @@ def grow(docs: DataFrame, *, text_col: str = "text", heads: int = 1 << 22, depth
         if level.isEmpty():
             break
         states = stored(_states(level, total), "states")
-        rests = rests.unionByName(states.withColumnRenamed("x", "k"))
+        rests = rests.unionByName(states.select(F.col("x").alias("k"), "v", F.col("n").alias("c")))
         if words == 2:
             word_rests = rests
         gain = (F.col("c") - _DISCOUNT) / F.col("n")
         last = words == depth + 1
-        kept = level.join(states, "x", "inner" if last else "left")
+        kept = level.join(states.drop("n"), "x", "inner" if last else "left")
         entries = stored(kept.select("k", "c", F.coalesce(gain + F.col("v") * F.col("below"), "below").alias("p"), F.when(F.col("v").isNotNull(), gain).alias("gain")), "entries")
-        gains = gains.unionByName(entries.filter("gain IS NOT NULL").select("k", F.col("gain").alias("v")))
-    frequent = counts.filter(F.col("c") * heads >= total).join(word_rests, "k", "left").select("k", "c", F.coalesce("v", F.lit(1.0)).alias("v")).toArrow()  # at most ``heads`` rows
+        gains = gains.unionByName(entries.filter("gain IS NOT NULL").select("k", F.col("gain").alias("v"), "c"))
+    frequent = counts.filter(F.col("c") * heads >= total).join(word_rests.drop("c"), "k", "left").select("k", "c", F.coalesce("v", F.lit(1.0)).alias("v")).toArrow()  # at most ``heads`` rows
     signed = frequent.column("k").to_numpy().view(np.uint64)
     order = np.argsort(signed)
     discard(spark, made)
     release(spark)
-    bits = bitmap(gains.select("k").union(rests.select("k")))
-    return Tree(Heads(total, distinct, depth, signed[order], frequent.column("c").to_numpy()[order], frequent.column("v").to_numpy()[order], bits), gains, rests), counts
+    known = signed[order], frequent.column("c").to_numpy()[order], frequent.column("v").to_numpy()[order]
+    bits = bitmap(gains.union(rests).filter(_rare(total)))
+    return Tree(Heads(total, distinct, depth, *known, _frequent(gains, total), _frequent(rests, total), bits), gains, rests), counts
+
+
+def _rare(total: int) -> Column:
+    return F.col("c") * _ENTRIES < total
+
+
+def _frequent(table: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order and values of the table's frequent rows: at most ``_ENTRIES`` a level, as counts add up to the total."""
+    got = table.filter(~_rare(total)).select("k", "v").toArrow()
+    keys = got.column("k").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], got.column("v").to_numpy()[order]
 
 
 def _states(level: DataFrame, total: int) -> DataFrame:
-    """(x, v) of the contexts that are retained: what each leaves to its suffix.  ``level``: entries with context x, its
+    """(x, n, v) of the contexts that are retained: count, and what each leaves to its suffix.  ``level``: entries with context x, its
     count n, their own count c and their probability in the suffix state."""
     c, n = F.col("c"), F.col("n")
     sums = level.groupBy("x").agg(F.max("n").alias("n"), F.count("*").alias("e"), F.sum("c").alias("met"), F.sum("below").alias("below"), F.sum(c * F.log(c / n / F.col("below"))).alias("gained"))
     left = n - F.col("met")
     others = F.when(left > 0, left * F.log(left / n / F.greatest(1 - F.col("below"), F.lit(1e-300)))).otherwise(0.0)
     worth = F.col("gained") + others > 0.5 * F.col("e") * F.log(F.lit(float(max(total, 2))))
-    return sums.filter(worth).select("x", ((left + _DISCOUNT * F.col("e")) / n).alias("v"))
+    return sums.filter(worth).select("x", "n", ((left + _DISCOUNT * F.col("e")) / n).alias("v"))
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -315,8 +333,10 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, *, id_col: str = "doc_
             for n, (keys, there) in enumerate(sequences(hashes, edges, model.depth + 1), 1):
                 if n > 1:
                     prob[1:] *= np.where(there[1:], rest[:-1], 1.0)
-                    prob += np.where(there, _taken(*gains, keys, 0.0), 0.0)
-                rest = _taken(*rests, keys, 1.0) if n > 1 or not len(model.words) else np.where(head >= 0, model.rest[head], _taken(*rests, keys, 1.0))
+                    prob += np.where(there, np.maximum(_taken(*gains, keys, 0.0), _taken(*model.gains, keys, 0.0)), 0.0)
+                rest = np.minimum(_taken(*rests, keys, 1.0), _taken(*model.rests, keys, 1.0))  # where it isn't found, 1
+                if n == 1 and len(model.words):
+                    rest = np.where(head >= 0, model.rest[head], rest)
             sums = [np.add.reduceat(x, edges[:-1]) for x in (c > 0, np.log10(base), np.log10(prob))]  # every row has its end
             out.append(pa.RecordBatch.from_arrays([block.column("id"), pa.array(np.diff(edges)), pa.array(sums[0].astype(np.int64)), *map(pa.array, sums[1:])], names=["id", "n_tokens", "n_known", "base_score", "score"]))
         if not (kind == 3).any() or check != k[kind == 3][0]:
@@ -326,7 +346,7 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, *, id_col: str = "doc_
     asked = dealt.mapInArrow(ask, "g long, k long, check boolean")
     table = counts.select("k", F.lit(0).cast("byte").alias("kind"), F.col("c").cast("double").alias("v"))
     for kind, part in enumerate((tree.gains, tree.rests), 1):
-        table = table.union(part.select("k", F.lit(kind).cast("byte"), "v"))
+        table = table.union(part.filter(_rare(heads.total)).select("k", F.lit(kind).cast("byte"), "v"))
     found = asked.join(table, (asked["k"] == table["k"]) & ~asked["check"], "left").filter(F.col("check") | F.col("v").isNotNull())
     found = found.select("g", asked["k"], F.when(F.col("check"), 3).otherwise(F.col("kind")).alias("kind"), F.coalesce("v", F.lit(0.0)).alias("v"))
     kind = dealt.schema["id"].dataType.simpleString()

@@ -373,6 +373,9 @@ def test_groups_of_texts(spark, monkeypatch):
     tree, counts = suffix_tree.grow(d)
     whole = {i: x[0]["score"] for i, x in rows_of(suffix_tree.score(d, tree, counts)).items()}
     monkeypatch.setattr(suffix_tree, "_GROUP", 100)
+    monkeypatch.setattr(suffix_tree, "_ENTRIES", 64)  # most entries and states are looked up
+    tree, counts = suffix_tree.grow(d)
+    assert 0 < len(tree.heads.gains[0]) < tree.gains.count()
     assert {i: x[0]["score"] for i, x in rows_of(suffix_tree.score(d, tree, counts)).items()} == pytest.approx(whole)
 
 
