@@ -10,11 +10,12 @@ what is taken off goes to the suffix state's distribution, and at the root to ad
 unseen word, so each state's probabilities sum to one.  A token is scored from the longest
 retained state that ends its history.
 
-Counts and states are tables.  Texts are dealt into groups of some 4 MB; each group asks for
-the distinct keys it needs, these are joined to the tables, and the answers meet the group's
-texts again, so a frequent key is asked for once a group and not once a token.  Sent to every
-task are at most ``heads`` frequent words (24 bytes each), 2^20 frequent entries and states a
-level (16 bytes each) and bitmaps of 2^26 bits. These only spare requests: an unset bit proves
+Counts and states are tables, shares in single precision.  Texts are dealt into groups of some
+4 MB; each group asks for the distinct keys it needs, these are joined to the tables, and the
+answers meet the group's texts again, so a frequent key is asked for once a group and not once
+a token.  Texts travel compressed, answers as arrays of keys and values.  Sent to every
+task are at most ``heads`` frequent words (24 bytes each), 2^22 frequent entries and states a
+level (12 bytes each) and bitmaps of 2^26 bits. These only spare requests: an unset bit proves
 that a sequence is in no table, and whatever is not sent is looked up.
 Sequences are identified by 64-bit hashes.
 """
@@ -26,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +41,7 @@ _BLOCK = 1 << 20
 _GROUP = 4 << 20
 _DISCOUNT = 0.75
 _BITS = 26
-_ENTRIES = 1 << 20
+_ENTRIES = 1 << 22
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +174,7 @@ def grow(docs: DataFrame, *, text_col: str = "text", heads: int = 1 << 22, depth
     counts = stored(_counted(rows, lambda h, _: (h, h), ["k"]), "words")
     stats = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = int(stats.n), int(stats.v)
-    none = spark.createDataFrame([], "k long, v double, c long")
+    none = spark.createDataFrame([], "k long, v float, c long")
     gains, rests, word_rests = none, none, none
     entries = counts.filter(F.col("c") >= support).withColumn("p", (F.col("c") + 1) / F.lit(float(total + distinct + 1)))
     made: list[str] = []
@@ -206,14 +208,14 @@ def grow(docs: DataFrame, *, text_col: str = "text", heads: int = 1 << 22, depth
         if level.isEmpty():
             break
         states = stored(_states(level, total), "states")
-        rests = rests.unionByName(states.select(F.col("x").alias("k"), "v", F.col("n").alias("c")))
+        rests = rests.unionByName(states.select(F.col("x").alias("k"), F.col("v").cast("float").alias("v"), F.col("n").alias("c")))
         if words == 2:
             word_rests = rests
         gain = (F.col("c") - _DISCOUNT) / F.col("n")
         last = words == depth + 1
         kept = level.join(states.drop("n"), "x", "inner" if last else "left")
         entries = stored(kept.select("k", "c", F.coalesce(gain + F.col("v") * F.col("below"), "below").alias("p"), F.when(F.col("v").isNotNull(), gain).alias("gain")), "entries")
-        gains = gains.unionByName(entries.filter("gain IS NOT NULL").select("k", F.col("gain").alias("v"), "c"))
+        gains = gains.unionByName(entries.filter("gain IS NOT NULL").select("k", F.col("gain").cast("float").alias("v"), "c"))
     frequent = counts.filter(F.col("c") * heads >= total).join(word_rests.drop("c"), "k", "left").select("k", "c", F.coalesce("v", F.lit(1.0)).alias("v")).toArrow()  # at most ``heads`` rows
     signed = frequent.column("k").to_numpy().view(np.uint64)
     order = np.argsort(signed)
@@ -247,19 +249,50 @@ def _states(level: DataFrame, total: int) -> DataFrame:
     return sums.filter(worth).select("x", "n", ((left + _DISCOUNT * F.col("e")) / n).alias("v"))
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    """Rows (id, text) with ``g``: texts that follow each other in a partition share it, some 4 MB a group."""
-    kind = rows.schema["id"].dataType.simpleString()
+def _groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Blocks of texts, each with its group: texts that follow each other in a partition share one, some ``limit`` bytes a group."""
+    part, size = TaskContext.get().partitionId() << 32, 0
+    for block in blocks(batches, "text", min(_BLOCK, limit)):
+        yield part + size // limit, block
+        size += len(buffer_of(block.column("text"))[0])
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, size = TaskContext.get().partitionId() << 32, 0
-        for block in blocks(batches, "text", _BLOCK):
-            _, offsets = buffer_of(block.column("text"))
-            g = pa.array(part + (size + offsets[:-1]) // _GROUP)
-            size += int(offsets[-1])
-            yield pa.RecordBatch.from_arrays([g, block.column("id"), block.column("text")], names=["g", "id", "text"])
 
-    return rows.mapInArrow(task, f"g long, id {kind}, text string")
+def _dealt(rows: DataFrame, limit: int) -> DataFrame:
+    """Rows (id, text) by blocks: group ``g`` and the compressed ``block``."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g, block in _groups(batches, limit):
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_batch(block)
+            yield pa.RecordBatch.from_arrays([pa.array([g]), pa.array([out.getvalue().to_pybytes()])], names=["g", "block"])
+
+    return rows.mapInArrow(task, "g long, block binary")
+
+
+def _boxed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers (g, kind, k, v) of one group and kind as two arrays: keys of 64 bits and values of 32, integers for words."""
+    parts: list[pa.RecordBatch] = []
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        g, kind, k, v = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("g", "kind", "k", "v"))
+        order = np.lexsort((kind, g))
+        g, kind, k, v = g[order], kind[order], k[order], v[order]
+        first = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (kind[1:] != kind[:-1])))
+        cuts = np.append(first, len(g)).astype(np.int32)
+        values = np.where(kind == 0, v.astype(np.int32), v.astype(np.float32).view(np.int32))
+        boxes = [pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(cuts * np.int32(x.itemsize)), pa.py_buffer(x)]) for x in (k, values)]
+        return pa.RecordBatch.from_arrays([pa.array(g[first]), pa.array(kind[first]), *boxes], names=["g", "kind", "k", "v"])
+
+    for batch in batches:
+        parts.append(batch)
+        size += batch.num_rows
+        if size >= _FLUSH:
+            yield out()
+            parts, size = [], 0
+    if size:
+        yield out()
 
 
 def _sum(hashes: np.ndarray) -> int:
@@ -280,7 +313,9 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, *, id_col: str = "doc_
     small_batches(docs.sparkSession)
     send = docs.sparkSession.sparkContext.broadcast(heads)  # bounded by ``heads`` of ``grow`` and 2^26 bits
     den = heads.total + heads.distinct + 1
-    dealt = _dealt(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
+    limit = _GROUP
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    dealt = _dealt(rows, limit)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = send.value
@@ -291,39 +326,36 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, *, id_col: str = "doc_
             g = np.full(len(keys) + 1, group)
             return pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.append(keys.view(np.int64), check)), pa.array(np.append(np.zeros(len(keys), bool), True))], names=["g", "k", "check"])
 
-        for batch in batches:
-            of = batch.column("g").to_numpy()
-            cuts = [0, *np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)] if len(of) else []
-            for start, end in zip(cuts, cuts[1:], strict=False):
-                if group is not None and of[start] != group:
-                    yield request()
-                    parts, check = [], 0
-                group = int(of[start])
-                for block in blocks([batch.slice(start, end - start)], "text", _BLOCK):
-                    hashes, edges = tokens(block.column("text"))
-                    check ^= _sum(hashes)
-                    parts.append(np.unique(hashes[_find(model.words, hashes) < 0]))
-                    for n, (keys, there) in enumerate(sequences(hashes, edges, model.depth + 1), 1):
-                        if n > 1:
-                            parts.append(np.unique(keys[there & _maybe(model.bits, keys)]))
+        for g, block in _groups(batches, limit):
+            if group is not None and g != group:
+                yield request()
+                parts, check = [], 0
+            group = g
+            hashes, edges = tokens(block.column("text"))
+            check ^= _sum(hashes)
+            parts.append(np.unique(hashes[_find(model.words, hashes) < 0]))
+            for n, (keys, there) in enumerate(sequences(hashes, edges, model.depth + 1), 1):
+                if n > 1:
+                    parts.append(np.unique(keys[there & _maybe(model.bits, keys)]))
         if group is not None:
             yield request()
 
     def answer(texts: pa.Table, found: pa.Table) -> pa.Table:
         model = send.value
-        texts = texts.combine_chunks()
-        kind = found.column("kind").to_numpy()
-        k, v = found.column("k").to_numpy(), found.column("v").to_numpy()
-        tables = []
-        for which in range(3):
-            mine = kind == which
-            signed = k[mine].view(np.uint64)
-            order = np.argsort(signed)
-            tables.append((signed[order], v[mine][order]))
+        tables, checks = [], np.zeros(0, np.int64)
+        for which in range(4):
+            mine = found.filter(pc.equal(found.column("kind"), which))
+            k, v = (b"".join(mine.column(c).to_pylist()) for c in "kv")
+            if which == 3:
+                checks = np.frombuffer(k, np.int64)
+                continue
+            keys = np.frombuffer(k, np.uint64)
+            order = np.argsort(keys)
+            tables.append((keys[order], np.frombuffer(v, np.float32 if which else np.int32)[order].astype(float)))
         (words, met), gains, rests = tables
         check, out = 0, []
-        rows = pa.RecordBatch.from_arrays([c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in texts.columns], names=texts.column_names)
-        for block in blocks([rows], "text", _BLOCK):
+        for packed in texts.column("block"):
+            block = pa.ipc.open_stream(packed.as_buffer()).read_next_batch()
             hashes, edges = tokens(block.column("text"))
             check ^= _sum(hashes)
             head = _find(model.words, hashes)
@@ -339,16 +371,17 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, *, id_col: str = "doc_
                     rest = np.where(head >= 0, model.rest[head], rest)
             sums = [np.add.reduceat(x, edges[:-1]) for x in (c > 0, np.log10(base), np.log10(prob))]  # every row has its end
             out.append(pa.RecordBatch.from_arrays([block.column("id"), pa.array(np.diff(edges)), pa.array(sums[0].astype(np.int64)), *map(pa.array, sums[1:])], names=["id", "n_tokens", "n_known", "base_score", "score"]))
-        if not (kind == 3).any() or check != k[kind == 3][0]:
+        if list(checks) != [check]:
             raise RuntimeError("the texts were dealt otherwise when they asked: store the table first")
         return pa.Table.from_batches(out)
 
-    asked = dealt.mapInArrow(ask, "g long, k long, check boolean")
+    asked = rows.mapInArrow(ask, "g long, k long, check boolean")
     table = counts.select("k", F.lit(0).cast("byte").alias("kind"), F.col("c").cast("double").alias("v"))
     for kind, part in enumerate((tree.gains, tree.rests), 1):
         table = table.union(part.filter(_rare(heads.total)).select("k", F.lit(kind).cast("byte"), "v"))
     found = asked.join(table, (asked["k"] == table["k"]) & ~asked["check"], "left").filter(F.col("check") | F.col("v").isNotNull())
-    found = found.select("g", asked["k"], F.when(F.col("check"), 3).otherwise(F.col("kind")).alias("kind"), F.coalesce("v", F.lit(0.0)).alias("v"))
-    kind = dealt.schema["id"].dataType.simpleString()
+    found = found.select("g", F.when(F.col("check"), 3).otherwise(F.col("kind")).cast("int").alias("kind"), asked["k"], F.coalesce("v", F.lit(0.0)).alias("v"))
+    found = found.mapInArrow(_boxed, "g long, kind int, k binary, v binary")
+    kind = rows.schema["id"].dataType.simpleString()
     scored = dealt.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(answer, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(heads.total).cast("long").alias("train_tokens"), "base_score", "score")
