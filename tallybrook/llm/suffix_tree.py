@@ -77,10 +77,21 @@ def _find(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(table[at] == values, at, -1)
 
 
-def _taken(table: np.ndarray, column: np.ndarray, values: np.ndarray, other: float) -> np.ndarray:
-    """The column's entry for each value, ``other`` for absent ones."""
-    at = _find(table, values)
-    return np.where(at >= 0, column[at], other) if len(table) else np.full(len(values), other)
+class Lookup:
+    """A table of sorted keys and their values. 2^22 flags tell most absent keys without a search."""
+
+    def __init__(self, keys: np.ndarray, column: np.ndarray):
+        self.keys, self.column = keys, column
+        self.there = np.zeros(1 << 22, dtype=bool)
+        self.there[keys >> np.uint64(42)] = True
+
+    def get(self, values: np.ndarray, other: float) -> np.ndarray:
+        """The column's entry for each value, ``other`` for absent ones."""
+        out = np.full(len(values), other)
+        asked = np.flatnonzero(self.there[values >> np.uint64(42)])
+        at = _find(self.keys, values[asked])
+        out[asked[at >= 0]] = self.column[at[at >= 0]]
+        return out
 
 
 def bitmap(keys: DataFrame) -> np.ndarray:
@@ -351,22 +362,25 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, *, id_col: str = "doc_
                 continue
             keys = np.frombuffer(k, np.uint64)
             order = np.argsort(keys)
-            tables.append((keys[order], np.frombuffer(v, np.float32 if which else np.int32)[order].astype(float)))
-        (words, met), gains, rests = tables
+            tables.append(Lookup(keys[order], np.frombuffer(v, np.float32 if which else np.int32)[order]))
+        words, gains, rests = tables
+        often, left = Lookup(*model.gains), Lookup(*model.rests)
         check, out = 0, []
         for packed in texts.column("block"):
             block = pa.ipc.open_stream(packed.as_buffer()).read_next_batch()
             hashes, edges = tokens(block.column("text"))
             check ^= _sum(hashes)
             head = _find(model.words, hashes)
-            c = np.where(head >= 0, model.counts[head], _taken(words, met, hashes, 0.0)) if len(model.words) else _taken(words, met, hashes, 0.0)
+            c = words.get(hashes, 0.0)
+            if len(model.words):
+                c = np.where(head >= 0, model.counts[head], c)
             base = (c + 1.0) / den
             prob, rest = base.copy(), np.ones(len(hashes))
             for n, (keys, there) in enumerate(sequences(hashes, edges, model.depth + 1), 1):
                 if n > 1:
                     prob[1:] *= np.where(there[1:], rest[:-1], 1.0)
-                    prob += np.where(there, np.maximum(_taken(*gains, keys, 0.0), _taken(*model.gains, keys, 0.0)), 0.0)
-                rest = np.minimum(_taken(*rests, keys, 1.0), _taken(*model.rests, keys, 1.0))  # where it isn't found, 1
+                    prob += np.where(there, np.maximum(gains.get(keys, 0.0), often.get(keys, 0.0)), 0.0)
+                rest = np.minimum(rests.get(keys, 1.0), left.get(keys, 1.0))  # where it isn't found, 1
                 if n == 1 and len(model.words):
                     rest = np.where(head >= 0, model.rest[head], rest)
             sums = [np.add.reduceat(x, edges[:-1]) for x in (c > 0, np.log10(base), np.log10(prob))]  # every row has its end
