@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybrook.llm import bit_sliced, jaccard_join, language_id, licences, mixing, multi_index, piece_sampling, pii, suffix_tree, token_counts
+from tallybrook.llm import bit_sliced, jaccard_join, language_id, licences, mixing, multi_index, periodic_runs, piece_sampling, pii, suffix_tree, token_counts
 from tallybrook.llm.text import fold
 
 
@@ -93,8 +93,30 @@ def op10_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_sliced.top_k(_embeddings(spark, sf_dir), k=5, every=50)
 
 
+def planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): a tenth of the texts, chosen by the id's crc32, continue from some word on with a period of their own
+    words; the others, those of null ids too, are left alone."""
+    white = r"[\x20\x09-\x0D]+"
+    h = F.crc32(F.col("doc_id").cast("string"))
+    chosen = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.filter(F.split("text", white), lambda x: x != "")).alias("w"))
+    spot = chosen.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")))
+    spot = spot.withColumn("p", F.expr("int(1 + (n - a) div (3 + g % 8))"))
+    again = F.expr("concat(slice(w, 1, a), slice(flatten(array_repeat(slice(w, a + 1, p), int((n - a + p - 1) div p))), 1, n - a))")
+    return spot.select("doc_id", F.when(F.col("n") > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the planted texts: how many runs, the longest one, and digests of all runs and of the text without repeats."""
+    found = periodic_runs.find_runs(planted(_documents(spark, sf_dir)))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("l"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    top = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    parts = [(-F.col("b.s")).alias("start"), F.col("b.l").alias("length"), (-F.col("b.p")).alias("period"), F.floor(1000 * F.col("b.l") / -F.col("b.p")).alias("exponent_milli")]
+    return top.select("doc_id", "n_runs", *parts, "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_licences, op2_piece_sampling, op3_pii, op4_language_id, op5_jaccard_join, op6_lm_scores, op7_token_counts, op8_nearest, op9_mixing, op10_bit_sliced)}
+    return {f.__name__: f for f in (op1_licences, op2_piece_sampling, op3_pii, op4_language_id, op5_jaccard_join, op6_lm_scores, op7_token_counts, op8_nearest, op9_mixing, op10_bit_sliced, op13_periodic_runs)}
 
 
 _JACCARD_SQL = r"""
@@ -114,8 +136,26 @@ _TOP_SQL = """
 """
 
 
+#: crc32 a bit at a time, over the id's digits each followed by eight shifts.
+_RUNS_SQL = r"""
+    WITH d AS (SELECT row_number() OVER () AS k, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS v, CAST(doc_id AS VARCHAR) AS t FROM documents),
+    h AS (SELECT k, doc_id, v, len(v) AS n, xor(list_reduce(list_concat([CAST(4294967295 AS UBIGINT)], flatten(list_transform(range(1, len(t) + 1), lambda i: [CAST(ascii(t[i]) AS UBIGINT), 256, 256, 256, 256, 256, 256, 256, 256]))),
+        lambda c, x: CASE WHEN x < 256 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), CAST(4294967295 AS UBIGINT)) AS h FROM d),
+    s AS (SELECT *, CAST(h // 10 AS BIGINT) AS g, CASE WHEN h % 10 = 0 AND n > 0 THEN CAST(h // 10 AS BIGINT) % n END AS a FROM h),
+    p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM s),
+    w AS (SELECT k, n, i, CASE WHEN i >= a THEN v[a + (i - a) % p + 1] ELSE v[i + 1] END AS w FROM (SELECT *, unnest(range(0, n)) AS i FROM p)),
+    q AS (SELECT x.k, x.i, x.i - y.i AS q FROM w AS x JOIN w AS y ON x.k = y.k AND x.w = y.w AND y.i < x.i AND 4 * (x.i - y.i) <= x.n),
+    m AS (SELECT k, q, min(i) - q AS s, count(*) + q AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY k, q ORDER BY i) AS o FROM q) GROUP BY k, q, o HAVING count(*) + q >= greatest(6, 4 * q)),
+    r AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m AS z WHERE z.k = m.k AND z.q < m.q AND z.s <= m.s AND z.s + z.l >= m.s + m.l)),
+    o AS (SELECT k, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS t, min({'l': -l, 's': s, 'q': q}) AS b FROM r GROUP BY k),
+    c AS (SELECT w.k, string_agg(w.w, ' ' ORDER BY w.i) AS t FROM w WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.k = w.k AND w.i >= r.s + r.q AND w.i < r.s + r.l) GROUP BY w.k)
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(b.s AS BIGINT) AS start, CAST(-b.l AS BIGINT) AS length, CAST(b.q AS BIGINT) AS period, CAST(1000 * -b.l // b.q AS BIGINT) AS exponent_milli, sha256(coalesce(o.t, '')) AS runs_sha256, sha256(coalesce(c.t, '')) AS collapsed_sha256
+    FROM d LEFT JOIN o USING (k) LEFT JOIN c USING (k)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that it can express on whole tables; the others are tested against brute force."""
     number = "TRY_CAST(nullif(regexp_extract(source, '[0-9]+$'), '') AS BIGINT)"
     levels = {"domain": f"'d' || ({number} % 4)", "language": "lang", "origin": "source"}
-    return {"op1_licences": licences.scan_sql(), "op5_jaccard_join": _JACCARD_SQL, "op10_bit_sliced": _TOP_SQL, "op9_mixing": mixing.mix_sql(levels, weights=MIX_WEIGHTS, budget_share=0.6, max_epochs=4, seed=29)}
+    return {"op1_licences": licences.scan_sql(), "op5_jaccard_join": _JACCARD_SQL, "op10_bit_sliced": _TOP_SQL, "op13_periodic_runs": _RUNS_SQL, "op9_mixing": mixing.mix_sql(levels, weights=MIX_WEIGHTS, budget_share=0.6, max_epochs=4, seed=29)}
