@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybrook.llm import bit_sliced, jaccard_join, language_id, licences, mixing, multi_index, periodic_runs, piece_sampling, pii, suffix_tree, token_counts
+from tallybrook.llm import bit_sliced, collocations, jaccard_join, language_id, licences, mixing, multi_index, periodic_runs, piece_sampling, pii, suffix_tree, token_counts
 from tallybrook.llm.text import fold
 
 
@@ -93,6 +93,10 @@ def op10_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_sliced.top_k(_embeddings(spark, sf_dir), k=5, every=50)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir).select("doc_id", "text", "lang"))
+
+
 def planted(docs: DataFrame) -> DataFrame:
     """(doc_id, text): a tenth of the texts, chosen by the id's crc32, continue from some word on with a period of their own
     words; the others, those of null ids too, are left alone."""
@@ -116,7 +120,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_licences, op2_piece_sampling, op3_pii, op4_language_id, op5_jaccard_join, op6_lm_scores, op7_token_counts, op8_nearest, op9_mixing, op10_bit_sliced, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_licences, op2_piece_sampling, op3_pii, op4_language_id, op5_jaccard_join, op6_lm_scores, op7_token_counts, op8_nearest, op9_mixing, op10_bit_sliced, op12_collocations, op13_periodic_runs)}
 
 
 _JACCARD_SQL = r"""
@@ -136,6 +140,22 @@ _TOP_SQL = """
 """
 
 
+_PHRASES_SQL = r"""
+    WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t FROM documents),
+    v AS (SELECT lang, list_filter(regexp_split_to_array(t, '[\x20\x09]+'), lambda x: x <> '') AS v FROM p),
+    k AS (SELECT unnest(range(1, 5)) AS k),
+    o AS (SELECT lang, k, unnest(list_transform(range(1, len(v) - k + 2), lambda i: array_to_string(v[i:i + k - 1], ' '))) AS phrase FROM v, k WHERE len(v) >= k),
+    c AS (SELECT lang, k, phrase, count(*) AS f FROM o GROUP BY ALL),
+    n AS (SELECT lang, sum(f) AS n FROM c WHERE k = 1 GROUP BY 1),
+    a AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM c WHERE k >= 2 AND f >= 30),
+    s AS (SELECT a.lang, a.phrase, a.a, unnest(range(1, k)) AS cut, w FROM a),
+    x AS (SELECT s.lang, s.phrase, s.a, s.cut, l.f AS l, r.f AS r, CAST(CAST(s.a AS HUGEINT) * 2000000 // (CAST(l.f AS HUGEINT) + r.f) AS BIGINT) AS score FROM s JOIN c AS l ON l.lang = s.lang AND l.phrase = array_to_string(w[1:cut], ' ') JOIN c AS r ON r.lang = s.lang AND r.phrase = array_to_string(w[cut + 1:], ' ')),
+    b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+    i AS (SELECT DISTINCT a.lang, array_to_string(w[z.s:z.s + z.m - 1], ' ') AS phrase, a.a FROM a, (SELECT unnest(range(1, 4)) AS s) AS y(q), LATERAL (SELECT q AS s, m FROM (SELECT unnest(range(2, 4)) AS m)) AS z WHERE z.m < a.k AND z.s + z.m - 1 <= a.k),
+    f AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.lang = b.lang AND i.phrase = b.phrase AND CAST(i.a AS HUGEINT) * 100 >= CAST(b.a AS HUGEINT) * 80))
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM f JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
 #: crc32 a bit at a time, over the id's digits each followed by eight shifts.
 _RUNS_SQL = r"""
     WITH d AS (SELECT row_number() OVER () AS k, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS v, CAST(doc_id AS VARCHAR) AS t FROM documents),
@@ -158,4 +178,4 @@ def oracle_sql() -> dict[str, str]:
     """SQL of the operators that it can express on whole tables; the others are tested against brute force."""
     number = "TRY_CAST(nullif(regexp_extract(source, '[0-9]+$'), '') AS BIGINT)"
     levels = {"domain": f"'d' || ({number} % 4)", "language": "lang", "origin": "source"}
-    return {"op1_licences": licences.scan_sql(), "op5_jaccard_join": _JACCARD_SQL, "op10_bit_sliced": _TOP_SQL, "op13_periodic_runs": _RUNS_SQL, "op9_mixing": mixing.mix_sql(levels, weights=MIX_WEIGHTS, budget_share=0.6, max_epochs=4, seed=29)}
+    return {"op1_licences": licences.scan_sql(), "op5_jaccard_join": _JACCARD_SQL, "op10_bit_sliced": _TOP_SQL, "op12_collocations": _PHRASES_SQL, "op13_periodic_runs": _RUNS_SQL, "op9_mixing": mixing.mix_sql(levels, weights=MIX_WEIGHTS, budget_share=0.6, max_epochs=4, seed=29)}

@@ -69,9 +69,10 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word [^\\x20\\x09-\\x0D]+, and the index of the first word of each row (rows + 1 values)."""
-    solid = ~WHITE[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, white: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word [^\\x20\\x09-\\x0D]+, and the index of the first word of each row (rows + 1 values);
+    ``white`` marks other bytes to part words at."""
+    solid = ~white[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
     before = np.zeros(len(data), dtype=bool)
