@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybrook.llm import bit_sliced, collocations, jaccard_join, language_id, licences, mixing, multi_index, periodic_runs, piece_sampling, pii, suffix_tree, token_counts
+from tallybrook.llm import bit_sliced, collocations, jaccard_join, language_id, licences, mixing, multi_index, neighbour_votes, periodic_runs, piece_sampling, pii, suffix_tree, token_counts
 from tallybrook.llm.text import fold
 
 
@@ -93,6 +93,13 @@ def op10_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_sliced.top_k(_embeddings(spark, sf_dir), k=5, every=50)
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    found = neighbour_votes.score(docs, neighbour_votes.learn(docs, labels.filter(~fold("doc_id", 5, 0))))
+    return found.select("doc_id", fold("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_documents(spark, sf_dir).select("doc_id", "text", "lang"))
 
@@ -120,7 +127,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_licences, op2_piece_sampling, op3_pii, op4_language_id, op5_jaccard_join, op6_lm_scores, op7_token_counts, op8_nearest, op9_mixing, op10_bit_sliced, op12_collocations, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_licences, op2_piece_sampling, op3_pii, op4_language_id, op5_jaccard_join, op6_lm_scores, op7_token_counts, op8_nearest, op9_mixing, op10_bit_sliced, op11_quality, op12_collocations, op13_periodic_runs)}
 
 
 _JACCARD_SQL = r"""
