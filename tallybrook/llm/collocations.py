@@ -7,10 +7,11 @@ frequent, longer phrases over it may have gone uncounted: it joins the proposed
 adds, until no frequent phrase is missing among the proposed ones. As every part of a frequent phrase is
 frequent, all frequent phrases have then been counted, whatever the sample held.
 
-Proposed phrases reach the tasks as a Bloom filter of phrase keys, sized by their number (at most 2^28 bits, 32 MB). A
-phrase that is let through by mistake, through the filter or through a collision of keys, is counted like any other, so a full
-filter costs work and never changes a count. Counts are kept by the phrase itself, summed in each block and each
-task before the shuffle.
+The passes count 64-bit keys of phrases, so that what is rare, nearly all of the border, is shuffled as numbers. A key's count is
+that of its phrase or, where keys collide, more, so no frequent phrase is lost; a last pass counts the phrases of the keys that
+reach the support by the phrases themselves, and what counts is exact. Proposed phrases reach the tasks as a
+Bloom filter of keys, sized by their number (at most 2^28 bits, 32 MB). A phrase that is let through by mistake is counted
+like any other, so a full filter costs work and never changes a count. Counts are summed in each block before the shuffle.
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _PART = _BREAK.copy()
 _PART[[0x20, 0x09]] = True
-_BLOCK = 4 << 20
-_OUT_BYTES = 4 << 20
+_BLOCK = 2 << 20
+_OUT_BYTES = 2 << 20
+_HELD_BYTES = 24 << 20
 _MOST_BITS = 28
 _A = np.uint64(0xD6E8FEB86659FD93)
 
@@ -86,9 +88,9 @@ class Proposed:
     bits: np.ndarray  # 64 in each element
 
     @staticmethod
-    def of(keys: DataFrame, least_bits: int = 0, entries: int | None = None) -> Proposed:
+    def of(keys: DataFrame, least_bits: int = 0) -> Proposed:
         """The filter of a table's column ``key``; its size follows the number of keys, or is 2^``least_bits``."""
-        size = least_bits or min(_MOST_BITS, max(16, int(16 * max(1, keys.count() if entries is None else entries) - 1).bit_length()))
+        size = least_bits or min(_MOST_BITS, max(16, int(16 * max(1, keys.count()) - 1).bit_length()))
         low = F.lit((1 << size) - 1)
         spots = keys.select(F.explode(F.array(F.col("key").bitwiseAND(low), F.shiftrightunsigned("key", 36).bitwiseAND(low))).alias("spot"))
         words = spots.groupBy(F.shiftright("spot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("bits")).toArrow()
@@ -106,27 +108,40 @@ class Proposed:
         return np.logical_and(*((self.bits[(s >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63)) & np.uint64(1)).astype(bool) for s in spots))
 
 
-def _sampled_keys(rows: DataFrame, longest: int) -> DataFrame:
-    """(key, n) of every phrase of up to ``longest`` words in the rows."""
+def _grown(w: Words, longest: int, now: Proposed | None, before: Proposed | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By length: (words, key of each distinct phrase, its first position, its count, whether an earlier pass counted it), of
+    phrases whose first words and last words the filter ``now`` has; without a filter of all phrases."""
+    ids, keys, at = w.ids, w.keys, np.arange(len(w.ids))
+    _, first, counts = np.unique(ids, return_index=True, return_counts=True)
+    done = np.full(len(keys), before is not None)
+    for k in range(1, longest + 1):
+        if not len(keys):
+            return
+        yield k, keys, first, counts, done
+        live = now.has(keys)[ids] if now is not None else np.ones(len(ids), bool)
+        known = done & before.has(keys) if before is not None else done
+        on = live[:-1] & live[1:] & w.goes_on[at[:-1]] & (at[1:] == at[:-1] + 1)
+        at = at[:-1][on]
+        codes, first, mine, counts = np.unique(ids[:-1][on] * len(keys) + ids[1:][on], return_index=True, return_inverse=True, return_counts=True)
+        first, head, tail = at[first], codes // len(keys), codes % len(keys)
+        done, keys, ids = known[head] & known[tail], _longer(keys[head], keys[tail]), mine
+
+
+def _key_counts(rows: DataFrame, longest: int, new: Broadcast | None = None, old: Broadcast | None = None) -> DataFrame:
+    """(key, words, n) of the phrases that a filter lets through and the one before it didn't."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, before = new.value if new is not None else None, old.value if old is not None else None
         for block in blocks(batches, "text", _BLOCK):
-            w = _words(block)
-            ids, keys, at = w.ids, w.keys, np.arange(len(w.ids))
-            for k in range(1, longest + 1):
-                if k > 1:
-                    on = w.goes_on[at[:-1]] & (at[1:] == at[:-1] + 1) if len(at) else np.zeros(0, bool)
-                    codes, mine = np.unique(ids[:-1][on] * len(keys) + ids[1:][on], return_inverse=True)
-                    keys, ids, at = _longer(keys[codes // len(keys)], keys[codes % len(keys)]), mine, at[:-1][on]
-                if not len(ids):
-                    break
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(ids, minlength=len(keys)))], names=["key", "n"])
+            for k, keys, _, counts, done in _grown(_words(block), longest, now, before):
+                fresh = ~done
+                yield pa.RecordBatch.from_arrays([pa.array(keys[fresh].view(np.int64)), pa.array(np.full(int(fresh.sum()), k, dtype=np.int8)), pa.array(counts[fresh])], names=["key", "words", "n"])
 
-    return rows.mapInArrow(task, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(task, "key long, words byte, n long").groupBy("key").agg(F.min("words").alias("words"), F.sum("n").alias("n"))
 
 
-def _emit(w: Words, k: int, first: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Phrases of ``k`` words at the positions with their counts, in batches of bounded size."""
+def _phrases(w: Words, k: int, first: np.ndarray, counts: np.ndarray) -> Iterator[pa.Table]:
+    """Phrases of ``k`` words at the positions with their counts, in tables of bounded size."""
     lengths = pc.binary_length(w.kinds).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sum(lengths[w.kind[first + j]] for j in range(k)) + k)
     x = 0
@@ -134,59 +149,45 @@ def _emit(w: Words, k: int, first: np.ndarray, counts: np.ndarray) -> Iterator[p
         y = max(x + 1, int(np.searchsorted(ends, (ends[x - 1] if x else 0) + _OUT_BYTES, side="right")))
         parts = [w.kinds.take(pa.array(w.kind[first[x:y] + j])) for j in range(k)]
         phrase = pc.binary_join_element_wise(*parts, " ") if k > 1 else parts[0]
-        yield pa.RecordBatch.from_arrays([w.langs.take(pa.array(w.lang[first[x:y]])), phrase, pa.array(counts[x:y])], names=["lang", "phrase", "f"])
+        yield pa.table([w.langs.take(pa.array(w.lang[first[x:y]])), phrase, pa.array(counts[x:y])], names=["lang", "phrase", "f"])
         x = y
 
 
-def _counted(rows: DataFrame, longest: int, new: Broadcast, old: Broadcast | None) -> DataFrame:
-    """(lang, phrase, f) of what a filter lets through and the one before it didn't; on the first pass also all words, and
-    under an empty phrase the number of all word occurrences of the language."""
+def _phrase_counts(rows: DataFrame, longest: int, wanted: Broadcast) -> DataFrame:
+    """(lang, phrase, f) of the phrases whose keys a filter has, exact, and under an empty phrase the number of all word
+    occurrences of the language; summed in each task first."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, before = new.value, old.value if old is not None else None
+        held: list[pa.Table] = []
+        size = 0
+
+        def summed() -> pa.Table:
+            got = pa.concat_tables(held).group_by(["lang", "phrase"]).aggregate([("f", "sum")])
+            return pa.table([got.column("lang").combine_chunks(), got.column("phrase").combine_chunks(), got.column("f_sum").combine_chunks()], names=["lang", "phrase", "f"])
+
         for block in blocks(batches, "text", _BLOCK):
             w = _words(block)
             if not len(w.ids):
                 continue
-            ids, keys, at = w.ids, w.keys, np.arange(len(w.ids))
-            done = np.ones(len(keys), dtype=bool)  # counted by an earlier pass
-            if before is None:
-                many = np.bincount(w.lang, minlength=len(w.langs))
-                yield pa.RecordBatch.from_arrays([w.langs, pa.array([""] * len(w.langs), pa.string()), pa.array(many)], names=["lang", "phrase", "f"])
-                _, first, counts = np.unique(ids, return_index=True, return_counts=True)
-                yield from _emit(w, 1, first, counts)
-            for k in range(2, longest + 1):
-                live = now.has(keys)[ids]
-                known = done & before.has(keys) if before is not None else np.zeros(len(keys), bool)
-                on = live[:-1] & live[1:] & w.goes_on[at[:-1]] & (at[1:] == at[:-1] + 1)
-                codes, first, mine, counts = np.unique(ids[:-1][on] * len(keys) + ids[1:][on], return_index=True, return_inverse=True, return_counts=True)
-                if not len(codes):
-                    break
-                at = at[:-1][on]
-                done = known[codes // len(keys)] & known[codes % len(keys)]
-                keys, ids = _longer(keys[codes // len(keys)], keys[codes % len(keys)]), mine
-                yield from _emit(w, k, at[first][~done], counts[~done])
+            many = np.bincount(w.lang, minlength=len(w.langs))
+            held.append(pa.table([w.langs, pa.array([""] * len(w.langs), pa.string()), pa.array(many)], names=["lang", "phrase", "f"]))
+            for k, keys, first, counts, _ in _grown(w, longest, wanted.value, None):
+                there = wanted.value.has(keys)
+                for part in _phrases(w, k, first[there], counts[there]):
+                    held.append(part)
+                    size += part.nbytes
+                    if size > _HELD_BYTES:
+                        held[:] = [summed()]
+                        size = held[0].nbytes
+                        if size > _HELD_BYTES // 2:
+                            yield from held.pop().to_batches(1 << 16)
+                            size = 0
+        if held:
+            yield from summed().to_batches(1 << 16)
 
     return rows.mapInArrow(task, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
-def _keys(phrases: DataFrame) -> DataFrame:
-    """The column ``key`` of every row (lang, phrase)."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text", _BLOCK):
-            w = _words(block)
-            keys, size = w.keys[w.ids], np.diff(w.edges)
-            out = np.zeros(block.num_rows, dtype=np.uint64)
-            for k in range(1, int(size.max(initial=0)) + 1):
-                if k > 1:
-                    keys = _longer(keys[:-1], keys[1:])
-                out[size == k] = keys[w.edges[:-1][size == k]]
-            yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64))], names=["key"])
-
-    return phrases.select("lang", F.col("phrase").alias("text")).mapInArrow(task, "key long")
-
-
 def _unseen(keys: DataFrame, proposed: Broadcast) -> int:
     """How many keys the filter doesn't have."""
 
@@ -195,12 +196,13 @@ def _unseen(keys: DataFrame, proposed: Broadcast) -> int:
             missing = ~proposed.value.has(b.column("key").to_numpy().astype(np.int64).view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array([int(missing.sum())], pa.int64())], names=["n"])
 
-    return keys.mapInArrow(task, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    return keys.select("key").mapInArrow(task, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
 
 
-def frequent(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", support: int = 30, longest: int = 4, share: float = 0.25, slack: float = 0.3, made: list[str] | None = None) -> tuple[DataFrame, int]:
+def frequent(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", support: int = 30, longest: int = 4, share: float = 0.125, slack: float = 0.55, made: list[str] | None = None) -> tuple[DataFrame, int]:
     """(lang, phrase, words, f) of all phrases of up to ``longest`` words that occur at least ``support`` times in a language, and
-    one row with an empty phrase and 0 words for the number of all word occurrences of each language; and the number of full passes.
+    one row with an empty phrase and 0 words for the number of all word occurrences of each language; and the number of full
+    passes that counted keys.
 
     ``share`` of the documents, by a hash of their ids, is the sample; its threshold is ``slack`` times the expected
     count of a phrase that just has the support. Both change the number of passes only. Phrases don't cross the ends of pieces
@@ -212,25 +214,23 @@ def frequent(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[lang_col].cast("string"), F.lit(UNKNOWN)).alias("lang"), docs[text_col].cast("string").alias("text"))
     sample = rows.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20))).drop("id")
     rows = rows.drop("id")
-    old, passes, parts = None, 0, []
-    found = stored(_sampled_keys(sample, longest - 1).filter(F.col("n") >= max(1, int(slack * share * support))).select("key"), "proposed", made)
-    proposed = Proposed.of(found)
+    old, passes, often = None, 0, None
+    proposed = Proposed.of(stored(_key_counts(sample, longest - 1).filter(F.col("n") >= max(1, int(slack * share * support))).select("key"), "proposed", made))
     while True:
+        release(spark)
         new = spark.sparkContext.broadcast(proposed)
         passes += 1
-        parts.append(stored(_counted(rows, longest, new, old).filter((F.col("f") >= support) | ((F.col("phrase") == "") & (F.col("f") > 0))), "counted", made))
-        release(spark)
-        size = F.when(F.col("phrase") == "", 0).otherwise(F.length("phrase") - F.length(F.replace("phrase", F.lit(" "))) + 1)
-        keys = _keys(parts[-1].filter(size.between(1, longest - 1)))
-        if passes >= longest or not _unseen(keys, new):
+        found = stored(_key_counts(rows, longest, new, old).filter(F.col("n") >= support), "counted", made)
+        often = found if often is None else often.unionAll(found)
+        if passes >= longest or not _unseen(found.filter(F.col("words") < longest), new):
             break
-        proposed = Proposed(proposed.bits | Proposed.of(keys, least_bits=proposed.size).bits)
-        if old is not None:
-            old.destroy()
+        proposed = Proposed(proposed.bits | Proposed.of(found.filter(F.col("words") < longest), least_bits=proposed.size).bits)
         old = new
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionAll(p)
+    release(spark)
+    wanted = spark.sparkContext.broadcast(Proposed.of(often))
+    whole = stored(_phrase_counts(rows, longest, wanted).filter((F.col("f") >= support) | ((F.col("phrase") == "") & (F.col("f") > 0))), "phrases", made)
+    release(spark)
+    size = F.when(F.col("phrase") == "", 0).otherwise(F.length("phrase") - F.length(F.replace("phrase", F.lit(" "))) + 1)
     return whole.select("lang", "phrase", size.cast("int").alias("words"), "f"), passes
 
 
@@ -238,7 +238,7 @@ def _big(c: Column) -> Column:
     return c.cast("decimal(20,0)")
 
 
-def collocations(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", support: int = 30, longest: int = 4, scale: int = 2_000_000, absorbed: int = 80, top: int = 2000, share: float = 0.25, slack: float = 0.3) -> DataFrame:
+def collocations(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", support: int = 30, longest: int = 4, scale: int = 2_000_000, absorbed: int = 80, top: int = 2000, share: float = 0.125, slack: float = 0.55) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases of 2 to ``longest`` words by score.
 
     a is the phrase's count; cut after its first words, l and r are the counts of both parts and the score is
