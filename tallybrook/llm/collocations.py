@@ -36,7 +36,6 @@ _PART = _BREAK.copy()
 _PART[[0x20, 0x09]] = True
 _BLOCK = 2 << 20
 _OUT_BYTES = 2 << 20
-_HELD_BYTES = 24 << 20
 _MOST_BITS = 28
 _A = np.uint64(0xD6E8FEB86659FD93)
 
@@ -140,8 +139,8 @@ def _key_counts(rows: DataFrame, longest: int, new: Broadcast | None = None, old
     return rows.mapInArrow(task, "key long, words byte, n long").groupBy("key").agg(F.min("words").alias("words"), F.sum("n").alias("n"))
 
 
-def _phrases(w: Words, k: int, first: np.ndarray, counts: np.ndarray) -> Iterator[pa.Table]:
-    """Phrases of ``k`` words at the positions with their counts, in tables of bounded size."""
+def _phrases(w: Words, k: int, first: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Phrases of ``k`` words at the positions with their counts, in batches of bounded size."""
     lengths = pc.binary_length(w.kinds).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sum(lengths[w.kind[first + j]] for j in range(k)) + k)
     x = 0
@@ -149,41 +148,24 @@ def _phrases(w: Words, k: int, first: np.ndarray, counts: np.ndarray) -> Iterato
         y = max(x + 1, int(np.searchsorted(ends, (ends[x - 1] if x else 0) + _OUT_BYTES, side="right")))
         parts = [w.kinds.take(pa.array(w.kind[first[x:y] + j])) for j in range(k)]
         phrase = pc.binary_join_element_wise(*parts, " ") if k > 1 else parts[0]
-        yield pa.table([w.langs.take(pa.array(w.lang[first[x:y]])), phrase, pa.array(counts[x:y])], names=["lang", "phrase", "f"])
+        yield pa.RecordBatch.from_arrays([w.langs.take(pa.array(w.lang[first[x:y]])), phrase, pa.array(counts[x:y])], names=["lang", "phrase", "f"])
         x = y
 
 
 def _phrase_counts(rows: DataFrame, longest: int, wanted: Broadcast) -> DataFrame:
     """(lang, phrase, f) of the phrases whose keys a filter has, exact, and under an empty phrase the number of all word
-    occurrences of the language; summed in each task first."""
+    occurrences of the language."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        size = 0
-
-        def summed() -> pa.Table:
-            got = pa.concat_tables(held).group_by(["lang", "phrase"]).aggregate([("f", "sum")])
-            return pa.table([got.column("lang").combine_chunks(), got.column("phrase").combine_chunks(), got.column("f_sum").combine_chunks()], names=["lang", "phrase", "f"])
-
         for block in blocks(batches, "text", _BLOCK):
             w = _words(block)
             if not len(w.ids):
                 continue
             many = np.bincount(w.lang, minlength=len(w.langs))
-            held.append(pa.table([w.langs, pa.array([""] * len(w.langs), pa.string()), pa.array(many)], names=["lang", "phrase", "f"]))
+            yield pa.RecordBatch.from_arrays([w.langs, pa.array([""] * len(w.langs), pa.string()), pa.array(many)], names=["lang", "phrase", "f"])
             for k, keys, first, counts, _ in _grown(w, longest, wanted.value, None):
                 there = wanted.value.has(keys)
-                for part in _phrases(w, k, first[there], counts[there]):
-                    held.append(part)
-                    size += part.nbytes
-                    if size > _HELD_BYTES:
-                        held[:] = [summed()]
-                        size = held[0].nbytes
-                        if size > _HELD_BYTES // 2:
-                            yield from held.pop().to_batches(1 << 16)
-                            size = 0
-        if held:
-            yield from summed().to_batches(1 << 16)
+                yield from _phrases(w, k, first[there], counts[there])
 
     return rows.mapInArrow(task, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
