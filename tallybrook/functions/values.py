@@ -90,9 +90,15 @@ def parse_json_record(text: Column, schema: T.StructType, default: Column, valid
     return F.when(usable, got).otherwise(default)
 
 
-def json_diff(changed: Column) -> Column:
-    """A map as JSON text, null for an empty one; null values and non-ASCII letters are kept."""
-    return F.when(F.size(changed) > 0, F.to_json(changed, {"ignoreNullFields": "false"}))
+def json_value(value: Column, number: bool = False) -> Column:
+    """A value as JSON text: numbers bare, texts quoted with non-ASCII letters kept, null as null."""
+    return F.coalesce(value.cast("string"), F.lit("null")) if number else F.regexp_extract(F.to_json(F.array(value), {"ignoreNullFields": "false"}), r"(?s)^\[(.*)\]$", 1)
+
+
+def json_diff(parts: list[tuple[str, Column, Column]]) -> Column:
+    """A JSON object of (name, whether it belongs, JSON text of its value), null if nothing belongs."""
+    there = F.filter(F.array(*(F.when(c, F.concat(F.lit(f'"{n}":'), v)) for n, c, v in parts)), lambda x: x.isNotNull())
+    return F.when(F.size(there) > 0, F.concat(F.lit("{"), F.array_join(there, ","), F.lit("}")))
 
 
 def append_turns(turns: Column, role: Column, text: Column, at: Column) -> Column:

@@ -79,9 +79,9 @@ def split_decisions(decided: DataFrame, entities: DataFrame) -> dict[str, DataFr
     return {k: rows.filter(F.col("effective") == k) for k in ("insert", "update", "close", "pending", "unmatched")}
 
 
-def pending_review(decided: DataFrame) -> DataFrame:
-    """Revisions of action pending: matches to look at, the entity untouched."""
-    return decided.filter("effective = 'pending'").select(F.col("target_id").alias("entity_id"), F.lit("pending").alias("action"), F.lit(None).cast("string").alias("changed_field"), F.lit(None).cast("string").alias("old_value"), F.to_json("fields").alias("new_value"), "source_message_id", "confidence")
+def pending_review(decided: DataFrame, also: list[str] | None = None) -> DataFrame:
+    """Revisions of action pending: matches to look at, the entity untouched. ``also`` names columns to carry."""
+    return decided.filter("effective = 'pending'").select(F.col("target_id").alias("entity_id"), F.lit("pending").alias("action"), F.lit(None).cast("string").alias("changed_field"), F.lit(None).cast("string").alias("old_value"), F.to_json("fields", {"ignoreNullFields": "false"}).alias("new_value"), "source_message_id", "confidence", *(also or []))
 
 
 def unmatched_log(decided: DataFrame) -> DataFrame:
@@ -117,8 +117,3 @@ def _kept(frame: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir(folder)
     return frame.checkpoint() if spark.sparkContext.getCheckpointDir() else frame.cache()
 
-
-def first_generation(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Rows up to and with the first close of each key."""
-    closes = F.coalesce(F.sum((F.col("action") == "close").cast("int")).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("__closes", closes).filter("__closes = 0").drop("__closes")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,7 @@ from tallybrook.operators import analytics as an
 from tallybrook.operators import changes as ch
 from tallybrook.operators import context as cx
 from tallybrook.operators import dialogs as dl
+from tallybrook.operators import flow as fl
 from tallybrook.operators import models as md
 from tallybrook.operators import resolve as rs
 from tallybrook.operators import retrieve as rt
@@ -298,8 +299,7 @@ def retract_entities(s, d):
 
 @_query(with_("R", "S") + " SELECT action, count(*) AS n FROM R JOIN S ON message_id = source_message_id WHERE NOT is_deleted GROUP BY 1")
 def join_revisions_messages(s, d):
-    live = fr.sources(s, d).filter("not is_deleted").withColumnRenamed("message_id", "source_message_id")
-    return fr.revisions(s, d).join(live, "source_message_id").groupBy("action").agg(F.count("*").alias("n"))
+    return rv.join_revisions_messages(fr.revisions(s, d), fr.sources(s, d)).groupBy("action").agg(F.count("*").alias("n"))
 
 
 @_query(with_("U") + " SELECT key, seq, generation FROM G")
@@ -312,11 +312,33 @@ def fold_entities(s, d):
     return rv.fold_entities(rv.entity_generation(fr.updates(s, d)), ["amount"], ["key", "generation"])
 
 
-@_query(with_("U") + """, D AS (SELECT key, seq, has, amount, last_value(CASE WHEN has THEN {'v': amount} END IGNORE NULLS) OVER (PARTITION BY key, generation ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING).v AS old FROM G)
-    SELECT key, seq, CASE WHEN ch THEN 'amount' END AS changed_field, CASE WHEN ch THEN '{"amount":' || coalesce('"' || old || '"', 'null') || '}' END AS old_value, CASE WHEN ch THEN '{"amount":' || coalesce('"' || amount || '"', 'null') || '}' END AS new_value
-    FROM (SELECT *, has AND old IS DISTINCT FROM amount AS ch FROM D)""")
+_FIRST_SQL = "row_number() OVER (PARTITION BY key, generation ORDER BY seq) = 1"
+
+
+def _first_is_create(rows):
+    """The first update of each key and generation as its create."""
+    start = F.row_number().over(Window.partitionBy("key", "generation").orderBy("seq")) == 1
+    return rows.withColumn("action", F.when(start & (F.col("action") != "close"), "create").otherwise(F.col("action")))
+
+
+@_query(with_("U") + f""", A AS (SELECT *, CASE WHEN {_FIRST_SQL} AND action <> 'close' THEN 'create' ELSE action END AS what FROM G),
+    D AS (SELECT *, last_value(CASE WHEN has THEN {{'v': amount}} END IGNORE NULLS) OVER (PARTITION BY key, generation ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING).v AS old FROM A),
+    X AS (SELECT *, what <> 'create' AND has AND old IS DISTINCT FROM amount AS ch, what = 'close' AS shut FROM D)
+    SELECT key, seq, nullif(concat_ws(', ', CASE WHEN ch THEN 'range_max' END, CASE WHEN shut THEN 'status' END), '') AS changed_field,
+        CASE WHEN ch OR shut THEN '{{' || concat_ws(',', CASE WHEN ch THEN '"range_max":' || coalesce(CAST(floor(CAST(old AS DOUBLE)) AS BIGINT)::VARCHAR, 'null') END, CASE WHEN shut THEN '"status":"open"' END) || '}}' END AS old_value,
+        CASE WHEN what = 'create' THEN CASE WHEN has THEN '{{"salary_max":' || coalesce('"' || CAST(floor(CAST(amount AS DOUBLE)) AS BIGINT) || '"', 'null') || '}}' ELSE '{{}}' END
+            WHEN ch OR shut THEN '{{' || concat_ws(',', CASE WHEN ch THEN '"range_max":' || coalesce(CAST(floor(CAST(amount AS DOUBLE)) AS BIGINT)::VARCHAR, 'null') END, CASE WHEN shut THEN '"status":"closed"' END) || '}}' END AS new_value
+    FROM (SELECT key, seq, what, shut, has, amount, old, what <> 'create' AND has AND floor(CAST(old AS DOUBLE)) IS DISTINCT FROM floor(CAST(amount AS DOUBLE)) AS ch FROM X)""")
 def diff_revisions(s, d):
-    return rv.diff_revisions(rv.entity_generation(fr.updates(s, d)), ["amount"], ["key", "generation"]).select("key", "seq", "changed_field", "old_value", "new_value")
+    rows = _first_is_create(rv.entity_generation(_amounts(fr.updates(s, d))))
+    return rv.diff_revisions(rows, {"salary_max": "range_max"}, ["key", "generation"], kinds={"range_max": "long"}).select("key", "seq", "changed_field", "old_value", "new_value")
+
+
+def _amounts(rows):
+    """The updates' map with the amount as a whole number under the field that sets the upper bound."""
+    amount = F.floor(F.col("fields")["amount"].cast("double")).cast("string")
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return rows.withColumn("fields", F.when(F.map_contains_key("fields", "amount"), F.create_map(F.lit("salary_max"), amount)).otherwise(empty))
 
 
 # Context
@@ -594,14 +616,93 @@ def classify_queries(s, d):
     return md.classify_queries(fr.read(s, d, "conversations").select("conv_id", "turn", text.alias("text"))).select("conv_id", "turn", "kind", "status", "days", "group_by")
 
 
-@_query(with_("U") + """ SELECT key AS entity_id, CAST(arg_max_null(amount, seq) FILTER (has) AS INTEGER) AS range_max, CASE WHEN count(*) FILTER (action = 'close') > 0 THEN 'closed' ELSE 'open' END AS status, 'RUB' AS currency, CAST(max(seq) AS VARCHAR) AS last_message_id
-    FROM (SELECT key, seq, action, has, CASE WHEN amount IS NOT NULL THEN CAST(floor(CAST(amount AS DOUBLE)) AS BIGINT) END AS amount FROM U) GROUP BY 1""")
+@_query(with_("U") + """ SELECT key AS entity_id, 'about ' || key AS title, 'user ' || (min(seq) % 7) AS owner_name, CAST(arg_max_null(amount, seq) FILTER (has) AS INTEGER) AS range_max, CASE WHEN count(*) FILTER (action = 'close') > 0 THEN 'closed' ELSE 'open' END AS status,
+        'RUB' AS currency, CAST(max(seq) AS VARCHAR) AS last_message_id, CAST(max(seq) FILTER (action <> 'close') AS DOUBLE) AS vector
+    FROM (SELECT key, seq, action, has, CASE WHEN amount IS NOT NULL THEN CAST(floor(CAST(amount AS DOUBLE)) AS BIGINT) END AS amount FROM G WHERE generation = 0) GROUP BY 1""")
 def write_entities(s, d):
-    u = fr.updates(s, d)
-    amount = F.floor(F.col("fields")["amount"].cast("double")).cast("string")
-    fields = F.when(F.map_contains_key("fields", "amount"), F.create_map(F.lit("salary_max"), amount)).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
-    rows = u.select(F.col("key").alias("entity_id"), "seq", "action", fields.alias("fields"), F.array(F.lit(1.0).cast("float")).alias("embedding"), F.col("seq").cast("string").alias("last_message_id"), F.lit(0.9).alias("confidence"), F.timestamp_seconds("seq").alias("at"))
-    return rv.write_entities(s.createDataFrame([], schemas.ENTITIES_DDL), rows).select("entity_id", "range_max", "status", "currency", "last_message_id")
+    u = _amounts(fr.updates(s, d))
+    rows = u.select(F.col("key").alias("entity_id"), "seq", "action", "fields", F.array(F.col("seq").cast("float")).alias("embedding"), F.col("seq").cast("string").alias("last_message_id"), F.lit(0.9).alias("confidence"), F.timestamp_seconds("seq").alias("at"),
+        F.concat(F.lit("about "), "key").alias("entity_ref"), F.concat(F.lit("user "), (F.col("seq") % 7).cast("string")).alias("author_name"))
+    made = rv.write_entities(s.createDataFrame([], schemas.ENTITIES_DDL), rows)
+    return made.select("entity_id", "title", "owner_name", "range_max", "status", "currency", "last_message_id", F.col("embedding")[0].cast("double").alias("vector"))
+
+
+# From messages to entities and revisions in one job
+
+
+def _resolved(s, d) -> fl.Resolved:
+    """Conversations as messages about entities: a message's turn and text give its action and fields, the reversed vector that its
+    ids point at is its reference's."""
+    v = fr.read(s, d, "embeddings")
+    n = v.count()
+    m = fr.messages(s, d).select("message_id", "turn", "text", F.col("thread_id").alias("conv"), "author_name", F.col("created_at").alias("at"), F.concat(F.lit("user "), (F.col("thread_id") % 7).cast("string")).alias("author_id"), (F.col("thread_id") * 1000 + F.col("turn")).alias("seq"))
+
+    def extract(rows):
+        turn = F.col("turn") % 4
+        action = F.when(turn == 0, "create").when(turn == 1, "update").when(turn == 2, F.when(F.col("conv") % 3 == 0, "close").otherwise("update")).otherwise("none")
+        pair = lambda there, k, value: F.when(there, F.struct(F.lit(k).alias("key"), value.alias("value")))
+        pairs = F.array(pair(F.col("turn") % 6 == 2, "salary_min", F.lit(None).cast("string")), pair(F.col("turn") % 3 != 1, "salary_max", F.length("text").cast("string")), pair(F.col("turn") % 2 == 0, "team", F.concat(F.lit("T"), (F.col("conv") % 5).cast("string"))))
+        fields = F.map_from_entries(F.filter(pairs, lambda x: x.isNotNull()))
+        k = (F.col("conv") * 7 + F.col("turn") * 3) % n
+        return rows.withColumns({"action": action, "fields": fields, "k": k, "entity_ref": F.concat(F.lit("ref "), k.cast("string")), "confidence": 0.5 + F.col("turn") % 4 / 10})
+
+    vectors = v.select(F.col("vec_id").alias("k"), F.reverse("embedding").alias("vector"))
+    whole = lambda c: F.floor(c).cast("int").alias(c)
+    none = lambda c, kind="string": F.lit(None).cast(kind).alias(c)
+    e = fr.entities(s, d, vectors=True).select(
+        F.col("entity_id").cast("string").alias("entity_id"), "title", "status", whole("range_min"), whole("range_max"), "currency", none("owner_id"), "owner_name", "team", none("description"), none("last_message_id"), "embedding", F.lit(0.0).alias("confidence"), "is_deleted", "created_at", none("updated_at", "timestamp"),
+    )
+    journal = fr.messages(s, d).filter(F.col("thread_id") % 5 == 0).select(F.col("message_id").alias("source_message_id"), F.lit("update").alias("action"))
+    return fl.resolve_batch(m, e, journal, classify=lambda r: r.withColumn("relevant", F.lit(True)), extract=extract, embed=lambda r: r.join(vectors, "k"), threshold=0.35, least=0.38)
+
+
+_RESOLVED = with_("M", "E", "EV", "V").replace("WITH ", "WITH RECURSIVE ", 1) + """,
+    NV AS (SELECT count(*) AS n FROM embeddings),
+    A0 AS (SELECT message_id, turn, text, thread_id AS conv, author_name, created_at AS at, thread_id * 1000 + turn AS seq, (thread_id * 7 + turn * 3) % n AS k, 0.5 + turn % 4 / 10 AS confidence,
+        CASE turn % 4 WHEN 0 THEN 'create' WHEN 1 THEN 'update' WHEN 2 THEN CASE WHEN thread_id % 3 = 0 THEN 'close' ELSE 'update' END ELSE 'none' END AS action,
+        turn % 6 = 2 AS has_min, turn % 3 <> 1 AS has_max, CASE WHEN turn % 3 <> 1 THEN length(text) END AS v_max, turn % 2 = 0 AS has_team, CASE WHEN turn % 2 = 0 THEN 'T' || (thread_id % 5) END AS v_team FROM M, NV),
+    A AS (SELECT *, '{' || concat_ws(',', CASE WHEN has_min THEN '"salary_min":null' END, CASE WHEN has_max THEN '"salary_max":"' || v_max || '"' END, CASE WHEN has_team THEN '"team":"' || v_team || '"' END) || '}' AS fields FROM A0 WHERE action <> 'none'),
+    B AS (SELECT CAST(entity_id AS VARCHAR) AS id, title, status, CAST(floor(range_min) AS INTEGER) AS range_min, CAST(floor(range_max) AS INTEGER) AS range_max, currency, owner_name, team, is_deleted, entity_id % n AS k FROM EV, NV),
+    P AS (SELECT a.vec_id AS k, b.vec_id AS ek, round(list_cosine_similarity(list_reverse(a.v), b.v), 12) AS s FROM V AS a, V AS b),
+    T AS (SELECT P.k, id, s FROM B JOIN P ON ek = B.k WHERE NOT is_deleted AND status <> 'closed' QUALIFY row_number() OVER (PARTITION BY P.k ORDER BY s DESC, id) = 1),
+    D AS (SELECT A.*, CASE WHEN s > 0.35 OR action <> 'create' THEN id END AS target, CASE WHEN s > 0.35 OR action <> 'create' THEN s END AS sure FROM A LEFT JOIN T USING (k)),
+    X AS (SELECT *, CASE WHEN target IS NOT NULL AND sure >= 0.38 THEN CASE action WHEN 'create' THEN 'update' ELSE action END WHEN target IS NOT NULL THEN 'pending' WHEN action = 'create' THEN 'insert' ELSE 'unmatched' END AS effective FROM D),
+    I AS (SELECT seq, message_id, list_reverse(v) AS v FROM X JOIN V ON vec_id = k WHERE effective = 'insert'),
+    L AS (SELECT a.seq AS a, b.seq AS b FROM I AS a JOIN I AS b ON round(list_cosine_similarity(a.v, b.v), 12) > 0.35),
+    C(a, b) AS (SELECT seq, seq FROM I UNION SELECT C.a, L.b FROM C JOIN L ON C.b = L.a),
+    K AS (SELECT a AS seq, min(b) AS first FROM C GROUP BY 1),
+    U0 AS (SELECT X.*, CASE WHEN effective = 'insert' THEN sha256(conv_of.message_id) ELSE target END AS entity_id, CASE WHEN effective <> 'insert' THEN effective WHEN K.first = X.seq THEN 'create' ELSE 'update' END AS what
+        FROM X LEFT JOIN K ON K.seq = X.seq LEFT JOIN I AS conv_of ON conv_of.seq = K.first WHERE effective IN ('insert', 'update', 'close')),
+    U1 AS (SELECT *, coalesce(max(CASE WHEN what = 'close' THEN 1 ELSE 0 END) OVER (PARTITION BY entity_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS late FROM U0),
+    U AS (SELECT * FROM U1 WHERE NOT late)"""
+
+
+@_query(_RESOLVED + """,
+    Z AS (SELECT entity_id, arg_min('ref ' || k, seq) AS ref, arg_min(author_name, seq) AS author, max(CASE WHEN what = 'close' THEN 1 ELSE 0 END) = 1 AS shut, max(has_min) AS has_min, arg_max(v_max, seq) FILTER (has_max) AS v_max, arg_max(v_team, seq) FILTER (has_team) AS v_team, arg_max(message_id, seq) AS last, arg_max(confidence, seq) AS confidence FROM U GROUP BY 1)
+    SELECT coalesce(id, entity_id) AS entity_id, CASE WHEN id IS NULL THEN ref ELSE title END AS title, CASE WHEN shut THEN 'closed' WHEN id IS NULL THEN 'open' ELSE status END AS status, CASE WHEN NOT coalesce(has_min, FALSE) THEN range_min END AS range_min, coalesce(v_max, range_max) AS range_max,
+        CASE WHEN id IS NULL THEN 'RUB' ELSE currency END AS currency, CASE WHEN id IS NULL THEN author ELSE owner_name END AS owner_name, coalesce(v_team, team) AS team, last AS last_message_id, coalesce(CAST(confidence AS DOUBLE), 0) AS confidence, coalesce(is_deleted, FALSE) AS is_deleted
+    FROM B FULL OUTER JOIN Z ON id = entity_id""")
+def resolve_entities(s, d):
+    return _resolved(s, d).entities.select("entity_id", "title", "status", "range_min", F.col("range_max").cast("long").alias("range_max"), "currency", "owner_name", "team", "last_message_id", F.round("confidence", 6).alias("confidence"), "is_deleted")
+
+
+@_query(_RESOLVED + """,
+    W AS (SELECT U.*, B.status AS was_status, CASE WHEN max(has_min) OVER w THEN NULL ELSE range_min END AS o_min, CASE WHEN count(*) FILTER (has_max) OVER w > 0 THEN last_value(v_max IGNORE NULLS) OVER w ELSE range_max END AS o_max, CASE WHEN count(*) FILTER (has_team) OVER w > 0 THEN last_value(v_team IGNORE NULLS) OVER w ELSE team END AS o_team
+        FROM U LEFT JOIN B ON id = entity_id WINDOW w AS (PARTITION BY entity_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    Y AS (SELECT *, what <> 'create' AND has_min AND o_min IS NOT NULL AS c_min, what <> 'create' AND has_max AND o_max IS DISTINCT FROM v_max AS c_max, what <> 'create' AND has_team AND o_team IS DISTINCT FROM v_team AS c_team, what = 'close' AS shut FROM W),
+    J AS (SELECT entity_id, what AS action, nullif(concat_ws(', ', CASE WHEN c_min THEN 'range_min' END, CASE WHEN c_max THEN 'range_max' END, CASE WHEN c_team THEN 'team' END, CASE WHEN shut THEN 'status' END), '') AS changed_field,
+        nullif('{' || concat_ws(',', CASE WHEN c_min THEN '"range_min":' || o_min END, CASE WHEN c_max THEN '"range_max":' || coalesce(o_max::VARCHAR, 'null') END, CASE WHEN c_team THEN '"team":' || coalesce('"' || o_team || '"', 'null') END, CASE WHEN shut THEN '"status":"' || coalesce(was_status, 'open') || '"' END) || '}', '{}') AS old_value,
+        CASE WHEN what = 'create' THEN fields ELSE nullif('{' || concat_ws(',', CASE WHEN c_min THEN '"range_min":null' END, CASE WHEN c_max THEN '"range_max":' || v_max END, CASE WHEN c_team THEN '"team":"' || v_team || '"' END, CASE WHEN shut THEN '"status":"closed"' END) || '}', '{}') END AS new_value,
+        message_id AS source_message_id, CASE WHEN effective = 'insert' THEN confidence ELSE sure END AS confidence FROM Y
+        UNION ALL SELECT target, 'pending', NULL, NULL, fields, message_id, sure FROM X WHERE effective = 'pending')
+    SELECT entity_id, action, changed_field, old_value, new_value, source_message_id, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM J WHERE NOT (action = 'update' AND source_message_id IN (SELECT message_id FROM M WHERE thread_id % 5 = 0))""")
+def resolve_revisions(s, d):
+    return _resolved(s, d).revisions.select("entity_id", "action", "changed_field", "old_value", "new_value", "source_message_id", F.round("confidence", 6).alias("confidence"))
+
+
+@_query(_RESOLVED + " SELECT seq, message_id, action, 'ref ' || k AS ref, 'no match' AS reason FROM X WHERE effective = 'unmatched' UNION ALL SELECT seq, message_id, what, 'ref ' || k, 'entity closed' FROM U1 WHERE late")
+def resolve_unmatched(s, d):
+    return _resolved(s, d).unmatched.select("seq", "message_id", "action", "ref", "reason")
 
 
 # Models: rows only, no SQL

@@ -1,3 +1,6 @@
+import datetime
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,7 +68,33 @@ def test_presence_is_not_null(spark):
     row = rv.fold_entities(u, ["team", "amount"], ["key"]).first()
     assert (row.team, row.amount, row.status, row.n_updates) == (None, "1", "open", 3)
     diffs = {r.seq: (r.changed_field, r.old_value, r.new_value) for r in rv.diff_revisions(u, ["team", "amount"], ["key"]).collect()}
-    assert diffs[1][0] == "team,amount" and diffs[2] == ("team", '{"team":"x"}', '{"team":null}') and diffs[3] == (None, None, None)
+    assert diffs[1][:2] == (None, None) and json.loads(diffs[1][2]) == {"team": "x", "amount": "1"} and diffs[2] == ("team", '{"team":"x"}', '{"team":null}') and diffs[3] == (None, None, None)
+
+
+def test_diffs_name_columns_and_closes(spark):
+    u = _updates(spark, [("a", 1, "create", {"salary_max": "5", "status": "on_hold", "other": "é"}), ("a", 2, "update", {"salary_max": "7", "title": 'say "x"'}), ("a", 3, "close", {"salary_max": "7"}), ("b", 1, "update", {"salary_max": "9"}), ("b", 2, "close", {})])
+    state = spark.createDataFrame([("b", 9, "t", "filled")], "key string, range_max int, title string, status string")
+    rows = rv.diff_revisions(u, {"title": "title", "salary_max": "range_max"}, ["key"], kinds={"range_max": "int"}, state=state)
+    got = {(r.key, r.seq): (r.changed_field, r.old_value, r.new_value) for r in rows.collect()}
+    first = got.pop(("a", 1))
+    assert first[:2] == (None, None) and json.loads(first[2]) == {"salary_max": "5", "status": "on_hold", "other": "é"} and "é" in first[2]
+    assert got == {
+        ("a", 2): ("title, range_max", '{"title":null,"range_max":5}', '{"title":"say \\"x\\"","range_max":7}'),
+        ("a", 3): ("status", '{"status":"on_hold"}', '{"status":"closed"}'), ("b", 1): (None, None, None), ("b", 2): ("status", '{"status":"filled"}', '{"status":"closed"}'),
+    }
+
+
+def test_entities_after_a_close_take_nothing(spark):
+    ddl = "entity_id string, seq long, action string, fields map<string,string>, embedding array<float>, last_message_id string, confidence double, at timestamp, entity_ref string, author_id string, author_name string"
+    at = datetime.datetime(2024, 5, 1)
+    step = lambda e, i, a, f: (e, i, a, f, [float(i)], f"m{i}", 0.5, at, "ref", "u1", "Ann")
+    rows = [step("a", 1, "create", {"salary_max": "5", "owner": ""}), step("a", 2, "close", {"team": "x"}), step("a", 3, "update", {"salary_max": "9", "title": "late"}), step("b", 1, "create", {"title": None, "currency": None}), step("b", 2, "update", {"title": None, "owner": "Bo"})]
+    made = rv.write_entities(spark.createDataFrame([], schemas.ENTITIES_DDL), spark.createDataFrame(rows, ddl))
+    got = {r.entity_id: (r.title, r.status, r.range_max, r.currency, r.owner_id, r.owner_name, r.team, list(r.embedding), r.last_message_id) for r in made.collect()}
+    assert got == {"a": ("ref", "closed", 5, "RUB", "u1", "Ann", "x", [1.0], "m2"), "b": (None, "open", None, "RUB", "u1", "Bo", None, [2.0], "m2")}
+    again = rv.write_entities(made, spark.createDataFrame([step("a", 9, "update", {"salary_max": "1"}), step("b", 9, "update", {"owner": None})], ddl))
+    got = {r.entity_id: (r.range_max, r.owner_name, r.last_message_id) for r in again.collect()}
+    assert got == {"a": (5, "Ann", "m2"), "b": (None, None, "m9")}
 
 
 def test_status_counts_at_creation_only(spark):
@@ -81,17 +110,18 @@ def test_orphans(spark):
 
 
 def test_story_of_one_entity(spark):
-    texts = ["We opened vacancy welder, up to 300k, for team Harbour", "Raised the welder's pay up to 350", "Nice weather today", "Vacancy welder is closed"]
+    texts = ["The canteen has soup today", "Looking for surveyor, from 90k, for team Quarry", "Surveyor: changed to from 95", "Position surveyor is filled"]
     rows = spark.createDataFrame([(f"m{i}", t) for i, t in enumerate(texts)], "message_id string, text string")
     got = {r.message_id: r for r in md.extract_fields(rows).collect()}
-    assert [got[f"m{i}"].action for i in range(4)] == ["create", "update", "none", "close"]
-    assert got["m0"].fields["salary_max"] == "300000" and got["m1"].fields["salary_max"] == "350000" and got["m0"].fields["team"] == "Harbour"
-    assert "salary_min" not in got["m0"].fields
+    assert [got[f"m{i}"].action for i in range(4)] == ["none", "create", "update", "close"]
+    assert got["m1"].fields["salary_min"] == "90000" and got["m2"].fields["salary_min"] == "95000" and got["m1"].fields["team"] == "Quarry"
+    assert "salary_max" not in got["m1"].fields
     u = rows.join(md.extract_fields(rows).drop("text"), "message_id").filter("action != 'none'")
     updates = u.select(F.lit("e1").alias("entity_id"), F.substring("message_id", 2, 1).cast("long").alias("seq"), "action", "fields", F.array(F.lit(1.0).cast("float")).alias("embedding"), F.col("message_id").alias("last_message_id"), "confidence", F.current_timestamp().alias("at"))
     state = rv.write_entities(spark.createDataFrame([], schemas.ENTITIES_DDL), updates).collect()
-    assert len(state) == 1 and (state[0].status, state[0].range_max, state[0].currency, state[0].last_message_id) == ("closed", 350000, "RUB", "m3")
-    assert rv.diff_revisions(updates.withColumnRenamed("entity_id", "key"), ["salary_max"], ["key"]).count() == 3
+    assert len(state) == 1 and (state[0].status, state[0].range_min, state[0].currency, state[0].last_message_id) == ("closed", 95000, "RUB", "m3")
+    log = rv.diff_revisions(updates.withColumnRenamed("entity_id", "key"), {"salary_min": "range_min"}, ["key"], kinds={"range_min": "int"}).orderBy("seq").collect()
+    assert [r.changed_field for r in log] == [None, "range_min", "status"]
 
 
 def test_context_falls_back_to_space(spark):

@@ -122,12 +122,12 @@ def test_stream_equals_one_by_one(store, tmp_path, seed, cuts):
 
 @pytest.mark.parametrize("cuts", [[], [1], [2], [1, 2]])
 def test_create_raise_close_is_one_entity(store, tmp_path, cuts):
-    records = [("s", i, f"m{i}", "t", "u", "Ann", a, "welder", f, 0.7, [1.0, 0.1 * i]) for i, (a, f) in enumerate([("create", '{"salary_max":"300000"}'), ("update", '{"salary_max":"350000"}'), ("close", "{}")])]
+    records = [("s", i, f"m{i}", "t", "u", "Ann", a, "surveyor", f, 0.7, [1.0, 0.1 * i]) for i, (a, f) in enumerate([("create", '{"salary_max":"90000"}'), ("update", '{"salary_max":"95000"}'), ("close", "{}")])]
     effects = run(store, records, tmp_path, cuts)
     got = sr.entities_of(effects).collect()
-    assert [(r.status, r.range_max, r.title, r.owner_name) for r in got] == [("closed", 350000, "welder", "Ann")]
+    assert [(r.status, r.range_max, r.title, r.owner_name) for r in got] == [("closed", 95000, "surveyor", "Ann")]
     log = sr.revisions_of(effects).orderBy("seq").collect()
-    assert [(r.action, r.changed_field, r.old_value, r.new_value) for r in log] == [("create", None, None, '{"salary_max":"300000"}'), ("update", "range_max", '{"range_max":300000}', '{"range_max":350000}'), ("close", "status", '{"status":"open"}', '{"status":"closed"}')]
+    assert [(r.action, r.changed_field, r.old_value, r.new_value) for r in log] == [("create", None, None, '{"salary_max":"90000"}'), ("update", "range_max", '{"range_max":90000}', '{"range_max":95000}'), ("close", "status", '{"status":"open"}', '{"status":"closed"}')]
 
 
 def test_after_a_close_a_new_entity_begins(store, tmp_path):
@@ -161,13 +161,13 @@ def test_a_model_that_names_an_unknown_entity(store, tmp_path):
 
 
 def test_messages_to_records_on_a_stream(store, tmp_path):
-    texts = ["We opened vacancy welder, up to 300k, for team Harbour", "Raised pay for welder up to 350k, vacancy", "Nice weather today", "Vacancy welder is closed"]
+    texts = ["Nice weather today", "Looking for surveyor, vacancy, from 90k, for team Quarry", "Changed position surveyor to from 95", "Position surveyor is filled"]
     rows = store.createDataFrame([("s", i, f"m{i}", t, "u", "Ann") for i, t in enumerate(texts)], "space_id string, seq long, message_id string, text string, author_id string, author_name string")
     rows.coalesce(1).write.parquet(str(tmp_path / "messages"))
     classify = lambda d: md.keyword_scorer(d).withColumn("relevant", F.col("score") >= 0.5).drop("score")
-    embed = lambda d: d.withColumn("vector", F.when(F.col("ref").contains("weld"), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))))
+    embed = lambda d: d.withColumn("vector", F.when(F.col("ref").contains("survey"), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))))
     records = sr.records_of(store.readStream.schema(rows.schema).parquet(str(tmp_path / "messages")), classify, md.extract_fields, embed)
     sr.stream_resolve(records, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     effects = store.read.schema(sr.EFFECTS_DDL).option("recursiveFileLookup", "true").parquet(str(tmp_path / "out"))
-    assert [(r.status, r.range_max, r.team) for r in sr.entities_of(effects).collect()] == [("closed", 350000, "Harbour")]
+    assert [(r.status, r.range_min, r.team) for r in sr.entities_of(effects).collect()] == [("closed", 95000, "Quarry")]
     assert sr.revisions_of(effects).count() == 3
