@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallybrook.llm.components import connected
-from tallybrook.llm.text import WHITE, blocks, buffer_of, discard, hash_between, lower_ascii, mix, prefix_sums, release, small_batches, stored, word_spans
+from tallybrook.llm.text import WHITE, blocks, buffer_of, discard, lower_ascii, mix, release, small_batches, stored, word_hashes, word_spans
 
 _RATIO = 1.5
 _SLACK = 1.1
@@ -78,7 +78,7 @@ def token_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     data, offsets = buffer_of(column)
     data = lower_ascii(data)
     starts, ends, edges = word_spans(data, offsets)
-    words = hash_between(prefix_sums(data), starts, ends)
+    words = word_hashes(data, starts, ends)
     grams = mix(words)
     for k in range(1, width):
         grams = mix(grams[: len(grams) - 1] + words[k:]) if len(grams) > 1 else grams[:0]

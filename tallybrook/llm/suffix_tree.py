@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybrook.llm.text import blocks, buffer_of, discard, hash_between, lower_ascii, mix, prefix_sums, release, small_batches, stored, word_spans
+from tallybrook.llm.text import blocks, buffer_of, discard, lower_ascii, mix, release, small_batches, stored, word_hashes, word_spans
 
 _END = np.uint64(0x5BF03635A1D1F1C3)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -51,7 +51,7 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, edges = word_spans(data, offsets)
     rows = len(edges) - 1
     out = np.full(len(starts) + rows, _END)
-    out[np.arange(len(starts)) + np.repeat(np.arange(rows), np.diff(edges))] = hash_between(prefix_sums(data), starts, ends)
+    out[np.arange(len(starts)) + np.repeat(np.arange(rows), np.diff(edges))] = word_hashes(data, starts, ends)
     return out, edges + np.arange(rows + 1)
 
 

@@ -48,6 +48,37 @@ def test_words_and_hashes():
     assert h[0] == h[-1] and len(set(h.tolist())) == 4
 
 
+def patterned(steps: int = 10) -> tuple[str, str]:
+    """A word of two letters in the order of their parities (Thue and Morse), and its complement: a polynomial hash modulo
+    2^64 maps both to one value."""
+    a, b = "a", "b"
+    for _ in range(steps):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_patterned_words_have_hashes_of_their_own():
+    import pyarrow as pa
+
+    words = [*patterned(10), *patterned(11), "a", "a" * 8, "a" * 9, "a" * 16, "a\x00", "a\x00\x00", "bb" + "a" * 8, "a" * 8 + "bb"]
+    data, offsets = text.buffer_of(pa.array([*words, " ".join(words)]))
+    s, e, _ = text.word_spans(data, offsets)
+    h = text.word_hashes(data, s, e)
+    assert len(set(h.tolist())) == len(words) and (h[: len(words)] == h[len(words) :]).all()
+    assert len(text.word_hashes(data, s[:0], e[:0])) == 0
+
+
+def test_patterned_words_stay_apart_in_joins_and_counts(spark):
+    a, b = patterned()
+    d = spark.createDataFrame([(1, f"{a} {b} {a} {b} {b} {a}"), (2, f"{a} {b} {b} {a} {a} {a}"), (3, f"{b} {b} {b} {b} {b} {b}"), (4, b)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar(d, percent=90, width=3).collect()}
+    assert got == {1: (4, 1), 2: (4, 2), 3: (1, 3), 4: (1, 4)}
+    tree, counts = suffix_tree.grow(d.filter("doc_id = 1"))
+    r = {r.doc_id: r for r in suffix_tree.score(d, tree, counts).collect()}
+    assert (r[3].n_known, r[4].n_tokens, r[1].train_tokens) == (7, 2, 7)
+    assert r[3].base_score == pytest.approx(6 * math.log10(4 / 11) + math.log10(2 / 11)) and r[1].base_score == pytest.approx(6 * math.log10(4 / 11) + math.log10(2 / 11))
+
+
 def test_folds(spark):
     got = spark.range(50).select("id", text.fold("id", 5, 0).alias("f")).collect()
     assert all(r.f == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in got)
