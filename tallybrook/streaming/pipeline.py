@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tallybrook.operators import changes as ch
 from tallybrook.operators import revisions as rv
 from tallybrook.operators.dialogs import KEEP_TURNS, MAX_TURNS
+from tallybrook.sources.buckets import BucketedTable
 from tallybrook.sources.events import decode_envelope, parse_change_event, reject_events
 from tallybrook.sources.tables import SnapshotTable
 
@@ -60,6 +61,22 @@ def apply_batch(table: SnapshotTable, batch: DataFrame, version: int, *, early:
         early.write(rows.filter("change != 'created'").join(table.read().select("message_id"), "message_id", "left_anti"), version)
 
 
+def upsert_batch(table: BucketedTable, batch: DataFrame, version: int) -> set[int]:
+    """``foreachBatch`` body over a bucketed log: only buckets that the batch's messages fall into are read and written."""
+    rows = batch.select("message_id", "seq", "change", "text").filter(F.col("message_id").isNotNull())
+    return table.update(rows, version, merge_log)
+
+
+def upsert_entities(table: BucketedTable, updates: DataFrame, version: int) -> set[int]:
+    """Updates of a micro-batch folded onto the entities of their buckets (see ``write_entities``)."""
+    return table.update(updates, version, rv.write_entities)
+
+
+def insert_messages(table: BucketedTable, messages: DataFrame, version: int, order: str = "seq") -> set[int]:
+    """Messages of a micro-batch that the table doesn't hold yet, by their buckets (see ``append_messages``)."""
+    return table.update(messages, version, lambda held, new: held.unionByName(ch.append_messages(held, new, order).select(*held.columns)))
+
+
 def stream_apply_changes(changes: DataFrame, table: SnapshotTable, checkpoint: str, *, early: SnapshotTable | None = None):
     """Start the stream that keeps the message log; batch ids number its versions."""
     return changes.writeStream.foreachBatch(lambda batch, number: apply_batch(table, batch, number, early=early)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
