@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallybrook.operators import changes as ch
 from tallybrook.operators import resolve as rs
 from tallybrook.operators import revisions as rv
+from tallybrook.operators.components import kept
 from tallybrook.operators.vectors import CANDIDATE_K, CANDIDATE_THRESHOLD
 
 Step = Callable[[DataFrame], DataFrame]
@@ -42,7 +43,7 @@ def resolve_batch(messages: DataFrame, entities: DataFrame, journal: DataFrame,
     """
     relevant = classify(messages.filter(F.col("message_id").isNotNull())).filter("relevant")
     records = embed(rs.reference_key(extract(relevant))).withColumn("query_id", F.col("message_id"))
-    records = rs._kept(records)
+    records = kept(records)
     asked = records.select("query_id", "vector", "action")
     match = rs.resolve_match(rs.find_candidates(asked, entities, threshold, k), score)
     decided = _decided(records, match, least)
@@ -52,7 +53,7 @@ def resolve_batch(messages: DataFrame, entities: DataFrame, journal: DataFrame,
     made = made.join(same, "query_id").withColumn("entity_id", entity_name(F.col("canonical_id"))).withColumn("action", F.when(F.col("canonical_id") == F.col("query_id"), "create").otherwise("update"))
     changed = parts["update"].withColumn("action", F.lit("update")).unionByName(parts["close"].withColumn("action", F.lit("close"))).withColumn("entity_id", F.col("target_id"))
     columns = ["entity_id", "seq", "action", "fields", F.col("vector").alias("embedding"), F.col("message_id").alias("last_message_id"), "confidence", "at", "entity_ref", "author_id", "author_name", "match_confidence"]
-    updates = rs._kept(made.withColumn("entity_ref", F.col("ref")).select(*columns).unionByName(changed.select(*columns)))
+    updates = kept(made.withColumn("entity_ref", F.col("ref")).select(*columns).unionByName(changed.select(*columns)))
     applied, late = rv.first_generation(updates, ["entity_id"])
     kinds = {c: t for c, t in entities.dtypes if t != "string"}
     diffs = rv.diff_revisions(applied, rv.FIELD_MAP, ["entity_id"], kinds=kinds, state=entities.select("entity_id", *rv.FIELD_MAP.values(), "status"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallybrook.functions.values import falsy_coalesce
+from tallybrook.operators.components import connected, kept
 from tallybrook.operators.vectors import CANDIDATE_K, CANDIDATE_THRESHOLD, OPEN_K, knn_join, knn_with_fallback, linked, vectors_present
 
 # Fixed value: the least confidence of a match that is acted on.
@@ -93,27 +94,12 @@ def canonicalise_creates(creates: DataFrame, *, threshold: float = CANDIDATE_THR
     """(query_id, canonical_id) of a batch's creates (query_id, seq, vector): creates of the same thing are one entity,
     its id that of the earliest.
 
-    Links are all pairs above the threshold, equal vectors being one and each of their creates linked to the earliest;
-    labels then pass along links, the smallest seq winning, until nothing changes. Each round is checkpointed if the
-    session has a checkpoint folder.
+    Equal vectors are one, each of their creates linked to the earliest; links of the others are found by cells of pivots
+    (``vectors.linked``), and components are contracted, the smallest (seq, id) winning.
     """
-    first = _kept(vectors_present(creates).groupBy("vector").agg(F.min(F.struct("seq", F.col("query_id").alias("id"))).alias("first")).select("vector", F.col("first.id").alias("item_id")))
+    first = kept(vectors_present(creates).groupBy("vector").agg(F.min(F.struct("seq", F.col("query_id").alias("id"))).alias("first")).select("vector", F.col("first.id").alias("item_id")))
     near = linked(first, threshold).union(vectors_present(creates).join(first, "vector").filter("query_id != item_id").select("query_id", "item_id"))
-    links = _kept(near.union(near.select("item_id", "query_id")).distinct())
-    labels = _kept(creates.select("query_id", F.struct("seq", F.col("query_id").alias("id")).alias("label")))
-    while True:
-        passed = links.join(labels.withColumnRenamed("query_id", "item_id"), "item_id").select("query_id", "label")
-        new = _kept(labels.union(passed).groupBy("query_id").agg(F.min("label").alias("label")))
-        changed = new.join(labels.withColumnRenamed("label", "old"), "query_id").filter("label != old").limit(1).count()
-        labels = new
-        if not changed:
-            break
-    return labels.select("query_id", F.col("label.id").alias("canonical_id"))
-
-
-def _kept(frame: DataFrame) -> DataFrame:
-    spark = frame.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None and (folder := spark.conf.get("spark.checkpoint.dir", None)):
-        spark.sparkContext.setCheckpointDir(folder)
-    return frame.checkpoint() if spark.sparkContext.getCheckpointDir() else frame.cache()
-
+    label = creates.select("query_id", F.struct("seq", F.col("query_id").alias("id")).alias("label"))
+    ends = near.join(label.withColumnRenamed("label", "a"), "query_id").join(label.select(F.col("query_id").alias("item_id"), F.col("label").alias("b")), "item_id")
+    roots = connected(ends.select("a", "b")).select(F.col("node.id").alias("query_id"), F.col("root.id").alias("root"))
+    return creates.select("query_id").join(roots, "query_id", "left").select("query_id", F.coalesce("root", "query_id").alias("canonical_id"))

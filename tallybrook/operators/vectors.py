@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallybrook.functions.values import cosine_similarity
+from tallybrook.operators.components import kept
 
 # How many neighbours each step takes, and from which similarity.
 MESSAGE_K, ENTITY_K, OPEN_K, CANDIDATE_K = 8, 3, 3, 5
@@ -82,43 +85,162 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *, least: str | None
     return rank_neighbours(found, k)
 
 
-def linked(items: DataFrame, threshold: float, *, block_rows: int = 2_048) -> DataFrame:
-    """Links (query_id, item_id) whose connected components are those of all pairs of items (item_id, vector) that are
+@dataclass
+class Bounds:
+    """Pivots with how many rows each has at home and how far they reach, the angle of a link, and that of a cell's core."""
+
+    pivots: np.ndarray
+    home: np.ndarray
+    reach: np.ndarray
+    angle: float
+    core: float
+
+    def visits(self, unit: np.ndarray, home: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of the cells with a smaller number that can hold a row within the angle: by the triangle inequality the
+        pivot is then no farther than the cell's reach and the angle, nor than the own pivot and twice the angle."""
+        far = _angles(unit @ self.pivots.T)
+        near = far <= np.minimum(self.reach[None, :] + self.angle, r[:, None] + 2 * self.angle) + _SLACK
+        near &= (np.arange(len(self.pivots))[None, :] < home[:, None]) & (self.home[None, :] > 0)
+        return np.nonzero(near)
+
+
+@dataclass
+class Cells:
+    """Vectors dealt to cells: (item_id, vector, home, r), home being the nearest pivot and r the angle to it."""
+
+    rows: DataFrame
+    bounds: Bounds
+
+
+#: Angles are compared with this much room for rounding.
+_SLACK = 1e-7
+
+
+def _angles(cosines: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosines, -1.0, 1.0))
+
+
+def _normal(column) -> np.ndarray:
+    x, norm = _unit(column)
+    return x / norm[:, None]
+
+
+def into_cells(items: DataFrame, threshold: float, *, cell_rows: int = 2_048, most_pivots: int = 2_048) -> Cells:
+    """Items (item_id, vector) of equal length dealt to the cells of pivots: one for about ``cell_rows`` rows, chosen by a
+    hash of the id, at most ``most_pivots``. The driver holds the pivots and three numbers each."""
+    rows = vectors_present(items).select("item_id", "vector")
+    many = min(most_pivots, max(1, -(-rows.count() // cell_rows)))
+    chosen = rows.orderBy(F.xxhash64("item_id"), "item_id").limit(many).select(F.transform("vector", lambda x: x.cast("double")).alias("vector")).toArrow()
+    pivots = np.unique(_normal(chosen.column("vector")), axis=0) if chosen.num_rows else np.zeros((0, 1))
+    angle = float(np.arccos(np.clip(threshold, -1.0, 1.0)))
+
+    def deal(batches):
+        for b in batches:
+            if b.num_rows:
+                far = _angles(_normal(pa.chunked_array([b.column("vector")])) @ pivots.T)
+                home = far.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([b.column("item_id"), b.column("vector"), pa.array(home.astype(np.int32)), pa.array(far[np.arange(len(home)), home])], names=["item_id", "vector", "home", "r"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    dealt = kept(rows.mapInArrow(deal, f"item_id {kinds['item_id']}, vector {kinds['vector']}, home int, r double"))
+    home, reach = np.zeros(len(pivots), dtype=np.int64), np.zeros(len(pivots))
+    for x in dealt.groupBy("home").agg(F.count("*").alias("n"), F.max("r").alias("r")).collect():
+        home[x.home], reach[x.home] = x.n, x.r
+    return Cells(dealt, Bounds(pivots, home, reach, angle, angle / 2 - _SLACK))
+
+
+def _dealt(cells: Cells, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(rows at home, visitors) of every bounded group (cell, block, chunk): a block of a cell's rows and a chunk of those that
+    may be near them, the cell's later blocks being such as well."""
+    kinds = {f.name: f.dataType.simpleString() for f in cells.rows.schema}
+    bounds = cells.bounds
+    blocks = np.maximum(1, -(-bounds.home // block_rows)).astype(np.int64)
+
+    def seen(batches):
+        for b in batches:
+            row, cell = bounds.visits(_normal(pa.chunked_array([b.column("vector")])), b.column("home").to_numpy(), b.column("r").to_numpy()) if b.num_rows else (np.zeros(0, int),) * 2
+            yield pa.RecordBatch.from_arrays([b.column("item_id").take(pa.array(row)), b.column("vector").take(pa.array(row)), pa.array(cell.astype(np.int32))], names=["item_id", "vector", "cell"])
+
+    guests = cells.rows.mapInArrow(seen, f"item_id {kinds['item_id']}, vector {kinds['vector']}, cell int")
+    counted = np.zeros(len(bounds.home), dtype=np.int64)
+    for x in guests.groupBy("cell").count().collect():
+        counted[x["cell"]] = x["count"]
+    chunks = np.maximum(1, -(-counted // block_rows)).astype(np.int64)
+    sizes = cells.rows.sparkSession.createDataFrame([(i, int(b), int(c)) for i, (b, c) in enumerate(zip(blocks, chunks, strict=True))], "cell int, blocks int, chunks int")
+    core = (F.col("r") <= cells.bounds.core).alias("core")
+    block = F.pmod(F.xxhash64("item_id"), F.col("blocks")).cast("int").alias("block")
+    own = cells.rows.withColumnRenamed("home", "cell").join(F.broadcast(sizes), "cell").select("cell", block, "chunks", "blocks", "item_id", "vector", core)
+    left = own.select("cell", "block", F.explode(F.concat(F.sequence(F.col("block"), F.col("blocks") - 1), F.transform(F.sequence(F.lit(1), F.col("chunks")), lambda x: -x))).alias("chunk"), "item_id", "vector", "core")
+    later = own.filter("block > 0").select("cell", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("to"), F.col("block").alias("chunk"), "item_id", "vector", "core").withColumnRenamed("to", "block")
+    visiting = guests.join(F.broadcast(sizes), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), (-1 - F.pmod(F.xxhash64("item_id", F.lit(3)), F.col("chunks"))).cast("int").alias("chunk"), "item_id", "vector", F.lit(False).alias("core"))
+    right = later.unionByName(visiting)
+    return left.toDF(*left.columns), right.toDF(*right.columns)
+
+
+def linked(items: DataFrame, threshold: float, *, block_rows: int = 2_048, cells: Cells | None = None) -> DataFrame:
+    """Links (query_id, item_id) whose connected components are those of all pairs of items (item_id, vector; one length) that are
     more similar than the threshold, strictly.
 
-    Exact: every pair of blocks is one bounded group, which compares all its pairs and gives one star for each
-    component among them, so a large group of near copies makes no more links than members in a group.
+    Exact. Rows are dealt to cells of pivots, and only those that the triangle inequality on angles lets be near a cell's rows
+    are compared with them, in bounded groups. Rows within half the angle of their pivot are all linked with each other: they
+    get one star and aren't compared among themselves. A group gives one star for each component, so a large group of
+    near copies makes no more links than members. Vectors without structure are compared in full.
     """
-    rows = vectors_present(items).select("item_id", "vector")
-    parts = max(1, -(-rows.count() // block_rows))
-    block = F.pmod(F.xxhash64("item_id"), F.lit(parts)).cast("int")
-    left = rows.select(block.alias("lb"), F.explode(F.sequence(block, F.lit(parts - 1))).alias("rb"), "item_id", "vector")
-    right = rows.select(F.explode(F.sequence(F.lit(0), block)).alias("lb"), block.alias("rb"), "item_id", "vector")
-
-    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
-        roots, rows_met, cols_met = [], [], []
-        if a.num_rows and b.num_rows:
-            x, nx = _unit(a.column("vector"))
-            y, ny = _unit(b.column("vector"))
-            near = np.round((x @ y.T) / (nx[:, None] * ny[None, :]), 12) > threshold
-            rows_left, cols_left = near.any(axis=1), near.any(axis=0)
-            for root in np.flatnonzero(rows_left):
-                frontier = np.array([root] if rows_left[root] else [], dtype=np.int64)
-                rows_left[root] = False
-                while len(frontier):
-                    cols = np.flatnonzero(near[frontier].any(axis=0) & cols_left)
-                    cols_left[cols] = False
-                    frontier = np.flatnonzero(near[:, cols].any(axis=1) & rows_left)
-                    rows_left[frontier] = False
-                    roots += [root] * (len(cols) + len(frontier))
-                    cols_met += [*cols, *[None] * len(frontier)]
-                    rows_met += [*[None] * len(cols), *frontier]
-        known = lambda t, at: t.column("item_id").take(pa.array(at, pa.int64()))
-        return pa.table([known(a, roots), pc.coalesce(known(b, cols_met), known(a, rows_met))], names=["query_id", "item_id"])
-
-    kind = rows.schema["item_id"].dataType.simpleString()
-    found = left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")).applyInArrow(cell, f"query_id {kind}, item_id {kind}")
-    return found.filter("query_id != item_id")
+    cells = cells or into_cells(items, threshold, cell_rows=block_rows)
+    kind = cells.rows.schema["item_id"].dataType.simpleString()
+    if not len(cells.bounds.pivots) or threshold >= 1:
+        return cells.rows.select(F.col("item_id").alias("query_id"), "item_id").limit(0)
+    left, right = _dealt(cells, block_rows)
+
+    def group(a: pa.Table, b: pa.Table) -> pa.Table:
+        found: list[pa.Table] = []
+        if a.num_rows:
+            inner = a.column("core").to_numpy(zero_copy_only=False)
+            x = _normal(a.column("vector"))
+            if a.column("chunk")[0].as_py() == a.column("block")[0].as_py():  # the block with itself
+                found.append(_stars(x[~inner], a.column("item_id").filter(pa.array(~inner)), x, a.column("item_id"), threshold))
+            if b.num_rows:
+                y, other = _normal(b.column("vector")), b.column("core").to_numpy(zero_copy_only=False)
+                found.append(_stars(x[~inner], a.column("item_id").filter(pa.array(~inner)), y, b.column("item_id"), threshold))
+                found.append(_stars(x[inner], a.column("item_id").filter(pa.array(inner)), y[~other], b.column("item_id").filter(pa.array(~other)), threshold))
+        return pa.concat_tables(found) if found else pa.table([pa.array([], a.schema.field("item_id").type)] * 2, names=["query_id", "item_id"])
+
+    keys = ("cell", "block", "chunk")
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(group, f"query_id {kind}, item_id {kind}")
+    inner = cells.rows.filter(F.col("r") <= cells.bounds.core)
+    star = inner.join(inner.groupBy("home").agg(F.min("item_id").alias("hub")), "home").select(F.col("item_id").alias("query_id"), F.col("hub").alias("item_id"))
+    return near.unionByName(star).filter("query_id != item_id")
+
+
+def compared(cells: Cells, *, block_rows: int = 2_048) -> int:
+    """How many pairs ``linked`` compares."""
+    left, right = _dealt(cells, block_rows)
+    keys = ["cell", "block", "chunk"]
+    a = left.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(~F.col("core")).alias("shell"))
+    b = right.groupBy(*keys).agg(F.count("*").alias("m"), F.count_if(~F.col("core")).alias("other"))
+    both = a.join(b, keys, "left").na.fill(0)
+    within = F.when(F.col("chunk") == F.col("block"), F.col("shell") * F.col("n")).otherwise(0)
+    return both.agg(F.coalesce(F.sum(within + F.col("shell") * F.col("m") + (F.col("n") - F.col("shell")) * F.col("other")), F.lit(0)).alias("n")).first().n
+
+
+def _stars(x: np.ndarray, of_x: pa.ChunkedArray, y: np.ndarray, of_y: pa.ChunkedArray, threshold: float) -> pa.Table:
+    """A star for each component of the rows of x and y that are more similar than the threshold."""
+    near = np.round(x @ y.T, 12) > threshold
+    rows_left, cols_left = near.any(axis=1), near.any(axis=0)
+    roots, rows_met, cols_met = [], [], []
+    for root in np.flatnonzero(rows_left):
+        frontier = np.array([root] if rows_left[root] else [], dtype=np.int64)
+        rows_left[root] = False
+        while len(frontier):
+            cols = np.flatnonzero(near[frontier].any(axis=0) & cols_left)
+            cols_left[cols] = False
+            frontier = np.flatnonzero(near[:, cols].any(axis=1) & rows_left)
+            rows_left[frontier] = False
+            roots += [root] * (len(cols) + len(frontier))
+            cols_met += [*cols, *[None] * len(frontier)]
+            rows_met += [*[None] * len(cols), *frontier]
+    known = lambda ids, at: ids.take(pa.array(at, pa.int64()))
+    return pa.table([known(of_x, roots), pc.coalesce(known(of_y, cols_met), known(of_x, rows_met))], names=["query_id", "item_id"])
 
 
 def rank_neighbours(found: DataFrame, k: int) -> DataFrame:

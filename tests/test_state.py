@@ -12,6 +12,7 @@ from tallybrook.operators import resolve as rs
 from tallybrook.operators import retrieve as rt
 from tallybrook.operators import revisions as rv
 from tallybrook.operators import vectors as vc
+from tallybrook.operators.components import connected
 from tallybrook.sources import schemas
 from tallybrook.streaming import pipeline as st
 
@@ -174,6 +175,49 @@ def test_canonical_creates_of_long_chains_and_large_groups(spark):
     assert label == {q: {"c": "c00", "k": "k", "l": "l"}.get(q[0], "g00") for q, *_ in rows}
 
 
+def _clustered(rows, clusters, size, seed, spread):
+    import numpy as np
+
+    r = np.random.default_rng(seed)
+    centres = r.standard_normal((clusters, size))
+    x = centres[r.integers(0, clusters, rows)] + spread * r.standard_normal((rows, size))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize(("clusters", "spread", "threshold"), [(40, 0.15, 0.75), (5, 0.02, 0.9), (30, 0.6, 0.5), (1, 3.0, 0.2)])
+def test_links_by_cells_have_the_components_of_all_pairs(spark, clusters, spread, threshold):
+    import numpy as np
+
+    x = _clustered(900, clusters, 12, 3, spread)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_id long, vector array<double>").repartition(3)
+    parent = list(range(len(x)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, j in zip(*np.nonzero(np.round(x @ x.T, 12) > threshold), strict=True):
+        a, b = sorted((root(i), root(j)))
+        parent[b] = a
+    want = {i: root(i) for i in range(len(x)) if any(root(j) == root(i) for j in range(len(x)) if j != i)}
+    for rows in (60, 2048):
+        links = vc.linked(frame, threshold, block_rows=rows)
+        assert {r.node: r.root for r in connected(links, "query_id", "item_id").collect()} == want
+
+
+def test_few_pairs_of_clustered_vectors_are_compared(spark):
+    x = _clustered(6000, 60, 24, 4, 0.05)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_id long, vector array<double>")
+    cells = vc.into_cells(frame, 0.75, cell_rows=50)
+    few = vc.compared(cells, block_rows=200)
+    assert few < 0.2 * 6000**2 / 2
+    loose = _clustered(600, 1, 24, 4, 3.0)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(loose)], "item_id long, vector array<double>")
+    assert vc.compared(vc.into_cells(frame, 0.75, cell_rows=50), block_rows=200) <= 600**2
+
+
 def test_query_intent_ranges(spark):
     q = spark.createDataFrame([(1, "Сколько открытых вакансий за 30 дней?"), (2, "Покажи закрытые за 400 дней"), (3, None), (4, "График по командам")], "query_id int, text string")
     got = {r.query_id: r for r in md.classify_queries(q).collect()}
