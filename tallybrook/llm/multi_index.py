@@ -10,22 +10,24 @@ substring of m (pigeonhole, with the remainder shared out), so looking up
 the values within that distance retrieves every code within the radius; those that are
 really within it are ranked by the exact inner product of the original vectors.
 
-The radius is calibrated on the sample so that a stated share of true neighbours is
-within it; as a sample's neighbours are farther than the table's, this is cautious.  A
-query with fewer than k codes within the radius in a block gets the block's k nearest codes
-(and all equally near), so nobody is left short.
+The radius holds a stated share of the nearest rows that some sampled queries have in the
+whole table, so it is as small as the table's structure allows.  A query with fewer than k
+codes within the radius in all blocks is compared with every code in a second round and gets
+those of each block that are nearest, so nobody is left short.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybrook.llm.text import ranges, small_batches
-from tallybrook.llm.vectors import dimension, matrix, top_by_blocks, usable
+from tallybrook.llm.text import ranges, small_batches, stored
+from tallybrook.llm.vectors import dimension, distinct_rows, matrix, top_by_blocks, usable
 
 _POPCOUNT = np.bitwise_count(np.arange(1 << 16, dtype=np.uint16))
 #: All 16-bit masks by number of bits, and how many have at most so many.
@@ -56,8 +58,8 @@ class Coder:
         return np.packbits(x @ self.turn > 0, axis=1).view(np.uint16)
 
 
-def fit(sample: np.ndarray, norm: float, *, bits: int, k: int, target: float, seed: int = 0, steps: int = 30) -> Coder:
-    """Learn the rotations and calibrate the radius on a sample of rows."""
+def fit(sample: np.ndarray, norm: float, *, bits: int, seed: int = 0, steps: int = 30) -> Coder:
+    """Learn the rotations on a sample of rows."""
     rng = np.random.default_rng(seed)
     x = np.column_stack([sample, np.sqrt(np.maximum(norm**2 - (sample * sample).sum(axis=1), 0.0))])
     d = x.shape[1]
@@ -72,15 +74,35 @@ def fit(sample: np.ndarray, norm: float, *, bits: int, k: int, target: float, se
             u, _, w = np.linalg.svd(np.sign(v @ r).T @ v)
             r = (u @ w).T
         turns.append(base @ r)
-    coder = Coder(np.column_stack(turns)[:, :bits], norm)
-    ask = rng.permutation(len(sample))[:256]
-    codes, asked = coder.rows(sample), coder.queries(sample[ask])
-    scores = sample[ask] @ sample.T
-    scores[np.arange(len(ask)), ask] = -np.inf
-    best = np.argsort(-scores, axis=1)[:, : min(k, len(sample) - 1)]
-    apart = [_POPCOUNT[codes[b] ^ asked[i]].sum(axis=1) for i, b in enumerate(best)]
-    coder.radius = int(np.quantile(np.concatenate(apart), target, method="higher")) if best.size else bits
-    return coder
+    return Coder(np.column_stack(turns)[:, :bits], norm)
+
+
+def radius_of(rows: DataFrame, coder: Coder, ids: np.ndarray, queries: np.ndarray, *, k: int, target: float, block_rows: int = 8_192) -> int:
+    """The radius that holds ``target`` of the asked queries' ``k`` nearest rows, which are found exactly in one pass over
+    the whole table: each task keeps ``k`` rows a query, so the radius follows how near neighbours really are."""
+    d, codes = queries.shape[1], coder.queries(queries)
+
+    def task(batches):
+        held = [(np.zeros(0), np.zeros(0, dtype=np.int64))] * len(ids)
+        for batch in batches:
+            for a in range(0, batch.num_rows, block_rows):
+                part = batch.slice(a, block_rows)
+                x, own = matrix(part.column("v"), d), part.column("id").to_numpy()
+                scores, mine = queries @ x.T, coder.rows(x)
+                scores[ids[:, None] == own[None, :]] = -np.inf
+                for i in range(len(ids)):
+                    few = np.argpartition(-scores[i], min(k, len(own)) - 1)[:k]
+                    few = few[scores[i][few] > -np.inf]
+                    value = np.append(held[i][0], scores[i][few])
+                    apart = np.append(held[i][1], _POPCOUNT[mine[few] ^ codes[i]].sum(axis=1, dtype=np.int64))
+                    best = np.argsort(-value, kind="stable")[:k]
+                    held[i] = (value[best], apart[best])
+        q = np.repeat(np.arange(len(ids)), [len(h[0]) for h in held])
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.concatenate([h[0] for h in held])), pa.array(np.concatenate([h[1] for h in held]))], names=["q", "score", "apart"])
+
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "apart"))
+    found = rows.select("id", "v").mapInArrow(task, "q long, score double, apart long").withColumn("rank", rank).filter(F.col("rank") <= k).select("apart").toArrow()
+    return int(np.quantile(found.column("apart").to_numpy(), target, method="higher")) if found.num_rows else coder.turn.shape[1]
 
 
 class MultiIndex:
@@ -119,11 +141,13 @@ class MultiIndex:
         return rows[self.distance(rows, code) <= radius]
 
 
-def neighbours(frame: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, bits: int = 256, target: float = 0.98, sample_rows: int = 8192, block_rows: int = 16_384, block_queries: int = 8192) -> DataFrame:
+def neighbours(frame: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, bits: int = 256, target: float = 0.98, sample_rows: int = 8192, sample_queries: int = 256, block_rows: int = 16_384, block_queries: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score (double) of the ``k`` largest inner products found for each query among all other ids.
 
     Queries are the rows whose id is divisible by ``every``; ties go to the smaller id; fewer candidates give fewer
-    rows. The coder is fitted on at most ``sample_rows`` rows (those of smallest id hash); every row is indexed.
+    rows. The rotations are fitted on at most ``sample_rows`` rows (those of smallest id hash), the radius on the nearest rows that
+    ``sample_queries`` of them have in the whole table; every row is indexed. Queries that find fewer than ``k`` rows within the
+    radius are compared with every code.
     Rows with a null id, a null, empty or zero vector, a null or non-finite component, or another length than the most
     common one take no part. Rows repeated under one id count once (of different vectors, the smallest). Columns
     other than the two are not read; an empty table gives no rows.
@@ -137,20 +161,26 @@ def neighbours(frame: DataFrame, *, id_col: str = "vec_id", vector_col: str = "e
     rows = rows.filter(f"size(v) = {d}")
     longest = rows.agg(F.max("norm")).first()[0]
     sample = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(sample_rows).toArrow() if d else None
-    coder = fit(matrix(sample.column("v"), d), float(np.sqrt(longest)), bits=bits, k=k, target=target) if d else None
-
-    def search(ids: np.ndarray, x: np.ndarray, queries: np.ndarray, q: np.ndarray) -> tuple[list, list, list]:
+    coder = fit(matrix(sample.column("v"), d), float(np.sqrt(longest)), bits=bits) if d else None
+    if coder is not None:
+        ids, first = distinct_rows(sample.column("id").to_numpy(), matrix(sample.column("v"), d))
+        ask = np.random.default_rng(1).permutation(len(ids))[:sample_queries]
+        coder.radius = radius_of(rows, coder, ids[ask], first[ask], k=k, target=target)
+    total = rows.count() if d else 0
+
+    def search(ids: np.ndarray, x: np.ndarray, queries: np.ndarray, q: np.ndarray, radius: int | None = None) -> tuple[list, list, list]:
         index = MultiIndex(coder.rows(x))
         codes = coder.queries(q)
         out: tuple[list, list, list] = ([], [], [])
         for query, vector, code in zip(queries.tolist(), q, codes, strict=True):
-            near = index.within(code, coder.radius)
-            near = near[ids[near] != query]
-            if len(near) < k:
+            if radius is None:
+                near = index.within(code, coder.radius)
+                near = near[ids[near] != query]
+            else:  # so many of the nearest codes, however far
                 far = index.distance(slice(None), code)
                 far[ids == query] = np.iinfo(np.int64).max
                 others = len(ids) - int((ids == query).any())
-                near = np.flatnonzero(far <= np.partition(far, min(k, others) - 1)[min(k, others) - 1]) if others else near[:0]
+                near = np.flatnonzero(far <= np.partition(far, min(radius, others) - 1)[min(radius, others) - 1]) if others else np.zeros(0, dtype=np.int64)
             if len(near) > 4 * k:
                 rough = x[near] @ vector
                 near = near[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - _ROUNDING * coder.norm**2]
@@ -161,4 +191,14 @@ def neighbours(frame: DataFrame, *, id_col: str = "vec_id", vector_col: str = "e
             out[2].extend(scores[best].tolist())
         return out
 
-    return top_by_blocks(rows.select("id", "v"), every, k, max(d, 1), search, "double", block_rows=block_rows, block_queries=block_queries)
+    blocks = {"block_rows": block_rows, "block_queries": block_queries}
+    found = top_by_blocks(rows.select("id", "v"), every, k, max(d, 1), search, "double", **blocks)
+    if not d or total <= 1:
+        return found
+    found = stored(found, "neighbours")
+    asked = rows.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
+    short = stored(asked.join(found.groupBy("query_id").count().filter(F.col("count") >= k).select(F.col("query_id").alias("id")), "id", "left_anti"), "short")
+    if short.isEmpty():
+        return found
+    rest = top_by_blocks(rows.select("id", "v"), every, k, d, functools.partial(search, radius=4 * k), "double", asked=short, **blocks)
+    return found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").select(*found.columns).unionByName(rest)

@@ -39,15 +39,16 @@ def distinct_rows(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return ids[order], x[order]
 
 
-def top_by_blocks(rows: DataFrame, every: int, k: int, d: int, search: Callable, score_type: str, *, block_rows: int, block_queries: int) -> DataFrame:
+def top_by_blocks(rows: DataFrame, every: int, k: int, d: int, search: Callable, score_type: str, *, block_rows: int, block_queries: int, asked: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` best of each query (ids divisible by ``every``) over all rows.
 
     Rows are dealt into blocks by a hash of the id, queries likewise, and each pair of blocks is one bounded group;
     ``search(ids, x, query_ids, q)`` gives arrays (query_id, vec_id, score) with at most ``k`` rows a query.
-    Only those meet in the final ranking.
+    Only those meet in the final ranking. ``asked`` (id, v) are the queries, if not all.
     """
     n = rows.count()
-    asked = rows.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
+    if asked is None:
+        asked = rows.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
     parts, rounds = max(1, -(-n // block_rows)), max(1, -(-(asked.count()) // block_queries))
     left = rows.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("qb"), "id", "v")
     right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("rb"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(rounds)).cast("int").alias("qb"), "id", "v")

@@ -201,3 +201,41 @@ def test_prefix_is_in_epoch_order(spark):
     got = {g.doc_id: g.n_copies for g in mixing.mix(frame, {"s": frame["s"]}, budget_share=0.253, max_epochs=1, seed=9).collect()}
     order = sorted(range(100), key=lambda i: hashlib.md5(f"9:0:{i}".encode()).hexdigest())
     assert [i for i in order if got[i]] == order[:25]
+
+
+def clustered(seed: int, rows: int, clusters: int, d: int = 32, spread: float = 0.12):
+    r = np.random.default_rng(seed)
+    centres = r.standard_normal((clusters, d))
+    x = centres[r.integers(0, clusters, rows)] + spread * r.standard_normal((rows, d))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_radius_follows_the_table_and_probes_few_rows(spark):
+    x = clustered(3, 6000, 150)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(4)
+    coder = multi_index.fit(x[:500], 1.0, bits=256)
+    coder.radius = multi_index.radius_of(frame, coder, np.arange(0, 500, 4), x[:500:4], k=20, target=0.98)
+    index = multi_index.MultiIndex(coder.rows(x))
+    exact = x @ x.T
+    np.fill_diagonal(exact, -np.inf)
+    hit = 0
+    for q in range(0, 6000, 60):
+        near = index.within(coder.queries(x[q : q + 1])[0], coder.radius)
+        hit += len(set(near.tolist()) & set(np.argsort(-exact[q])[:20].tolist()))
+    assert hit / 2000 > 0.9 and index.probed < 100 * 6000 / 3
+
+
+def test_clustered_vectors_and_lonely_queries(spark):
+    x = np.concatenate([clustered(5, 1500, 40), np.random.default_rng(6).standard_normal((60, 32))])
+    x[1500:] /= np.linalg.norm(x[1500:], axis=1, keepdims=True)
+    order = np.random.default_rng(7).permutation(len(x))  # lonely ones among the queries
+    frame = spark.createDataFrame([(i, x[j].tolist()) for i, j in enumerate(order)], "vec_id long, embedding array<double>")
+    got = grouped(multi_index.neighbours(frame, k=20, every=10, sample_rows=400, block_rows=400, block_queries=50))
+    y = x[order]
+    assert set(got) == set(range(0, len(y), 10)) and all(len(v) == 20 for v in got.values())
+    hit = 0
+    for q, found in got.items():
+        exact = y @ y[q]
+        exact[q] = -np.inf
+        hit += len({i for i, _ in found} & set(np.argsort(-exact)[:20].tolist()))
+    assert hit / 20 / len(got) > 0.9
