@@ -113,42 +113,116 @@ def range_vs_age(entities: DataFrame, as_of: Column) -> DataFrame:
 # Tables of questions: query_id, kind, status, days, hours, group_by.
 
 
-def _asked(queries: DataFrame, entities: DataFrame, as_of: Column, default_days: int | None = None) -> DataFrame:
-    """Entities of every question, by an equi-join on the status each row counts for ('any', and 'open' or 'closed')."""
-    q = queries.select("query_id", F.coalesce("status", F.lit("any")).alias("__want"), "days", "hours", *(["group_by"] if "group_by" in queries.columns else []))
+#: Hours are grouped 16 to a bucket, those buckets again, and so on: what is newer than an hour is at most 15 buckets of each level.
+_LEVELS = 6
+
+
+def _asks(queries: DataFrame, as_of: Column, default_days: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(query_id, ask) and the distinct asks (ask, want, since): many questions come down to few statuses and bounds."""
     days = F.when((F.coalesce("days", F.lit(0)) == 0) & (F.coalesce("hours", F.lit(0)) == 0), F.lit(default_days)).otherwise(F.nullif("days", F.lit(0)))
     hours = F.nullif("hours", F.lit(0))
     since = F.when(hours.isNotNull(), as_of - F.make_interval(hours=hours)).when(days.isNotNull(), as_of - F.make_interval(days=days))
-    q = q.withColumn("__since", since).drop("days", "hours")
+    q = queries.select("query_id", F.coalesce("status", F.lit("any")).alias("want"), since.alias("since"))
+    q = q.withColumn("ask", F.concat_ws("@", "want", F.unix_micros("since").cast("string")))
+    return q.select("query_id", "ask"), q.select("ask", "want", "since").distinct()
+
+
+def _wanted(rows: DataFrame) -> DataFrame:
+    """Each row once for every status that counts it: 'any', its own, and 'open' unless it is closed."""
     wants = F.array_distinct(F.array(F.lit("any"), F.when(F.col("status") != "closed", F.lit("open")).otherwise(F.col("status")), F.col("status")))
-    rows = entities.filter(live_only()).withColumn("__want", F.explode(wants))
-    return rows.join(q, "__want").filter(F.col("__since").isNull() | (F.col("created_at") >= F.col("__since"))).drop("__want")
+    return rows.withColumn("want", F.explode(wants))
+
+
+def _hour(at: Column) -> Column:
+    return F.floor(F.unix_seconds(at) / 3600).cast("long")
+
+
+def _in_buckets(rows: DataFrame) -> DataFrame:
+    """Rows with an hour, once for each (level, bucket) that holds it; level -1 has them all, those without an hour too."""
+    spots = [F.when(F.col("hour").isNotNull(), F.struct(F.lit(n).alias("level"), F.shiftright("hour", 4 * n).alias("bucket"))) for n in range(_LEVELS)]
+    spots = F.filter(F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).cast("long").alias("bucket")), *spots), lambda x: x.isNotNull())
+    return rows.withColumn("__s", F.explode(spots)).withColumns({"level": F.col("__s.level"), "bucket": F.col("__s.bucket")}).drop("__s", "hour")
+
+
+def _covers(asks: DataFrame) -> DataFrame:
+    """(ask, want, level, bucket): the buckets that are wholly newer than the hour of an ask's bound."""
+    h = _hour(F.col("since"))
+    at = lambda n: lambda x: F.struct(F.lit(n).alias("level"), x.alias("bucket"))
+    parts = []
+    for n in range(_LEVELS):
+        low = F.shiftright(h, 4 * n)
+        high = low.bitwiseOR(F.lit(15)) if n < _LEVELS - 1 else low + 15
+        parts.append(F.when(h.isNotNull() & (low < high), F.transform(F.sequence(low + 1, high), at(n))).otherwise(F.array().cast("array<struct<level:int,bucket:bigint>>")))
+    whole = F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).cast("long").alias("bucket")))
+    return asks.withColumn("__s", F.explode(F.when(h.isNull(), whole).otherwise(F.concat(*parts)))).select("ask", "want", F.col("__s.level").alias("level"), F.col("__s.bucket").alias("bucket"))
+
+
+def _on_the_edge(asks: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of the very hour of an ask's bound that aren't before it, by status and hour."""
+    edges = asks.filter(F.col("since").isNotNull()).withColumn("hour", _hour(F.col("since")))
+    return _wanted(rows).join(edges, ["want", "hour"]).filter(F.col("created_at") >= F.col("since"))
 
 
 def answer_counts(queries: DataFrame, entities: DataFrame, as_of: Column) -> DataFrame:
-    """(query_id, n) of every question; 0 where nothing fits."""
-    counts = _asked(queries, entities, as_of).groupBy("query_id").agg(F.count("*").alias("n"))
-    return queries.select("query_id").join(counts, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    """(query_id, n) of every question; 0 where nothing fits.
+
+    Entities are counted once by status and hour; an ask adds up the buckets that are newer than its bound, some 90 at
+    most, and the entities of the bound's own hour. Questions with the same status and bound are answered once.
+    """
+    named, asks = _asks(queries, as_of)
+    rows = entities.filter(live_only()).select("status", "created_at", _hour(F.col("created_at")).alias("hour"))
+    counts = _in_buckets(_wanted(rows.groupBy("status", "hour").agg(F.count("*").alias("n")))).groupBy("want", "level", "bucket").agg(F.sum("n").alias("n"))
+    whole = _covers(asks).join(counts, ["want", "level", "bucket"]).select("ask", "n")
+    edge = _on_the_edge(asks, rows).groupBy("ask").agg(F.count("*").alias("n"))
+    total = whole.unionAll(edge).groupBy("ask").agg(F.sum("n").alias("n"))
+    return named.join(total, "ask", "left").select("query_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def answer_recent(queries: DataFrame, entities: DataFrame, as_of: Column, limit: int = RECENT_LIMIT) -> DataFrame:
-    """(query_id, rank, entity_id): each question's newest."""
-    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_first("created_at"), "entity_id")
-    return _asked(queries, entities, as_of, RECENT_DAYS).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("query_id", "rank", "entity_id")
+    """(query_id, rank, entity_id): each question's newest, those without a time first where there is no bound.
+
+    A bound cuts the order of time at its end, so the newest of each status serve all bounds; at most ``limit`` rows a
+    status leave a task.
+    """
+    named, asks = _asks(queries, as_of, RECENT_DAYS)
+    rows = _wanted(entities.filter(live_only()).select("status", "created_at", "entity_id"))
+    order = lambda *keys: Window.partitionBy(*keys).orderBy(F.desc_nulls_first("created_at"), "entity_id")
+    newest = rows.withColumn("timed", F.col("created_at").isNotNull()).withColumn("__r", F.row_number().over(order("want", "timed"))).filter(F.col("__r") <= limit).drop("__r")
+    found = asks.join(newest, "want").filter(F.col("since").isNull() | (F.col("created_at") >= F.col("since")))
+    ranked = found.withColumn("rank", F.row_number().over(order("ask"))).filter(F.col("rank") <= limit)
+    return named.join(ranked, "ask").select("query_id", "rank", "entity_id")
 
 
 def answer_ranges(queries: DataFrame, entities: DataFrame, as_of: Column, limit: int = RANGES_LIMIT) -> DataFrame:
-    """(query_id, rank, entity_id): each question's highest ranges."""
-    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("range_max"), F.desc_nulls_last("range_min"), "entity_id")
-    return _asked(queries, entities.filter(range_present()), as_of).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("query_id", "rank", "entity_id")
+    """(query_id, rank, entity_id): each question's highest ranges.
+
+    Of each status and hour the ``limit`` highest are kept, of those the highest of each wider bucket; an ask ranks the
+    highest of its buckets and the entities of the bound's own hour.
+    """
+    named, asks = _asks(queries, as_of)
+    rows = entities.filter(live_only() & range_present()).select("status", "created_at", "entity_id", "range_max", "range_min", _hour(F.col("created_at")).alias("hour"))
+
+    def top(frame: DataFrame, *keys: str) -> DataFrame:
+        order = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("range_max"), F.desc_nulls_last("range_min"), "entity_id")
+        return frame.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+
+    held = top(_in_buckets(_wanted(top(rows, "status", "hour").drop("rank"))), "want", "level", "bucket").drop("rank")
+    columns = ["ask", "entity_id", "range_max", "range_min"]
+    near = _covers(asks).join(held, ["want", "level", "bucket"]).select(*columns).unionAll(top(_on_the_edge(asks, rows), "ask").select(*columns))
+    return named.join(top(near, "ask"), "ask").select("query_id", "rank", "entity_id")
 
 
 def answer_groups(queries: DataFrame, entities: DataFrame, as_of: Column) -> DataFrame:
-    """(query_id, label, n): each question's counts by its own key, team by default; the period is not looked at."""
-    q = queries.withColumn("days", F.lit(None).cast("int")).withColumn("hours", F.lit(None).cast("int"))
-    key = F.coalesce("group_by", F.lit("team"))
-    value = F.coalesce(*(F.when(key == k, F.col(c)) for k, c in GROUP_KEYS.items()), F.lit(NOT_STATED))
-    return _asked(q, entities, as_of).groupBy("query_id", value.alias("label")).agg(F.count("*").alias("n"))
+    """(query_id, label, n): each question's counts by its own key, team by default; the period is not looked at.
+
+    Entities are counted once by status and label of each key that is asked for; questions meet sums only.
+    """
+    q = queries.select("query_id", F.coalesce("status", F.lit("any")).alias("want"), F.coalesce("group_by", F.lit("team")).alias("key"))
+    labels = F.array(*(F.struct(F.lit(k).alias("key"), F.coalesce(F.col(c), F.lit(NOT_STATED)).alias("label")) for k, c in GROUP_KEYS.items()))
+    rows = entities.filter(live_only()).select("status", F.explode(labels).alias("__l")).groupBy("status", "__l").agg(F.count("*").alias("n"))
+    sums = _wanted(rows).groupBy("want", F.col("__l.key").alias("key"), F.col("__l.label").alias("label")).agg(F.sum("n").alias("n"))
+    other = ~F.col("key").isin(*GROUP_KEYS)
+    return q.withColumn("asked", F.when(other, F.lit("team")).otherwise(F.col("key"))).join(sums.withColumnRenamed("key", "asked"), ["want", "asked"]).withColumn("label", F.when(other, F.lit(NOT_STATED)).otherwise(F.col("label"))).groupBy("query_id", "label").agg(F.sum("n").alias("n"))
 
 
 def top_groups(groups: DataFrame, limit: int = TOP_GROUPS) -> DataFrame:
