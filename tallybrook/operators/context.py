@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallybrook.operators.components import kept
+
 # Sizes of the windows.
 CONTEXT_MESSAGES, SPACE_TAIL = 7, 3
 
@@ -24,13 +26,39 @@ def _array_type(messages: DataFrame, what: Column) -> str:
     return f"array<{messages.select(what.alias('x')).schema['x'].dataType.simpleString()}>"
 
 
-def attach_context(messages: DataFrame, *, size: int = CONTEXT_MESSAGES, tail: int = SPACE_TAIL, item: Column | None = None) -> DataFrame:
+def wide_window(messages: DataFrame, scope: str, name: str, *, size: int = CONTEXT_MESSAGES, item: Column | None = None, chunk_rows: int = 100_000) -> DataFrame:
+    """Adds ``name``: what ``context_window`` gives, with a scope of any size spread over several tasks.
+
+    Messages are dealt by ranges of (scope, time, id), ``chunk_rows`` to a range. The last ``size`` messages of a scope in each range
+    are enough to know what stands before the scope's next range; they are added to it, windows are taken within (scope,
+    range), and the added rows dropped. Those tails, ``size`` rows a scope and range, are all that a scope's one task gets.
+    """
+    what = item if item is not None else F.struct("message_id", "author_name", "text", "created_at")
+    ranges = max(1, -(-messages.count() // chunk_rows))
+    if ranges == 1:
+        return messages.withColumn(name, context_window(messages, scope, size=size, item=item))
+    order = ["created_at", "message_id"]
+    dealt = kept(messages.repartitionByRange(ranges, scope, *order).withColumn("__chunk", F.spark_partition_id()))
+    rows = dealt.filter(F.col(scope).isNotNull()).select(F.col(scope).alias("__scope"), "__chunk", F.col("created_at").alias("__at"), F.col("message_id").alias("__id"), what.alias("__item"), F.struct(*messages.columns).alias("__row"))
+    by = lambda *keys: Window.partitionBy(*keys).orderBy("__at", "__id")
+    last = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("__scope", "__chunk").orderBy(F.desc("__at"), F.desc("__id")))).filter(F.col("__rank") <= size)
+    before = F.collect_list(F.struct("__at", "__id", "__item")).over(by("__scope").rowsBetween(-size, -1))
+    starts = last.withColumn("__before", before).withColumn("__first", F.row_number().over(by("__scope", "__chunk"))).filter("__first = 1")
+    halo = starts.select("__scope", "__chunk", F.explode("__before").alias("b")).select("__scope", "__chunk", "b.__at", "b.__id", "b.__item", F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"), F.lit(True).alias("__halo"))
+    both = rows.withColumn("__halo", F.lit(False)).unionByName(halo)
+    found = both.withColumn(name, F.collect_list("__item").over(by("__scope", "__chunk").rowsBetween(-size, -1))).filter("not __halo").select("__row.*", name)
+    alone = dealt.filter(F.col(scope).isNull()).select(*messages.columns, F.array().cast(_array_type(messages, what)).alias(name))
+    return found.unionByName(alone)
+
+
+def attach_context(messages: DataFrame, *, size: int = CONTEXT_MESSAGES, tail: int = SPACE_TAIL, item: Column | None = None, chunk_rows: int = 100_000) -> DataFrame:
     """Adds thread_context, space_context, prefilter_context and extract_context.
 
     Both uses take the thread if it has any message; else the prefilter takes the whole space window, the extractor
-    its last ``tail``. Each scope is one shuffle; memory is bounded by the frame, not by the scope.
+    its last ``tail``. A thread or space of more than ``chunk_rows`` messages is spread over several tasks.
     """
-    rows = messages.withColumn("thread_context", context_window(messages, "thread_id", size=size, item=item)).withColumn("space_context", context_window(messages, "space_id", size=size, item=item))
+    rows = wide_window(messages, "thread_id", "thread_context", size=size, item=item, chunk_rows=chunk_rows)
+    rows = wide_window(rows, "space_id", "space_context", size=size, item=item, chunk_rows=chunk_rows)
     threaded = F.size("thread_context") > 0
     short = F.when(F.size("space_context") > tail, F.slice("space_context", -tail, tail)).otherwise(F.col("space_context"))
     return rows.withColumn("prefilter_context", F.when(threaded, F.col("thread_context")).otherwise(F.col("space_context"))).withColumn("extract_context", F.when(threaded, F.col("thread_context")).otherwise(short))

@@ -133,6 +133,18 @@ def test_context_falls_back_to_space(spark):
     assert got["n9"].prefilter_context == [f"n{i}" for i in range(2, 9)] and got["n9"].extract_context == ["n6", "n7", "n8"]
 
 
+def test_context_of_a_large_space_over_several_tasks(spark):
+    rows = [(f"m{i:03}", f"t{i % 50}" if i % 3 else None, "busy" if i % 5 else None if i % 2 else f"s{i % 4}", i // 2 if i % 7 else None, f"a{i}", f"x{i}") for i in range(400)]
+    m = spark.createDataFrame(rows, "message_id string, thread_id string, space_id string, created_at int, author_name string, text string")
+    show = lambda d: {r.message_id: ([x.message_id for x in r.space_context], [x.message_id for x in r.extract_context]) for r in d.collect()}
+    one, many = cx.attach_context(m), cx.attach_context(m, chunk_rows=30)
+    assert many.columns == one.columns and many.count() == 400
+    assert show(one) == show(many)
+    assert show(cx.attach_context(m, chunk_rows=3)) == show(one)  # ranges shorter than the window
+    dealt = m.repartitionByRange(14, "space_id", "created_at", "message_id").filter("space_id = 'busy'").select(F.spark_partition_id().alias("p")).distinct()
+    assert dealt.count() > 5
+
+
 def test_knn_blocks_equal_one_block(spark):
     import random
 
