@@ -15,7 +15,7 @@ Counts and states are tables, shares in single precision.  Texts are dealt into
 answers meet the group's texts again, so a frequent key is asked for once a group and not once
 a token.  Texts travel compressed, answers as arrays of keys and values.  Sent to every
 task are at most ``heads`` frequent words (24 bytes each), 2^22 frequent entries and states a
-level (12 bytes each) and bitmaps of 2^26 bits. These only spare requests: an unset bit proves
+level (12 bytes each) and bitmaps of 2^26 bits, for scoring up to 2^28 by the number of entries. These only spare requests: an unset bit proves
 that a sequence is in no table, and whatever is not sent is looked up.
 Sequences are identified by 64-bit hashes.
 """
@@ -40,7 +40,7 @@ _FLUSH = 1_000_000
 _BLOCK = 1 << 20
 _GROUP = 4 << 20
 _DISCOUNT = 0.75
-_BITS = 26
+_BITS, _MOST_BITS = 26, 28
 _ENTRIES = 1 << 22
 
 
@@ -94,19 +94,19 @@ class Lookup:
         return out
 
 
-def bitmap(keys: DataFrame) -> np.ndarray:
-    """2^26 bits, those set that stand for one of the keys (column k)."""
-    at = F.shiftrightunsigned("k", 64 - _BITS)
+def bitmap(keys: DataFrame, size: int = _BITS) -> np.ndarray:
+    """2^``size`` bits, those set that stand for one of the keys (column k)."""
+    at = F.shiftrightunsigned("k", 64 - size)
     parts = keys.select(F.shiftright(at, 6).alias("w"), at.bitwiseAND(63).cast("int").alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("v"))
-    got = parts.toArrow()  # at most 2^20 rows, whatever the input
-    out = np.zeros(1 << (_BITS - 6), dtype=np.uint64)
+    got = parts.toArrow()  # at most 2^(size - 6) rows, whatever the input
+    out = np.zeros(1 << (size - 6), dtype=np.uint64)
     out[got.column("w").to_numpy()] = got.column("v").to_numpy().view(np.uint64)
     return out
 
 
 def _maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Where the bitmap doesn't prove the key absent."""
-    at = keys >> np.uint64(64 - _BITS)
+    at = keys >> np.uint64(64 - (len(bits).bit_length() + 5))
     return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0
 
 
@@ -177,7 +177,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(k.view(np.int64))], names=[*b.schema.names, "k"])
 
 
-def grow(docs: DataFrame, *, text_col: str = "text", heads: int = 1 << 22, depth: int = 2, support: int = 8) -> tuple[Tree, DataFrame]:
+def grow(docs: DataFrame, *, text_col: str = "text", heads: int = 1 << 22, depth: int = 2, support: int = 2) -> tuple[Tree, DataFrame]:
     """The tree learnt from all given texts, and the table (k, c) of the counts of all their words."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -233,7 +233,8 @@ def grow(docs: DataFrame, *, text_col: str = "text", heads: int = 1 << 22, depth
     discard(spark, made)
     release(spark)
     known = signed[order], frequent.column("c").to_numpy()[order], frequent.column("v").to_numpy()[order]
-    bits = bitmap(gains.union(rests).filter(_rare(total)))
+    rare = gains.union(rests).filter(_rare(total))
+    bits = bitmap(rare, min(_MOST_BITS, max(_BITS, (8 * rare.count()).bit_length())))
     return Tree(Heads(total, distinct, depth, *known, _frequent(gains, total), _frequent(rests, total), bits), gains, rests), counts
 
 
@@ -260,27 +261,26 @@ def _states(level: DataFrame, total: int) -> DataFrame:
     return sums.filter(worth).select("x", "n", ((left + _DISCOUNT * F.col("e")) / n).alias("v"))
 
 
-def _groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Blocks of texts, each with its group: texts that follow each other in a partition share one, some ``limit`` bytes a group."""
-    part, size = TaskContext.get().partitionId() << 32, 0
-    for block in blocks(batches, "text", min(_BLOCK, limit)):
-        yield part + size // limit, block
-        size += len(buffer_of(block.column("text"))[0])
-
-
 def _dealt(rows: DataFrame, limit: int) -> DataFrame:
-    """Rows (id, text) by blocks: group ``g`` and the compressed ``block``."""
+    """Rows (id, text) by blocks: group ``g`` and the compressed ``block``. Texts that follow each other in a partition share a
+    group, some ``limit`` bytes a group."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g, block in _groups(batches, limit):
+        part, size = TaskContext.get().partitionId() << 32, 0
+        for block in blocks(batches, "text", min(_BLOCK, limit)):
             out = pa.BufferOutputStream()
             with pa.ipc.new_stream(out, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
                 stream.write_batch(block)
-            yield pa.RecordBatch.from_arrays([pa.array([g]), pa.array([out.getvalue().to_pybytes()])], names=["g", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array([part + size // limit]), pa.array([out.getvalue().to_pybytes()])], names=["g", "block"])
+            size += len(buffer_of(block.column("text"))[0])
 
     return rows.mapInArrow(task, "g long, block binary")
 
 
+def _opened(packed: pa.Scalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(packed.as_buffer()).read_next_batch()
+
+
 def _boxed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Answers (g, kind, k, v) of one group and kind as two arrays: keys of 64 bits and values of 32, integers for words."""
     parts: list[pa.RecordBatch] = []
@@ -306,19 +306,14 @@ def _boxed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _sum(hashes: np.ndarray) -> int:
-    """A check of a group's tokens, in whatever order."""
-    return int(np.bitwise_xor.reduce(hashes).view(np.int64)) if len(hashes) else 0
-
-
 def score(docs: DataFrame, tree: Tree, counts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens (words and one end), n_known (in training), train_tokens, base_score (add-one
     unigrams) and score (the tree), both log10 of the text's probability.
 
     A null or empty text is one end token. Rows are kept as they are, repeated ones and null ids too; other columns
     are not read; an empty table gives no rows. Without training texts every token is unseen. A text is scored whole,
-    in memory of some twenty times its size. ``docs`` is read twice and must come in the same partitions both times, as a
-    stored table does; a group whose texts differ from those that asked ends the job with an error.
+    in memory of some twenty times its size. Texts are dealt once, into a stored table that both the requests and the
+    scores are made from, so it doesn't matter in which order ``docs`` comes when it is read again.
     """
     heads = tree.heads
     small_batches(docs.sparkSession)
@@ -326,50 +321,45 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, *, id_col: str = "doc_
     den = heads.total + heads.distinct + 1
     limit = _GROUP
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    dealt = _dealt(rows, limit)
+    dealt = stored(_dealt(rows, limit), "dealt")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = send.value
-        group, parts, check = None, [], 0
+        group, parts = None, []
 
         def request() -> pa.RecordBatch:
             keys = np.unique(np.concatenate(parts))
-            g = np.full(len(keys) + 1, group)
-            return pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.append(keys.view(np.int64), check)), pa.array(np.append(np.zeros(len(keys), bool), True))], names=["g", "k", "check"])
-
-        for g, block in _groups(batches, limit):
-            if group is not None and g != group:
-                yield request()
-                parts, check = [], 0
-            group = g
-            hashes, edges = tokens(block.column("text"))
-            check ^= _sum(hashes)
-            parts.append(np.unique(hashes[_find(model.words, hashes) < 0]))
-            for n, (keys, there) in enumerate(sequences(hashes, edges, model.depth + 1), 1):
-                if n > 1:
-                    parts.append(np.unique(keys[there & _maybe(model.bits, keys)]))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), group)), pa.array(keys.view(np.int64))], names=["g", "k"])
+
+        for batch in batches:
+            for g, packed in zip(batch.column("g").to_pylist(), batch.column("block"), strict=True):
+                if group is not None and g != group:
+                    yield request()
+                    parts = []
+                group = g
+                hashes, edges = tokens(_opened(packed).column("text"))
+                parts.append(np.unique(hashes[_find(model.words, hashes) < 0]))
+                for n, (keys, there) in enumerate(sequences(hashes, edges, model.depth + 1), 1):
+                    if n > 1:
+                        parts.append(np.unique(keys[there & _maybe(model.bits, keys)]))
         if group is not None:
             yield request()
 
     def answer(texts: pa.Table, found: pa.Table) -> pa.Table:
         model = send.value
-        tables, checks = [], np.zeros(0, np.int64)
-        for which in range(4):
+        tables = []
+        for which in range(3):
             mine = found.filter(pc.equal(found.column("kind"), which))
             k, v = (b"".join(mine.column(c).to_pylist()) for c in "kv")
-            if which == 3:
-                checks = np.frombuffer(k, np.int64)
-                continue
             keys = np.frombuffer(k, np.uint64)
             order = np.argsort(keys)
             tables.append(Lookup(keys[order], np.frombuffer(v, np.float32 if which else np.int32)[order]))
         words, gains, rests = tables
         often, left = Lookup(*model.gains), Lookup(*model.rests)
-        check, out = 0, []
+        out = []
         for packed in texts.column("block"):
-            block = pa.ipc.open_stream(packed.as_buffer()).read_next_batch()
+            block = _opened(packed)
             hashes, edges = tokens(block.column("text"))
-            check ^= _sum(hashes)
             head = _find(model.words, hashes)
             c = words.get(hashes, 0.0)
             if len(model.words):
@@ -385,16 +375,13 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, *, id_col: str = "doc_
                     rest = np.where(head >= 0, model.rest[head], rest)
             sums = [np.add.reduceat(x, edges[:-1]) for x in (c > 0, np.log10(base), np.log10(prob))]  # every row has its end
             out.append(pa.RecordBatch.from_arrays([block.column("id"), pa.array(np.diff(edges)), pa.array(sums[0].astype(np.int64)), *map(pa.array, sums[1:])], names=["id", "n_tokens", "n_known", "base_score", "score"]))
-        if list(checks) != [check]:
-            raise RuntimeError("the texts were dealt otherwise when they asked: store the table first")
         return pa.Table.from_batches(out)
 
-    asked = rows.mapInArrow(ask, "g long, k long, check boolean")
+    asked = dealt.mapInArrow(ask, "g long, k long")
     table = counts.select("k", F.lit(0).cast("byte").alias("kind"), F.col("c").cast("double").alias("v"))
     for kind, part in enumerate((tree.gains, tree.rests), 1):
         table = table.union(part.filter(_rare(heads.total)).select("k", F.lit(kind).cast("byte"), "v"))
-    found = asked.join(table, (asked["k"] == table["k"]) & ~asked["check"], "left").filter(F.col("check") | F.col("v").isNotNull())
-    found = found.select("g", F.when(F.col("check"), 3).otherwise(F.col("kind")).cast("int").alias("kind"), asked["k"], F.coalesce("v", F.lit(0.0)).alias("v"))
+    found = asked.join(table, "k").select("g", F.col("kind").cast("int").alias("kind"), "k", "v")
     found = found.mapInArrow(_boxed, "g long, kind int, k binary, v binary")
     kind = rows.schema["id"].dataType.simpleString()
     scored = dealt.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(answer, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
