@@ -11,7 +11,9 @@ NOT_STATED = "не указано"
 UP_TO = "до"
 FROM = "от"
 DEFAULT_CURRENCY = "RUB"
-UNKNOWN_AUTHOR = "unknown"
+UNKNOWN_AUTHOR, NAMELESS_AUTHOR = "unknown", "неизвестный"
+PAY, OWNER, TEAM, UPDATED = "зарплата", "овнер", "команда", "обновлено"
+USER_LABEL, OTHER_LABEL = "Пользователь", "Ассистент"
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:
@@ -57,28 +59,48 @@ def format_range(low: Column, high: Column, currency: Column) -> Column:
     )
 
 
-def format_entity_line(title: Column, status: Column, low: Column, high: Column, currency: Column, team: Column, created_at: Column, *, variant: str = "list") -> Column:
-    """An entity in one line: 'list' with range, team and date, 'prompt' with title and status, 'context' with bounds ('?' for a missing one)."""
-    head = F.concat(F.lit("- "), title, F.lit(" ["), status, F.lit("]"))
+def _bounds(low: Column, high: Column, currency: Column, before: str) -> Column:
+    """', low–high cur' with '?' for a missing bound; empty if both are null or 0."""
+    bound = lambda c: F.coalesce(whole(F.nullif(c, F.lit(0).cast("double"))), F.lit("?"))
+    some = F.coalesce(low != 0, F.lit(False)) | F.coalesce(high != 0, F.lit(False))
+    return F.when(some, F.concat(F.lit(before), bound(low), F.lit("–"), bound(high), F.lit(" "), falsy_coalesce(currency, F.lit(DEFAULT_CURRENCY)))).otherwise(F.lit(""))
+
+
+def _named(label: str, value: Column) -> Column:
+    """', label: value', empty for a null or empty value."""
+    return F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f", {label}: "), value)).otherwise(F.lit(""))
+
+
+def format_entity_line(title: Column, status: Column, low: Column, high: Column, currency: Column, team: Column, created_at: Column | None = None, *, owner: Column | None = None, updated_at: Column | None = None, variant: str = "list") -> Column:
+    """An entity in one line: 'list' with range, team and date; 'prompt' with bounds and team, a missing status being open;
+    'context' with bounds, owner, team and the day of its last update. What is missing is left out of the last two."""
+    head = lambda st: F.concat(F.lit("- "), title, F.lit(" ["), st, F.lit("]"))
+    none = F.lit(None).cast("string")
     if variant == "prompt":
-        return head
+        return F.concat(head(falsy_coalesce(status, F.lit("open"))), _bounds(low, high, currency, ", "), _named(TEAM, team))
     if variant == "context":
-        bound = lambda c: F.coalesce(whole(c), F.lit("?"))
-        span = F.when(low.isNotNull() | high.isNotNull(), F.concat(F.lit(", "), bound(low), F.lit("–"), bound(high), F.lit(" "), falsy_coalesce(currency, F.lit(DEFAULT_CURRENCY)))).otherwise(F.lit(""))
-        return F.concat(head, span)
+        day = F.date_format(updated_at, "yyyy-MM-dd") if updated_at is not None else none
+        return F.concat(head(status), _bounds(low, high, currency, f", {PAY} "), _named(OWNER, owner if owner is not None else none), _named(TEAM, team), _named(UPDATED, day))
     if variant == "list":
-        return F.concat_ws(", ", head, format_range(low, high, currency), falsy_coalesce(team, F.lit(NOT_STATED)), F.date_format(created_at, "yyyy-MM-dd"))
+        return F.concat_ws(", ", head(status), format_range(low, high, currency), falsy_coalesce(team, F.lit(NOT_STATED)), F.date_format(created_at, "yyyy-MM-dd"))
     raise ValueError(f"unknown variant {variant!r}")
 
 
-def format_message_line(author: Column, at: Column, text: Column) -> Column:
-    """'[author (time)]: text'."""
-    return F.concat(F.lit("["), falsy_coalesce(author, F.lit(UNKNOWN_AUTHOR)), F.lit(" ("), F.date_format(at, "yyyy-MM-dd HH:mm"), F.lit(")]: "), text)
+def format_message_line(author: Column, at: Column | None, text: Column, *, variant: str = "context") -> Column:
+    """'context': '[author (time)]: text', without the time if there is none; 'prompt': '- author: text'."""
+    said = F.coalesce(text, F.lit(""))
+    if variant == "prompt":
+        return F.concat(F.lit("- "), falsy_coalesce(author, F.lit(UNKNOWN_AUTHOR)), F.lit(": "), said)
+    if variant != "context":
+        raise ValueError(f"unknown variant {variant!r}")
+    time = F.coalesce(F.concat(F.lit(" ("), F.date_format(at, "yyyy-MM-dd HH:mm"), F.lit(")")), F.lit("")) if at is not None else F.lit("")
+    return F.concat(F.lit("["), falsy_coalesce(author, F.lit(NAMELESS_AUTHOR)), time, F.lit("]: "), said)
 
 
 def format_turns(turns: Column) -> Column:
-    """Turns (array of role, text, ...) as lines 'role: text'."""
-    return F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit(": "), t["text"])), "\n")
+    """Turns (array of role, text, ...) as lines 'label: text', the user's and everybody else's."""
+    label = lambda t: F.when(t["role"] == "user", USER_LABEL).otherwise(OTHER_LABEL)
+    return F.array_join(F.transform(turns, lambda t: F.concat(label(t), F.lit(": "), F.coalesce(t["text"], F.lit("")))), "\n")
 
 
 def parse_json_record(text: Column, schema: T.StructType, default: Column, valid=None) -> Column:
@@ -103,5 +125,5 @@ def json_diff(parts: list[tuple[str, Column, Column]]) -> Column:
 
 def append_turns(turns: Column, role: Column, text: Column, at: Column) -> Column:
     """The array with one more turn; a null array is empty."""
-    turn = F.struct(role.alias("role"), text.alias("text"), at.alias("ts"))
+    turn = F.struct(role.cast("string").alias("role"), text.alias("text"), at.cast("string").alias("ts"))
     return F.concat(F.coalesce(turns, F.array().cast("array<struct<role:string,text:string,ts:string>>")), F.array(turn))

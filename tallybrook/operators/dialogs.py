@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallybrook.functions.values import append_turns
+from tallybrook.sources.schemas import TURNS_DDL
+
 # At this many turns a dialog is compacted to so many.
 MAX_TURNS, KEEP_TURNS = 12, 6
+#: A summary has at most so many lines, the oldest going first, and a line so many characters; what the first sentence of a text is.
+SUMMARY_LINES, LINE_CHARS = 40, 300
+SENTENCE = r"^([^.!?\n]*[.!?]?)"
 
 
 def keep_last_n(turns: Column, n: int = KEEP_TURNS) -> Column:
@@ -49,10 +56,46 @@ def get_or_create_dialog(dialogs: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def summarise_turns(summary: Column, turns: Column) -> Column:
-    """Extractive default: the old summary and the first sentence of each evicted turn, repeats left out."""
-    first = F.transform(turns, lambda t: F.trim(F.regexp_extract(t["text"], r"^([^.!?\n]*[.!?]?)", 1)))
-    lines = F.array_distinct(F.concat(F.split(F.coalesce(summary, F.lit("")), "\n"), first))
-    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+    """Extractive default: the old summary and the first sentence of each evicted turn, repeats left out, the newest
+    ``SUMMARY_LINES`` lines of them."""
+    first = F.transform(turns, lambda t: F.substring(F.trim(F.regexp_extract(F.coalesce(t["text"], F.lit("")), SENTENCE, 1)), 1, LINE_CHARS))
+    lines = F.filter(F.array_distinct(F.concat(F.split(F.coalesce(summary, F.lit("")), "\n"), first)), lambda x: x != "")
+    return F.array_join(F.when(F.size(lines) > SUMMARY_LINES, F.slice(lines, -SUMMARY_LINES, SUMMARY_LINES)).otherwise(lines), "\n")
+
+
+def summarise_lines(lines: list[str], texts: list[str | None]) -> list[str]:
+    """The rule of ``summarise_turns`` for one dialog in a task."""
+    out = list(lines)
+    for text in texts:
+        line = re.match(SENTENCE, text or "").group(1).strip(" ")[:LINE_CHARS]
+        if line and line not in out:
+            out.append(line)
+    return out[-SUMMARY_LINES:]
+
+
+def write_dialogs(dialogs: DataFrame, exchanges: DataFrame, *, max_turns: int = MAX_TURNS, keep: int = KEEP_TURNS) -> DataFrame:
+    """Dialogs (user_id, space_id, running_summary, recent_turns, turns_count, updated_at) after a batch of exchanges (user_id, space_id,
+    seq, question, answer, at), applied in the order of ``seq``.
+
+    Each exchange adds a turn of the user and one of the assistant, raises the counter by one and sets updated_at; at
+    ``max_turns`` turns all but the last ``keep`` go into the summary. A dialog that isn't there begins empty. One shuffle on
+    the dialog's key; a batch's exchanges of one dialog meet in one row, as they follow from each other.
+    """
+    keys = ["user_id", "space_id"]
+    new = exchanges.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "question", "answer", F.col("at").cast("string").alias("ts")))).alias("__new"), F.count("*").cast("int").alias("__n"), F.max_by("at", "seq").alias("__at"))
+    rows = dialogs.join(new, keys, "full_outer")
+    turns = F.coalesce("recent_turns", F.array().cast(TURNS_DDL))
+    start = F.struct(F.coalesce("running_summary", F.lit("")).alias("summary"), turns.alias("turns"))
+
+    def step(held: Column, x: Column) -> Column:
+        grown = append_turns(append_turns(held["turns"], F.lit("user"), x["question"], x["ts"]), F.lit("assistant"), x["answer"], x["ts"])
+        due = (F.size(grown) >= max_turns) & (F.size(grown) > keep)
+        summary = F.when(due, summarise_turns(held["summary"], evicted(grown, keep))).otherwise(held["summary"])
+        return F.struct(summary.alias("summary"), F.when(due, keep_last_n(grown, keep)).otherwise(grown).alias("turns"))
+
+    after = F.when(F.col("__n").isNotNull(), F.aggregate("__new", start, step)).otherwise(start)
+    made = {"running_summary": F.col("__s.summary"), "recent_turns": F.col("__s.turns"), "turns_count": F.coalesce("turns_count", F.lit(0)) + F.coalesce("__n", F.lit(0)), "updated_at": F.coalesce("__at", "updated_at")}
+    return rows.withColumn("__s", after).select(*keys, *(v.alias(k) for k, v in made.items()))
 
 
 def compact(dialogs: DataFrame, *, max_turns: int = MAX_TURNS, keep: int = KEEP_TURNS, summarise: Callable[[Column, Column], Column] = summarise_turns) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallybrook.functions.values import falsy_coalesce, format_turns
 from tallybrook.operators.vectors import ENTITY_K, MESSAGE_K, knn_join
 
 # Headings and placeholders of the context text.
-MEMORY, ENTITIES, MESSAGES = "Память диалога:", "Вакансии:", "Сообщения:"
-NO_MEMORY, NO_ENTITIES, NO_MESSAGES = "(пусто)", "(нет данных)", "(нет данных)"
+MEMORY, TURNS, ENTITIES, MESSAGES = "=== Память диалога ===", "Последние реплики:", "=== Актуальное состояние вакансий ===", "=== Релевантные сообщения из пространства ==="
+FIRST_DIALOG, NO_TURNS, NO_DATA = "Первый диалог", "—", "Нет данных"
 
 
 def join_vectors_messages(vectors: DataFrame, messages: DataFrame) -> DataFrame:
@@ -34,13 +35,19 @@ def assemble_lists(rows: DataFrame, key: str, order: list[Column | str], line: C
     return rows.groupBy(key).agg(packed.alias("p")).select(key, F.array_join(F.transform("p", lambda x: x["line"]), "\n").alias("text"))
 
 
-def build_context(queries: DataFrame, memory: DataFrame, entity_lines: DataFrame, message_lines: DataFrame) -> DataFrame:
-    """(query_id, context): memory, entities and messages of each query, each (query_id, text), with placeholders."""
-    rows = queries.select("query_id")
-    for name, part in (("memory", memory), ("entities", entity_lines), ("messages", message_lines)):
+def build_context(queries: DataFrame, dialogs: DataFrame, entity_lines: DataFrame, message_lines: DataFrame) -> DataFrame:
+    """(query_id, context): the dialog's summary and last turns, entities and messages of each query.
+
+    ``dialogs`` has query_id, running_summary and recent_turns, the lines query_id and text; what a query lacks has its
+    placeholder, an empty summary or list too.
+    """
+    rows = queries.select("query_id").join(dialogs.select("query_id", "running_summary", format_turns(F.col("recent_turns")).alias("turns")), "query_id", "left")
+    for name, part in (("entities", entity_lines), ("messages", message_lines)):
         rows = rows.join(part.select("query_id", F.col("text").alias(name)), "query_id", "left")
-    section = lambda title, name, none: F.concat(F.lit(f"{title}\n"), F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit(none)))
-    return rows.select("query_id", F.concat_ws("\n\n", section(MEMORY, "memory", NO_MEMORY), section(ENTITIES, "entities", NO_ENTITIES), section(MESSAGES, "messages", NO_MESSAGES)).alias("context"))
+    shown = lambda name, none: falsy_coalesce(F.col(name), F.lit(none))
+    memory = F.concat(F.lit(f"{MEMORY}\n"), shown("running_summary", FIRST_DIALOG), F.lit(f"\n\n{TURNS}\n"), shown("turns", NO_TURNS))
+    found = [F.concat(F.lit(f"{title}\n"), shown(name, NO_DATA)) for title, name in ((ENTITIES, "entities"), (MESSAGES, "messages"))]
+    return rows.select("query_id", F.concat_ws("\n\n", memory, *found).alias("context"))
 
 
 def profile_match(profiles: DataFrame, entities: DataFrame, k: int = ENTITY_K) -> DataFrame:

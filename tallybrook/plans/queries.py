@@ -443,19 +443,41 @@ def retrieve_entities(s, d):
     return _near(rt.retrieve_entities(_vectors(s, d)[0], fr.entities(s, d, vectors=True)))
 
 
-_CONTEXT = with_("E", "M", "Q") + _ASK.format(period=_ALWAYS) + f""", L AS (SELECT query_id, string_agg('- ' || title || ' [' || status || ']', chr(10) ORDER BY rank) AS text FROM ({_RANGES_SQL.replace("entity_id FROM A", "entity_id, title, status FROM A").replace("rank <= 15", "rank <= 3")}) GROUP BY 1),
-    T AS (SELECT conv_id AS query_id, string_agg('[' || author_name || ' (' || strftime(created_at, '%Y-%m-%d %H:%M') || ')]: ' || text, chr(10) ORDER BY turn) AS text FROM (SELECT thread_id AS conv_id, * FROM M) WHERE NOT is_deleted GROUP BY 1)
-    SELECT query_id, concat_ws(chr(10) || chr(10), '{rt.MEMORY}' || chr(10) || '{rt.NO_MEMORY}', '{rt.ENTITIES}' || chr(10) || coalesce(L.text, '{rt.NO_ENTITIES}'), '{rt.MESSAGES}' || chr(10) || coalesce(T.text, '{rt.NO_MESSAGES}')) AS context FROM Q LEFT JOIN L USING (query_id) LEFT JOIN T USING (query_id)"""
+_PAID = "range_min <> 0 OR range_max <> 0"
+_SPAN = "coalesce(CAST(CAST(floor(nullif(range_min, 0)) AS BIGINT) AS VARCHAR), '?') || '–' || coalesce(CAST(CAST(floor(nullif(range_max, 0)) AS BIGINT) AS VARCHAR), '?') || ' ' || coalesce(nullif(currency, ''), 'RUB')"
+_CONTEXT = with_("E", "M", "Q") + _ASK.format(period=_ALWAYS) + f""",
+    L AS (SELECT query_id, string_agg('- ' || title || ' [' || status || ']' || CASE WHEN {_PAID} THEN ', зарплата ' || {_SPAN} ELSE '' END || coalesce(', овнер: ' || nullif(owner_name, ''), '') || coalesce(', команда: ' || nullif(team, ''), '') || ', обновлено: ' || strftime(created_at, '%Y-%m-%d'), chr(10) ORDER BY rank) AS text
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY range_max DESC NULLS LAST, range_min DESC NULLS LAST, entity_id) AS rank FROM A WHERE range_min IS NOT NULL OR range_max IS NOT NULL) WHERE rank <= 3 GROUP BY 1),
+    T AS (SELECT thread_id AS query_id, string_agg('[' || CASE WHEN author_name = 'system' THEN 'неизвестный' ELSE author_name END || ' (' || strftime(created_at, '%Y-%m-%d %H:%M') || ')]: ' || text, chr(10) ORDER BY turn) AS text FROM M WHERE NOT is_deleted GROUP BY 1),
+    N AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY turn DESC) AS back FROM M),
+    D AS (SELECT thread_id AS query_id, string_agg(CASE WHEN author_name = 'user' THEN 'Пользователь' ELSE 'Ассистент' END || ': ' || text, chr(10) ORDER BY turn) FILTER (back <= 4) AS turns, count(*) FILTER (back > 4) AS older FROM N GROUP BY 1)
+    SELECT Q.query_id, '=== Память диалога ===' || chr(10) || CASE WHEN older > 0 THEN older || ' older turns' ELSE 'Первый диалог' END || chr(10) || chr(10) || 'Последние реплики:' || chr(10) || coalesce(D.turns, '—') || chr(10) || chr(10) || '=== Актуальное состояние вакансий ===' || chr(10) || coalesce(L.text, 'Нет данных')
+        || chr(10) || chr(10) || '=== Релевантные сообщения из пространства ===' || chr(10) || coalesce(T.text, 'Нет данных') AS context FROM Q LEFT JOIN D USING (query_id) LEFT JOIN L USING (query_id) LEFT JOIN T USING (query_id)"""
 
 
 @_query(_CONTEXT)
 def build_context(s, d):
     q, e = fr.questions(s), fr.entities(s, d)
-    top = an.answer_ranges(q, e, as_of(), 3).join(e.select("entity_id", "title", "status", "range_min", "range_max", "currency", "team", "created_at"), "entity_id")
-    line = fv.format_entity_line(*(F.col(c) for c in ("title", "status", "range_min", "range_max", "currency", "team", "created_at")), variant="prompt")
-    m = fr.messages(s, d).filter(~F.col("is_deleted")).withColumn("query_id", F.col("thread_id").cast("int"))
-    said = rt.assemble_lists(m, "query_id", ["turn"], fv.format_message_line(F.col("author_name"), F.col("created_at"), F.col("text")))
-    return rt.build_context(q, said.limit(0), rt.assemble_lists(top, "query_id", ["rank"], line), said)
+    top = an.answer_ranges(q, e, as_of(), 3).join(e, "entity_id")
+    line = fv.format_entity_line(*(F.col(c) for c in ("title", "status", "range_min", "range_max", "currency", "team")), owner=F.col("owner_name"), updated_at=F.col("created_at"), variant="context")
+    m = fr.messages(s, d).withColumn("query_id", F.col("thread_id").cast("int"))
+    author = F.when(F.col("author_name") != "system", F.col("author_name"))
+    said = rt.assemble_lists(m.filter(~F.col("is_deleted")), "query_id", ["turn"], fv.format_message_line(author, F.col("created_at"), F.col("text")))
+    turns = dl.last_turns(m, ["query_id"], ["turn"], 4).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("author_name").alias("role"), "text"))).alias("recent_turns"))
+    older = m.groupBy("query_id").agg((F.count("*") - 4).alias("older")).select("query_id", F.when(F.col("older") > 0, F.concat(F.col("older").cast("string"), F.lit(" older turns"))).otherwise("").alias("running_summary"))
+    return rt.build_context(q, turns.join(older, "query_id"), rt.assemble_lists(top, "query_id", ["rank"], line), said)
+
+
+@_query(with_("E") + f""" SELECT entity_id, '- ' || title || ' [' || status || ']' || CASE WHEN {_PAID} THEN ', ' || {_SPAN} ELSE '' END || coalesce(', команда: ' || nullif(team, ''), '') AS line FROM E""")
+def prompt_lines(s, d):
+    line = fv.format_entity_line(*(F.col(c) for c in ("title", "status", "range_min", "range_max", "currency", "team")), variant="prompt")
+    return fr.entities(s, d).select("entity_id", line.alias("line"))
+
+
+@_query(with_("M") + " SELECT message_id, '- ' || CASE WHEN author_name = 'system' THEN 'unknown' ELSE author_name END || ': ' || text AS line FROM M")
+def prompt_messages(s, d):
+    author = F.when(F.col("author_name") != "system", F.col("author_name"))
+    return fr.messages(s, d).select("message_id", fv.format_message_line(author, None, F.col("text"), variant="prompt").alias("line"))
 
 
 # Dialogs
@@ -708,21 +730,34 @@ def resolve_unmatched(s, d):
 # Models: rows only, no SQL
 
 
-_EMBEDDED = with_("M") + " SELECT message_id, CAST(64 AS INTEGER) AS size, 'hashed-64' AS model FROM M"
+#: A model that SQL can follow: length, vowels and spaces of the text.
+_EMBEDDED = with_("M") + """ SELECT message_id, CAST(length(text) AS DOUBLE) AS a, CAST(length(text) - length(translate(text, 'aeiou', '')) AS DOUBLE) AS b, CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) AS c, 'counts' AS model FROM M"""
 
 
-@_query(_EMBEDDED)
+def _counts_of(rows):
+    t = F.col("text")
+    values = (F.length(t), F.length(t) - F.length(F.translate(t, "aeiou", "")), F.length(t) - F.length(F.replace(t, F.lit(" "))))
+    return rows.select("message_id", F.array(*(v.cast("float") for v in values)).alias("embedding"))
+
+
+def _shown(vectors, key="message_id"):
+    return vectors.select(key, *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("abc")), "model")
+
+
+@_query(with_("M") + """, N AS (SELECT message_id, CASE WHEN author_name = 'user' THEN 'edited: ' || text || ' a' || turn ELSE text END AS text FROM M)
+    SELECT message_id, CAST(length(text) AS DOUBLE) AS a, CAST(length(text) - length(translate(text, 'aeiou', '')) AS DOUBLE) AS b, CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) AS c, 'counts' AS model FROM N""")
 def replace_vectors(s, d):
     m = fr.messages(s, d)
     empty = s.createDataFrame([], "message_id string, embedding array<float>, model string")
-    edited = m.filter("author_name = 'user'").select("message_id", F.upper("text").alias("text"))
-    return ch.replace_vectors(ch.write_vectors(empty, m, md.embed_text, "hashed-64"), edited, md.embed_text, "hashed-64").select("message_id", F.size("embedding").alias("size"), "model")
+    edited = m.filter("author_name = 'user'").select("message_id", F.concat(F.lit("edited: "), "text", F.lit(" a"), F.col("turn").cast("string")).alias("text"))
+    return _shown(ch.replace_vectors(ch.write_vectors(empty, m, _counts_of, "counts"), edited, _counts_of, "counts"))
 
 
-@_query(with_("M") + " SELECT DISTINCT sha256(text) AS digest, CAST(64 AS INTEGER) AS size, 'hashed-64' AS model FROM M WHERE sha256(text) NOT IN (SELECT sha256(text) FROM M WHERE author_name = 'system')")
+@_query(with_("M") + """ SELECT DISTINCT sha256(text) AS digest, CAST(length(text) AS DOUBLE) AS a, CAST(length(text) - length(translate(text, 'aeiou', '')) AS DOUBLE) AS b, CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) AS c, 'counts' AS model
+    FROM M WHERE sha256(text) NOT IN (SELECT sha256(text) FROM M WHERE author_name = 'assistant' AND turn % 3 = 1)""")
 def embed_incremental(s, d):
-    seen = fr.messages(s, d).filter("author_name = 'system'").select(F.sha2("text", 256).alias("digest"), F.lit("hashed-64").alias("model"))
-    return ch.embed_incremental(seen, fr.messages(s, d), md.embed_text, "hashed-64").select("digest", F.size("embedding").alias("size"), "model")
+    seen = fr.messages(s, d).filter("author_name = 'assistant' and turn % 3 = 1").select(F.sha2("text", 256).alias("digest"), F.lit("counts").alias("model"))
+    return _shown(ch.embed_incremental(seen, fr.messages(s, d), _counts_of, "counts"), "digest")
 
 
 @_query()
@@ -759,11 +794,18 @@ def extract_fields(s, d):
 def embed_messages(s, d):
     m = fr.messages(s, d)
     empty = s.createDataFrame([], "message_id string, embedding array<float>, model string")
-    return ch.write_vectors(empty, m, md.embed_text, "hashed-64").select("message_id", F.size("embedding").alias("size"), "model")
+    return _shown(ch.write_vectors(empty, m, _counts_of, "counts"))
+
+
+@_query()
+def embed_hashed(s, d):
+    """The default embedder: rows only, as SQL has no such hash; a unit test compares it with counting."""
+    return md.embed_text(fr.messages(s, d))
 
 
-@_query(with_("M") + " SELECT thread_id, count(*) AS n_messages FROM M WHERE NOT is_deleted GROUP BY 1")
+@_query(with_("M") + r""", R AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY created_at DESC, message_id DESC) AS back FROM M WHERE NOT is_deleted)
+    SELECT thread_id, count(*) AS n_messages, string_agg(trim(regexp_extract(text, '^([^.!?\n]*[.!?]?)', 1)), chr(10) ORDER BY back DESC) FILTER (back <= 5) AS summary FROM R GROUP BY 1""")
 def thread_summary(s, d):
     m = fr.messages(s, d)
     cached = s.createDataFrame([], "thread_id long, n_messages long, summary string")
-    return md.thread_summary(m, m.select("thread_id"), cached).select("thread_id", "n_messages")
+    return md.thread_summary(m, m.select("thread_id"), cached).select("thread_id", "n_messages", "summary")

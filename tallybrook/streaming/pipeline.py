@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tallybrook.operators import changes as ch
 from tallybrook.operators import revisions as rv
-from tallybrook.operators.dialogs import KEEP_TURNS, MAX_TURNS
+from tallybrook.operators.dialogs import KEEP_TURNS, MAX_TURNS, summarise_lines
 from tallybrook.sources.buckets import BucketedTable
 from tallybrook.sources.events import decode_envelope, parse_change_event, reject_events
 from tallybrook.sources.tables import SnapshotTable
@@ -112,46 +112,66 @@ def stream_extract(messages: DataFrame, classify, extract, out: str, dead: str,
     return messages.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-DIALOG_DDL = "user_id string, space_id string, turns_count int, kept int, running_summary string, recent array<string>"
+DIALOG_DDL = "user_id string, space_id string, running_summary string, recent_turns array<struct<role:string,text:string,ts:string>>, turns_count int, updated_at timestamp"
 
 
 class DialogProcessor(StatefulProcessor):
-    """Keyed state of one dialog: its turns, its summary and how many exchanges it had."""
+    """Keyed state of one dialog: its last turns, its summary, how many exchanges it had and when the last one was."""
 
     def __init__(self, max_turns: int = MAX_TURNS, keep: int = KEEP_TURNS):
         self.max_turns, self.keep = max_turns, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.turns = handle.getListState("turns", "role string, text string")
+        self.turns = handle.getListState("turns", "role string, text string, ts string")
         self.memory = handle.getValueState("memory", "summary string, turns_count int")
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        for r in initialState.to_dict("records"):
+            self.turns.put([tuple(t[c] for c in ("role", "text", "ts")) for t in r["recent_turns"]])
+            self.memory.update((r["running_summary"] or "", int(r["turns_count"])))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
         import pandas as pd
 
-        turns = list(self.turns.get()) if self.turns.exists() else []
+        turns = [tuple(t) for t in self.turns.get()] if self.turns.exists() else []
         summary, count = self.memory.get() if self.memory.exists() else ("", 0)
         lines = summary.split("\n") if summary else []
         batch = pd.concat(list(rows)).sort_values("seq")
-        for question, answer in zip(batch["question"], batch["answer"], strict=True):
-            turns += [("user", question), ("assistant", answer)]
+        for question, answer, ts in zip(batch["question"], batch["answer"], batch["ts"], strict=True):
+            turns += [("user", question, ts), ("assistant", answer, ts)]
             count += 1
-            if len(turns) >= self.max_turns:
-                for _, text in turns[: -self.keep]:
-                    first = (text or "").split("\n")[0].split(". ")[0].strip()
-                    if first and first not in lines:
-                        lines.append(first)
+            if len(turns) >= self.max_turns and len(turns) > self.keep:
+                lines = summarise_lines(lines, [t[1] for t in turns[: -self.keep]])
                 turns = turns[-self.keep :]
-        self.turns.put([tuple(t) for t in turns])
+        self.turns.put(turns)
         self.memory.update(("\n".join(lines), count))
-        yield pd.DataFrame({"user_id": [key[0]], "space_id": [key[1]], "turns_count": [count], "kept": [len(turns)], "running_summary": ["\n".join(lines)], "recent": [[t[1] for t in turns]]})
+        shown = [[{"role": r, "text": t, "ts": s} for r, t, s in turns]]
+        yield pd.DataFrame({"user_id": [key[0]], "space_id": [key[1]], "running_summary": ["\n".join(lines)], "recent_turns": shown, "turns_count": [count], "updated_at": [batch["at"].iloc[-1]]})
 
     def close(self) -> None:
         pass
 
 
-def compact_dialogs(exchanges: DataFrame, *, max_turns: int = MAX_TURNS, keep: int = KEEP_TURNS) -> DataFrame:
-    """Exchanges (user_id, space_id, seq, question, answer), a stream or a batch -> the dialog after each micro-batch.
+def compact_dialogs(exchanges: DataFrame, *, max_turns: int = MAX_TURNS, keep: int = KEEP_TURNS, dialogs: DataFrame | None = None) -> DataFrame:
+    """Exchanges (user_id, space_id, seq, question, answer, at), a stream or a batch -> the dialog after each micro-batch.
 
-    State of a key is bounded by ``max_turns`` and its summary. Streams need the RocksDB state store.
+    ``dialogs`` are stored dialogs to go on from, taken over when the stream first starts. State of a key is bounded by ``max_turns`` turns and
+    the summary's lines. Streams need the RocksDB state store.
     """
-    return exchanges.groupBy("user_id", "space_id").transformWithStateInPandas(DialogProcessor(max_turns, keep), DIALOG_DDL, "update", "none")
+    rows = exchanges.withColumn("ts", F.col("at").cast("string"))
+    start = dialogs.select("user_id", "space_id", "running_summary", "recent_turns", "turns_count").groupBy("user_id", "space_id") if dialogs is not None else None
+    return rows.groupBy("user_id", "space_id").transformWithStateInPandas(DialogProcessor(max_turns, keep), DIALOG_DDL, "update", "none", start)
+
+
+def stream_dialogs(exchanges: DataFrame, table: BucketedTable, checkpoint: str, *, max_turns: int = MAX_TURNS, keep: int = KEEP_TURNS):
+    """Start the stream that keeps the table of dialogs: it goes on from the rows that are there, and each micro-batch's dialogs
+    replace theirs in the buckets that they fall into. The table is keyed by ``dialog_id`` (user and space)."""
+    held = table.read()
+    states = compact_dialogs(exchanges, max_turns=max_turns, keep=keep, dialogs=held.drop("dialog_id")).withColumn("dialog_id", dialog_id())
+    first = max(table.versions(), default=-1) + 1
+    replace = lambda rows, new: rows.join(new.select("dialog_id"), "dialog_id", "left_anti").unionByName(new.select(*rows.columns))
+    return states.writeStream.outputMode("update").foreachBatch(lambda batch, number: table.update(batch, first + number, replace)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def dialog_id():
+    return F.sha2(F.to_json(F.array("user_id", "space_id")), 256)

@@ -255,12 +255,8 @@ def test_compaction_keeps_the_last_six(spark):
     assert len(got["v"].recent_turns) == 6 and got["v"].running_summary == ""
 
 
-def test_dialog_stream_is_bounded(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = spark.createDataFrame([("u", "s", i, f"q{i}", f"a{i}") for i in range(15)], "user_id string, space_id string, seq long, question string, answer string")
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = st.compact_dialogs(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
-    q = stream.writeStream.format("memory").queryName("dialogs").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    row = spark.table("dialogs").collect()[-1]
-    assert row.turns_count == 15 and row.kept < 12 and row.running_summary.startswith("q0")
+def test_hashed_vectors_count_words(spark):
+    rows = spark.createDataFrame([("1", "Red red, RED blue"), ("2", "blue red red red"), ("3", ""), ("4", None), ("5", "red")], "message_id string, text string")
+    got = {r.message_id: list(r.embedding) for r in md.embed_text(rows).collect()}
+    assert got["1"] == got["2"] and not any(got["3"]) and not any(got["4"]) and sum(x * x for x in got["1"]) == pytest.approx(1, abs=1e-6)
+    assert sorted(x for x in got["1"] if x)[::-1] == pytest.approx([3 / 10**0.5, 1 / 10**0.5], abs=1e-6) and max(got["5"]) == 1.0
