@@ -7,6 +7,7 @@ failure each falls back as stated, so one bad row never fails a job.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -20,10 +21,23 @@ from tallybrook.sources import schemas
 
 Scorer = Callable[[DataFrame], DataFrame]
 
-# Word stems of the rules (vacancies, hiring, closing, asking), as in the seed messages.
-HIRING_WORDS = r"ваканси|ищем|позици|вилк|зарплат|кандидат|senior|junior|джун|тимлид|hiring|vacancy|position|salary"
-CREATE_WORDS, CLOSE_WORDS = r"открыли|ищем|у нас есть|opened|looking for", r"закрыли|нашли|вышел кандидат|closed|filled"
-UPDATE_WORDS = r"подняли|опустили|изменили|уточн|зп от|raised|changed"
+@dataclass(frozen=True)
+class Words:
+    """The words of the default rules, as regular expressions over lower-case text: what is about a position at all, what opens,
+    closes and changes one, and what stands before its name, its team and its bounds. The defaults are English and Russian."""
+
+    about: str = r"vacanc|position|salary|hiring|candidate|senior|junior|ваканси|позици|зарплат|кандидат"
+    create: str = r"looking for|opened|we need|ищем|открыли|нужен"
+    close: str = r"closed|filled|found someone|закрыли|нашли"
+    update: str = r"raised|lowered|changed|подняли|опустили|изменили"
+    name: str = r"vacancy|position|for|вакансию|позицию|ищем|по"
+    team: str = r"team|команду"
+    high: str = r"up to|до"
+    low: str = r"from|от"
+    kilo: str = r"k|к|тыс"
+
+
+WORDS = Words()
 
 
 def embed_text(rows: DataFrame, *, id_col: str = "message_id", text_col: str = "text", size: int = 64) -> DataFrame:
@@ -50,9 +64,9 @@ def model_scorer(model: PipelineModel, text_col: str = "text") -> Scorer:
     return score
 
 
-def keyword_scorer(rows: DataFrame) -> DataFrame:
-    """Rows with ``score``: 1 where a hiring word occurs."""
-    return rows.withColumn("score", F.when(F.coalesce(F.lower("text").rlike(HIRING_WORDS), F.lit(False)), 1.0).otherwise(0.0))
+def keyword_scorer(rows: DataFrame, words: Words = WORDS) -> DataFrame:
+    """Rows with ``score``: 1 where one of the words that are about positions occurs."""
+    return rows.withColumn("score", F.when(F.coalesce(F.lower("text").rlike(words.about), F.lit(False)), 1.0).otherwise(0.0))
 
 
 def classify_messages(messages: DataFrame, scorer: Scorer = keyword_scorer, *, threshold: float = 0.5, context: str = "prefilter_context") -> DataFrame:
@@ -68,25 +82,25 @@ def classify_messages(messages: DataFrame, scorer: Scorer = keyword_scorer, *, t
     return sure.unionByName(again).unionByName(rest)
 
 
-def _amount(text: Column, words: str) -> Column:
-    found = F.regexp_extract(text, rf"(?:{words})\s*(\d{{1,7}})\s*(k|к|тыс)?", 1)
-    kilo = F.regexp_extract(text, rf"(?:{words})\s*(\d{{1,7}})\s*(k|к|тыс)?", 2) != ""
-    number = F.nullif(found, F.lit("")).try_cast("int")
-    return F.when(kilo, number * 1000).when(number < 1000, number * 1000).otherwise(number)
+def _amount(text: Column, before: str, kilo: str) -> Column:
+    pattern = rf"(?:{before})\s*(\d{{1,7}})\s*({kilo})?"
+    number = F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("int")
+    return F.when((F.regexp_extract(text, pattern, 2) != "") | (number < 1000), number * 1000).otherwise(number)
 
 
-def extract_fields(messages: DataFrame, model: Scorer | None = None) -> DataFrame:
+def extract_fields(messages: DataFrame, model: Scorer | None = None, *, words: Words = WORDS) -> DataFrame:
     """Adds action, entity_ref, fields (map) and confidence, by rules unless ``model`` is given (it must return those
     columns). A field that isn't mentioned isn't in the map."""
     if model is not None:
         out = model(messages)
         action = F.when(F.col("action").isin(*schemas.EXTRACTED_ACTIONS), F.col("action")).otherwise("none")
         return out.withColumn("action", action).withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
-    low = F.lower(F.coalesce("text", F.lit("")))
-    high, least = _amount(low, "до|up to"), _amount(low, "от|from")
-    action = F.when(low.rlike(CLOSE_WORDS), "close").when(low.rlike(UPDATE_WORDS), "update").when(low.rlike(CREATE_WORDS), "create").when(high.isNotNull() | least.isNotNull(), "update").otherwise("none")
-    title = F.trim(F.regexp_extract(low, r"(?:вакансию|позицию|ищем|по|vacancy|position|for)\s+([\p{L}\p{N}+#-]+)", 1))
-    team = F.regexp_extract(F.coalesce("text", F.lit("")), r"(?:команду|team)\s+([\p{L}\p{N}-]+)", 1)
+    own = F.coalesce("text", F.lit(""))
+    low = F.lower(own)
+    high, least = _amount(low, words.high, words.kilo), _amount(low, words.low, words.kilo)
+    action = F.when(low.rlike(words.close), "close").when(low.rlike(words.update), "update").when(low.rlike(words.create), "create").when(high.isNotNull() | least.isNotNull(), "update").otherwise("none")
+    title = F.regexp_extract(low, rf"(?:{words.name})\s+([\p{{L}}\p{{N}}+#-]+)", 1)
+    team = F.regexp_extract(own, rf"(?:{words.team})\s+([\p{{L}}\p{{N}}-]+)", 1)
     pairs = F.array(*(F.when(there, F.struct(F.lit(k).alias("key"), v.alias("value"))) for k, there, v in (("title", title != "", title), ("salary_min", least.isNotNull(), least.cast("string")), ("salary_max", high.isNotNull(), high.cast("string")), ("team", team != "", team))))
     fields = F.map_from_entries(F.filter(pairs, lambda x: x.isNotNull()))
     return messages.withColumn("action", action).withColumn("entity_ref", title).withColumn("fields", fields).withColumn("confidence", F.when(action == "none", 0.0).otherwise(0.7))

@@ -784,12 +784,47 @@ def canonicalise_creates(s, d):
     return rs.canonicalise_creates(v, threshold=0.4)
 
 
-@_query()
+_SAID = """, X AS (SELECT *, CASE thread_id % 6 WHEN 0 THEN 'We are looking for welder' || turn || ', up to ' || (turn * 37 + 5) || 'k, for TEAM x, team Harbour' || thread_id % 4 WHEN 1 THEN 'Position baker' || turn || ' changed: from ' || (turn * 900 + 50) || ' up to ' || (turn * 900 + 2000) WHEN 2 THEN 'Vacancy cook-' || turn || ' is FILLED' WHEN 3 THEN 'От ' || turn || ' тыс' WHEN 4 THEN text ELSE '' END AS said FROM M)"""
+
+
+def _said(s, d):
+    """Messages in the words that the rules read, and as they are."""
+    t, k = F.col("turn"), F.col("thread_id") % 6
+    text = lambda *parts: F.concat(*(p.cast("string") if not isinstance(p, str) else F.lit(p) for p in parts))
+    said = (
+        F.when(k == 0, text("We are looking for welder", t, ", up to ", t * 37 + 5, "k, for TEAM x, team Harbour", F.col("thread_id") % 4))
+        .when(k == 1, text("Position baker", t, " changed: from ", t * 900 + 50, " up to ", t * 900 + 2000))
+        .when(k == 2, text("Vacancy cook-", t, " is FILLED")).when(k == 3, text("От ", t, " тыс")).when(k == 4, F.col("text")).otherwise("")
+    )
+    return fr.messages(s, d).withColumn("text", said)
+
+
+def _amount_sql(before):
+    got = [f"regexp_extract(l, '(?:{before})[\\s]*([0-9]{{1,7}})[\\s]*(k|к|тыс)?', {g})" for g in (1, 2)]
+    n = f"TRY_CAST(nullif({got[0]}, '') AS INTEGER)"
+    return f"CASE WHEN {got[1]} <> '' OR {n} < 1000 THEN {n} * 1000 ELSE {n} END"
+
+
+@_query((with_("M") + _SAID + f""", Y AS (SELECT message_id, said, lower(said) AS l FROM X),
+    Z AS (SELECT *, {_amount_sql('up to|до')} AS hi, {_amount_sql('from|от')} AS lo, regexp_extract(l, '(?:vacancy|position|for|вакансию|позицию|ищем|по)[\\s]+([\\p{{L}}\\p{{N}}+#-]+)', 1) AS title, regexp_extract(said, '(?:team|команду)[\\s]+([\\p{{L}}\\p{{N}}-]+)', 1) AS team FROM Y),
+    W AS (SELECT *, CASE WHEN regexp_matches(l, 'closed|filled|found someone|закрыли|нашли') THEN 'close' WHEN regexp_matches(l, 'raised|lowered|changed|подняли|опустили|изменили') THEN 'update' WHEN regexp_matches(l, 'looking for|opened|we need|ищем|открыли|нужен') THEN 'create' WHEN hi IS NOT NULL OR lo IS NOT NULL THEN 'update' ELSE 'none' END AS action FROM Z)
+    SELECT message_id, action, title AS entity_ref, '{{' || concat_ws(',', CASE WHEN title <> '' THEN '"title":"' || title || '"' END, '"salary_min":"' || lo || '"', '"salary_max":"' || hi || '"', CASE WHEN team <> '' THEN '"team":"' || team || '"' END) || '}}' AS fields, CASE action WHEN 'none' THEN 0.0::DOUBLE ELSE 0.7::DOUBLE END AS confidence FROM W""").replace("\\\\", "\\"))
 def extract_fields(s, d):
-    rows = md.extract_fields(fr.messages(s, d))
+    rows = md.extract_fields(_said(s, d))
     return rows.select("message_id", "action", "entity_ref", F.to_json("fields").alias("fields"), "confidence")
 
 
+@_query((with_("M") + _SAID + """, N AS (SELECT *, row_number() OVER (ORDER BY created_at, message_id) AS at FROM X),
+    C AS (SELECT *, coalesce(list(said) OVER (PARTITION BY thread_id ORDER BY created_at, message_id ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), []) AS t, coalesce(list(said) OVER (PARTITION BY space_id ORDER BY created_at, message_id ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), []) AS s FROM N),
+    B AS (SELECT message_id, said, CASE WHEN len(t) > 0 THEN t ELSE s END AS before FROM C),
+    R AS (SELECT message_id, regexp_matches(lower(said), 'harbour|baker') AS alone, len(before) > 0 AS has, regexp_matches(lower(array_to_string(before, chr(10)) || chr(10) || said), 'harbour|baker') AS told FROM B)
+    SELECT message_id, alone OR (has AND told) AS relevant, CASE WHEN alone OR NOT has THEN 'text' ELSE 'context' END AS "by" FROM R"""))
+def classify_with_context(s, d):
+    rows = cx.attach_context(_said(s, d))
+    words = md.Words(about="harbour|baker")
+    return md.classify_messages(rows, lambda r: md.keyword_scorer(r, words)).select("message_id", "relevant", "by")
+
+
 @_query(_EMBEDDED)
 def embed_messages(s, d):
     m = fr.messages(s, d)
