@@ -137,8 +137,17 @@ def thread_summary(messages: DataFrame, changed: DataFrame, cached: DataFrame, *
     return cached.join(changed.select("thread_id").distinct(), "thread_id", "left_anti").unionByName(new)
 
 
+def lags(messages: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(message_id, lag): seconds from message to vector, null for a message that has none."""
+    rows = messages.select("message_id", "received_at").join(vectors.select("message_id", "embedded_at"), "message_id", "left")
+    return rows.select("message_id", (F.unix_timestamp("embedded_at") - F.unix_timestamp("received_at")).alias("lag"))
+
+
+def lag_summary(rows: DataFrame) -> DataFrame:
+    """How many messages there are, how many wait for their vector, and median and 95th percentile of the seconds."""
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("lag").isNull()).alias("waiting"), F.percentile_approx("lag", 0.5).alias("p50"), F.percentile_approx("lag", 0.95).alias("p95"))
+
+
 def stage_lag(messages: DataFrame, vectors: DataFrame) -> DataFrame:
     """Messages without a vector yet, and median and 95th percentile of the seconds from message to vector."""
-    lag = F.unix_timestamp("embedded_at") - F.unix_timestamp("received_at")
-    rows = messages.join(vectors.select("message_id", "embedded_at"), "message_id", "left").withColumn("lag", lag)
-    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("embedded_at").isNull()).alias("waiting"), F.percentile_approx("lag", 0.5).alias("p50"), F.percentile_approx("lag", 0.95).alias("p95"))
+    return lag_summary(lags(messages, vectors))

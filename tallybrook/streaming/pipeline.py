@@ -93,6 +93,34 @@ def stream_retract(deleted: DataFrame, entities: SnapshotTable, revisions, log,
     return deleted.writeStream.foreachBatch(lambda batch, number: retract_batch(entities, revisions(), log(), batch, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def change_batch(log: BucketedTable, entities: BucketedTable, revisions: DataFrame, batch: DataFrame, version: int) -> None:
+    """Changes of a micro-batch applied to the log, then the entities flagged that its deletes have cost their last live
+    source. Only revisions of the entities that these deletes touch are read further."""
+    upsert_batch(log, batch, version)
+    gone = batch.filter("change = 'deleted'").select("message_id").distinct()
+    gone = log.read().filter("is_deleted").join(gone, "message_id", "left_semi").select("message_id")
+    theirs = revisions.join(rv.touched_entities(revisions, gone), "entity_id", "left_semi")
+    entities.update(rv.orphan_entities(theirs, log.read(), gone).select("entity_id"), version, rv.retract)
+
+
+def stream_changes(changes: DataFrame, log: BucketedTable, entities: BucketedTable, revisions, checkpoint: str):
+    """Start the stream that keeps the log and retracts entities; ``revisions`` is a function that reads the current log of
+    revisions. Both tables are versioned by batch id, so a batch that runs again changes nothing."""
+    first = max([*log.versions(), *entities.versions()], default=-1) + 1
+    body = lambda batch, number: change_batch(log, entities, revisions(), batch, first + number)
+    return changes.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_lags(messages: DataFrame, vectors: DataFrame, *, wait: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
+    """(message_id, lag) of two streams: messages (message_id, received_at) meet their vectors (message_id, embedded_at) within
+    ``wait``; a message that gets none is emitted with a null once the watermarks have passed its time. State holds what is
+    younger than that, on both sides. ``models.lag_summary`` sums the rows up."""
+    m = messages.select("message_id", "received_at").withWatermark("received_at", lateness).alias("m")
+    v = vectors.select("message_id", "embedded_at").withWatermark("embedded_at", lateness).alias("v")
+    near = F.expr(f"m.message_id = v.message_id AND v.embedded_at >= m.received_at AND v.embedded_at <= m.received_at + INTERVAL {wait}")
+    return m.join(v, near, "leftOuter").select(F.col("m.message_id").alias("message_id"), (F.unix_timestamp("v.embedded_at") - F.unix_timestamp("m.received_at")).alias("lag"))
+
+
 def extract_batch(batch: DataFrame, classify, extract) -> tuple[DataFrame, DataFrame]:
     """(records, dead letters) of a micro-batch of messages: classified, then only the relevant extracted; a record
     without an action is a dead letter with its reason."""
