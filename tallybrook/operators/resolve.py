@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tallybrook.functions.values import falsy_coalesce
 from tallybrook.operators.components import connected, kept
-from tallybrook.operators.vectors import CANDIDATE_K, CANDIDATE_THRESHOLD, OPEN_K, knn_join, knn_with_fallback, linked, vectors_present
+from tallybrook.operators.vectors import CANDIDATE_K, CANDIDATE_THRESHOLD, OPEN_K, knn_join, knn_with_fallback, linked, vector_present, vectors_present
 
 # Fixed value: the least confidence of a match that is acted on.
 LEAST_CONFIDENCE = 0.6
@@ -23,7 +23,7 @@ def reference_key(records: DataFrame) -> DataFrame:
 
 def open_entities(entities: DataFrame) -> DataFrame:
     """Candidates: live, not closed, with a vector; as (item_id, vector)."""
-    return entities.filter(~F.col("is_deleted") & (F.col("status") != "closed") & F.col("embedding").isNotNull()).select(F.col("entity_id").alias("item_id"), F.col("embedding").alias("vector"))
+    return entities.filter(~F.col("is_deleted") & (F.col("status") != "closed") & vector_present()).select(F.col("entity_id").alias("item_id"), F.col("embedding").alias("vector"))
 
 
 def open_context(messages: DataFrame, entities: DataFrame, k: int = OPEN_K) -> DataFrame:
