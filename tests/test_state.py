@@ -260,3 +260,16 @@ def test_hashed_vectors_count_words(spark):
     got = {r.message_id: list(r.embedding) for r in md.embed_text(rows).collect()}
     assert got["1"] == got["2"] and not any(got["3"]) and not any(got["4"]) and sum(x * x for x in got["1"]) == pytest.approx(1, abs=1e-6)
     assert sorted(x for x in got["1"] if x)[::-1] == pytest.approx([3 / 10**0.5, 1 / 10**0.5], abs=1e-6) and max(got["5"]) == 1.0
+
+
+def test_inverted_lists_search_bounded_groups_whatever_the_input(spark):
+    import random
+
+    random.seed(4)
+    v = spark.createDataFrame([(i, [random.gauss(0, 1) for _ in range(6)]) for i in range(300)], "id long, vector array<float>")
+    q, c = v.filter("id < 40").withColumnRenamed("id", "query_id"), v.withColumnRenamed("id", "item_id")
+    show = lambda f: sorted((r.query_id, r.item_id, r.rank, r.similarity) for r in f.collect())
+    whole = show(vc.ann_join(q, c, 3, lists=4, probes=4, others=True))
+    found = vc.ann_join(q, c, 3, lists=4, probes=4, others=True, block_rows=20, block_queries=7)
+    assert show(found) == whole == show(vc.knn_join(q, c, 3, others=True))
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()  # no row for each pair
