@@ -55,12 +55,20 @@ def get_or_create_dialog(dialogs: DataFrame, asked: DataFrame) -> DataFrame:
     return rows.select("user_id", "space_id", F.coalesce("running_summary", F.lit("")).alias("running_summary"), F.coalesce("recent_turns", F.array().cast("array<struct<role:string,text:string,ts:string>>")).alias("recent_turns"), F.coalesce("turns_count", F.lit(0)).alias("turns_count"))
 
 
-def summarise_turns(summary: Column, turns: Column) -> Column:
-    """Extractive default: the old summary and the first sentence of each evicted turn, repeats left out, the newest
-    ``SUMMARY_LINES`` lines of them."""
-    first = F.transform(turns, lambda t: F.substring(F.trim(F.regexp_extract(F.coalesce(t["text"], F.lit("")), SENTENCE, 1)), 1, LINE_CHARS))
+def summarise_turns(summary: Column, turns: Column, *, most_lines: int | None = SUMMARY_LINES, most_chars: int | None = LINE_CHARS) -> Column:
+    """Extractive default: the old summary and the first sentence of each evicted turn, repeats left out. ``most_lines`` keeps the
+    newest lines only and ``most_chars`` cuts them, as a dialog's memory over many batches needs it; None is no limit."""
+    whole = lambda t: F.trim(F.regexp_extract(F.coalesce(t["text"], F.lit("")), SENTENCE, 1))
+    first = F.transform(turns, whole if most_chars is None else lambda t: F.substring(whole(t), 1, most_chars))
     lines = F.filter(F.array_distinct(F.concat(F.split(F.coalesce(summary, F.lit("")), "\n"), first)), lambda x: x != "")
-    return F.array_join(F.when(F.size(lines) > SUMMARY_LINES, F.slice(lines, -SUMMARY_LINES, SUMMARY_LINES)).otherwise(lines), "\n")
+    if most_lines is not None:
+        lines = F.when(F.size(lines) > most_lines, F.slice(lines, -most_lines, most_lines)).otherwise(lines)
+    return F.array_join(lines, "\n")
+
+
+def whole_turns(summary: Column, turns: Column) -> Column:
+    """``summarise_turns`` with every line whole, for dialogs that are compacted once."""
+    return summarise_turns(summary, turns, most_lines=None, most_chars=None)
 
 
 def summarise_lines(lines: list[str], texts: list[str | None]) -> list[str]:

@@ -95,3 +95,11 @@ def test_lines_of_entities_and_messages(spark):
     assert got[2][0] == "- t [open]" and got[3] == ("- t [closed], 5–? USD", "- t [closed], зарплата 5–? USD")
     said = spark.range(1).select(fv.format_message_line(F.lit(None).cast("string"), day, F.lit("x")).alias("a"), fv.format_message_line(F.lit(""), None, F.lit("x")).alias("b"), fv.format_message_line(F.lit(""), None, F.lit("x"), variant="prompt").alias("c")).first()
     assert tuple(said) == (f"[{fv.NAMELESS_AUTHOR} (2024-05-06 10:00)]: x", f"[{fv.NAMELESS_AUTHOR}]: x", "- unknown: x")
+
+
+def test_a_summary_made_once_has_whole_lines(spark):
+    texts = [f"{i} " + "word " * 80 + "end. More." for i in range(50)]
+    turns = [("user", t, None) for t in texts]
+    frame = spark.createDataFrame([("", turns)], "running_summary string, recent_turns array<struct<role:string,text:string,ts:string>>")
+    got = dl.compact(frame, max_turns=4, keep=2, summarise=dl.whole_turns).first()
+    assert got.running_summary.split("\n") == [t.removesuffix(" More.") for t in texts[:48]] and len(got.recent_turns) == 2
