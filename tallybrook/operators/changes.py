@@ -70,7 +70,7 @@ def write_vectors(stored: DataFrame, messages: DataFrame, embed, model: str) ->
     """Vectors to append: those of messages without one. ``embed`` maps (message_id, text) to (message_id, embedding);
     equal texts are embedded once."""
     missing = messages.select("message_id", "text").join(stored.filter(F.col("model") == model).select("message_id"), "message_id", "left_anti")
-    digest = F.sha2("text", 256)
+    digest = F.coalesce(F.sha2("text", 256), F.lit(""))  # a null text has a vector too
     texts = missing.groupBy(digest.alias("digest")).agg(F.min("text").alias("text"))
     vectors = embed(texts.select(F.col("digest").alias("message_id"), "text")).select(F.col("message_id").alias("digest"), "embedding")
     return missing.select("message_id", digest.alias("digest")).join(vectors, "digest").select("message_id", "embedding", F.lit(model).alias("model"))

@@ -137,3 +137,15 @@ def test_stream_dedup_by_delivery(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("dedup").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.delivery_id for r in spark.table("dedup").collect()) == ["d1", "d2"]
+
+
+def test_messages_are_embedded_by_the_default_embedder_and_null_texts_too(spark, tmp_path):
+    from tallybrook.plans import queries as plans
+
+    rows = [(1, 0, "user", "Looking for a welder, a good one"), (1, 1, "user", "Ищем тимлида"), (2, 0, "user", None), (2, 1, "user", "")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.message_id: r for r in plans.queries()["embed_messages"](spark, str(tmp_path)).collect()}
+    assert set(got) == {"1/0", "1/1", "2/0", "2/1"} and {r.size for r in got.values()} == {64}
+    assert got["2/0"].vector == got["2/1"].vector == "" and len(got["1/1"].vector.split()) == 2
+    bins = [int(p.split(":")[1]) for p in got["1/0"].vector.split()]
+    assert 3 <= len(bins) <= 6 and abs(sum(x * x for x in bins) - 1e8) < 1e5
