@@ -273,3 +273,41 @@ def test_inverted_lists_search_bounded_groups_whatever_the_input(spark):
     found = vc.ann_join(q, c, 3, lists=4, probes=4, others=True, block_rows=20, block_queries=7)
     assert show(found) == whole == show(vc.knn_join(q, c, 3, others=True))
     assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()  # no row for each pair
+
+
+def test_copies_of_a_vector_are_searched_once_and_all_answered(spark):
+    import random
+
+    random.seed(6)
+    kinds = [[random.gauss(0, 1) for _ in range(5)] for _ in range(7)]
+    odd = [(900, None), (901, []), (902, [0.0] * 5), (903, [float("nan")] + [1.0] * 4)]
+    v = spark.createDataFrame([(i, kinds[i * 5 % 7]) for i in range(700)] + odd, "id long, vector array<double>")
+    q, c = v.filter("id % 3 = 0").withColumnRenamed("id", "query_id"), v.withColumnRenamed("id", "item_id")
+    cos = [[sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5 for b in kinds] for a in kinds]
+    for others in (False, True):
+        got = {}
+        for r in vc.knn_join(q, c, 4, others=others, block_rows=3, block_queries=2).collect():
+            got.setdefault(r.query_id, {})[r["rank"]] = r.item_id
+        want = {}
+        for i in range(0, 700, 3):
+            items = sorted((j for j in range(700) if not others or j != i), key=lambda j: (-round(cos[i * 5 % 7][j * 5 % 7], 12), j))
+            want[i] = dict(enumerate(items[:4], 1))
+        assert got == want
+    dealt = vc.knn_join(q, c, 4, block_queries=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in dealt
+
+
+def test_a_search_holds_no_matrix_of_a_whole_group(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    rng, shapes = np.random.default_rng(2), []
+    x, y = rng.normal(size=(500, 4)), rng.normal(size=(90, 4))
+    table = lambda name, rows: pa.table([pa.array(range(len(rows))), pa.array(list(rows))], names=[name, "vector"])
+    whole = vc._nearest(table("item_id", x), table("query_id", y), 3)
+    real, np.partition = np.partition, lambda a, *rest, **more: shapes.append(a.size) or real(a, *rest, **more)
+    try:
+        assert vc._nearest(table("item_id", x), table("query_id", y), 3, cells=2_000).equals(whole)
+    finally:
+        np.partition = real
+    assert max(shapes) <= 2_000
