@@ -311,3 +311,26 @@ def test_a_search_holds_no_matrix_of_a_whole_group(spark):
     finally:
         np.partition = real
     assert max(shapes) <= 2_000
+
+
+def test_links_deal_few_copies_of_rows_and_compare_them_in_pieces(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(5_000, 8))
+    frame = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "item_id long, vector array<double>")
+    left, right = vc._dealt(vc.into_cells(frame, 0.5), vc._LINK_ROWS)
+    assert left.count() + right.count() <= 2 * 5_000
+    some = x[:60] / np.linalg.norm(x[:60], axis=1, keepdims=True)
+    ids = pa.chunked_array([pa.array(range(60))])
+
+    def parts(piece):
+        root = list(range(60))
+        for table in vc._pieces(some, ids, some, ids, 0.6, piece):
+            for a, b in zip(*(table.column(c).to_pylist() for c in ("query_id", "item_id")), strict=True):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+        return root
+
+    assert parts(7) == parts(1_000) and 1 < len(set(parts(7))) < 60
