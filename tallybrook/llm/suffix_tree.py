@@ -11,9 +11,10 @@ unseen word, so each state's probabilities sum to one.  A token is scored from t
 retained state that ends its history.
 
 Counts and states are tables, shares in single precision.  Texts are dealt into groups of some
-4 MB; each group asks for the distinct keys it needs, these are joined to the tables, and the
-answers meet the group's texts again, so a frequent key is asked for once a group and not once
-a token.  Texts travel compressed, answers as arrays of keys and values.  Sent to every
+4 MB; each group asks for the distinct keys it needs, these meet the tables by ranges of keys, and
+the answers, values alone in the order of the keys, meet the group's texts again, which tell the
+keys once more.  So a frequent key is asked for once a group and not once a token.  Texts travel
+compressed, keys as differences of sorted arrays, which take less than six bytes each.  Sent to every
 task are at most ``heads`` frequent words (24 bytes each), 2^22 frequent entries and states a
 level (12 bytes each) and bitmaps of 2^26 bits, for scoring up to 2^28 by the number of entries. These only spare requests: an unset bit proves
 that a sequence is in no table, and whatever is not sent is looked up.
@@ -40,8 +41,9 @@ _FLUSH = 1_000_000
 _BLOCK = 1 << 20
 _GROUP = 4 << 20
 _DISCOUNT = 0.75
-_BITS, _MOST_BITS = 26, 28
+_LEAST_BITS, _BITS, _MOST_BITS = 16, 26, 28
 _ENTRIES = 1 << 22
+_RANGE = 1 << 19
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +79,39 @@ def _find(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(table[at] == values, at, -1)
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """An array's bytes, those of one place of all numbers together, compressed."""
+    return pa.compress(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(packed: pa.Scalar | bytes, n: int, kind: type) -> np.ndarray:
+    """The array of ``n`` numbers that ``_pack`` was given."""
+    width = np.dtype(kind).itemsize
+    flat = np.frombuffer(pa.decompress(packed if isinstance(packed, bytes) else packed.as_buffer(), decompressed_size=n * width, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(flat.reshape(width, n).T).view(kind).ravel()
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Keys in order, as differences."""
+    return _pack(np.diff(keys, prepend=np.zeros(1, np.uint64)))
+
+
+def _unpack_keys(packed: pa.Scalar | bytes, n: int) -> np.ndarray:
+    return np.cumsum(_unpack(packed, n, np.uint64), dtype=np.uint64)
+
+
+def _ranges(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of keys in order: the ranges (the first ``bits`` bits) that have any, and where they begin and the last ends."""
+    at = (keys >> np.uint64(64 - bits)).astype(np.int32)
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
+    return at[first], np.append(first, len(keys))
+
+
+def _range_bits(rows: int) -> int:
+    """Bits that part so many keys into ranges of some ``_RANGE`` each."""
+    return max(3, min(24, (rows // _RANGE).bit_length()))
+
+
 class Lookup:
     """A table of sorted keys and their values. 2^22 flags tell most absent keys without a search."""
 
@@ -125,6 +160,17 @@ class Heads:
     rests: tuple[np.ndarray, np.ndarray]
     bits: np.ndarray
 
+    def __getstate__(self) -> dict:
+        """Packed, as a broadcast is a file on the driver's disk and every executor's."""
+        keys, values = lambda x: (len(x), _pack_keys(x)), lambda x: (len(x), x.dtype, _pack(x))
+        pairs = {name: (keys(k), values(v)) for name in ("gains", "rests") for k, v in [getattr(self, name)]}
+        return self.__dict__ | pairs | {"words": keys(self.words)} | {name: values(getattr(self, name)) for name in ("counts", "rest", "bits")}
+
+    def __setstate__(self, state: dict) -> None:
+        keys, values = lambda x: _unpack_keys(x[1], x[0]), lambda x: _unpack(x[2], x[0], x[1])
+        pairs = {name: (keys(k), values(v)) for name in ("gains", "rests") for k, v in [state[name]]}
+        self.__dict__ |= state | pairs | {"words": keys(state["words"])} | {name: values(state[name]) for name in ("counts", "rest", "bits")}
+
 
 @dataclass
 class Tree:
@@ -136,11 +182,9 @@ class Tree:
     rests: DataFrame
 
 
-def _counted(rows: DataFrame, make: Callable, names: list[str]) -> DataFrame:
-    """Sum of counts by the named key columns; ``make`` gives a block's identities and key columns. Counts are combined
-    in each task first."""
-    schema = "".join(f"{n} long, " for n in names) + "c long"
-    flush = _FLUSH // len(names)
+def _combined(make: Callable, out: Callable, flush: int) -> Callable:
+    """A task that counts what ``make`` gives of each block, identities and key columns, and puts out parts by ``out``: the
+    identities in order, the key columns, the counts."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = []
@@ -151,9 +195,6 @@ def _counted(rows: DataFrame, make: Callable, names: list[str]) -> DataFrame:
             ident, first, at = np.unique(columns[0], return_index=True, return_inverse=True)
             return [ident, *(c[first] for c in columns[1:-1]), np.bincount(at, weights=columns[-1], minlength=len(ident)).astype(np.int64)]
 
-        def out(part: list[np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in part[1:-1]), pa.array(part[-1])], names=[*names, "c"])
-
         for block in blocks(batches, "text", _BLOCK):
             ident, *columns = make(*tokens(block.column("text")))
             ident, first, counts = np.unique(ident, return_index=True, return_counts=True)
@@ -168,13 +209,50 @@ def _counted(rows: DataFrame, make: Callable, names: list[str]) -> DataFrame:
         if parts:
             yield out(merged())
 
-    return rows.mapInArrow(task, schema).groupBy(*names).agg(F.sum("c").alias("c"))
+    return task
+
+
+def _counted(rows: DataFrame, make: Callable, names: list[str], by: str) -> DataFrame:
+    """Sum of counts by the named key columns, partitioned by one of them; ``make`` gives a block's identities and key columns.
+    Counts are combined in each task first."""
+    schema = "".join(f"{n} long, " for n in names) + "c long"
+
+    def out(part: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in part[1:-1]), pa.array(part[-1])], names=[*names, "c"])
+
+    return rows.mapInArrow(_combined(make, out, _FLUSH // len(names)), schema).repartition(by).groupBy(*names).agg(F.sum("c").alias("c"))
+
+
+def _often(rows: DataFrame, make: Callable, support: int, expected: int) -> DataFrame:
+    """The keys (k) that ``make`` gives at least ``support`` times. Keys travel in packed parts by ranges, and a range's parts are
+    counted together; ``expected`` bounds the number of keys, of which a range has some ``_RANGE``."""
+    bits = _range_bits(expected)
+
+    def out(part: list[np.ndarray]) -> pa.RecordBatch:
+        keys, counts = part[0], np.minimum(part[-1], support).astype(np.int32)
+        at, cuts = _ranges(keys, bits)
+        spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+        columns = [pa.array(at), pa.array(np.diff(cuts)), pa.array([_pack_keys(keys[a:b]) for a, b in spans], pa.binary()), pa.array([_pack(counts[a:b]) for a, b in spans], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["b", "n", "k", "c"])
+
+    def merge(parts: pa.Table) -> pa.Table:
+        n = parts.column("n").to_pylist()
+        keys = np.concatenate([_unpack_keys(x, m) for x, m in zip(parts.column("k"), n, strict=True)])
+        counts = np.concatenate([_unpack(x, m, np.int32) for x, m in zip(parts.column("c"), n, strict=True)])
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        met = np.add.reduceat(counts.astype(np.int64), first)
+        return pa.table([pa.array(keys[first[met >= support]].view(np.int64))], names=["k"])
+
+    return rows.mapInArrow(_combined(make, out, _FLUSH), "b int, n long, k binary, c binary").groupBy("b").applyInArrow(merge, "k long")
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the key of the sequence in place of its suffix."""
     for b in batches:
         k = joined(*(b.column(c).to_numpy().view(np.uint64) for c in "xs"))
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(k.view(np.int64))], names=[*b.schema.names, "k"])
+        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), *(b.column(c) for c in ("x", "c", "n", "below"))], names=["k", "x", "c", "n", "below"])
 
 
 def grow(docs: DataFrame, *, text_col: str = "text", heads: int = 1 << 22, depth: int = 2, support: int = 2) -> tuple[Tree, DataFrame]:
@@ -182,15 +260,18 @@ def grow(docs: DataFrame, *, text_col: str = "text", heads: int = 1 << 22, depth
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(docs[text_col].alias("text"))
-    counts = stored(_counted(rows, lambda h, _: (h, h), ["k"]), "words")
+    counts = stored(_counted(rows, lambda h, _: (h, h), ["k"], "k"), "words")
     stats = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = int(stats.n), int(stats.v)
     none = spark.createDataFrame([], "k long, v float, c long")
     gains, rests, word_rests = none, none, none
     entries = counts.filter(F.col("c") >= support).withColumn("p", (F.col("c") + 1) / F.lit(float(total + distinct + 1)))
     made: list[str] = []
+    used: list[str] = []
+    between: list[DataFrame] = []
     for words in range(2, depth + 2):
         seen = spark.sparkContext.broadcast(bitmap(entries))  # 8 MB, as is the next one
+        sent = [seen]
 
         def grams(hashes: np.ndarray, edges: np.ndarray, words: int = words, seen=seen) -> tuple[np.ndarray, ...]:
             *_, (keys, _), (ident, there) = sequences(hashes, edges, words)
@@ -198,23 +279,25 @@ def grow(docs: DataFrame, *, text_col: str = "text", heads: int = 1 << 22, depth
             asked = there[1:] & _maybe(seen.value, keys[:-1]) & _maybe(seen.value, keys[1:])
             return ident[1:][asked], keys[:-1][asked], keys[1:][asked]
 
-        if words == 2:  # nearly as many as there are tokens: count bare keys first, and go on with those of support
+        def bare(hashes: np.ndarray, edges: np.ndarray, grams=grams) -> tuple[np.ndarray, ...]:
+            return (grams(hashes, edges)[0],) * 2
 
-            def pairs(hashes: np.ndarray, edges: np.ndarray, grams=grams) -> tuple[np.ndarray, ...]:
-                return (grams(hashes, edges)[0],) * 2
-
-            often = spark.sparkContext.broadcast(bitmap(_counted(rows, pairs, ["k"]).filter(F.col("c") >= support)))
-            release(spark)
+        # most are met once: bare keys, which are packed, are counted first, and those of support go on
+        often = spark.sparkContext.broadcast(bitmap(_often(rows, bare, support, total)))
+        sent.append(often)
+        release(spark)
 
-            def grams(hashes: np.ndarray, edges: np.ndarray, often=often) -> tuple[np.ndarray, ...]:
-                (keys, _), (ident, there) = sequences(hashes, edges, 2)
-                asked = there[1:] & _maybe(often.value, ident[1:])
-                return ident[1:][asked], keys[:-1][asked], keys[1:][asked]
+        def grams(hashes: np.ndarray, edges: np.ndarray, grams=grams, often=often) -> tuple[np.ndarray, ...]:
+            columns = grams(hashes, edges)
+            asked = _maybe(often.value, columns[0])
+            return tuple(x[asked] for x in columns)
 
-        found = _counted(rows, grams, ["x", "s"]).filter(F.col("c") >= support).mapInArrow(_keyed, "x long, s long, c long, k long")
+        found = _counted(rows, grams, ["x", "s"], "s").filter(F.col("c") >= support)  # partitioned as the next join needs it
         contexts = entries.select(F.col("k").alias("x"), F.col("c").alias("n"))
         suffixes = entries.select(F.col("k").alias("s"), F.col("p").alias("below"))
-        level = stored(found.join(suffixes, "s").join(contexts, "x").select("k", "x", "c", "n", "below"), "level", made)
+        level = stored(found.join(suffixes, "s").join(contexts, "x").mapInArrow(_keyed, "k long, x long, c long, n long, below double"), "level", made)
+        for one in sent:  # a broadcast is a file in every executor
+            one.destroy()
         release(spark)
         if level.isEmpty():
             break
@@ -225,16 +308,24 @@ def grow(docs: DataFrame, *, text_col: str = "text", heads: int = 1 << 22, depth
         gain = (F.col("c") - _DISCOUNT) / F.col("n")
         last = words == depth + 1
         kept = level.join(states.drop("n"), "x", "inner" if last else "left")
-        entries = stored(kept.select("k", "c", F.coalesce(gain + F.col("v") * F.col("below"), "below").alias("p"), F.when(F.col("v").isNotNull(), gain).alias("gain")), "entries")
-        gains = gains.unionByName(entries.filter("gain IS NOT NULL").select("k", F.col("gain").cast("float").alias("v"), "c"))
+        share = [] if last else [F.coalesce(gain + F.col("v") * F.col("below"), "below").alias("p")]
+        entries = stored(kept.select("k", F.when(F.col("v").isNotNull(), gain).cast("float").alias("v"), "c", *share), "entries", used)
+        discard(spark, made)
+        if last:
+            gains = gains.unionByName(entries)
+            used.pop()
+        else:
+            between.append(entries)
+    for entries in between:  # without the shares that the next level needed
+        gains = gains.unionByName(stored(entries.filter("v IS NOT NULL").select("k", "v", "c"), "gains"))
+    discard(spark, [*made, *used])
     frequent = counts.filter(F.col("c") * heads >= total).join(word_rests.drop("c"), "k", "left").select("k", "c", F.coalesce("v", F.lit(1.0)).alias("v")).toArrow()  # at most ``heads`` rows
     signed = frequent.column("k").to_numpy().view(np.uint64)
     order = np.argsort(signed)
-    discard(spark, made)
     release(spark)
     known = signed[order], frequent.column("c").to_numpy()[order], frequent.column("v").to_numpy()[order]
     rare = gains.union(rests).filter(_rare(total))
-    bits = bitmap(rare, min(_MOST_BITS, max(_BITS, (8 * rare.count()).bit_length())))
+    bits = bitmap(rare, min(_MOST_BITS, max(_LEAST_BITS, (8 * rare.count()).bit_length())))
     return Tree(Heads(total, distinct, depth, *known, _frequent(gains, total), _frequent(rests, total), bits), gains, rests), counts
 
 
@@ -281,29 +372,64 @@ def _opened(packed: pa.Scalar) -> pa.RecordBatch:
     return pa.ipc.open_stream(packed.as_buffer()).read_next_batch()
 
 
-def _boxed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Answers (g, kind, k, v) of one group and kind as two arrays: keys of 64 bits and values of 32, integers for words."""
-    parts: list[pa.RecordBatch] = []
-    size = 0
+def _boxed(bits: int) -> Callable:
+    """A task that packs table rows (kind, k, v) by range of keys and kind: (b, kind, n, k, v), values of 32 bits, integers for words."""
 
-    def out() -> pa.RecordBatch:
-        g, kind, k, v = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("g", "kind", "k", "v"))
-        order = np.lexsort((kind, g))
-        g, kind, k, v = g[order], kind[order], k[order], v[order]
-        first = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (kind[1:] != kind[:-1])))
-        cuts = np.append(first, len(g)).astype(np.int32)
-        values = np.where(kind == 0, v.astype(np.int32), v.astype(np.float32).view(np.int32))
-        boxes = [pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(cuts * np.int32(x.itemsize)), pa.py_buffer(x)]) for x in (k, values)]
-        return pa.RecordBatch.from_arrays([pa.array(g[first]), pa.array(kind[first]), *boxes], names=["g", "kind", "k", "v"])
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            kind, k, v = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("kind", "k", "v"))
+            for which in np.unique(kind):
+                keys, values = k[kind == which].view(np.uint64), v[kind == which].astype(np.float32 if which else np.int32)
+                order = np.argsort(keys)
+                keys, values = keys[order], values[order]
+                at, cuts = _ranges(keys, bits)
+                spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+                columns = [pa.array(at), pa.array(np.full(len(at), which, np.int32)), pa.array(np.diff(cuts)), pa.array([_pack_keys(keys[a:b]) for a, b in spans], pa.binary()), pa.array([_pack(values[a:b]) for a, b in spans], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["b", "kind", "n", "k", "v"])
 
-    for batch in batches:
-        parts.append(batch)
-        size += batch.num_rows
-        if size >= _FLUSH:
-            yield out()
-            parts, size = [], 0
-    if size:
-        yield out()
+        size = 0
+        for batch in batches:
+            parts.append(batch)
+            size += batch.num_rows
+            if size >= _FLUSH:
+                yield from out()
+                parts, size = [], 0
+        if size:
+            yield from out()
+
+    return task
+
+
+def _met(asked: pa.Table, tables: pa.Table) -> pa.Table:
+    """Of each request (b, g, n, k) for keys of one range, the values of the three kinds (g, b, n, v0, v1, v2) in the order of the
+    keys, 0 for keys that a table doesn't have; no table has a 0."""
+    kinds = []
+    for which in range(3):
+        mine = tables.filter(pc.equal(tables.column("kind"), which))
+        n = mine.column("n").to_pylist()
+        k = np.concatenate([np.zeros(0, np.uint64), *(_unpack_keys(x, m) for x, m in zip(mine.column("k"), n, strict=True))])
+        kind = np.float32 if which else np.int32
+        v = np.concatenate([np.zeros(0, kind), *(_unpack(x, m, kind) for x, m in zip(mine.column("v"), n, strict=True))])
+        order = np.argsort(k)
+        kinds.append((k[order], v[order]))
+    values: list[list[bytes]] = [[], [], []]
+    for packed, n in zip(asked.column("k"), asked.column("n").to_pylist(), strict=True):
+        keys = _unpack_keys(packed, n)
+        for (k, v), to in zip(kinds, values, strict=True):
+            at = _find(k, keys)
+            to.append(_pack(np.where(at >= 0, v[at], v.dtype.type(0)) if len(k) else np.zeros(n, v.dtype)))
+    return pa.table([asked.column("g"), asked.column("b"), asked.column("n"), *(pa.array(x, pa.binary()) for x in values)], names=["g", "b", "n", "v0", "v1", "v2"])
+
+
+def _wanted(model: Heads, hashes: np.ndarray, edges: np.ndarray) -> list[np.ndarray]:
+    """The keys that a block's scores need and that aren't known to every task."""
+    parts = [np.unique(hashes[_find(model.words, hashes) < 0] if len(model.words) < model.distinct else hashes[:0])]
+    for n, (keys, there) in enumerate(sequences(hashes, edges, model.depth + 1), 1):
+        if n > 1:
+            parts.append(np.unique(keys[there & _maybe(model.bits, keys)]))
+    return parts
 
 
 def score(docs: DataFrame, tree: Tree, counts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -323,13 +449,19 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, *, id_col: str = "doc_
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     dealt = stored(_dealt(rows, limit), "dealt")
 
+    gains, rests = (t.filter(_rare(heads.total)) for t in (tree.gains, tree.rests))
+    words = counts.filter(F.lit(len(heads.words) < heads.distinct))  # every task may know them all
+    bits = _range_bits((heads.distinct if len(heads.words) < heads.distinct else 0) + gains.count() + rests.count())
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = send.value
         group, parts = None, []
 
         def request() -> pa.RecordBatch:
             keys = np.unique(np.concatenate(parts))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), group)), pa.array(keys.view(np.int64))], names=["g", "k"])
+            at, cuts = _ranges(keys, bits)
+            packed = [_pack_keys(keys[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(at), group)), pa.array(np.diff(cuts)), pa.array(packed, pa.binary())], names=["b", "g", "n", "k"])
 
         for batch in batches:
             for g, packed in zip(batch.column("g").to_pylist(), batch.column("block"), strict=True):
@@ -337,29 +469,23 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, *, id_col: str = "doc_
                     yield request()
                     parts = []
                 group = g
-                hashes, edges = tokens(_opened(packed).column("text"))
-                parts.append(np.unique(hashes[_find(model.words, hashes) < 0]))
-                for n, (keys, there) in enumerate(sequences(hashes, edges, model.depth + 1), 1):
-                    if n > 1:
-                        parts.append(np.unique(keys[there & _maybe(model.bits, keys)]))
+                parts += _wanted(model, *tokens(_opened(packed).column("text")))
         if group is not None:
             yield request()
 
     def answer(texts: pa.Table, found: pa.Table) -> pa.Table:
         model = send.value
-        tables = []
-        for which in range(3):
-            mine = found.filter(pc.equal(found.column("kind"), which))
-            k, v = (b"".join(mine.column(c).to_pylist()) for c in "kv")
-            keys = np.frombuffer(k, np.uint64)
-            order = np.argsort(keys)
-            tables.append(Lookup(keys[order], np.frombuffer(v, np.float32 if which else np.int32)[order]))
-        words, gains, rests = tables
+        opened = [(block.column("id"), *tokens(block.column("text"))) for block in map(_opened, texts.column("block"))]
+        asked = np.unique(np.concatenate([x for _, hashes, edges in opened for x in _wanted(model, hashes, edges)])) if opened else np.zeros(0, np.uint64)
+        found = found.sort_by("b")
+        n = found.column("n").to_pylist()
+        words, gains, rests = (
+            Lookup(asked, np.concatenate([np.zeros(0, kind), *(_unpack(x, m, kind) for x, m in zip(found.column(c), n, strict=True))])) for c, kind in (("v0", np.int32), ("v1", np.float32), ("v2", np.float32))
+        )
+        rests.column[rests.column == 0] = 1.0  # what isn't found leaves all to its suffix
         often, left = Lookup(*model.gains), Lookup(*model.rests)
         out = []
-        for packed in texts.column("block"):
-            block = _opened(packed)
-            hashes, edges = tokens(block.column("text"))
+        for ids, hashes, edges in opened:
             head = _find(model.words, hashes)
             c = words.get(hashes, 0.0)
             if len(model.words):
@@ -374,15 +500,16 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, *, id_col: str = "doc_
                 if n == 1 and len(model.words):
                     rest = np.where(head >= 0, model.rest[head], rest)
             sums = [np.add.reduceat(x, edges[:-1]) for x in (c > 0, np.log10(base), np.log10(prob))]  # every row has its end
-            out.append(pa.RecordBatch.from_arrays([block.column("id"), pa.array(np.diff(edges)), pa.array(sums[0].astype(np.int64)), *map(pa.array, sums[1:])], names=["id", "n_tokens", "n_known", "base_score", "score"]))
+            out.append(pa.RecordBatch.from_arrays([ids, pa.array(np.diff(edges)), pa.array(sums[0].astype(np.int64)), *map(pa.array, sums[1:])], names=["id", "n_tokens", "n_known", "base_score", "score"]))
         return pa.Table.from_batches(out)
 
-    asked = dealt.mapInArrow(ask, "g long, k long")
-    table = counts.select("k", F.lit(0).cast("byte").alias("kind"), F.col("c").cast("double").alias("v"))
-    for kind, part in enumerate((tree.gains, tree.rests), 1):
-        table = table.union(part.filter(_rare(heads.total)).select("k", F.lit(kind).cast("byte"), "v"))
-    found = asked.join(table, "k").select("g", F.col("kind").cast("int").alias("kind"), "k", "v")
-    found = found.mapInArrow(_boxed, "g long, kind int, k binary, v binary")
+    table = words.select(F.lit(0).cast("byte").alias("kind"), "k", F.col("c").cast("double").alias("v"))
+    for kind, part in enumerate((gains, rests), 1):
+        table = table.union(part.select(F.lit(kind).cast("byte"), "k", "v"))
+    table = table.mapInArrow(_boxed(bits), "b int, kind int, n long, k binary, v binary")
+    asked = dealt.mapInArrow(ask, "b int, g long, n long, k binary")
+    found = stored(asked.groupBy("b").cogroup(table.groupBy("b")).applyInArrow(_met, "g long, b int, n long, v0 binary, v1 binary, v2 binary"), "answers")
+    release(docs.sparkSession)  # requests and tables needn't stay while scores are made
     kind = rows.schema["id"].dataType.simpleString()
     scored = dealt.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(answer, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(heads.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -432,3 +432,26 @@ def test_splices(chunk, overlap):
 
 def test_digest_of_spans():
     assert pii.digest("") == hashlib.sha256(b"").hexdigest()
+
+
+def test_the_suffix_tree_leaves_no_broadcast_or_level_and_sends_its_heads_packed(spark, docs, monkeypatch):
+    import os
+    import pickle
+
+    import numpy as np
+
+    sent, made = [], []
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value, old=type(spark.sparkContext).broadcast: sent.append(old(self, value)) or sent[-1])
+    monkeypatch.setattr(suffix_tree, "stored", lambda frame, name, paths=None, old=suffix_tree.stored: made.append((name, old(frame, name, paths))) or made[-1][1])
+    heads = suffix_tree.grow(docs)[0].heads
+    assert len(sent) >= 4 and not any(os.path.exists(x._path) for x in sent)
+    assert not any(os.path.exists(f.removeprefix("file:")) for name, frame in made if name == "level" for f in frame.inputFiles())
+    heads.words, heads.counts = np.sort(np.arange(50_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.arange(50_000)
+    heads.rest = np.ones(50_000)
+    data = pickle.dumps(heads)
+    again = pickle.loads(data)
+    assert len(data) < 12 * 50_000 + len(heads.bits) * 8
+    for name in ("words", "counts", "rest", "bits"):
+        assert (getattr(again, name) == getattr(heads, name)).all() and getattr(again, name).dtype == getattr(heads, name).dtype
+    for name in ("gains", "rests"):
+        assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(getattr(again, name), getattr(heads, name), strict=True))
