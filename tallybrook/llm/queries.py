@@ -56,7 +56,7 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     tree, counts = suffix_tree.grow(docs.filter(~fold("doc_id", 7, 2)))
-    found = suffix_tree.score(docs, tree, counts)
+    found = suffix_tree.score(docs, tree, counts, spend=True)
     return found.withColumn("held_out", fold("doc_id", 7, 2)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

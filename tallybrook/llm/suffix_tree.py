@@ -175,11 +175,12 @@ class Heads:
 @dataclass
 class Tree:
     """The model: ``heads``; tables (k, v, c) of entries with what they gain over the suffix state, and of states with
-    the share they leave to it; c is the count."""
+    the share they leave to it; c is the count. ``paths``: the folders of these tables and of the words."""
 
     heads: Heads
     gains: DataFrame
     rests: DataFrame
+    paths: list[str]
 
 
 def _combined(make: Callable, out: Callable, flush: int) -> Callable:
@@ -260,7 +261,8 @@ def grow(docs: DataFrame, *, text_col: str = "text", heads: int = 1 << 22, depth
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(docs[text_col].alias("text"))
-    counts = stored(_counted(rows, lambda h, _: (h, h), ["k"], "k"), "words")
+    tables: list[str] = []
+    counts = stored(_counted(rows, lambda h, _: (h, h), ["k"], "k"), "words", tables)
     stats = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = int(stats.n), int(stats.v)
     none = spark.createDataFrame([], "k long, v float, c long")
@@ -301,7 +303,7 @@ def grow(docs: DataFrame, *, text_col: str = "text", heads: int = 1 << 22, depth
         release(spark)
         if level.isEmpty():
             break
-        states = stored(_states(level, total), "states")
+        states = stored(_states(level, total), "states", tables)
         rests = rests.unionByName(states.select(F.col("x").alias("k"), F.col("v").cast("float").alias("v"), F.col("n").alias("c")))
         if words == 2:
             word_rests = rests
@@ -313,11 +315,11 @@ def grow(docs: DataFrame, *, text_col: str = "text", heads: int = 1 << 22, depth
         discard(spark, made)
         if last:
             gains = gains.unionByName(entries)
-            used.pop()
+            tables.append(used.pop())
         else:
             between.append(entries)
     for entries in between:  # without the shares that the next level needed
-        gains = gains.unionByName(stored(entries.filter("v IS NOT NULL").select("k", "v", "c"), "gains"))
+        gains = gains.unionByName(stored(entries.filter("v IS NOT NULL").select("k", "v", "c"), "gains", tables))
     discard(spark, [*made, *used])
     frequent = counts.filter(F.col("c") * heads >= total).join(word_rests.drop("c"), "k", "left").select("k", "c", F.coalesce("v", F.lit(1.0)).alias("v")).toArrow()  # at most ``heads`` rows
     signed = frequent.column("k").to_numpy().view(np.uint64)
@@ -326,7 +328,7 @@ def grow(docs: DataFrame, *, text_col: str = "text", heads: int = 1 << 22, depth
     known = signed[order], frequent.column("c").to_numpy()[order], frequent.column("v").to_numpy()[order]
     rare = gains.union(rests).filter(_rare(total))
     bits = bitmap(rare, min(_MOST_BITS, max(_LEAST_BITS, (8 * rare.count()).bit_length())))
-    return Tree(Heads(total, distinct, depth, *known, _frequent(gains, total), _frequent(rests, total), bits), gains, rests), counts
+    return Tree(Heads(total, distinct, depth, *known, _frequent(gains, total), _frequent(rests, total), bits), gains, rests, tables), counts
 
 
 def _rare(total: int) -> Column:
@@ -432,14 +434,15 @@ def _wanted(model: Heads, hashes: np.ndarray, edges: np.ndarray) -> list[np.ndar
     return parts
 
 
-def score(docs: DataFrame, tree: Tree, counts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, tree: Tree, counts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", spend: bool = False) -> DataFrame:
     """Per row: id, n_tokens (words and one end), n_known (in training), train_tokens, base_score (add-one
     unigrams) and score (the tree), both log10 of the text's probability.
 
     A null or empty text is one end token. Rows are kept as they are, repeated ones and null ids too; other columns
     are not read; an empty table gives no rows. Without training texts every token is unseen. A text is scored whole,
     in memory of some twenty times its size. Texts are dealt once, into a stored table that both the requests and the
-    scores are made from, so it doesn't matter in which order ``docs`` comes when it is read again.
+    scores are made from, so it doesn't matter in which order ``docs`` comes when it is read again. With ``spend`` the tree's tables are removed
+    once all requests are answered; the tree and the counts can't be used again then.
     """
     heads = tree.heads
     small_batches(docs.sparkSession)
@@ -509,6 +512,8 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, *, id_col: str = "doc_
     table = table.mapInArrow(_boxed(bits), "b int, kind int, n long, k binary, v binary")
     asked = dealt.mapInArrow(ask, "b int, g long, n long, k binary")
     found = stored(asked.groupBy("b").cogroup(table.groupBy("b")).applyInArrow(_met, "g long, b int, n long, v0 binary, v1 binary, v2 binary"), "answers")
+    if spend:
+        discard(docs.sparkSession, tree.paths)
     release(docs.sparkSession)  # requests and tables needn't stay while scores are made
     kind = rows.schema["id"].dataType.simpleString()
     scored = dealt.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(answer, f"id {kind}, n_tokens long, n_known long, base_score double, score double")

@@ -455,3 +455,16 @@ def test_the_suffix_tree_leaves_no_broadcast_or_level_and_sends_its_heads_packed
         assert (getattr(again, name) == getattr(heads, name)).all() and getattr(again, name).dtype == getattr(heads, name).dtype
     for name in ("gains", "rests"):
         assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(getattr(again, name), getattr(heads, name), strict=True))
+
+
+def test_a_spent_tree_has_left_no_tables_and_the_same_scores(spark, docs):
+    import os
+
+    tree, counts = suffix_tree.grow(docs)
+    there = lambda: [os.path.exists(p.removeprefix("file:")) for p in tree.paths]
+    whole = rows_of(suffix_tree.score(docs, tree, counts))
+    assert len(tree.paths) > 2 and all(there())
+    paths = list(tree.paths)
+    spent = suffix_tree.score(docs, tree, counts, spend=True)
+    assert not any(os.path.exists(p.removeprefix("file:")) for p in paths)
+    assert rows_of(spent) == whole
