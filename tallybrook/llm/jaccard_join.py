@@ -26,7 +26,7 @@ pairs of groups whose members drifted apart.  Every link between classes is chec
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallybrook.llm.components import connected
+from tallybrook.llm.packed import bitmap, bits_for, maybe, tallied
 from tallybrook.llm.text import WHITE, blocks, buffer_of, discard, lower_ascii, mix, release, small_batches, stored, word_hashes, word_spans
 
 _RATIO = 1.5
@@ -132,39 +133,41 @@ def _sketches(rows: DataFrame, kind: str, width: int) -> DataFrame:
     return rows.mapInArrow(task, f"id {kind}, n long, h1 long, h2 long")
 
 
-def _signed(rows: DataFrame, percent: int, width: int) -> DataFrame:
-    """(id, sig): every signature of every document; the lowest four bits of one tell its band, modulo 16."""
+def _signatures(percent: int, width: int, one_of: Callable) -> Callable:
+    """Of batches (id, text): by block, ids and signatures of the texts whose id's hash passes ``one_of``; the lowest four bits
+    of a signature tell its band, modulo 16."""
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         bands = Bands(percent)
         for block in blocks(batches, "text"):
-            ids, sigs = [], []
+            block = block.filter(pa.array(one_of(mix(block.column("id").to_numpy().view(np.uint64)))))
+            ids, sigs = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             for key, tokens in zip(block.column("id").to_pylist(), token_sets(block.column("text"), width), strict=True):
                 for band in bands.of(len(tokens)) if len(tokens) else ():
-                    s = signatures(tokens, band, *bands.shape(band)) & ~np.uint64(15) | np.uint64(band & 15)
-                    ids.append(np.full(len(s), key))
-                    sigs.append(s.view(np.int64))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(sigs))], names=["id", "sig"])
+                    sigs.append(signatures(tokens, band, *bands.shape(band)) & ~np.uint64(15) | np.uint64(band & 15))
+                    ids.append(np.full(len(sigs[-1]), key))
+            yield np.concatenate(ids), np.concatenate(sigs)
 
-    return rows.filter("id is not null").select("id", "text").mapInArrow(task, "id long, sig long")
+    return made
 
 
 def _allotted(classes: DataFrame, percent: int) -> DataFrame:
-    """(id, n, band, spare) of each class and band of its size: how many more signatures than its segments it must use."""
+    """(id, n, band, spare, most) of each class and band of its size: how many more signatures than its segments it must use, and
+    how many signatures it has at most."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for batch in batches:
-            out: list[tuple[int, int, int, int]] = []
+            out: list[tuple[int, ...]] = []
             for key, n in zip(batch.column("rep").to_pylist(), batch.column("n").to_pylist(), strict=True):
                 for band in bands.of(n):
                     segments, deletion = bands.shape(band)
-                    out.append((key, n, band & 15, 0 if deletion else bands.most_apart(n) + 1 - segments))
-            a = np.array(out, dtype=np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1]), pa.array(a[:, 2].astype(np.int32)), pa.array(a[:, 3].astype(np.int32))], names=["id", "n", "band", "spare"])
+                    out.append((key, n, band & 15, 0 if deletion else bands.most_apart(n) + 1 - segments, segments + n * deletion))
+            a = np.array(out, dtype=np.int64).reshape(-1, 5)
+            kinds = {"id": np.int64, "n": np.int64, "band": np.int32, "spare": np.int32, "most": np.int64}
+            yield pa.RecordBatch.from_arrays([pa.array(a[:, i].astype(kind)) for i, kind in enumerate(kinds.values())], names=list(kinds))
 
-    return classes.select("rep", "n").mapInArrow(task, "id long, n long, band int, spare int")
+    return classes.select("rep", "n").mapInArrow(task, "id long, n long, band int, spare int, most long")
 
 
 def word_set(text: str, width: int) -> set:
@@ -237,7 +240,7 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     set and links with nothing; a null id gets a null component and links with nothing.  Columns other than the two
     are not read.  An empty table gives no rows.
     """
-    spark, made = docs.sparkSession, []
+    spark, made, passed = docs.sparkSession, [], []
     small_batches(spark)
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     sketch = stored(_sketches(rows, "long", width), "sketches")
@@ -250,24 +253,43 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     classes = stored(classes, "classes")  # read twice; and joined rows of one large class can then be split
     named = sketch.select("id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
 
-    signed = _signed(rows, percent, width)  # made twice: cheaper than to write and read it
-    shared = stored(signed.groupBy("sig").agg(F.count("*").cast("int").alias("c")).filter("c > 1"), "shared", made)
+    # one text of each class is signed: an unset bit proves that an id stands for none, and the join with the allotment drops what else passes
+    spread = spark.sparkContext.broadcast(bitmap(classes.select(F.col("rep").alias("k")), bits_for(classes.count()), hashed=False))
+    allotted = _allotted(classes, percent)
+    expected = allotted.agg(F.coalesce(F.sum("most"), F.lit(0))).first()[0]
+    read = rows.filter("id is not null").select("id", "text")
+
+    def sigs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray]]:
+        return ((s,) for _, s in _signatures(percent, width, lambda h: maybe(spread.value, h))(batches))
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, s in _signatures(percent, width, lambda h: maybe(spread.value, h))(batches):
+            met = maybe(common.value, s)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[met]), pa.array(s[met].view(np.int64))], names=["id", "sig"])
+
+    # made twice: cheaper than to write and read it; first bare signatures, which are packed, then those that aren't proven to be met once
+    shared = stored(tallied(read, sigs, 2, expected).select(F.col("k").alias("sig"), F.col("c").cast("int")), "shared", passed)
     release(spark)
+    common = spark.sparkContext.broadcast(bitmap(shared.select(F.col("sig").alias("k")), bits_for(shared.count())))
     own = Window.partitionBy("id", "band")
     chosen = (
-        signed.join(shared, "sig")
+        read.mapInArrow(signed, "id long, sig long")
+        .join(shared, "sig")
         .withColumn("band", F.col("sig").bitwiseAND(15).cast("int"))
-        .join(_allotted(classes, percent), ["id", "band"])
+        .join(allotted.drop("most"), ["id", "band"])
         .withColumn("rank", F.row_number().over(own.orderBy("c", "sig")))
         .withColumn("met", F.count("*").over(own))
         .filter("spare + met > 0")
         .select("id", F.col("band").alias("w"), "n", "sig", (F.col("rank") <= F.col("spare") + F.col("met")).alias("chosen"))
     )
-    met = stored(chosen, "met", made)
+    met = stored(chosen, "met", passed)
+    for sent in (spread, common):
+        sent.destroy()
     release(spark)
     probes = met.filter("chosen").select("id", "w", "n", "sig")
     busy = probes.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo != hi").select("sig")
     probes = stored(probes.join(busy, "sig", "left_semi"), "probes", made)
+    discard(spark, passed)
     wanted = probes.select("id").distinct()
     texts = stored(rows.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts", made)
 
@@ -310,8 +332,11 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     before = F.collect_list("sig").over(Window.partitionBy("id", "w").orderBy("sig").rowsBetween(Window.unboundedPreceding, -1))
     left = now.drop("n").join(open_, "sig", "left_semi").join(marks, ["id", "w"]).select("sig", "id", "n", "comp", "mark", before.alias("before"))
     left = stored(left, "left", made)
-    right = left.select("sig", F.col("id").alias("other"), F.col("n").alias("m"), F.col("comp").alias("with"), F.col("mark").alias("marked"), F.col("before").alias("earlier"))
-    add(left.join(right, "sig").filter("id < other and comp != with").filter(fits).filter(closer).filter("not arrays_overlap(before, earlier)").select(*pair()).distinct())
+    # both sides read the same columns, so that Spark shuffles them once
+    both = f"100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n)"
+    apart = f"{100 + percent} * aggregate(zip_with(l.mark, r.mark, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= {100 - percent} * (l.n + r.n)"
+    pairs = left.alias("l").join(left.alias("r"), F.expr(f"l.sig = r.sig and l.id < r.id and l.comp != r.comp and {both} and {apart} and not arrays_overlap(l.before, r.before)"))
+    add(pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct())
     discard(spark, made)
     release(spark)
     final = component.select(F.col("id").alias("rep"), F.col("component"))
