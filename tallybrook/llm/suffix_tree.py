@@ -33,17 +33,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallybrook.llm.packed import FLUSH, bitmap, bitmap_of_tallied, bits_for, combined, distinct, maybe, pack, pack_keys, range_bits, ranges_of, tallied, unpack, unpack_keys
 from tallybrook.llm.text import blocks, buffer_of, discard, lower_ascii, mix, release, small_batches, stored, word_hashes, word_spans
 
 _END = np.uint64(0x5BF03635A1D1F1C3)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-_FLUSH = 1_000_000
 _BLOCK = 1 << 20
 _GROUP = 4 << 20
 _DISCOUNT = 0.75
-_LEAST_BITS, _BITS, _MOST_BITS = 16, 26, 28
 _ENTRIES = 1 << 22
-_RANGE = 1 << 19
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +51,9 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, edges = word_spans(data, offsets)
     rows = len(edges) - 1
     out = np.full(len(starts) + rows, _END)
-    out[np.arange(len(starts)) + np.repeat(np.arange(rows), np.diff(edges))] = word_hashes(data, starts, ends)
+    word = np.ones(len(out), dtype=bool)
+    word[edges[1:] + np.arange(rows)] = False
+    out[word] = word_hashes(data, starts, ends)
     return out, edges + np.arange(rows + 1)
 
 
@@ -79,39 +79,6 @@ def _find(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(table[at] == values, at, -1)
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """An array's bytes, those of one place of all numbers together, compressed."""
-    return pa.compress(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), codec="zstd", asbytes=True)
-
-
-def _unpack(packed: pa.Scalar | bytes, n: int, kind: type) -> np.ndarray:
-    """The array of ``n`` numbers that ``_pack`` was given."""
-    width = np.dtype(kind).itemsize
-    flat = np.frombuffer(pa.decompress(packed if isinstance(packed, bytes) else packed.as_buffer(), decompressed_size=n * width, codec="zstd"), np.uint8)
-    return np.ascontiguousarray(flat.reshape(width, n).T).view(kind).ravel()
-
-
-def _pack_keys(keys: np.ndarray) -> bytes:
-    """Keys in order, as differences."""
-    return _pack(np.diff(keys, prepend=np.zeros(1, np.uint64)))
-
-
-def _unpack_keys(packed: pa.Scalar | bytes, n: int) -> np.ndarray:
-    return np.cumsum(_unpack(packed, n, np.uint64), dtype=np.uint64)
-
-
-def _ranges(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of keys in order: the ranges (the first ``bits`` bits) that have any, and where they begin and the last ends."""
-    at = (keys >> np.uint64(64 - bits)).astype(np.int32)
-    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
-    return at[first], np.append(first, len(keys))
-
-
-def _range_bits(rows: int) -> int:
-    """Bits that part so many keys into ranges of some ``_RANGE`` each."""
-    return max(3, min(24, (rows // _RANGE).bit_length()))
-
-
 class Lookup:
     """A table of sorted keys and their values. 2^22 flags tell most absent keys without a search."""
 
@@ -129,22 +96,6 @@ class Lookup:
         return out
 
 
-def bitmap(keys: DataFrame, size: int = _BITS) -> np.ndarray:
-    """2^``size`` bits, those set that stand for one of the keys (column k)."""
-    at = F.shiftrightunsigned("k", 64 - size)
-    parts = keys.select(F.shiftright(at, 6).alias("w"), at.bitwiseAND(63).cast("int").alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("v"))
-    got = parts.toArrow()  # at most 2^(size - 6) rows, whatever the input
-    out = np.zeros(1 << (size - 6), dtype=np.uint64)
-    out[got.column("w").to_numpy()] = got.column("v").to_numpy().view(np.uint64)
-    return out
-
-
-def _maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Where the bitmap doesn't prove the key absent."""
-    at = keys >> np.uint64(64 - (len(bits).bit_length() + 5))
-    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0
-
-
 @dataclass
 class Heads:
     """What every task gets: the sizes, the frequent words in order with count and share left, the frequent entries and
@@ -162,12 +113,12 @@ class Heads:
 
     def __getstate__(self) -> dict:
         """Packed, as a broadcast is a file on the driver's disk and every executor's."""
-        keys, values = lambda x: (len(x), _pack_keys(x)), lambda x: (len(x), x.dtype, _pack(x))
+        keys, values = lambda x: (len(x), pack_keys(x)), lambda x: (len(x), x.dtype, pack(x))
         pairs = {name: (keys(k), values(v)) for name in ("gains", "rests") for k, v in [getattr(self, name)]}
         return self.__dict__ | pairs | {"words": keys(self.words)} | {name: values(getattr(self, name)) for name in ("counts", "rest", "bits")}
 
     def __setstate__(self, state: dict) -> None:
-        keys, values = lambda x: _unpack_keys(x[1], x[0]), lambda x: _unpack(x[2], x[0], x[1])
+        keys, values = lambda x: unpack_keys(x[1], x[0]), lambda x: unpack(x[2], x[0], x[1])
         pairs = {name: (keys(k), values(v)) for name in ("gains", "rests") for k, v in [state[name]]}
         self.__dict__ |= state | pairs | {"words": keys(state["words"])} | {name: values(state[name]) for name in ("counts", "rest", "bits")}
 
@@ -183,70 +134,18 @@ class Tree:
     paths: list[str]
 
 
-def _combined(make: Callable, out: Callable, flush: int) -> Callable:
-    """A task that counts what ``make`` gives of each block, identities and key columns, and puts out parts by ``out``: the
-    identities in order, the key columns, the counts."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[np.ndarray]] = []
-        size = 0
-
-        def merged() -> list[np.ndarray]:
-            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-            ident, first, at = np.unique(columns[0], return_index=True, return_inverse=True)
-            return [ident, *(c[first] for c in columns[1:-1]), np.bincount(at, weights=columns[-1], minlength=len(ident)).astype(np.int64)]
-
-        for block in blocks(batches, "text", _BLOCK):
-            ident, *columns = make(*tokens(block.column("text")))
-            ident, first, counts = np.unique(ident, return_index=True, return_counts=True)
-            parts.append([ident, *(c[first] for c in columns), counts])
-            size += len(ident)
-            if size > flush:
-                parts = [merged()]
-                size = len(parts[0][0])
-                if size > flush // 2:
-                    yield out(parts[0])
-                    parts, size = [], 0
-        if parts:
-            yield out(merged())
-
-    return task
+def _each(make: Callable) -> Callable:
+    """``make`` over the tokens of every block of the batches."""
+    return lambda batches: (make(*tokens(block.column("text"))) for block in blocks(batches, "text", _BLOCK))
 
 
-def _counted(rows: DataFrame, make: Callable, names: list[str], by: str) -> DataFrame:
-    """Sum of counts by the named key columns, partitioned by one of them; ``make`` gives a block's identities and key columns.
-    Counts are combined in each task first."""
-    schema = "".join(f"{n} long, " for n in names) + "c long"
+def _words(rows: DataFrame) -> DataFrame:
+    """(k, c): all words and how often each occurs, counted in each task first."""
 
     def out(part: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in part[1:-1]), pa.array(part[-1])], names=[*names, "c"])
-
-    return rows.mapInArrow(_combined(make, out, _FLUSH // len(names)), schema).repartition(by).groupBy(*names).agg(F.sum("c").alias("c"))
-
-
-def _often(rows: DataFrame, make: Callable, support: int, expected: int) -> DataFrame:
-    """The keys (k) that ``make`` gives at least ``support`` times. Keys travel in packed parts by ranges, and a range's parts are
-    counted together; ``expected`` bounds the number of keys, of which a range has some ``_RANGE``."""
-    bits = _range_bits(expected)
-
-    def out(part: list[np.ndarray]) -> pa.RecordBatch:
-        keys, counts = part[0], np.minimum(part[-1], support).astype(np.int32)
-        at, cuts = _ranges(keys, bits)
-        spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-        columns = [pa.array(at), pa.array(np.diff(cuts)), pa.array([_pack_keys(keys[a:b]) for a, b in spans], pa.binary()), pa.array([_pack(counts[a:b]) for a, b in spans], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["b", "n", "k", "c"])
-
-    def merge(parts: pa.Table) -> pa.Table:
-        n = parts.column("n").to_pylist()
-        keys = np.concatenate([_unpack_keys(x, m) for x, m in zip(parts.column("k"), n, strict=True)])
-        counts = np.concatenate([_unpack(x, m, np.int32) for x, m in zip(parts.column("c"), n, strict=True)])
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        met = np.add.reduceat(counts.astype(np.int64), first)
-        return pa.table([pa.array(keys[first[met >= support]].view(np.int64))], names=["k"])
+        return pa.RecordBatch.from_arrays([pa.array(part[0].view(np.int64)), pa.array(part[1])], names=["k", "c"])
 
-    return rows.mapInArrow(_combined(make, out, _FLUSH), "b int, n long, k binary, c binary").groupBy("b").applyInArrow(merge, "k long")
+    return rows.mapInArrow(combined(_each(lambda hashes, _: (hashes,)), out, FLUSH), "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +161,7 @@ def grow(docs: DataFrame, *, text_col: str = "text", heads: int = 1 << 22, depth
     small_batches(spark)
     rows = docs.select(docs[text_col].alias("text"))
     tables: list[str] = []
-    counts = stored(_counted(rows, lambda h, _: (h, h), ["k"], "k"), "words", tables)
+    counts = stored(_words(rows), "words", tables)
     stats = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = int(stats.n), int(stats.v)
     none = spark.createDataFrame([], "k long, v float, c long")
@@ -278,26 +177,27 @@ def grow(docs: DataFrame, *, text_col: str = "text", heads: int = 1 << 22, depth
         def grams(hashes: np.ndarray, edges: np.ndarray, words: int = words, seen=seen) -> tuple[np.ndarray, ...]:
             *_, (keys, _), (ident, there) = sequences(hashes, edges, words)
             # a sequence isn't met more often than its first words or its last
-            asked = there[1:] & _maybe(seen.value, keys[:-1]) & _maybe(seen.value, keys[1:])
+            asked = there[1:] & maybe(seen.value, keys[:-1]) & maybe(seen.value, keys[1:])
             return ident[1:][asked], keys[:-1][asked], keys[1:][asked]
 
         def bare(hashes: np.ndarray, edges: np.ndarray, grams=grams) -> tuple[np.ndarray, ...]:
-            return (grams(hashes, edges)[0],) * 2
+            return grams(hashes, edges)[:1]
 
         # most are met once: bare keys, which are packed, are counted first, and those of support go on
-        often = spark.sparkContext.broadcast(bitmap(_often(rows, bare, support, total)))
+        often = spark.sparkContext.broadcast(bitmap_of_tallied(rows, _each(bare), support, total))
         sent.append(often)
         release(spark)
 
         def grams(hashes: np.ndarray, edges: np.ndarray, grams=grams, often=often) -> tuple[np.ndarray, ...]:
             columns = grams(hashes, edges)
-            asked = _maybe(often.value, columns[0])
+            asked = maybe(often.value, columns[0])
             return tuple(x[asked] for x in columns)
 
-        found = _counted(rows, grams, ["x", "s"], "s").filter(F.col("c") >= support)  # partitioned as the next join needs it
+        found = stored(tallied(rows, _each(grams), support, total, ("x", "s"), joined), "found", made)
+        release(spark)  # the packed parts needn't stay while their sums are joined
         contexts = entries.select(F.col("k").alias("x"), F.col("c").alias("n"))
         suffixes = entries.select(F.col("k").alias("s"), F.col("p").alias("below"))
-        level = stored(found.join(suffixes, "s").join(contexts, "x").mapInArrow(_keyed, "k long, x long, c long, n long, below double"), "level", made)
+        level = stored(found.join(suffixes.hint("shuffle_hash"), "s").join(contexts.hint("shuffle_hash"), "x").mapInArrow(_keyed, "k long, x long, c long, n long, below double"), "level", made)
         for one in sent:  # a broadcast is a file in every executor
             one.destroy()
         release(spark)
@@ -327,7 +227,7 @@ def grow(docs: DataFrame, *, text_col: str = "text", heads: int = 1 << 22, depth
     release(spark)
     known = signed[order], frequent.column("c").to_numpy()[order], frequent.column("v").to_numpy()[order]
     rare = gains.union(rests).filter(_rare(total))
-    bits = bitmap(rare, min(_MOST_BITS, max(_LEAST_BITS, (8 * rare.count()).bit_length())))
+    bits = bitmap(rare, bits_for(gains.count() + rests.count()))
     return Tree(Heads(total, distinct, depth, *known, _frequent(gains, total), _frequent(rests, total), bits), gains, rests, tables), counts
 
 
@@ -386,16 +286,16 @@ def _boxed(bits: int) -> Callable:
                 keys, values = k[kind == which].view(np.uint64), v[kind == which].astype(np.float32 if which else np.int32)
                 order = np.argsort(keys)
                 keys, values = keys[order], values[order]
-                at, cuts = _ranges(keys, bits)
+                at, cuts = ranges_of(keys, bits)
                 spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-                columns = [pa.array(at), pa.array(np.full(len(at), which, np.int32)), pa.array(np.diff(cuts)), pa.array([_pack_keys(keys[a:b]) for a, b in spans], pa.binary()), pa.array([_pack(values[a:b]) for a, b in spans], pa.binary())]
+                columns = [pa.array(at), pa.array(np.full(len(at), which, np.int32)), pa.array(np.diff(cuts)), pa.array([pack_keys(keys[a:b]) for a, b in spans], pa.binary()), pa.array([pack(values[a:b]) for a, b in spans], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["b", "kind", "n", "k", "v"])
 
         size = 0
         for batch in batches:
             parts.append(batch)
             size += batch.num_rows
-            if size >= _FLUSH:
+            if size >= FLUSH:
                 yield from out()
                 parts, size = [], 0
         if size:
@@ -411,26 +311,27 @@ def _met(asked: pa.Table, tables: pa.Table) -> pa.Table:
     for which in range(3):
         mine = tables.filter(pc.equal(tables.column("kind"), which))
         n = mine.column("n").to_pylist()
-        k = np.concatenate([np.zeros(0, np.uint64), *(_unpack_keys(x, m) for x, m in zip(mine.column("k"), n, strict=True))])
+        k = np.concatenate([np.zeros(0, np.uint64), *(unpack_keys(x, m) for x, m in zip(mine.column("k"), n, strict=True))])
         kind = np.float32 if which else np.int32
-        v = np.concatenate([np.zeros(0, kind), *(_unpack(x, m, kind) for x, m in zip(mine.column("v"), n, strict=True))])
+        v = np.concatenate([np.zeros(0, kind), *(unpack(x, m, kind) for x, m in zip(mine.column("v"), n, strict=True))])
         order = np.argsort(k)
         kinds.append((k[order], v[order]))
     values: list[list[bytes]] = [[], [], []]
     for packed, n in zip(asked.column("k"), asked.column("n").to_pylist(), strict=True):
-        keys = _unpack_keys(packed, n)
+        keys = unpack_keys(packed, n)
         for (k, v), to in zip(kinds, values, strict=True):
             at = _find(k, keys)
-            to.append(_pack(np.where(at >= 0, v[at], v.dtype.type(0)) if len(k) else np.zeros(n, v.dtype)))
+            to.append(pack(np.where(at >= 0, v[at], v.dtype.type(0)) if len(k) else np.zeros(n, v.dtype)))
     return pa.table([asked.column("g"), asked.column("b"), asked.column("n"), *(pa.array(x, pa.binary()) for x in values)], names=["g", "b", "n", "v0", "v1", "v2"])
 
 
 def _wanted(model: Heads, hashes: np.ndarray, edges: np.ndarray) -> list[np.ndarray]:
     """The keys that a block's scores need and that aren't known to every task."""
-    parts = [np.unique(hashes[_find(model.words, hashes) < 0] if len(model.words) < model.distinct else hashes[:0])]
+    words = distinct(hashes) if len(model.words) < model.distinct else hashes[:0]
+    parts = [words[_find(model.words, words) < 0]]
     for n, (keys, there) in enumerate(sequences(hashes, edges, model.depth + 1), 1):
         if n > 1:
-            parts.append(np.unique(keys[there & _maybe(model.bits, keys)]))
+            parts.append(distinct(keys[there & maybe(model.bits, keys)]))
     return parts
 
 
@@ -454,16 +355,16 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, *, id_col: str = "doc_
 
     gains, rests = (t.filter(_rare(heads.total)) for t in (tree.gains, tree.rests))
     words = counts.filter(F.lit(len(heads.words) < heads.distinct))  # every task may know them all
-    bits = _range_bits((heads.distinct if len(heads.words) < heads.distinct else 0) + gains.count() + rests.count())
+    bits = range_bits((heads.distinct if len(heads.words) < heads.distinct else 0) + tree.gains.count() + tree.rests.count())
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = send.value
         group, parts = None, []
 
         def request() -> pa.RecordBatch:
-            keys = np.unique(np.concatenate(parts))
-            at, cuts = _ranges(keys, bits)
-            packed = [_pack_keys(keys[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            keys = distinct(np.concatenate(parts))
+            at, cuts = ranges_of(keys, bits)
+            packed = [pack_keys(keys[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(at), group)), pa.array(np.diff(cuts)), pa.array(packed, pa.binary())], names=["b", "g", "n", "k"])
 
         for batch in batches:
@@ -479,30 +380,36 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, *, id_col: str = "doc_
     def answer(texts: pa.Table, found: pa.Table) -> pa.Table:
         model = send.value
         opened = [(block.column("id"), *tokens(block.column("text"))) for block in map(_opened, texts.column("block"))]
-        asked = np.unique(np.concatenate([x for _, hashes, edges in opened for x in _wanted(model, hashes, edges)])) if opened else np.zeros(0, np.uint64)
+        asked = distinct(np.concatenate([x for _, hashes, edges in opened for x in _wanted(model, hashes, edges)])) if opened else np.zeros(0, np.uint64)
         found = found.sort_by("b")
         n = found.column("n").to_pylist()
         words, gains, rests = (
-            Lookup(asked, np.concatenate([np.zeros(0, kind), *(_unpack(x, m, kind) for x, m in zip(found.column(c), n, strict=True))])) for c, kind in (("v0", np.int32), ("v1", np.float32), ("v2", np.float32))
+            Lookup(asked, np.concatenate([np.zeros(0, kind), *(unpack(x, m, kind) for x, m in zip(found.column(c), n, strict=True))])) for c, kind in (("v0", np.int32), ("v1", np.float32), ("v2", np.float32))
         )
         rests.column[rests.column == 0] = 1.0  # what isn't found leaves all to its suffix
         often, left = Lookup(*model.gains), Lookup(*model.rests)
         out = []
         for ids, hashes, edges in opened:
-            head = _find(model.words, hashes)
-            c = words.get(hashes, 0.0)
+            kinds, which = np.unique(hashes, return_inverse=True)
+            head = _find(model.words, kinds)
+            c, rest = words.get(kinds, 0.0), np.minimum(rests.get(kinds, 1.0), left.get(kinds, 1.0))  # where it isn't found, 1
             if len(model.words):
-                c = np.where(head >= 0, model.counts[head], c)
+                c, rest = np.where(head >= 0, model.counts[head], c), np.where(head >= 0, model.rest[head], rest)
             base = (c + 1.0) / den
-            prob, rest = base.copy(), np.ones(len(hashes))
+            known, prob, rest = (c > 0)[which], base[which], rest[which]
+            base = np.log10(base)[which]
             for n, (keys, there) in enumerate(sequences(hashes, edges, model.depth + 1), 1):
-                if n > 1:
-                    prob[1:] *= np.where(there[1:], rest[:-1], 1.0)
-                    prob += np.where(there, np.maximum(gains.get(keys, 0.0), often.get(keys, 0.0)), 0.0)
-                rest = np.minimum(rests.get(keys, 1.0), left.get(keys, 1.0))  # where it isn't found, 1
-                if n == 1 and len(model.words):
-                    rest = np.where(head >= 0, model.rest[head], rest)
-            sums = [np.add.reduceat(x, edges[:-1]) for x in (c > 0, np.log10(base), np.log10(prob))]  # every row has its end
+                if n == 1:
+                    continue
+                order = np.argsort(keys)  # keys in order are found several times faster
+                keys = keys[order]
+                gain = np.empty(len(keys))
+                gain[order] = np.maximum(gains.get(keys, 0.0), often.get(keys, 0.0))
+                prob[1:] *= np.where(there[1:], rest[:-1], 1.0)
+                prob += np.where(there, gain, 0.0)
+                if n <= model.depth:
+                    rest[order] = np.minimum(rests.get(keys, 1.0), left.get(keys, 1.0))
+            sums = [np.add.reduceat(x, edges[:-1]) for x in (known, base, np.log10(prob))]  # every row has its end
             out.append(pa.RecordBatch.from_arrays([ids, pa.array(np.diff(edges)), pa.array(sums[0].astype(np.int64)), *map(pa.array, sums[1:])], names=["id", "n_tokens", "n_known", "base_score", "score"]))
         return pa.Table.from_batches(out)
 

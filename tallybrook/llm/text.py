@@ -34,6 +34,9 @@ WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
+#: The first n bytes of eight, for n of 0 to 8.
+_SHORT = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -126,16 +129,19 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     the span before they are summed, so words that differ by a pattern, which a polynomial can map to one value, stay apart."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
-    lanes = (ends - starts + 7) >> 3
-    first = np.cumsum(lanes) - lanes
-    lane = np.arange(int(lanes.sum())) - np.repeat(first, lanes)
-    at = np.repeat(starts, lanes) + 8 * lane
+    lengths = ends - starts
     padded = np.append(data, np.zeros(8, dtype=np.uint8))
-    value = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))[at]
-    short = np.minimum(np.repeat(ends, lanes) - at, 8).astype(np.uint64)
-    value &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * short)
-    value = mix(value ^ mix(lane.astype(np.uint64) * _GOLD + _M1))
-    return mix(np.add.reduceat(value, first) + (ends - starts).astype(np.uint64) * _GOLD)
+    eights = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+    total = mix(eights[starts] & _SHORT[np.minimum(lengths, 8)] ^ mix(np.full(1, _M1)))
+    long = np.flatnonzero(lengths > 8)
+    if len(long):  # the lanes after the first
+        lanes = (lengths[long] - 1) >> 3
+        first = np.cumsum(lanes) - lanes
+        lane = np.arange(1, int(lanes.sum()) + 1) - np.repeat(first, lanes)
+        at = np.repeat(starts[long], lanes) + 8 * lane
+        value = eights[at] & _SHORT[np.minimum(np.repeat(ends[long], lanes) - at, 8)]
+        total[long] += np.add.reduceat(mix(value ^ mix(lane.astype(np.uint64) * _GOLD + _M1)), first)
+    return mix(total + lengths.astype(np.uint64) * _GOLD)
 
 
 def spans_as_strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:

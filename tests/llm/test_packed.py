@@ -40,6 +40,15 @@ def test_keys_are_counted_by_ranges_and_bitmaps_hold_all_of_them(spark, monkeypa
     assert np.array_equal(packed.distinct(np.array([3, 1, 3], np.uint64)), [1, 3]) and not len(packed.distinct(np.zeros(0, np.uint64)))
 
 
+def test_a_block_asks_for_each_word_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b " * 50), (2, "c d e")], "doc_id long, text string")
+    heads = suffix_tree.grow(docs, heads=4)[0].heads
+    asked = []
+    monkeypatch.setattr(suffix_tree, "_find", lambda table, values, old=suffix_tree._find: asked.append(len(values)) or old(table, values))
+    suffix_tree._wanted(heads, *suffix_tree.tokens(pa.array(["a b " * 50])))
+    assert asked == [3]
+
+
 def test_copies_are_signed_once(spark, monkeypatch):
     text = " ".join(f"w{i}" for i in range(60))
     other = " ".join(f"v{i}" for i in range(60))
