@@ -30,11 +30,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallybrook.llm.components import connected
+from tallybrook.llm.components import connected, starred
 from tallybrook.llm.packed import bitmap, bits_for, maybe, tallied
 from tallybrook.llm.text import WHITE, blocks, buffer_of, discard, lower_ascii, mix, release, small_batches, stored, word_hashes, word_spans
 
@@ -299,34 +299,37 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     fits = "100 * least(n, m) >= {p} * greatest(n, m)".format(p=percent)
     # a bit that differs is a difference at least
     closer = f"{100 + percent} * aggregate(zip_with(mark, marked, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= {100 - percent} * (n + m)"
-    done, links, component = None, None, None
-
-    def labelled() -> DataFrame:
-        if component is None:
-            return probes.withColumn("comp", F.col("id"))
-        return probes.join(component, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-
-    def add(pairs: DataFrame) -> bool:
-        nonlocal done, links, component
-        pairs = stored(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs", made)
-        good = stored(_verified(pairs, texts, percent, width), "links", made)
-        done = pairs if done is None else done.union(pairs)
-        if component is None or not good.isEmpty():
-            links = good if links is None else links.union(good)
-            component = connected(links)
-        release(spark)
-        return not good.isEmpty()
+    # downward links; nodes that hang on the same one are linked, so a step of the components' search a turn tells most
+    # pairs that needn't be compared, and only what is compared pairwise waits for all steps
+    hung = probes.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0)
+
+    def labelled(on: DataFrame) -> DataFrame:
+        return probes.join(on, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+
+    def linked(pairs: DataFrame) -> tuple[DataFrame, int, int]:
+        """The pairs that link; how many there were and how many of them do."""
+        pairs = stored(pairs, "pairs", made)
+        compared = pairs.count()
+        good = stored(_verified(pairs, texts, percent, width), "links", made) if compared else pairs
+        return good, compared, good.count() if compared else 0
 
-    def pair() -> list[Column]:
-        return [F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")]
+    def least_of(e: DataFrame) -> DataFrame:
+        return e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
 
     for turn in range(star_rounds):
-        now = labelled()
+        now = labelled(least_of(hung)) if turn else probes.withColumn("comp", F.col("id"))
         middle = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("other"), F.col("n").alias("m"), F.col("comp").alias("with"))).alias("r")).filter("lo != hi").select("sig", "r.*")
-        near = now.join(middle, "sig").filter("comp != with").filter(fits).select("id", "other", "w").distinct()
-        if not add(near.join(marks, ["id", "w"]).join(other, ["other", "w"]).filter(closer).select(*pair()).distinct()):
+        near = now.join(middle, "sig").filter("comp != with").filter(fits).groupBy(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).agg(F.min("w").alias("w"))
+        good, compared, found = linked(near.join(marks, ["id", "w"]).join(other, ["other", "w"]).filter(closer).select(F.col("id").alias("a"), F.col("other").alias("b")))
+        if not found:
+            break
+        links = good.select(F.col("b").alias("u"), F.col("a").alias("v"))
+        hung = stored(starred(hung.union(links) if turn else links), "hung", made)
+        release(spark)
+        if found < compared / 3:  # the turns left would spare little
             break
-    now = labelled()
+    component = connected(hung, a="u", b="v")
+    now = labelled(component)
     open_ = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("sig")
     # a pair is taken in the least bucket that both are in: the one before which they share none
     before = F.collect_list("sig").over(Window.partitionBy("id", "w").orderBy("sig").rowsBetween(Window.unboundedPreceding, -1))
@@ -336,7 +339,9 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     both = f"100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n)"
     apart = f"{100 + percent} * aggregate(zip_with(l.mark, r.mark, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= {100 - percent} * (l.n + r.n)"
     pairs = left.alias("l").join(left.alias("r"), F.expr(f"l.sig = r.sig and l.id < r.id and l.comp != r.comp and {both} and {apart} and not arrays_overlap(l.before, r.before)"))
-    add(pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct())
+    good, _, found = linked(pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct())
+    if found:
+        component = connected(component.select(F.col("id").alias("a"), F.col("component").alias("b")).union(good))
     discard(spark, made)
     release(spark)
     final = component.select(F.col("id").alias("rep"), F.col("component"))

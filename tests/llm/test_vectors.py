@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallybrook.llm import bit_sliced, mixing, multi_index
+from tallybrook.llm import bit_sliced, components, mixing, multi_index
 from tallybrook.llm.components import connected
 from tallybrook.llm.queries import queries
 
@@ -141,6 +141,14 @@ def test_components(spark):
     assert {x.id: x.component for x in connected(spark.createDataFrame(pairs, "a long, b long")).collect()} == label
 
 
+def test_stars_are_components_at_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "stored", lambda frame, name, made=None, old=components.stored: written.append(name) or old(frame, name, made))
+    links = spark.createDataFrame([(1, i) for i in range(2, 9)] + [(30, 10), (20, 10)], "a long, b long")
+    assert {x.id: x.component for x in connected(links).collect()} == {i: 1 for i in range(1, 9)} | {i: 10 for i in (10, 20, 30)}
+    assert len(written) == 1  # no steps that change nothing
+
+
 # 9
 
 
