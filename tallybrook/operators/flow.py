@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallybrook.operators import changes as ch
 from tallybrook.operators import resolve as rs
 from tallybrook.operators import revisions as rv
-from tallybrook.operators.components import kept
+from tallybrook.operators.components import kept, release
 from tallybrook.operators.vectors import CANDIDATE_K, CANDIDATE_THRESHOLD
 
 Step = Callable[[DataFrame], DataFrame]
@@ -39,24 +39,29 @@ def resolve_batch(messages: DataFrame, entities: DataFrame, journal: DataFrame,
     among the batch's creates become one, the later creates being updates of it. Then each entity's updates are folded in the
     order of ``seq`` up to its first close; what comes after a close is in ``unmatched``, with records that found nothing
     or an unknown entity. Revisions that the journal has for the same (message, action) aren't made again. A null message id has no
-    effect. Every step is a join or a fold on a key of its own, so no space is one task.
+    effect. Every step is a join or a fold on a key of its own, so no space is one task. The search is made once, its decisions are kept,
+    and the shuffle files of a step go when its rows are kept; only entities that the batch updates are met with their updates.
     """
+    spark = messages.sparkSession
     relevant = classify(messages.filter(F.col("message_id").isNotNull())).filter("relevant")
     records = embed(rs.reference_key(extract(relevant))).withColumn("query_id", F.col("message_id"))
-    records = kept(records)
+    records = kept(records.select("query_id", "seq", "message_id", "action", "entity_ref", "ref", "fields", "confidence", "at", "author_id", "author_name", "vector"))
+    release(spark)
     asked = records.select("query_id", "vector", "action")
     match = rs.resolve_match(rs.find_candidates(asked, entities, threshold, k), score)
-    decided = _decided(records, match, least)
-    parts = rs.split_decisions(decided, entities)
+    parts = rs.parts_of(kept(rs.known_targets(_decided(records, match, least), entities)))
+    release(spark)
     made = parts["insert"]
     same = rs.canonicalise_creates(made.select("query_id", "seq", "vector"), threshold=threshold)
     made = made.join(same, "query_id").withColumn("entity_id", entity_name(F.col("canonical_id"))).withColumn("action", F.when(F.col("canonical_id") == F.col("query_id"), "create").otherwise("update"))
     changed = parts["update"].withColumn("action", F.lit("update")).unionByName(parts["close"].withColumn("action", F.lit("close"))).withColumn("entity_id", F.col("target_id"))
     columns = ["entity_id", "seq", "action", "fields", F.col("vector").alias("embedding"), F.col("message_id").alias("last_message_id"), "confidence", "at", "entity_ref", "author_id", "author_name", "match_confidence"]
     updates = kept(made.withColumn("entity_ref", F.col("ref")).select(*columns).unionByName(changed.select(*columns)))
+    release(spark)
     applied, late = rv.first_generation(updates, ["entity_id"])
     kinds = {c: t for c, t in entities.dtypes if t != "string"}
-    diffs = rv.diff_revisions(applied, rv.FIELD_MAP, ["entity_id"], kinds=kinds, state=entities.select("entity_id", *rv.FIELD_MAP.values(), "status"))
+    state = entities.select("entity_id", *rv.FIELD_MAP.values(), "status").join(updates.select("entity_id").distinct(), "entity_id", "left_semi")
+    diffs = rv.diff_revisions(applied, rv.FIELD_MAP, ["entity_id"], kinds=kinds, state=state)
     log = diffs.select("entity_id", "action", "changed_field", "old_value", "new_value", F.col("last_message_id").alias("source_message_id"), F.coalesce("match_confidence", "confidence").alias("confidence"), F.col("at").alias("created_at"), "seq")
     waiting = rs.pending_review(parts["pending"].withColumn("source_message_id", F.col("message_id")).withColumn("confidence", F.col("match_confidence")), also=["at", "seq"]).withColumnRenamed("at", "created_at")
     new = ch.append_revisions(journal.select("source_message_id", "action"), log.unionByName(waiting.select(*log.columns)), order="seq")

@@ -334,3 +334,20 @@ def test_links_deal_few_copies_of_rows_and_compare_them_in_pieces(spark):
         return root
 
     assert parts(7) == parts(1_000) and 1 < len(set(parts(7))) < 60
+
+
+def test_a_search_of_many_blocks_deals_few_rows_at_once(spark, monkeypatch):
+    import random
+
+    random.seed(9)
+    v = spark.createDataFrame([(i, [random.gauss(0, 1) for _ in range(6)]) for i in range(240)] + [(999, [0.0] * 6)], "id long, vector array<float>")
+    q, c = v.filter("id % 6 != 0").withColumnRenamed("id", "query_id"), v.filter("id < 100").withColumnRenamed("id", "item_id")
+    show = lambda f: sorted((r.query_id, r["rank"], r.item_id, r.similarity) for r in f.collect())
+    dealt, real = [], vc._meeting
+    monkeypatch.setattr(vc, "_meeting", lambda *a: dealt.append([x.count() for x in real(*a)]) or real(*a))
+    whole = vc.knn_join(q, c, 3, others=True)
+    assert len(dealt) == 1
+    dealt.clear()
+    assert show(vc.knn_join(q, c, 3, others=True, block_rows=50, block_queries=5)) == show(whole)
+    assert len(dealt) == 10 and max(a for a, _ in dealt) <= 4 * 100  # 40 blocks of queries, 4 of them at once
+    assert sum(b for _, b in dealt) == 2 * 200
