@@ -313,6 +313,24 @@ def test_a_search_holds_no_matrix_of_a_whole_group(spark):
     assert max(shapes) <= 2_000
 
 
+@pytest.mark.parametrize("many", [1, 2, 5, 9, 63, 64, 65, 200, 700])
+def test_nearest_rows_are_those_of_sorting_all(many):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(many)
+    x, y = rng.integers(-2, 3, size=(many, 3)) + 0.5, rng.integers(-2, 3, size=(30, 3)) + 0.5  # with ties
+    bound, least = rng.integers(0, 4, size=many).astype(float), rng.integers(0, 5, size=30).astype(float)
+    items = pa.table([pa.array(range(many)), pa.array(list(x)), pa.array(bound)], names=["item_id", "vector", "bound"])
+    asked = pa.table([pa.array(range(30)), pa.array(list(y)), pa.array(least)], names=["query_id", "vector", "least"])
+    cos = np.round((y / np.linalg.norm(y, axis=1)[:, None]) @ (x / np.linalg.norm(x, axis=1)[:, None]).T, 12)
+    for k in (1, 3, 8):
+        for limits in (True, False):
+            got = vc._nearest(items, asked, k) if limits else vc._nearest(items.drop(["bound"]), asked.drop(["least"]), k)
+            want = {(i, j) for i in range(30) for j in sorted((j for j in range(many) if not limits or bound[j] >= least[i]), key=lambda j: (-cos[i][j], j))[:k]}
+            assert set(zip(got.column("query_id").to_pylist(), got.column("item_id").to_pylist(), strict=True)) == want and got.num_rows == len(want)
+
+
 def test_links_deal_few_copies_of_rows_and_compare_them_in_pieces(spark):
     import numpy as np
     import pyarrow as pa
